@@ -57,78 +57,68 @@ def _bounds(limit: int = 1 << 40) -> list[int]:
 _BOUNDS = _bounds()
 
 
-def signatures(ordered: np.ndarray, percent: int) -> np.ndarray:
-    """Digests of the segments of an ordered set, so that linked sets share one at least.
-
-    Sizes fall in classes [lo, hi). Two sets, the smaller of size s in the class, whose intersection
-    is percent of the union differ in at most k = (hi - 1)(100 - percent) // percent shingles, so of
-    k + 1 segments of the order one is the same in both: an edge that both paths of the prefix tree
-    have in common. A set lists the segments of its own class and of each lower class in which a
-    partner may lie.
+def signatures(ordered: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(digest, class, least): digests of the segments of an ordered set, and how many a partner shares.
+
+    Sizes fall in classes [lo, hi). Two sets of sizes s <= t whose intersection is percent of the
+    union differ in at most (s + t)(100 - percent) // (100 + percent) shingles. With s in the class that
+    is k = (hi - 1)(100 - percent) // percent at most, and the order is cut in more than k segments; a segment that
+    is the same in both sets is an edge that both paths of the prefix tree have in common. A
+    difference spoils one segment in each set at the same place, so all but so many are the same: `least`
+    for the largest partner that the set may have. A set lists the segments of its own class and of
+    each lower class in which a partner may lie.
     """
     n = len(ordered)
     own = int(np.searchsorted(_BOUNDS, n, side="right")) - 1
-    out = []
+    digests, kinds, least = [], [], []
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mixed(ordered), dtype=np.uint64)))
     while own >= 0 and 100 * (_BOUNDS[own + 1] - 1) >= percent * n:
-        parts = (_BOUNDS[own + 1] - 1) * (100 - percent) // percent + 1
+        small = min(n, _BOUNDS[own + 1] - 1)
+        differ = (_BOUNDS[own + 1] - 1) * (100 - percent) // percent
+        parts = differ + 1 + differ // 2
+        most = (small + min(small * 100 // percent, n * 100 // percent)) * (100 - percent) // (100 + percent)
+        if small < n:
+            most = max(most, (small + n) * (100 - percent) // (100 + percent))
         part = ((ordered >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
         counts = np.bincount(part.astype(np.int64), minlength=parts)
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mixed(ordered), dtype=np.uint64)))
         ends = np.cumsum(counts)
         digest = sums[ends] - sums[ends - counts]
         place = np.arange(parts, dtype=np.uint64) + np.uint64(own << 40)
-        out.append(_mixed(digest + _MIX[1] * place + _MIX[3] * counts.astype(np.uint64)))
+        digests.append(_mixed(digest + _MIX[1] * place + _MIX[3] * counts.astype(np.uint64)))
+        kinds.append(np.full(parts, own, np.int64))
+        least.append(np.full(parts, max(1, parts - most), np.int64))
         own -= 1
-    return np.concatenate(out)
-
-
-def _paired(sigs: np.ndarray, ids: np.ndarray):
-    """(first, other, times): for each signature that several ids have, its least id with each other one.
-
-    Also a mask of the rows that stand for their signature.
-    """
-    order = np.lexsort((ids, sigs))
-    s, d = sigs[order], ids[order]
-    lead = np.concatenate(([True], s[1:] != s[:-1]))
-    first = d[np.maximum.accumulate(np.where(lead, np.arange(len(s)), 0))]
-    more = first != d
-    pairs, times = np.unique(np.stack([first[more], d[more]], 1), axis=0, return_counts=True) if more.any() else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
-    mask = np.zeros(len(s), bool)
-    mask[order[lead]] = True
-    return pairs[:, 0], pairs[:, 1], times, mask
+    return np.concatenate(digests), np.concatenate(kinds), np.concatenate(least)
 
 
 def _blob(*arrays: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(a.tobytes() for a in arrays))
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
 
 
-def candidates(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, flush: int = 1_500_000) -> DataFrame:
-    """(a, b, n): documents that share n segments with the least document that has them.
+def postings(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, flush: int = 1_500_000) -> DataFrame:
+    """(sig, id): the segments by which a document can meet all that link with it.
 
-    Postings travel packed by bucket of their signature. Within a map task copies are posted once
-    and a signature once, by its least document, while the others are paired with that; so a
-    signature that many documents share is one posting a task, and pairs grow with the postings.
+    Segments travel packed by bucket of their digest; copies within a map task travel once. A
+    segment that one document has goes no further. Of its q shared segments in a class a document keeps the
+    q - least + 1 that fewest documents have: of the `least` or more that two linked documents share, the
+    one of fewest documents is then kept by both (the prefix filter, with segments for tokens). So
+    common passages, whose segments many documents have, do not bring their documents together.
     """
     buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def post(batches):
-        rng_bucket, ids, sigs, held, seen = 0, [], [], 0, set()
+        ids, sigs, held, seen = [], [], 0, set()
 
         def close():
-            nonlocal rng_bucket
-            s, d = np.concatenate(sigs), np.repeat(np.array([i for i, _ in ids], np.int64), [n for _, n in ids])
-            a, b, n, keep = _paired(s, d)
-            rows = []
-            if len(a):
-                rng_bucket = (rng_bucket + int(a[0]) + 1) % buckets
-                rows.append((rng_bucket, len(a), _blob(a, b, n.astype(np.int64)), True))
-            s, d = s[keep], d[keep]
+            s, c, least = (np.concatenate(x) for x in zip(*sigs))
+            d = np.repeat(np.array([i for i, _ in ids], np.int64), [n for _, n in ids])
             where = (s % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(where, kind="stable")
+            rows = []
             for own in np.split(order, np.flatnonzero(np.diff(where[order])) + 1):
-                low = np.ascontiguousarray((s[own] >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6])
-                rows.append((int(where[own[0]]), len(own), _blob(np.diff(d[own], prepend=0), low), False))
-            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.bool_()))], names=["bucket", "n", "blob", "paired"])
+                low = (s[own] >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]
+                rows.append((int(where[own[0]]), len(own), _blob(np.diff(d[own], prepend=0), c[own].astype(np.int32), least[own].astype(np.int32), low)))
+            return pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))], names=["bucket", "n", "blob"])
 
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -137,9 +127,9 @@ def candidates(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str
                     continue
                 seen.add(mark)
                 got = signatures(own, percent)
-                ids.append((key, len(got)))
+                ids.append((key, len(got[0])))
                 sigs.append(got)
-                held += len(got)
+                held += len(got[0])
                 if held >= flush:
                     yield close()
                     ids, sigs, held, seen = [], [], 0, set()
@@ -147,28 +137,36 @@ def candidates(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str
             yield close()
 
     def meet(batches):
-        bucket, ids, sigs = None, [], []
-        out = lambda a, b, n: pa.record_batch([pa.array(x.astype(np.int64)) for x in (a, b, n)], names=["a", "b", "n"])
+        bucket, held = None, []
+
+        def shared():
+            d, c, least, s = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(s, kind="stable")
+            lead = np.flatnonzero(np.concatenate(([True], s[order][1:] != s[order][:-1])))
+            times = np.empty(len(s), np.int64)
+            times[order] = np.repeat(np.diff(np.append(lead, len(s))), np.diff(np.append(lead, len(s))))
+            many = times > 1
+            sig = (s[many].astype(np.int64) << 14) ^ np.int64(bucket)
+            return pa.record_batch([pa.array(x.astype(np.int64)) for x in (d[many], c[many], least[many], times[many], sig)], names=["id", "kind", "least", "times", "sig"])
+
         for batch in batches:
-            for own, n, blob, paired in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                raw = zstandard.ZstdDecompressor().decompress(blob)
-                if paired:
-                    yield out(*np.frombuffer(raw, np.int64).reshape(3, n))
-                    continue
-                if own != bucket and ids:
-                    yield out(*_paired(np.concatenate(sigs), np.concatenate(ids))[:3])
-                    ids, sigs = [], []
+            for own, n, blob in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if own != bucket and held:
+                    yield shared()
+                    held = []
                 bucket = own
-                ids.append(np.cumsum(np.frombuffer(raw, np.int64, n)))
+                raw = zstandard.ZstdDecompressor().decompress(blob)
                 low = np.zeros((n, 8), np.uint8)
-                low[:, :6] = np.frombuffer(raw, np.uint8, 6 * n, 8 * n).reshape(n, 6)
-                sigs.append(low.view(np.uint64).ravel())
-        if ids:
-            yield out(*_paired(np.concatenate(sigs), np.concatenate(ids))[:3])
+                low[:, :6] = np.frombuffer(raw, np.uint8, 6 * n, 16 * n).reshape(n, 6)
+                held.append((np.cumsum(np.frombuffer(raw, np.int64, n)), np.frombuffer(raw, np.int32, n, 8 * n), np.frombuffer(raw, np.int32, n, 12 * n), low.view(np.uint64).ravel()))
+        if held:
+            yield shared()
 
-    posted = docs.select(F.col(id_col).cast("bigint"), text_col).mapInArrow(post, "bucket bigint, n bigint, blob binary, paired boolean")
-    met = posted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "a bigint, b bigint, n bigint")
-    return met.groupBy("a", "b").agg(F.sum("n").alias("n"))
+    posted = docs.select(F.col(id_col).cast("bigint"), text_col).mapInArrow(post, "bucket bigint, n bigint, blob binary")
+    met = posted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "id bigint, kind bigint, least bigint, times bigint, sig bigint")
+    by_doc = met.groupBy("id", "kind").agg(F.min("least").alias("least"), F.array_sort(F.collect_list(F.struct("times", "sig"))).alias("x"))
+    by_doc = by_doc.where(F.size("x") >= F.col("least"))
+    return by_doc.select("id", F.explode(F.slice("x.sig", F.lit(1), (F.size("x") - F.col("least") + 1).cast("int"))).alias("sig")).distinct()
 
 
 def linked(pivot: np.ndarray, sets: list[np.ndarray], percent: int) -> list[bool]:
@@ -250,7 +248,10 @@ def classes(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_i
     full = sizes.where("n > 0 and id is not null")
     copied = written(full.groupBy("h1", "h2").agg(F.min("id").alias("b"), F.max("id").alias("top")).where("b < top").drop("top"), "copied")
     copies = full.join(copied, ["h1", "h2"]).select(F.col("id").alias("a"), "b").where("a <> b")
-    pairs = written(candidates(docs, k, percent, id_col, text_col), "pairs")
+    met = written(postings(docs, k, percent, id_col, text_col), "postings")
+    first = met.groupBy("sig").agg(F.min("id").alias("a"), F.max("id").alias("top")).where("a < top").drop("top")
+    pairs = met.join(first, "sig").where("id <> a").groupBy("a", F.col("id").alias("b")).agg(F.count("*").alias("n"))
+    pairs = written(pairs, "pairs")
     near = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
 
     def members(batches):
@@ -266,7 +267,7 @@ def classes(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_i
         node = components(links)
         left = _apart(pairs.select("a", "b"), node)
         if last:
-            left = _more(left, node, sets, percent)
+            left = _more(left, node, met)
         left = left.select("a", "b").join(tried.select("a", "b"), ["a", "b"], "left_anti")
         more = written(verified(left, sets, percent), "tried")
         if more.isEmpty():
@@ -287,19 +288,11 @@ def _apart(pairs: DataFrame, node: DataFrame) -> DataFrame:
     return got.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb")
 
 
-def _more(failed: DataFrame, node: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs across components that a failed comparison left open and that share a segment."""
+def _more(failed: DataFrame, node: DataFrame, met: DataFrame) -> DataFrame:
+    """Pairs across components that a failed comparison left open and that keep a segment in common."""
     open_ = failed.select(F.explode(F.array("ca", "cb")).alias("component")).distinct()
-    own = sets.select("id", "members").join(node.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id")).join(open_, "component", "left_semi")
-
-    def post(batches):
-        for batch in batches:
-            for key, comp, blob in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                got = signatures(np.frombuffer(blob, np.uint64), percent).view(np.int64)
-                yield pa.record_batch([pa.array(got), pa.array([key] * len(got), pa.int64()), pa.array([comp] * len(got), pa.int64())], names=["s", "id", "component"])
-
-    posted = written(own.where("length(members) > 0").select("id", "component", "members").mapInArrow(post, "s bigint, id bigint, component bigint"), "open")
-    mixed = posted.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("s")
-    posted = posted.join(mixed, "s")
-    x, y = posted.select("s", F.col("id").alias("a"), F.col("component").alias("ca")), posted.select("s", F.col("id").alias("b"), F.col("component").alias("cb"))
-    return x.join(y, "s").where("a < b and ca <> cb").select("a", "b").distinct()
+    own = met.join(node.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id")).join(open_, "component", "left_semi")
+    mixed = own.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("sig")
+    own = written(own.join(mixed, "sig"), "open")
+    x, y = own.select("sig", F.col("id").alias("a"), F.col("component").alias("ca")), own.select("sig", F.col("id").alias("b"), F.col("component").alias("cb"))
+    return x.join(y, "sig").where("a < b and ca <> cb").select("a", "b").distinct()
