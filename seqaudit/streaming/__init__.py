@@ -1,0 +1 @@
+"""The engine has no streaming operators: every input is a finished file."""
