@@ -137,7 +137,7 @@ def contrast(t):
 CONTRAST = f"""with r as (select accession, window_index, row_number() over ({ORDER}) <= greatest(1, count(*) over (partition by accession) // 2) as is_high from v_scored),
 o as (select w.accession, w.window_index, m.cls, sum(least(w.w1, m.s1) - greatest(w.w0, m.s0)) / (w.w1 - w.w0) as frac from v_window w join v_merged m on w.accession = m.accession and m.s0 < w.w1 and m.s1 > w.w0 group by w.accession, w.window_index, m.cls, w.w0, w.w1),
 g as (select r.*, c.cls, coalesce(o.frac >= 0.5, false) as inside from r cross join (select distinct cls from v_span) c left join o on o.accession = r.accession and o.window_index = r.window_index and o.cls = c.cls),
-tab as (select cls, count_if(is_high and inside) as a, count_if(is_high and not inside) as b, count_if(not is_high and inside) as c, count_if(not is_high and not inside) as d from g group by cls) """
+tab as (select cls, cast(count_if(is_high and inside) as bigint) as a, cast(count_if(is_high and not inside) as bigint) as b, cast(count_if(not is_high and inside) as bigint) as c, cast(count_if(not is_high and not inside) as bigint) as d from g group by cls) """
 query("contingency", CONTRAST + "select * from tab")(contrast)
 HALDANE = "round(a * d / nullif(b * c, 0), 6) as odds_ratio, round(exp(ln((a+.5)*(d+.5)/((b+.5)*(c+.5)))), 6) as haldane_or, round(exp(ln((a+.5)*(d+.5)/((b+.5)*(c+.5))) - 1.959963984540054 * sqrt(1/(a+.5)+1/(b+.5)+1/(c+.5)+1/(d+.5))), 6) as ci_low, round(exp(ln((a+.5)*(d+.5)/((b+.5)*(c+.5))) + 1.959963984540054 * sqrt(1/(a+.5)+1/(b+.5)+1/(c+.5)+1/(d+.5))), 6) as ci_high"
 query("haldane_or", CONTRAST + f"select cls, a, b, c, d, {HALDANE} from tab")(lambda t: S.haldane_or(contrast(t)))
