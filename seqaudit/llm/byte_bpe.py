@@ -70,12 +70,12 @@ def pre_tokens(docs: DataFrame, id_col: str, text_col: str, words_in_chunk: int,
             order = np.argsort(where, kind="stable")
             cuts = np.flatnonzero(np.diff(where[order])) + 1
             groups = np.split(order, cuts) if len(order) else []
-            rank = np.empty(len(order), np.uint32)
+            rank = np.empty(len(order), np.int64)
             rank[order] = np.arange(len(order))
-            coded = rank[np.concatenate(codes).astype(np.int64)] if len(order) else np.zeros(0, np.uint32)
+            coded = rank[np.concatenate(codes)] if len(order) else np.zeros(0, np.int64)
             lengths = [len(x) for x in codes]
             chunk = part << 32 | serial
-            rows = [(chunk, None, ids, lengths, zstandard.ZstdCompressor(level=1).compress(_narrow(coded)))]
+            rows = [(chunk, None, ids, lengths, zstandard.ZstdCompressor(level=1).compress(_narrow(coded, len(order))))]
             rows += [(chunk, int(where[g[0]]), None, None, _pack([words[i] for i in g])) for g in groups]
             types = [pa.int64(), pa.int64(), pa.list_(arrow), pa.list_(pa.int64()), pa.binary()]
             return pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), types)], names=names)
@@ -87,7 +87,7 @@ def pre_tokens(docs: DataFrame, id_col: str, text_col: str, words_in_chunk: int,
                 codes.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in got), np.uint32, len(got)))
                 ids.append(key)
                 held += len(got)
-                if held >= words_in_chunk:
+                if held >= words_in_chunk or len(numbers) > 12_000_000:
                     yield close()
                     serial, held, ids, codes, numbers = serial + 1, 0, [], [], {}
         if ids:
@@ -97,15 +97,28 @@ def pre_tokens(docs: DataFrame, id_col: str, text_col: str, words_in_chunk: int,
     return docs.select(id_col, text_col).mapInArrow(cut, schema)
 
 
-def _narrow(codes: np.ndarray) -> bytes:
-    """Word numbers as two planes of bytes: the low 16 bits, then the high 16."""
-    return np.uint32(len(codes)).tobytes() + (codes & 0xFFFF).astype(np.uint16).tobytes() + (codes >> 16).astype(np.uint16).tobytes()
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers under 2**24 as three planes of bytes, which compress apart."""
+    return b"".join(((x >> s) & 255).astype(np.uint8).tobytes() for s in (0, 8, 16))
+
+
+def _from_planes(raw: bytes, n: int, at: int) -> np.ndarray:
+    low, mid, high = (np.frombuffer(raw, np.uint8, n, at + i * n).astype(np.int64) for i in range(3))
+    return low | mid << 8 | high << 16
+
+
+def _narrow(codes: np.ndarray, size: int) -> bytes:
+    """Word numbers by frequency, which makes most of them small, and the numbers they stand for."""
+    by_count = np.argsort(-np.bincount(codes, minlength=size), kind="stable")
+    rank = np.empty(size, np.int64)
+    rank[by_count] = np.arange(size)
+    return np.array([len(codes), size], np.uint32).tobytes() + _planes(by_count) + _planes(rank[codes])
 
 
 def _wide(blob: bytes) -> np.ndarray:
     raw = zstandard.ZstdDecompressor().decompress(blob)
-    n = int(np.frombuffer(raw, np.uint32, 1)[0])
-    return np.frombuffer(raw, np.uint16, n, 4).astype(np.int64) | np.frombuffer(raw, np.uint16, n, 4 + 2 * n).astype(np.int64) << 16
+    n, size = (int(x) for x in np.frombuffer(raw, np.uint32, 2))
+    return _from_planes(raw, size, 8)[_from_planes(raw, n, 8 + 3 * size)]
 
 
 def encode_words(words: DataFrame, rank_file: str) -> DataFrame:
