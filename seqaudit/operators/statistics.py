@@ -17,7 +17,7 @@ def haldane_or(tables: DataFrame) -> DataFrame:
     a, b, c, d = (F.col(x) + 0.5 for x in "abcd")
     log, se = F.log(a * d / (b * c)), F.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
     odds = F.col("a") * F.col("d") / F.nullif(F.col("b") * F.col("c"), F.lit(0))
-    return tables.select("*", odds.alias("odds_ratio"), F.exp(log).alias("haldane_or"), F.exp(log - 1.959963984540054 * se).alias("ci_low"), F.exp(log + 1.959963984540054 * se).alias("ci_high"))
+    return tables.select("*", odds.alias("odds_ratio"), F.exp(log).alias("haldane_or"), F.exp(log - 1.96 * se).alias("ci_low"), F.exp(log + 1.96 * se).alias("ci_high"))
 
 
 def fisher_or(tables: DataFrame, key: str) -> DataFrame:

@@ -139,7 +139,7 @@ o as (select w.accession, w.window_index, m.cls, sum(least(w.w1, m.s1) - greates
 g as (select r.*, c.cls, coalesce(o.frac >= 0.5, false) as inside from r cross join (select distinct cls from v_span) c left join o on o.accession = r.accession and o.window_index = r.window_index and o.cls = c.cls),
 tab as (select cls, cast(count_if(is_high and inside) as bigint) as a, cast(count_if(is_high and not inside) as bigint) as b, cast(count_if(not is_high and inside) as bigint) as c, cast(count_if(not is_high and not inside) as bigint) as d from g group by cls) """
 query("contingency", CONTRAST + "select * from tab")(contrast)
-HALDANE = "round(a * d / nullif(b * c, 0), 6) as odds_ratio, round(exp(ln((a+.5)*(d+.5)/((b+.5)*(c+.5)))), 6) as haldane_or, round(exp(ln((a+.5)*(d+.5)/((b+.5)*(c+.5))) - 1.959963984540054 * sqrt(1/(a+.5)+1/(b+.5)+1/(c+.5)+1/(d+.5))), 6) as ci_low, round(exp(ln((a+.5)*(d+.5)/((b+.5)*(c+.5))) + 1.959963984540054 * sqrt(1/(a+.5)+1/(b+.5)+1/(c+.5)+1/(d+.5))), 6) as ci_high"
+HALDANE = "round(a * d / nullif(b * c, 0), 6) as odds_ratio, round(exp(ln((a+.5)*(d+.5)/((b+.5)*(c+.5)))), 6) as haldane_or, round(exp(ln((a+.5)*(d+.5)/((b+.5)*(c+.5))) - 1.96 * sqrt(1/(a+.5)+1/(b+.5)+1/(c+.5)+1/(d+.5))), 6) as ci_low, round(exp(ln((a+.5)*(d+.5)/((b+.5)*(c+.5))) + 1.96 * sqrt(1/(a+.5)+1/(b+.5)+1/(c+.5)+1/(d+.5))), 6) as ci_high"
 query("haldane_or", CONTRAST + f"select cls, a, b, c, d, {HALDANE} from tab")(lambda t: S.haldane_or(contrast(t)))
 LOGC = "lgamma(r+1) + lgamma(n-r+1) + lgamma(k+1) + lgamma(n-k+1) - lgamma(n+1) - lgamma({0}+1) - lgamma(r-{0}+1) - lgamma(k-{0}+1) - lgamma(n-r-k+{0}+1)"
 FISHER = f"tt as (select *, a+b as r, a+c as k, a+b+c+d as n from tab), gr as (select *, unnest(range(greatest(0, r+k-n), least(r, k) + 1)) as x from tt), fp as (select cls, a, b, c, d, least(1.0, sum(case when exp({LOGC.format('x')}) <= exp({LOGC.format('a')}) * (1 + 1e-7) then exp({LOGC.format('x')}) else 0 end)) as fisher_p from gr group by 1, 2, 3, 4, 5) "
