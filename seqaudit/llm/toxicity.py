@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import uniform
+from .common import uniform, written
 
 #: In the place of a first word: how many documents have the second one (all of them have "").
 DOCS = " "
@@ -27,7 +27,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 6000, discount: f
     About per_class documents of each label are taken by a hash of their id; three quarters of them
     give the n-gram counts and a quarter calibrates. An id with several labels counts as toxic if
     any is. Null labels, ids and texts teach nothing; without both labels there is no model (None).
-    Counts are summed on Spark; the driver gets the sample's counts, bounded by per_class.
+    Counts are summed on Spark; the driver gets sums by word and the bigrams that are not rare, bounded by per_class.
     """
     spark = docs.sparkSession
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).where("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
@@ -47,14 +47,21 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 6000, discount: f
             cols = list(zip(*((y, a, b, k) for (y, a, b), k in seen.items()))) or [[], [], [], []]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.int64()))], names=["y", "a", "b", "n"])
 
-    counts = (
+    counts = written(
         rows.where("fold = 0").select(F.col("y").cast("bigint").alias("y"), "text").mapInArrow(bigrams, "y bigint, a string, b string, n bigint")
-        .groupBy("a", "b").agg(F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("n0"), F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("n1"))
-        .toArrow()
+        .groupBy("a", "b").agg(F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("n0"), F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("n1")),
+        "bigrams",
     )
-    if not counts.num_rows:
+    pair, single = F.col("a") != DOCS, F.col("a") == DOCS
+    right = counts.groupBy("b").agg(
+        *[F.sum(F.when(single, F.col(c)).otherwise(0)).alias(d) for c, d in (("n0", "d0"), ("n1", "d1"))],
+        *[F.count_if(pair & (F.col(c) > 0)).alias(d) for c, d in (("n0", "c0"), ("n1", "c1"))], F.count_if(pair).alias("c"),
+    ).toArrow()
+    if not right.num_rows:
         return None
-    model = _smoothed(counts, discount, rare, gap, sure) | {"scale": 1.0, "bias": 0.0}
+    left = counts.where(pair).groupBy("a").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
+    often = counts.where(pair & (F.col("n0") + F.col("n1") >= rare)).toArrow()
+    model = _smoothed(right, left, often, discount, rare, gap, sure) | {"scale": 1.0, "bias": 0.0}
     ratio = log_ratios(rows.where("fold = 1"), model, keep=("y",)).toArrow()
     y, x = ratio["y"].to_numpy().astype(float), ratio["ratio"].to_numpy()
     weight = np.where(y == 1, n[1] / max(1, (y == 1).sum()), n[0] / max(1, (y == 0).sum()))
@@ -81,7 +88,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     return float(w[0] / spread), float(w[1] - w[0] * mid / spread)
 
 
-def _smoothed(counts: pa.Table, d: float, rare: int, gap: float, sure: float) -> dict:
+def _smoothed(right: pa.Table, left: pa.Table, often: pa.Table, d: float, rare: int, gap: float, sure: float) -> dict:
     """Tables from which a log-likelihood ratio is a sum of lookups.
 
     In each class, P(b|a) discounts the class's bigram counts and backs off to U(b), which discounts
@@ -92,15 +99,20 @@ def _smoothed(counts: pa.Table, d: float, rare: int, gap: float, sure: float) ->
     judge it by the shared counts, so that differences of rare words and of topics cancel.
     A bigram without counts of its own adds left[a] + right[b]; a stored one adds its entry in delta.
     """
-    a, b = counts["a"].to_pylist(), counts["b"].to_pylist()
-    vocab = {w: i + 2 for i, w in enumerate(sorted({*b} | {*a} - {"", DOCS}))}
+    vocab = {w: i + 2 for i, w in enumerate(sorted(set(right["b"].to_pylist()) - {"", DOCS}))}
     vocab |= {"": 1, DOCS: 0}  # the start of a text; 0 stands for unknown words
     size = len(vocab) + 2
-    left_id, right_id = np.array([vocab[w] for w in a]), np.array([vocab[w] for w in b])
-    n = np.stack([counts["n0"].to_numpy(), counts["n1"].to_numpy()]).astype(float)
-    docs, n = np.stack([np.bincount(right_id, np.where(left_id == 0, n[k], 0), minlength=size) for k in range(2)]), n[:, left_id > 0]
-    left_id, right_id = left_id[left_id > 0], right_id[left_id > 0]
-    shared = np.bincount(right_id, minlength=size) + 0.5
+
+    def by_word(sums, word, column):
+        out = np.zeros(size)
+        out[[vocab[w] for w in sums[word].to_pylist()]] = sums[column].to_numpy()
+        return out
+
+    docs, total = [np.stack([by_word(x, w, c) for c in cs]) for x, w, cs in ((right, "b", ("d0", "d1")), (left, "a", ("n0", "n1")))]
+    cont = [by_word(right, "b", c) for c in ("c0", "c1")]
+    left_id, right_id = (np.array([vocab[w] for w in often[c].to_pylist()], np.int64) for c in "ab")
+    n = np.stack([often["n0"].to_numpy(), often["n1"].to_numpy()]).astype(float)
+    shared = by_word(right, "b", "c") + 0.5
     shared /= shared.sum()
 
     def apart(x, y, all_x, all_y):
@@ -109,14 +121,12 @@ def _smoothed(counts: pa.Table, d: float, rare: int, gap: float, sure: float) ->
         chance = (y - due) ** 2 * (1 / np.maximum(due, 1e-9) + 1 / np.maximum(x + y - due, 1e-9))
         return (x + y >= rare) & (np.abs(ratio) >= gap) & (chance >= sure)
 
-    cont = [np.bincount(right_id[n[k] > 0], minlength=size).astype(float) for k in range(2)]
     own = apart(*docs, docs[0, 1], docs[1, 1])
     own[:2] = False
     uni = []
     for k in range(2):
         kept = np.where(own, np.maximum(cont[k] - d, 0), 0) / max(1.0, cont[k].sum())
         uni.append(kept + (1 - kept.sum()) * shared)
-    total = [np.bincount(left_id, n[k], minlength=size) for k in range(2)]
     own = apart(n[0], n[1], total[0][left_id], total[1][left_id])
     kept = [np.where(own, np.maximum(n[k] - d, 0), 0) / np.maximum(total[k], 1)[left_id] for k in range(2)]
     back = [1 - np.bincount(left_id, kept[k], minlength=size) + 1e-9 for k in range(2)]
