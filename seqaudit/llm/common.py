@@ -60,11 +60,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Alternates large-star and small-star steps on tables written to the shared folder until the
     links no longer change; every step is a shuffle with map-side combine on the links alone.
     """
-    edges = written(
-        links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "links"
-    )
-    seen = None
-    while True:
+    def mark(df):
+        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+    edges = written(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "links")
+    seen, now = None, mark(edges)
+    while seen != now and now[0]:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -77,11 +78,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             .distinct()
         )
         edges = written(small, "links")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.count_distinct("u")).first()
-        if (now[0] == now[2]) and (seen == tuple(now) or now[0] == 0):
-            break
-        if seen == tuple(now):
-            break
-        seen = tuple(now)
+        seen, now = now, mark(edges)
     roots = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -263,21 +263,17 @@ def classes(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_i
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct(F.col("n"), -F.col("a"))).alias("a"))
     tried = written(verified(best, sets, percent), "tried")
     links = copies.unionByName(tried.where("ok").select("a", "b"))
+    node = components(links)
     for last in (False, True):
-        node = components(links)
         left = _apart(pairs.select("a", "b"), node)
         if last:
             left = _more(left, node, met)
         left = left.select("a", "b").join(tried.select("a", "b"), ["a", "b"], "left_anti")
         more = written(verified(left, sets, percent), "tried")
-        if more.isEmpty():
-            if last:
-                break
-            continue
         tried = tried.unionByName(more)
-        links = links.unionByName(more.where("ok").select("a", "b"))
-        if last:
-            node = components(links)
+        links = more.where("ok").select("a", "b")
+        if not links.isEmpty():
+            node = components(node.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
     found = sizes.join(node.withColumnRenamed("node", "id"), "id", "left")
     return found.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").cast(docs.schema[id_col].dataType).alias("component_id"))
 
