@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -47,6 +50,16 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
     return np.unique(out)
 
 
+#: Bits of a set's parity: each shingle flips one.
+_PARITY = 512
+
+
+def parity(ordered: np.ndarray) -> list[int]:
+    """For each of so many equal parts of the hashes, whether the set has an odd number there, as 64-bit integers."""
+    odd = np.bincount((((ordered >> np.uint64(32)) * np.uint64(_PARITY)) >> np.uint64(32)).astype(np.int64), minlength=_PARITY) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64).tolist()
+
+
 def _bounds(limit: int = 1 << 40) -> list[int]:
     out = [1]
     while out[-1] < limit:
@@ -256,10 +269,11 @@ def classes(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_i
 
     def members(batches):
         for batch in batches:
-            got = [shingle_set(t, k).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array(got, pa.binary())], names=["id", "members"])
+            got = [shingle_set(t, k) for t in batch.column(1).to_pylist()]
+            columns = [pa.array([s.tobytes() for s in got], pa.binary()), pa.array([len(s) for s in got], pa.int64()), pa.array([parity(s) for s in got], pa.list_(pa.int64()))]
+            yield pa.record_batch([batch.column(0), *columns], names=["id", "members", "size", "bits"])
 
-    sets = written(rows.join(near, "id").select("id", "text").mapInArrow(members, "id bigint, members binary"), "sets")
+    sets = written(rows.join(near, "id").select("id", "text").mapInArrow(members, "id bigint, members binary, size bigint, bits array<bigint>"), "sets")
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct(F.col("n"), -F.col("a"))).alias("a"))
     tried = written(verified(best, sets, percent), "tried")
     links = copies.unionByName(tried.where("ok").select("a", "b"))
@@ -267,7 +281,7 @@ def classes(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_i
     for last in (False, True):
         left = _apart(pairs.select("a", "b"), node)
         if last:
-            left = _more(left, node, met)
+            left = _more(left, node, met, sets, percent)
         left = left.select("a", "b").join(tried.select("a", "b"), ["a", "b"], "left_anti")
         more = written(verified(left, sets, percent), "tried")
         tried = tried.unionByName(more)
@@ -284,11 +298,20 @@ def _apart(pairs: DataFrame, node: DataFrame) -> DataFrame:
     return got.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb")
 
 
-def _more(failed: DataFrame, node: DataFrame, met: DataFrame) -> DataFrame:
-    """Pairs across components that a failed comparison left open and that keep a segment in common."""
-    open_ = failed.select(F.explode(F.array("ca", "cb")).alias("component")).distinct()
-    own = met.join(node.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id")).join(open_, "component", "left_semi")
+def _more(failed: DataFrame, node: DataFrame, met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs across components that a failed comparison left open, that keep a segment in common and may link.
+
+    Two sets differ in as many shingles as their parities differ in bits, or more; sets that link
+    differ in (s + t)(100 - percent) // (100 + percent) at most, so other pairs are not made.
+    """
+    open_ = written(failed.select(F.explode(F.array("ca", "cb")).alias("component")).distinct(), "open")
+    ids = node.join(open_, "component", "left_semi").select(F.col("node").alias("id"), "component")
+    ids = ids.unionByName(open_.select(F.col("component").alias("id"), "component")).distinct()
+    own = met.join(ids, "id")
     mixed = own.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("sig")
-    own = written(own.join(mixed, "sig"), "open")
-    x, y = own.select("sig", F.col("id").alias("a"), F.col("component").alias("ca")), own.select("sig", F.col("id").alias("b"), F.col("component").alias("cb"))
-    return x.join(y, "sig").where("a < b and ca <> cb").select("a", "b").distinct()
+    own = written(own.join(mixed, "sig").join(sets.select("id", "size", "bits"), "id"), "open")
+    x, y = (own.select("sig", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "component", "size", "bits")]) for side in "ab")
+    unlike = functools.reduce(operator.add, [F.bit_count(F.col("bits_a")[i].bitwiseXOR(F.col("bits_b")[i])) for i in range(_PARITY // 64)])
+    may = unlike * (100 + percent) <= (F.col("size_a") + F.col("size_b")) * (100 - percent)
+    near = x.join(y, "sig").where((F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & may)
+    return near.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
