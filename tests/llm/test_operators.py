@@ -434,3 +434,12 @@ def test_components(spark):
             break
     assert all(got.get(i, i) == root[i] for i in nodes)
     assert common.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_parity_never_exceeds_the_difference():
+    rng = np.random.default_rng(5)
+    for n, extra in ((0, 3), (5, 0), (200, 40), (5000, 900)):
+        own = rng.integers(0, 1 << 64, n, np.uint64, endpoint=False)
+        a, b = np.unique(np.concatenate((own, rng.integers(0, 1 << 64, extra, np.uint64)))), np.unique(own)
+        bits = sum((x ^ y).bit_count() if x ^ y >= 0 else ((x ^ y) + (1 << 64)).bit_count() for x, y in zip(jaccard_join.parity(a), jaccard_join.parity(b)))
+        assert bits <= len(np.setxor1d(a, b)) and (bits > 0) == (extra > 0)
