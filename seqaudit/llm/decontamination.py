@@ -34,19 +34,36 @@ def block(fingerprint: Column, n: Column | int) -> Column:
 
 
 def similarity(a: Column, b: Column) -> Column:
-    """Shared weight over joint weight of two shingle lists, a shingle weighing as often as it occurs."""
+    """Shared weight over joint weight of two shingle lists, a shingle weighing as often as it occurs.
+
+    Lists without repeats, which most are, are compared as sets.
+    """
     times = lambda x, own: F.size(F.filter(own, lambda y: y == x))
     total = lambda pick: F.aggregate(F.array_union(a, b), F.lit(0), lambda s, x: s + pick(times(x, a), times(x, b)))
-    return total(F.least) / F.greatest(total(F.greatest), F.lit(1))
+    once = lambda x: F.size(F.array_distinct(x)) == F.size(x)
+    shared = F.size(F.array_intersect(a, b))
+    return F.when(once(a) & once(b), shared / F.greatest(F.size(a) + F.size(b) - shared, F.lit(1))).otherwise(total(F.least) / F.greatest(total(F.greatest), F.lit(1)))
+
+
+def starts(at: Column, window: Column, last: Column, need: Column) -> Column:
+    """Every start up to last whose window holds need or more of the sorted positions, in order.
+
+    The window at s holds them if the need-th of the positions from s on lies in it. So between two
+    positions the starts are one run, and the work is the positions and the starts found.
+    """
+    low = lambda p, i: F.greatest(F.when(i > 0, F.get(at, i - 1) + 1).otherwise(F.lit(0)), F.get(at, i + need - 1) - window + 1)
+    run = lambda p, i: F.when((i + need <= F.size(at)) & (low(p, i) <= F.least(p, last)), F.sequence(low(p, i), F.least(p, last))).otherwise(F.array().cast("array<int>"))
+    return F.flatten(F.transform(at, run))
 
 
 def leaks(docs: DataFrame, items: DataFrame, k: int = 5, threshold: float = 0.8, radius: int = 23, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_rows: int = 200_000) -> DataFrame:
     """(id_col, item_col, similarity) for every document with a window as long as an item, in words,
     whose weighted k-word shingles have the similarity or more; the best window counts.
 
-    A window can only reach the similarity if it shares a shingle with an item. So windows are laid
-    where a shingle of the document meets one of an item, aligned by their positions (clipped at the
-    text's ends; a shorter document is one window). Each window's SimHash is looked up in a
+    A window of a shingles reaches the similarity t with an item of b only if t * (a + b) / (1 + t)
+    or more of its positions have a shingle of the item. So, for each length of items, every start is
+    laid whose window has that many shingles of items of the length, whatever their order and
+    distance (a shorter document is one window). Each window's SimHash is looked up in a
     multi-index: items list, for each of 8 blocks, all values within radius // 8 bits, so that
     every item of that length within the radius is met; the exact similarity then decides.
 
@@ -67,14 +84,17 @@ def leaks(docs: DataFrame, items: DataFrame, k: int = 5, threshold: float = 0.8,
 
 def _leaks_of(docs, own, k, threshold, radius, id_col, text_col, broadcast_rows):
     own = written(own.select("item", "n", shingles(F.col("w"), k).alias("h")).withColumn("print", simhash(F.col("h"))), "items")
-    spots = own.select("n", F.posexplode("h").alias("at", "hash")).distinct()
-    spots = small_or_shuffled(spots, broadcast_rows)
+    spots = small_or_shuffled(own.select("n", F.explode("h").alias("hash")).distinct(), broadcast_rows)
     texts = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("w"))
     met = texts.select("id", F.size("w").alias("size"), F.posexplode(shingles(F.col("w"), k)).alias("pos", "hash")).join(spots, "hash")
-    start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.col("size") - F.col("n")))
-    laid = written(met.select("id", "n", start.alias("start")).distinct(), "windows")
-    by_doc = laid.groupBy(F.struct("id").alias("key")).agg(F.collect_list(F.struct("n", "start")).alias("windows"))
-    rows = texts.select(F.struct("id").alias("key"), "w").join(by_doc, "key")
+    met = met.groupBy("id", "size", "n").agg(F.sort_array(F.collect_set("pos")).alias("at"))
+    # all lengths in shingles; the small number lets a window through that meets the threshold but for rounding
+    met = met.withColumn("item", F.col("n") - k + 1).withColumn("window", F.least("item", F.col("size") - k + 1)).withColumn("last", F.col("size") - k + 1 - F.col("window"))
+    met = met.withColumn("need", F.greatest(F.lit(1), F.ceil((F.col("item") + F.col("window")) * F.lit(threshold / (1 + threshold)) - 1e-6).cast("int")))
+    laid = met.where(F.size("at") >= F.col("need")).select("id", "size", "n", starts(F.col("at"), F.col("window"), F.col("last"), F.col("need")).alias("starts"))
+    laid = written(laid.where(F.size("starts") > 0), "windows")
+    by_doc = laid.groupBy(F.struct("id", "size").alias("key")).agg(F.flatten(F.collect_list(F.transform("starts", lambda s: F.struct("n", s.alias("start"))))).alias("windows"))
+    rows = texts.select(F.struct("id", F.size("w").alias("size")).alias("key"), "w").join(by_doc, "key")
     rows = rows.select("key.id", shingles(F.col("w"), k).alias("h"), "windows").select("id", F.explode(F.transform("windows", lambda x: F.struct(x["n"].alias("n"), F.slice("h", x["start"] + 1, x["n"] - k + 1).alias("h")))).alias("x"))
     seen = rows.select("id", "x.n", "x.h").where(F.size("h") > 0).select("id", "n", "h", simhash(F.col("h")).alias("print"))
     numbers = F.sequence(F.lit(0), F.lit(BLOCKS - 1))

@@ -359,6 +359,28 @@ def test_decontamination_is_brute_force(spark):
     assert decontamination.leaks(table, bench.limit(0)).count() == 0 and decontamination.leaks(table.limit(0), bench).count() == 0
 
 
+def test_decontamination_between_alignments(spark):
+    """Words inserted in and dropped from items: the best window may lie between two alignments."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(300)]
+    say = lambda n: [rng.choice(words) for _ in range(n)]
+    items = [(i, " ".join(say(n))) for i, n in enumerate([30, 30, 45, 59, 59, 80])] + [(6, " ".join(say(6) * 5))]
+    docs = []
+    for i in range(70):
+        own = items[i % 7][1].split()
+        for _ in range(i % 4):
+            at = rng.randrange(len(own))
+            own[at : at + rng.randrange(2)] = say(rng.randrange(3))
+        docs.append((i, " ".join(say(rng.randrange(0, 20)) + own + say(rng.randrange(0, 20)))))
+    own = items[3][1].split()
+    docs += [(90, " ".join([*say(9), "first", *own[1:29], "put", "in", *own[29:-1], "last", *say(9)])), (91, " ".join(own * 20))]
+    want = brute_leaks(docs, items)
+    assert want[90, 3] == pytest.approx(49 / 61)
+    table, bench = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontamination.leaks(table, bench).collect()}
+    assert got == pytest.approx(want)
+
+
 def test_multi_index_meets_the_radius(spark):
     """Any fingerprint within 23 bits has a block within two bits."""
     rng = random.Random(1)
