@@ -28,7 +28,9 @@ def linked(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
 
     Lines that begin with `>` are quoted, as deep as they have marks; lines of one depth in a row are a
     passage. Its normalised hash is joined to earlier messages of the conversation whose own text,
-    a paragraph or a line of it is the same; the latest such message is its source. A message replies
+    a paragraph or a line of it is the same; the latest such message is its source. A passage that
+    is none of these has as source the latest earlier message whose own text holds all its lines, or
+    all its paragraphs, one after another (blank lines do not count). A message replies
     to the source of its shallowest passages (most passages, then the latest); without one, reply_to is
     null. thread is the turn at the root of its replies (its own turn without one), so the order
     (conversation, thread, turn) puts every reply after its message. rendered is the chat form.
@@ -50,21 +52,53 @@ def linked(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
     return out.select(F.col("conv").alias(conv_col), F.col("turn").alias(turn_col), F.col("role").alias(role_col), F.col("own").alias(text_col), "reply_to", "thread", mark.alias("rendered"))
 
 
+def _units(text: Column, kind: str) -> Column:
+    """Hashes of the text's lines or paragraphs, in order, without blank ones."""
+    parts = F.transform(F.split(text, "\n" if kind == "line" else r"\n[ \t]*\n"), _plain)
+    return F.transform(F.filter(parts, lambda x: x != ""), F.md5)
+
+
+def _latest(originals: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (conv, hash, turn, ...) with source: the latest earlier turn of originals with the hash, in one sorted pass for each hash."""
+    extra = [c for c in wanted.columns if c not in ("conv", "hash", "turn")]
+    both = originals.select("conv", "hash", "turn", F.lit(1).alias("kind"), *[F.lit(None).cast(wanted.schema[c].dataType).alias(c) for c in extra])
+    both = both.join(wanted.select("conv", "hash").distinct(), ["conv", "hash"], "left_semi")
+    both = both.unionByName(wanted.select("conv", "hash", "turn", F.lit(0).alias("kind"), *extra))
+    before = Window.partitionBy("conv", "hash").orderBy("turn", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    source = F.last(F.when(F.col("kind") == 1, F.col("turn")), ignorenulls=True).over(before)
+    return both.withColumn("source", source).where("kind = 0").withColumn("source", F.expr("case when source < turn then source end")).drop("kind")
+
+
+def _held(rows: DataFrame, left: DataFrame, kind: str) -> DataFrame:
+    """left (conv, turn, level, run, text) with source: the latest earlier message that holds the units of text in a row.
+
+    Only stretches of an original are hashed that begin with the first unit of a wanted passage and
+    have its length; they are cut once a message, so no array is repeated by line.
+    """
+    whole = lambda x: F.md5(F.array_join(x, ","))
+    wanted = left.withColumn("units", _units(F.col("text"), kind)).where(F.size("units") > 1)
+    wanted = wanted.select("conv", "turn", "level", "run", whole(F.col("units")).alias("hash"), F.col("units")[0].alias("first"), F.size("units").alias("n"))
+    parts = rows.select("conv", "turn", _units(F.col("own"), kind).alias("units")).where(F.size("units") > 1)
+    cuts = parts.select("conv", "turn", F.posexplode("units").alias("at", "first")).join(wanted.select("conv", "first", "n").distinct(), ["conv", "first"])
+    cuts = cuts.groupBy("conv", "turn").agg(F.collect_set(F.struct("at", "n")).alias("cuts"))
+    held = parts.join(cuts, ["conv", "turn"]).select("conv", "turn", F.explode(F.array_distinct(F.transform("cuts", lambda c: whole(F.slice("units", c["at"] + 1, c["n"]))))).alias("hash"))
+    return _latest(held, wanted.drop("first", "n"))
+
+
 def _parents(rows: DataFrame) -> DataFrame:
     """(conv, turn, reply_to) for the messages with a linked quotation."""
     lines = rows.where("size(quoted) > 0").select("conv", "turn", F.explode("quoted").alias("q")).select("conv", "turn", "q.*")
     run = F.col("at") - F.row_number().over(Window.partitionBy("conv", "turn", "level").orderBy("at"))
     passages = lines.withColumn("run", run).groupBy("conv", "turn", "level", "run").agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("x"))
-    passages = passages.select("conv", "turn", "level", F.md5(_plain(F.array_join("x.line", "\n"))).alias("hash"), _plain(F.array_join("x.line", "\n")).alias("plain")).where("plain <> ''")
+    text = F.array_join("x.line", "\n")
+    passages = passages.select("conv", "turn", "level", "run", text.alias("text"), F.md5(_plain(text)).alias("hash")).where(_plain(F.col("text")) != "")
     units = F.concat(F.array("own"), F.split("own", r"\n[ \t]*\n"), F.split("own", "\n"))
     units = F.array_distinct(F.filter(F.transform(units, _plain), lambda x: x != ""))
     originals = rows.select("conv", "turn", F.explode(F.transform(units, F.md5)).alias("hash"))
-    # as-of: the latest earlier message with the passage, in one sorted pass for each passage
-    both = originals.select("conv", "hash", "turn", F.lit(1).alias("kind"), F.lit(0).alias("level")).join(passages.select("conv", "hash").distinct(), ["conv", "hash"], "left_semi")
-    both = both.unionByName(passages.select("conv", "hash", "turn", F.lit(0).alias("kind"), "level"))
-    before = Window.partitionBy("conv", "hash").orderBy("turn", "kind").rowsBetween(Window.unboundedPreceding, -1)
-    source = F.last(F.when(F.col("kind") == 1, F.col("turn")), ignorenulls=True).over(before)
-    links = both.withColumn("source", source).where("kind = 0 and source < turn")
+    first = written(_latest(originals, passages), "passages")
+    left = first.where("source is null").select("conv", "turn", "level", "run", "text")
+    found = _held(rows, left, "line").unionByName(_held(rows, left, "paragraph")).groupBy("conv", "turn", "level", "run").agg(F.max("source").alias("source"))
+    links = first.select("conv", "turn", "level", "source").unionByName(found.select("conv", "turn", "level", "source")).where("source is not null")
     counted = links.groupBy("conv", "turn", "level", "source").count()
     return counted.groupBy("conv", "turn").agg(F.max_by("source", F.struct(-F.col("level"), F.col("count"), F.col("source"))).alias("reply_to"))
 

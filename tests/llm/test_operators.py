@@ -439,6 +439,18 @@ def test_chat_links_quotations(spark):
     assert chat.linked(messages.limit(0)).count() == 0 and chat.linked(messages.where("text not like '%>%'")).where("reply_to is not null").count() == 0
 
 
+def test_chat_links_parts_of_a_message(spark):
+    """Adjacent lines, adjacent paragraphs, a message without its signature; lines that are not adjacent link with nothing."""
+    rows = [
+        (1, 0, "one\ntwo\nthree\nfour\n\nfive\nsix\n\nseven\n-- \nAnn"), (1, 1, "two\nthree"), (1, 2, "> TWO\n> three\n> four\nyes"), (1, 3, "> five six\n>\n> seven -- ann\nyes"),
+        (1, 4, "> one\n> two\n> three\n> four\n>\n> five\n> six\n>\n> seven\nyes"), (1, 5, "> two\n> three\nfirst choice"), (1, 6, "> one\n> three\nno"), (1, 7, "> later\n> still\nno"), (1, 8, "a\nlater\nstill\nb"),
+        (1, 9, "> six\n> seven\nyes"), (1, 10, "x\nfive\nsix\n\nseven\ny"), (1, 11, "> six\n> seven\nthe latest"), (2, 0, "> six\n> seven\nother talk"),
+    ]
+    messages = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id bigint, turn bigint, role string, text string").repartition(3)
+    got = {(r["conv_id"], r["turn"]): r["reply_to"] for r in chat.linked(messages).collect()}
+    assert [got[1, n] for n in range(12)] == [None, None, 0, 0, 0, 1, None, None, None, 0, None, 10] and got[2, 0] is None
+
+
 def test_components(spark):
     rng = random.Random(3)
     pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)] + [(1000 + i, 1001 + i) for i in range(60)]
