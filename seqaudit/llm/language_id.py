@@ -9,34 +9,33 @@ from pyspark.sql import functions as F
 
 from .common import uniform
 
-OTHER, SPACE = 1, 0
-_TABLES: dict[tuple, np.ndarray] = {}
+#: Bits of a code point in an n-gram.
+BITS = 21
+_TABLE: list[np.ndarray] = []
 
 
-def _symbols(alphabet: str) -> np.ndarray:
-    """Symbol by code point: 0 for what is no letter, 1 for letters outside the alphabet."""
-    if alphabet not in _TABLES:
+def _symbols() -> np.ndarray:
+    """Symbol by code point: the letter's own code point, 0 for what is no letter."""
+    if not _TABLE:
         letters = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
-        table = np.where(letters, OTHER, SPACE).astype(np.int64)
-        for n, c in enumerate(alphabet):
-            table[ord(c)] = n + 2
-        _TABLES[alphabet] = table
-    return _TABLES[alphabet]
+        _TABLE.append(np.where(letters, np.arange(0x110000), 0))
+    return _TABLE[0]
 
 
-def _ranked(text: str, symbols: np.ndarray, base: int, top: int | None):
+def _ranked(text: str, symbols: np.ndarray, top: int | None):
     """The text's n-grams of two and three symbols, most frequent first (ties: by code), and their counts.
 
-    Runs of non-letters count as one space. Returns None if the text has no letter.
+    Runs of non-letters count as one space. A code holds the code points, 21 bits each; the first of
+    three is raised by one, so that every code of two is below. Returns None if the text has no letter.
     """
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     s = symbols[points]
     if not s.any():
         return None
     s = np.concatenate(([0], s, [0]))
-    s = s[np.concatenate(([True], (s[1:] != 0) | (s[:-1] != 0)))].astype(np.int32)
-    two = s[:-1] * np.int32(base) + s[1:]
-    three = (two[:-1] + np.int32(base * base)) * np.int32(base) + s[2:]
+    s = s[np.concatenate(([True], (s[1:] != 0) | (s[:-1] != 0)))]
+    two = s[:-1] << BITS | s[1:]
+    three = (two[:-1] + (1 << BITS)) << BITS | s[2:]
     grams = np.sort(np.concatenate((two, three)))
     first = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1])))
     counts = np.diff(np.append(first, len(grams)))
@@ -44,40 +43,26 @@ def _ranked(text: str, symbols: np.ndarray, base: int, top: int | None):
     return grams[first][order], counts[order]
 
 
-def train(docs: DataFrame, per_lang: int = 2000, top: int = 300, alphabet_size: int = 600, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> dict:
-    """Profiles {alphabet, langs, grams, ranks} from about per_lang documents of each language.
+def train(docs: DataFrame, per_lang: int = 2000, top: int = 300, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> dict:
+    """Profiles {langs, grams, ranks} from about per_lang documents of each language.
 
     The sample is documented and bounded: documents are kept by a hash of their id at the rate
     per_lang / number of documents of the language. Counting runs on Spark; what reaches the driver
-    is the alphabet and top n-grams of each language. Rows with null text or language teach nothing.
+    is the top n-grams of each language. Rows with null text or language teach nothing.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
     n = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not n:
-        return {"alphabet": "", "langs": [], "grams": np.zeros(0, np.int32), "ranks": np.zeros((0, 0), np.int64)}
+        return {"langs": [], "grams": np.zeros(0, np.int64), "ranks": np.zeros((0, 0), np.int64)}
     rate = F.element_at(F.create_map(*[F.lit(x) for k in sorted(n) for x in (k, min(1.0, per_lang / n[k]))]), F.col("lang"))
     sample = rows.where(uniform("id") < rate)
 
-    def letters(batches):
-        from collections import Counter
-
-        for batch in batches:
-            seen = Counter()
-            for t in batch.column(0).to_pylist():
-                seen.update(t.lower())
-            got = [(c, k) for c, k in seen.items() if c.isalpha()]
-            yield pa.record_batch([pa.array([c for c, _ in got], pa.string()), pa.array([k for _, k in got], pa.int64())], names=["c", "n"])
-
-    common = sample.select("text").mapInArrow(letters, "c string, n bigint").groupBy("c").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "c").limit(alphabet_size).collect()
-    alphabet = "".join(sorted(r["c"] for r in common))
-    base = len(alphabet) + 2
-
     def grams(batches):
-        symbols = _symbols(alphabet)
+        symbols = _symbols()
         for batch in batches:
             langs, all_codes, all_counts = [], [], []
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if got := _ranked(text, symbols, base, None):
+                if got := _ranked(text, symbols, None):
                     langs += [lang] * len(got[0])
                     all_codes.append(got[0])
                     all_counts.append(got[1])
@@ -88,11 +73,11 @@ def train(docs: DataFrame, per_lang: int = 2000, top: int = 300, alphabet_size:
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     profile = counted.withColumn("rank", rank - 1).where(F.col("rank") < top).select("lang", "gram", "rank").collect()
     langs = sorted({r["lang"] for r in profile})
-    codes = np.unique(np.array([r["gram"] for r in profile], np.int64)).astype(np.int32)
+    codes = np.unique(np.array([r["gram"] for r in profile], np.int64))
     ranks = np.full((len(langs), len(codes)), -1, np.int64)
     for r in profile:
         ranks[langs.index(r["lang"]), np.searchsorted(codes, r["gram"])] = r["rank"]
-    return {"alphabet": alphabet, "langs": langs, "grams": codes, "ranks": ranks}
+    return {"langs": langs, "grams": codes, "ranks": ranks}
 
 
 def predict(docs: DataFrame, model: dict, top: int = 300, text_col: str = "text", keep=("doc_id",)) -> DataFrame:
@@ -110,11 +95,11 @@ def predict(docs: DataFrame, model: dict, top: int = 300, text_col: str = "text"
 
     def run(batches):
         m = shared.value
-        symbols, base, names = _symbols(m["alphabet"]), len(m["alphabet"]) + 2, m["langs"]
+        symbols, names = _symbols(), m["langs"]
         for batch in batches:
             said, scores = [], []
             for text in batch.column(len(keep)).to_pylist():
-                got = _ranked(text, symbols, base, top) if text and names else None
+                got = _ranked(text, symbols, top) if text and names else None
                 if got is None:
                     said.append("und")
                     scores.append(0.0)

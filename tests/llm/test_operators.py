@@ -209,6 +209,18 @@ def test_language_id(spark):
     assert language_id.predict(docs, none).where("lang_pred <> 'und'").count() == 0 and language_id.predict(docs.limit(0), model).count() == 0
 
 
+def test_languages_of_rare_scripts(spark):
+    """Two scripts of few documents beside one of thousands of letters."""
+    rng = random.Random(6)
+    script = {"th": "กขคงจฉชซ", "ka": "აბგდევზთ", "zh": "".join(map(chr, range(0x4E00, 0x4E00 + 1500)))}
+    make = lambda lang: " ".join("".join(rng.choice(script[lang]) for _ in range(4)) for _ in range(40))
+    rows = [(i, make("zh"), "zh") for i in range(300)] + [(1000 + i, make(lang), lang) for i, lang in enumerate(["th", "ka"] * 2)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    asked = spark.createDataFrame([(i, make(lang), lang) for i, lang in enumerate(["th", "ka"] * 10)], "doc_id bigint, text string, lang string")
+    got = language_id.predict(asked, model, keep=("doc_id", "lang")).collect()
+    assert len(got) == 20 and all(r["lang_pred"] == r["lang"] and r["score"] > 0.1 for r in got)
+
+
 def test_rank_order_by_hand(spark):
     """Out-of-place distances of one text, counted with dictionaries."""
     docs = spark.createDataFrame([(1, "abab cab abba", "x"), (2, "baba dada badd", "y")], "doc_id bigint, text string, lang string")
