@@ -20,8 +20,9 @@ RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 KINDS = ("assign", "access", "hex", "net")
 _ANY = re.compile(rb"passw|secret|token|api_?key", re.IGNORECASE)
 
-#: Characters seen by the network: LEFT before the candidate's start, then as far as WIDTH reaches.
-LEFT, WIDTH, TAPS, FILTERS, DIM = 24, 88, 5, 12, 8
+#: Characters seen by the network: LEFT before a place in the candidate, then as far as WIDTH reaches.
+#: Places follow each other by STEP until LEFT characters after the candidate are seen too.
+LEFT, WIDTH, TAPS, FILTERS, DIM, STEP = 24, 88, 5, 12, 8, 24
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -59,15 +60,20 @@ _CLASS = _classes()
 SYMBOLS = 75
 
 
+def places(a: int, b: int) -> range:
+    """Where the windows of a candidate are laid; up to 40 characters have one, at the start."""
+    return range(a, max(a + 1, b + LEFT - (WIDTH - LEFT) + STEP), STEP)
+
+
 def windows(text: str, spans: list[tuple[int, int]]) -> np.ndarray:
-    """Symbols of each candidate with its surroundings; SYMBOLS is added inside the candidate."""
-    out = np.zeros((len(spans), WIDTH), np.int64)
-    for n, (a, b) in enumerate(spans):
-        low = max(0, a - LEFT)
-        piece = np.frombuffer(text[low : a - LEFT + WIDTH].encode("utf-32-le", "surrogatepass"), np.uint32)
-        at = low - (a - LEFT)
-        out[n, at : at + len(piece)] = _CLASS[np.minimum(piece, 256)]
-        out[n, LEFT : min(WIDTH, LEFT + b - a)] += SYMBOLS
+    """Symbols of each window of each candidate, in order; SYMBOLS is added inside the candidate."""
+    laid = [(a, b, s - LEFT) for a, b in spans for s in places(a, b)]
+    out = np.zeros((len(laid), WIDTH), np.int64)
+    for n, (a, b, start) in enumerate(laid):
+        low = max(0, start)
+        piece = np.frombuffer(text[low : start + WIDTH].encode("utf-32-le", "surrogatepass"), np.uint32)
+        out[n, low - start : low - start + len(piece)] = _CLASS[np.minimum(piece, 256)]
+        out[n, max(0, a - start) : max(0, min(WIDTH, b - start))] += SYMBOLS
     return out
 
 
@@ -91,7 +97,7 @@ def probabilities(net: dict, x: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, sample_docs: int = 12_000, recall: float = 0.99, epochs: int = 12, seed: int = 7, id_col: str = "doc_id", text_col: str = "text") -> dict | None:
     """Fit the network to labelled findings of about sample_docs documents (taken by a hash of the id).
 
-    A candidate is labelled 1 if it overlaps a base finding. Half the positives are repeated
+    A window is labelled 1 if what it shows of its candidate overlaps a base finding. Half the positives are repeated
     with the surroundings of a negative, so that shape counts and not the keyword alone. A fifth is
     held back: it scales the outputs (Platt) and sets the threshold, the highest that keeps the
     wanted recall there, and not below 0.5. Returns None if either class is missing.
@@ -104,9 +110,10 @@ def train(docs: DataFrame, sample_docs: int = 12_000, recall: float = 0.99, epoc
             ids, starts, labels, codes = [], [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 base, spans = base_spans(text), candidates(text)
-                ids += [str(key)] * len(spans)
-                starts += [a for a, _ in spans]
-                labels += [int(any(a < e and s < b for s, _, e in base)) for a, b in spans]
+                laid = [(max(a, s - LEFT), min(b, s - LEFT + WIDTH)) for a, b in spans for s in places(a, b)]
+                ids += [str(key)] * len(laid)
+                starts += [a for a, _ in laid]
+                labels += [int(any(a < e and s < b for s, _, e in base)) for a, b in laid]
                 codes += [x.astype(np.uint8).tobytes() for x in windows(text, spans)]
             yield pa.record_batch([pa.array(ids, pa.string()), pa.array(starts, pa.int64()), pa.array(labels, pa.int64()), pa.array(codes, pa.binary())], names=["id", "start", "label", "code"])
 
@@ -189,7 +196,7 @@ def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def spans_of(texts: list[str | None], net: dict | None) -> list[tuple[list, list]]:
-    """(base, all) spans of each text. Base spans stay; accepted candidates that overlap none are added."""
+    """(base, all) spans of each text. Base spans stay; accepted candidates that overlap none are added; a candidate's best window counts."""
     base = [base_spans(t) if t else [] for t in texts]
     out = [list(b) for b in base]
     if net:
@@ -198,10 +205,11 @@ def spans_of(texts: list[str | None], net: dict | None) -> list[tuple[list, list
         p = probabilities(net, np.concatenate(x)) if x else np.zeros(0)
         at = 0
         for n, own in enumerate(runs):
-            for (a, b), q in zip(own, p[at : at + len(own)]):
+            for a, b in own:
+                q = p[at : at + len(places(a, b))].max()
                 if q >= net["threshold"] and not any(a < e and s < b for s, _, e in base[n]):
                     out[n].append((a, 3, b))
-            at += len(own)
+                at += len(places(a, b))
     return [(b, sorted(o)) for b, o in zip(base, out)]
 
 

@@ -193,6 +193,19 @@ def test_network_tells_keys_from_words(spark):
     assert p[0] > 0.9 and p[1:].max(initial=0) < 0.5
 
 
+def test_network_sees_whole_candidates(monkeypatch):
+    """A sign far inside a long candidate, and the character after it, are in a window."""
+    sign = secrets._CLASS[ord("Q")] + secrets.SYMBOLS
+    monkeypatch.setattr(secrets, "probabilities", lambda net, x: (x == sign).any(axis=1).astype(float))
+    for size in (16, 40, 41, 64, 65, 88, 89, 300):
+        for at in (0, size // 2, size - 1):
+            run = "x" * at + "Q" + "x" * (size - at - 1)
+            texts = [f"zz {'y' * 50} {run}@ zz", f"zz {'x' * size} Q"]
+            assert [found for _, found in secrets.spans_of(texts, {"threshold": 0.5})] == [[(54, 3, 54 + size)], []]
+        after = secrets.windows(f"zz {'a' * size}@", [(3, 3 + size)])
+        assert (after == secrets._CLASS[ord("@")]).any()
+
+
 def test_language_id(spark):
     rng = random.Random(4)
     sound = {"aa": "the of and to ing tion", "bb": "der die und sch ung keit", "cc": "le la et ment eau oui"}
