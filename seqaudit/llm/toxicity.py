@@ -10,10 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import uniform, written
+from .common import Scratch, small_or_shuffled, uniform
 
-#: In the place of a first word: how many documents have the second one (all of them have "").
-DOCS = " "
+#: Closes a whole word, so that it is told from the words that begin like it.
+END = "$"
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -21,13 +21,25 @@ def words(text: str | None) -> list[str]:
     return _LETTERS.findall(text.lower()) if text else []
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 6000, discount: float = 0.75, rare: int = 8, gap: float = 1.0, sure: float = 12.0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict | None:
-    """Fit two bigram models and a calibration on a bounded sample of labelled rows.
+def stems(word: str, shortest: int) -> list[str]:
+    """The word and its beginnings of `shortest` letters or more, the longest first."""
+    return [word + END, *(word[:n] for n in range(len(word), shortest - 1, -1))]
+
+
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 6000, discount: float = 0.75, shortest: int = 3, rare: int = 8, often: int = 40, gap: float = 1.5, sure: float = 25.0, prior: float = 8.0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict | None:
+    """Fit two models of expressions and a calibration on a bounded sample of labelled rows.
 
     About per_class documents of each label are taken by a hash of their id; three quarters of them
-    give the n-gram counts and a quarter calibrates. An id with several labels counts as toxic if
+    give the counts and a quarter calibrates. An id with several labels counts as toxic if
     any is. Null labels, ids and texts teach nothing; without both labels there is no model (None).
-    Counts are summed on Spark; the driver gets sums by word and the bigrams that are not rare, bounded by per_class.
+
+    Expressions are words, and they share the counts of their stems: a class counts the documents that
+    have the word or stem. P(x | class) is interpolated Kneser-Ney whose history is the class: the class's count,
+    discounted, and as backoff the number of classes that have x at all, which both models share. A rare
+    word takes the counts of its longest stem that tells: one in `rare` documents or more whose rates differ by
+    exp(gap) and by more than chance (chi-square `sure`). A stem in `often` documents that does not tell is as
+    likely in both classes, whatever shorter stems say. Counts are summed on Spark; the driver gets the
+    stems that tell, and the frequent ones, bounded by per_class.
     """
     spark = docs.sparkSession
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).where("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
@@ -36,42 +48,64 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 6000, discount: f
         return None
     rate = F.when(F.col("y") == 1, min(1.0, per_class / n[1])).otherwise(min(1.0, per_class / n[0]))
     sample = known.where(uniform("id") < rate).withColumn("fold", (F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(4)) == 0).cast("int"))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(sample), "id")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").join(small_or_shuffled(sample, 4 * per_class), "id")
+
+    def count(batches):
+        seen = (Counter(), Counter())
+
+        def close():
+            own = sorted(seen[0].keys() | seen[1].keys())
+            out = pa.record_batch([pa.array(own, pa.string()), *(pa.array([c[x] for x in own], pa.int64()) for c in seen)], names=["x", "n0", "n1"])
+            for c in seen:
+                c.clear()
+            return out
 
-    def bigrams(batches):
         for batch in batches:
-            seen = Counter()
             for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = words(text)
-                seen.update({(y, a, b) for a, b in zip(["", *own], own)} | {(y, DOCS, w) for w in own} | {(y, DOCS, "")})
-            cols = list(zip(*((y, a, b, k) for (y, a, b), k in seen.items()))) or [[], [], [], []]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.int64()))], names=["y", "a", "b", "n"])
-
-    counts = written(
-        rows.where("fold = 0").select(F.col("y").cast("bigint").alias("y"), "text").mapInArrow(bigrams, "y bigint, a string, b string, n bigint")
-        .groupBy("a", "b").agg(F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("n0"), F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("n1")),
-        "bigrams",
-    )
-    pair, single = F.col("a") != DOCS, F.col("a") == DOCS
-    right = counts.groupBy("b").agg(
-        *[F.sum(F.when(single, F.col(c)).otherwise(0)).alias(d) for c, d in (("n0", "d0"), ("n1", "d1"))],
-        *[F.count_if(pair & (F.col(c) > 0)).alias(d) for c, d in (("n0", "c0"), ("n1", "c1"))], F.count_if(pair).alias("c"),
-    ).toArrow()
-    if not right.num_rows:
-        return None
-    left = counts.where(pair).groupBy("a").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
-    often = counts.where(pair & (F.col("n0") + F.col("n1") >= rare)).toArrow()
-    model = _smoothed(right, left, often, discount, rare, gap, sure) | {"scale": 1.0, "bias": 0.0}
-    ratio = log_ratios(rows.where("fold = 1"), model, keep=("y",)).toArrow()
-    y, x = ratio["y"].to_numpy().astype(float), ratio["ratio"].to_numpy()
+                seen[y].update({x for w in set(words(text)) for x in stems(w, shortest)} | {""})
+                if len(seen[0]) + len(seen[1]) > 1_000_000:
+                    yield close()
+        yield close()
+
+    with Scratch(spark) as scratch:
+        got = rows.where("fold = 0").select(F.col("y").cast("int").alias("y"), "text").mapInArrow(count, "x string, n0 bigint, n1 bigint")
+        counts = scratch.written(got.groupBy("x").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "stems")
+        size = counts.where("x = ''").first()
+        kinds = counts.where("x <> ''").agg(F.count_if(F.col("n0") > 0), F.count_if(F.col("n1") > 0)).first()
+        if size is None or not size["n0"] or not size["n1"]:
+            return None
+        made = ratios(counts.where("x <> ''"), (size["n0"], size["n1"]), tuple(kinds), discount, rare, often, gap, sure).toArrow()
+    model = {"ratio": dict(zip(made["x"].to_pylist(), made["ratio"].to_pylist())), "shortest": shortest, "prior": prior, "scale": 1.0, "bias": 0.0}
+    seen = log_ratios(rows.where("fold = 1"), model, keep=("y",)).toArrow()
+    y, x = seen["y"].to_numpy().astype(float), bent(seen["ratio"].to_numpy())
     weight = np.where(y == 1, n[1] / max(1, (y == 1).sum()), n[0] / max(1, (y == 0).sum()))
     if len(set(y)) == 2:
         model["scale"], model["bias"] = _logistic(x, y, weight / weight.mean())
     else:
-        model["scale"], model["bias"] = 10.0, float(np.log(n[1] / n[0]))
+        model["scale"], model["bias"] = 1.0, float(np.log(n[1] / n[0]))
     return model
 
 
+def ratios(counts: DataFrame, docs: tuple[int, int], kinds: tuple[int, int], discount: float, rare: int, often: int, gap: float, sure: float) -> DataFrame:
+    """(x, ratio) for the expressions of counts (x, n0, n1) that tell, and ratio 0 for other frequent ones.
+
+    docs and kinds are, for each class, its documents and its distinct expressions.
+    """
+    shared = (F.when(F.col("n0") > 0, 1).otherwise(0) + F.when(F.col("n1") > 0, 1).otherwise(0)) / F.lit(float(sum(kinds)))
+    p = [(F.greatest(F.col(f"n{k}") - discount, F.lit(0.0)) + discount * kinds[k] * shared) / docs[k] for k in (0, 1)]
+    both = F.col("n0") + F.col("n1")
+    due = both * (docs[1] / sum(docs))
+    chance = (F.col("n1") - due) ** 2 * (1 / due + 1 / (both - due))
+    ratio = F.log(p[1]) - F.log(p[0])
+    tells = (both >= rare) & (F.abs(ratio) >= gap) & (chance >= sure)
+    return counts.where(tells | (both >= often)).select("x", F.when(tells, ratio).otherwise(0.0).alias("ratio"))
+
+
+def bent(ratio):
+    """Mean ratios spread over orders of magnitude: few of a toxic text's words are toxic. Keeps sign and order."""
+    return np.sign(ratio) * np.log1p(np.abs(ratio) / 0.01)
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Weighted logistic regression on one standardised variable by Newton steps with a small ridge."""
     mid, spread = float(np.average(x, weights=weight)), float(x.std()) or 1.0
@@ -88,98 +122,37 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     return float(w[0] / spread), float(w[1] - w[0] * mid / spread)
 
 
-def _smoothed(right: pa.Table, left: pa.Table, often: pa.Table, d: float, rare: int, gap: float, sure: float) -> dict:
-    """Tables from which a log-likelihood ratio is a sum of lookups.
-
-    In each class, P(b|a) discounts the class's bigram counts and backs off to U(b), which discounts
-    the class's continuation counts and backs off in turn to S(b), made from the continuation counts
-    of both classes together. Bigrams count once a document, and an expression that is rare (in fewer
-    than `rare` documents of the sample), whose rates in the classes differ by a factor under
-    exp(gap), or by no more than chance (chi-square under `sure`), is discounted whole: both classes then
-    judge it by the shared counts, so that differences of rare words and of topics cancel.
-    A bigram without counts of its own adds left[a] + right[b]; a stored one adds its entry in delta.
-    """
-    vocab = {w: i + 2 for i, w in enumerate(sorted(set(right["b"].to_pylist()) - {"", DOCS}))}
-    vocab |= {"": 1, DOCS: 0}  # the start of a text; 0 stands for unknown words
-    size = len(vocab) + 2
-
-    def by_word(sums, word, column):
-        out = np.zeros(size)
-        out[[vocab[w] for w in sums[word].to_pylist()]] = sums[column].to_numpy()
-        return out
-
-    docs, total = [np.stack([by_word(x, w, c) for c in cs]) for x, w, cs in ((right, "b", ("d0", "d1")), (left, "a", ("n0", "n1")))]
-    cont = [by_word(right, "b", c) for c in ("c0", "c1")]
-    left_id, right_id = (np.array([vocab[w] for w in often[c].to_pylist()], np.int64) for c in "ab")
-    n = np.stack([often["n0"].to_numpy(), often["n1"].to_numpy()]).astype(float)
-    shared = by_word(right, "b", "c") + 0.5
-    shared /= shared.sum()
-
-    def apart(x, y, all_x, all_y):
-        ratio = np.log((y + 0.5) / (all_y + 1)) - np.log((x + 0.5) / (all_x + 1))
-        due = (x + y) * all_y / np.maximum(all_x + all_y, 1)
-        chance = (y - due) ** 2 * (1 / np.maximum(due, 1e-9) + 1 / np.maximum(x + y - due, 1e-9))
-        return (x + y >= rare) & (np.abs(ratio) >= gap) & (chance >= sure)
-
-    own = apart(*docs, docs[0, 1], docs[1, 1])
-    own[:2] = False
-    uni = []
-    for k in range(2):
-        kept = np.where(own, np.maximum(cont[k] - d, 0), 0) / max(1.0, cont[k].sum())
-        uni.append(kept + (1 - kept.sum()) * shared)
-    own = apart(n[0], n[1], total[0][left_id], total[1][left_id])
-    kept = [np.where(own, np.maximum(n[k] - d, 0), 0) / np.maximum(total[k], 1)[left_id] for k in range(2)]
-    back = [1 - np.bincount(left_id, kept[k], minlength=size) + 1e-9 for k in range(2)]
-    left, right = np.log(back[1]) - np.log(back[0]), np.log(uni[1]) - np.log(uni[0])
-    left_id, right_id = left_id[own], right_id[own]
-    p = [kept[k][own] + back[k][left_id] * uni[k][right_id] for k in range(2)]
-    keys = left_id.astype(np.int64) * size + right_id
-    order = np.argsort(keys)
-    delta = (np.log(p[1]) - np.log(p[0]) - left[left_id] - right[right_id])[order]
-    told = (np.abs(left - left[0]) > 1e-12) | (np.abs(right - right[0]) > 1e-12)
-    told[np.concatenate((left_id, right_id)).astype(np.int64)] = True
-    return _compact(vocab, told, left, right, keys[order], delta, size)
-
-
-def _compact(vocab, told, left, right, keys, delta, size) -> dict:
-    """Keep only words that can change a ratio; the rest are as unknown ones."""
-    told[:2] = True
-    number = np.cumsum(told) - 1
-    kept = int(told.sum())
-    words_kept = {w: int(number[i]) for w, i in vocab.items() if told[i]}
-    keys = number[keys // size] * kept + number[keys % size]
-    return {"vocab": words_kept, "left": left[told], "right": right[told], "keys": np.append(keys, -1) if not len(keys) else keys, "delta": delta if len(delta) else np.zeros(1), "size": kept}
+def word_ratio(word: str, model: dict) -> float:
+    """Log-likelihood ratio of a word: that of its longest known stem, itself first; 0 without one."""
+    known = model["ratio"]
+    for x in stems(word, model["shortest"]):
+        if x in known:
+            return known[x]
+    return 0.0
 
 
 def log_ratios(docs: DataFrame, model: dict, keep=("doc_id",), text_col: str = "text") -> DataFrame:
-    """The columns in keep and ratio: toxic minus ordinary log-likelihood a word (0 without words)."""
+    """The columns in keep and ratio: toxic minus ordinary log-likelihood a word (0 without words).
+
+    `prior` words that both classes judge alike are added to every text, so that one word does not decide on a tiny one.
+    """
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        m = shared.value
-        get, size, keys = m["vocab"].get, m["size"], m["keys"]
+        m, known = shared.value, {}
         for batch in batches:
-            texts = batch.column(len(keep)).to_pylist()
-            out = np.zeros(len(texts))
-            for at in range(0, len(texts), 256):
-                ids, lengths = [], []
-                for text in texts[at : at + 256]:
-                    own = [get(w, 0) for w in words(text)]
-                    lengths.append(len(own))
-                    ids.append(1)
-                    ids += own
-                ids = np.array(ids, np.int64)
-                b, a = ids[1:], ids[:-1]
-                found = a * size + b
-                spot = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
-                gain = m["left"][a] + m["right"][b] + np.where(keys[spot] == found, m["delta"][spot], 0.0)
-                gain = np.where(b == 1, 0.0, gain)
-                sums = np.concatenate(([0.0], np.cumsum(gain)))
-                ends = np.cumsum(np.array(lengths) + 1) - 1
-                starts = ends - lengths
-                lengths = np.array(lengths)
-                out[at : at + 256] = np.where(lengths > 0, (sums[ends] - sums[starts]) / np.maximum(lengths, 1), 0.0)
+            out = []
+            for text in batch.column(len(keep)).to_pylist():
+                own, total = words(text), 0.0
+                for w in own:
+                    r = known.get(w)
+                    if r is None:
+                        r = known[w] = word_ratio(w, m)
+                    total += r
+                out.append(total / (len(own) + m["prior"]))
+                if len(known) > 400_000:
+                    known.clear()
             yield pa.record_batch([*(batch.column(i) for i in range(len(keep))), pa.array(out, pa.float64())], names=[*keep, "ratio"])
 
     return docs.select(*keep, text_col).mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in keep) + ", ratio double")
@@ -194,5 +167,6 @@ def score(docs: DataFrame, model: dict | None, keep=("doc_id",), text_col: str =
     """
     if model is None:
         return docs.select(*keep, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
-    p = 1 / (1 + F.exp(-(F.col("ratio") * model["scale"] + model["bias"])))
+    x = F.signum("ratio") * F.log1p(F.abs("ratio") / 0.01)
+    p = 1 / (1 + F.exp(-(x * model["scale"] + model["bias"])))
     return log_ratios(docs, model, keep, text_col).select(*keep, p.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -275,15 +276,34 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
-def test_log_ratios_by_hand(spark):
-    """Sums of looked-up gains, word by word."""
-    docs = spark.createDataFrame([(i, f"a b {'z' if i % 2 else 'c'} a") for i in range(60)] + [(90, "q z Z! a"), (91, "")], "doc_id bigint, text string")
-    model = toxicity.train(docs, spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id bigint, toxic int"))
-    gain = dict(zip(model["keys"].tolist(), model["delta"].tolist()))
-    for r in toxicity.log_ratios(docs, model, keep=("doc_id", "text")).collect():
-        ids = [1, *(model["vocab"].get(w, 0) for w in toxicity.words(r["text"]))]
-        want = sum(model["left"][a] + model["right"][b] + gain.get(a * model["size"] + b, 0) for a, b in zip(ids, ids[1:])) / max(1, len(ids) - 1)
-        assert r["ratio"] == pytest.approx(want)
+def test_ratios_are_kneser_ney(spark):
+    """Probabilities of an independent interpolated Kneser-Ney whose history is the class."""
+    rng = random.Random(5)
+    docs = [{0: {f"w{rng.randrange(30)}" for _ in range(9)}, 1: {f"w{rng.randrange(10, 40)}" for _ in range(9)}}[y] for y in [0] * 90 + [1] * 30]
+    seen = [[sum(x in d for d in own) for x in [f"w{i}" for i in range(40)]] for own in (docs[:90], docs[90:])]
+    kinds = tuple(sum(v > 0 for v in own) for own in seen)
+    histories = [sum(own[i] > 0 for own in seen) for i in range(40)]
+
+    def p(i, k, size):
+        return max(seen[k][i] - 0.75, 0) / size + 0.75 * kinds[k] / size * histories[i] / sum(histories)
+
+    rows = spark.createDataFrame([(f"w{i}", seen[0][i], seen[1][i]) for i in range(40) if seen[0][i] + seen[1][i]], "x string, n0 bigint, n1 bigint")
+    got = {r["x"]: r["ratio"] for r in toxicity.ratios(rows, (90, 30), kinds, 0.75, 2, 10_000, 0.5, 4.0).collect()}
+    want = {}
+    for i in range(40):
+        both = seen[0][i] + seen[1][i]
+        r, due = (math.log(p(i, 1, 30)) - math.log(p(i, 0, 90)) if both else 0), both / 4
+        if both >= 2 and abs(r) >= 0.5 and (seen[1][i] - due) ** 2 / due + (seen[0][i] - 3 * due) ** 2 / (3 * due) >= 4:
+            want[f"w{i}"] = r
+    assert 8 < len(want) == len(got) < 40 and all(got[x] == pytest.approx(want[x]) for x in want)
+
+
+def test_rare_words_take_the_counts_of_their_stem(spark):
+    model = {"ratio": {"scum$": 5.0, "scumm": 0.0, "pref": 3.0}, "shortest": 3, "prior": 0.0}
+    assert [toxicity.word_ratio(w, model) for w in ("scum", "scummy", "prefer", "pref", "pre", "other")] == [5.0, 0.0, 3.0, 3.0, 0.0, 0.0]
+    rows = spark.createDataFrame([(1, "Scum, prefer"), (2, ""), (3, None), (4, "other 12 other scum")], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["ratio"] for r in toxicity.log_ratios(rows, model | {"prior": 2.0}).collect()}
+    assert got == pytest.approx({1: 8.0 / 4, 2: 0.0, 3: 0.0, 4: 5.0 / 5})
 
 
 def brute_statistics(t):
