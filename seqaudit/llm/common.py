@@ -85,16 +85,18 @@ def small_or_shuffled(small: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(small) if small.count() <= max_rows else small
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b", scratch: Scratch | None = None) -> DataFrame:
     """(node, component) for the nodes of undirected links; component is the smallest node reachable.
 
     Alternates large-star and small-star steps on tables written to the shared folder until the
-    links no longer change; every step is a shuffle with map-side combine on the links alone.
+    links no longer change; every step is a shuffle with map-side combine on the links alone. With a
+    scratch the tables of former steps go at once.
     """
     def mark(df):
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    edges = written(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "links")
+    keep = scratch or Scratch(links.sparkSession)
+    edges = keep.written(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "links")
     seen, now = None, mark(edges)
     while seen != now and now[0]:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -108,7 +110,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             .where("u <> v")
             .distinct()
         )
-        edges = written(small, "links")
+        last, edges = edges, keep.written(small, "links")
+        if scratch:
+            scratch.drop(last)
         seen, now = now, mark(edges)
     roots = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import Scratch, components, small_or_shuffled, written
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _WORDS: dict[bytes, int] = {}
@@ -108,16 +108,12 @@ def _blob(*arrays: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
 
 
-def postings(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, flush: int = 1_500_000) -> DataFrame:
-    """(sig, id): the segments by which a document can meet all that link with it.
-
-    Segments travel packed by bucket of their digest; copies within a map task travel once. A
-    segment that one document has goes no further. Of its q shared segments in a class a document keeps the
-    q - least + 1 that fewest documents have: of the `least` or more that two linked documents share, the
-    one of fewest documents is then kept by both (the prefix filter, with segments for tokens). So
-    common passages, whose segments many documents have, do not bring their documents together.
+def measured(docs: DataFrame, k: int, percent: int, buckets: int, flush: int = 1_500_000) -> DataFrame:
+    """One pass over docs (id, text), rows of two kinds: (id, n, h1, h2), the size and digest of each row's
+    set, and (bucket, n, blob), segments packed by bucket of their digest. Copies within a task travel once.
     """
-    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = ["id", "n", "h1", "h2", "bucket", "blob"]
+    types = [pa.int64()] * 5 + [pa.binary()]
 
     def post(batches):
         ids, sigs, held, seen = [], [], 0, set()
@@ -130,15 +126,22 @@ def postings(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str,
             rows = []
             for own in np.split(order, np.flatnonzero(np.diff(where[order])) + 1):
                 low = (s[own] >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]
-                rows.append((int(where[own[0]]), len(own), _blob(np.diff(d[own], prepend=0), c[own].astype(np.int32), least[own].astype(np.int32), low)))
-            return pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))], names=["bucket", "n", "blob"])
+                rows.append((None, len(own), None, None, int(where[own[0]]), _blob(np.diff(d[own], prepend=0), c[own].astype(np.int32), least[own].astype(np.int32), low)))
+            return pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), types)], names=names)
 
         for batch in batches:
+            sizes = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 own = shingle_set(text, k)
-                if not len(own) or key is None or (mark := hash(own.tobytes())) in seen:
+                if not len(own):
+                    sizes.append((key, 0, 0, 0, None, None))
+                    continue
+                mixed = _mixed(own + _MIX[3])
+                digest = int(np.bitwise_xor.reduce(mixed).view(np.int64)), int(mixed.sum(dtype=np.uint64).view(np.int64))
+                sizes.append((key, len(own), *digest, None, None))
+                if key is None or digest in seen:
                     continue
-                seen.add(mark)
+                seen.add(digest)
                 got = signatures(own, percent)
                 ids.append((key, len(got[0])))
                 sigs.append(got)
@@ -146,9 +149,23 @@ def postings(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str,
                 if held >= flush:
                     yield close()
                     ids, sigs, held, seen = [], [], 0, set()
+            yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*sizes) if sizes else [[]] * 6, types)], names=names)
         if ids:
             yield close()
 
+    return docs.mapInArrow(post, "id bigint, n bigint, h1 bigint, h2 bigint, bucket bigint, blob binary")
+
+
+def postings(packed: DataFrame, copies: DataFrame) -> DataFrame:
+    """(id, sigs): the segments by which a document can meet all that link with it.
+
+    A segment that one document has goes no further. Of its q shared segments in a class a document keeps the
+    q - least + 1 that fewest documents have: of the `least` or more that two linked documents share, the
+    one of fewest documents is then kept by both (the prefix filter, with segments for tokens). So
+    common passages, whose segments many documents have, do not bring their documents together.
+    copies (a, b) has for ids with one set the least id that has the same: it stands for all.
+    """
+
     def meet(batches):
         bucket, held = None, []
 
@@ -175,121 +192,151 @@ def postings(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str,
         if held:
             yield shared()
 
-    posted = docs.select(F.col(id_col).cast("bigint"), text_col).mapInArrow(post, "bucket bigint, n bigint, blob binary")
-    met = posted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "id bigint, kind bigint, least bigint, times bigint, sig bigint")
+    met = packed.select("bucket", "n", "blob").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "id bigint, kind bigint, least bigint, times bigint, sig bigint")
     by_doc = met.groupBy("id", "kind").agg(F.min("least").alias("least"), F.array_sort(F.collect_list(F.struct("times", "sig"))).alias("x"))
-    by_doc = by_doc.where(F.size("x") >= F.col("least"))
-    return by_doc.select("id", F.explode(F.slice("x.sig", F.lit(1), (F.size("x") - F.col("least") + 1).cast("int"))).alias("sig")).distinct()
+    by_doc = by_doc.where(F.size("x") >= F.col("least")).select("id", F.slice("x.sig", F.lit(1), (F.size("x") - F.col("least") + 1).cast("int")).alias("sigs"))
+    by_doc = by_doc.join(copies.select(F.col("a").alias("id"), "b"), "id", "left").select(F.coalesce("b", "id").alias("id"), "sigs")
+    return by_doc.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_set("sigs"))).alias("sigs"))
 
 
-def linked(pivot: np.ndarray, sets: list[np.ndarray], percent: int) -> list[bool]:
-    """Which sets link with pivot, by one walk over the prefix tree of the sets.
+class Path:
+    """A pivot's walk over the prefix tree of other sets, which come in lexicographic order as the tree's paths.
 
-    In lexicographic order the sets are the tree's paths. A path reuses the overlaps counted along the part
-    it shares with the one before; it ends where the overlap so far and the shorter remainder cannot
-    reach what the sizes ask, and a next path that shares this part is cut there too.
+    A path reuses the overlaps counted along the part it shares with the one before; it ends where the
+    overlap so far and the shorter remainder cannot reach what the sizes ask, and a next path that
+    shares this part is cut there too. `counted` and `reused` are the shingles looked up and those shared.
     """
-    order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes())
-    out, last, hits, spots = [False] * len(sets), np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(1, np.int64)
-    for i in order:
-        own = sets[i]
-        both = min(len(own), len(last), len(hits) - 1)
-        differ = np.flatnonzero(own[:both] != last[:both])
+
+    def __init__(self, pivot: np.ndarray, percent: int):
+        self.pivot, self.percent, self.counted, self.reused = pivot, percent, 0, 0
+        self.last, self.hits, self.spots = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def links(self, own: np.ndarray) -> bool:
+        pivot, both = self.pivot, min(len(own), len(self.last), len(self.hits) - 1)
+        differ = np.flatnonzero(own[:both] != self.last[:both])
         depth = int(differ[0]) if len(differ) else both
-        hits, spots, last = hits[: depth + 1], spots[: depth + 1], own
-        need = -(-percent * (len(pivot) + len(own)) // (100 + percent))
-        while True:
-            room = hits[-1] + min(len(own) - depth, len(pivot) - spots[-1])
-            if room < need or depth == len(own):
-                break
+        hits, spots, self.last = self.hits[: depth + 1], self.spots[: depth + 1], own
+        self.reused += depth
+        need = -(-self.percent * (len(pivot) + len(own)) // (100 + self.percent))
+        while depth < len(own) and hits[-1] + min(len(own) - depth, len(pivot) - spots[-1]) >= need:
             piece = own[depth : depth + 64]
             at = np.searchsorted(pivot, piece)
             same = pivot[np.minimum(at, len(pivot) - 1)] == piece
             hits = np.concatenate((hits, hits[-1] + np.cumsum(same)))
             spots = np.concatenate((spots, at + same))
             depth += len(piece)
-        out[i] = bool(depth == len(own) and hits[-1] >= need)
+            self.counted += len(piece)
+        self.hits, self.spots = hits, spots
+        return bool(depth == len(own) and hits[-1] >= need)
+
+
+def linked(pivot: np.ndarray, sets: list[np.ndarray], percent: int) -> list[bool]:
+    """Which sets link with pivot, by one walk over the prefix tree of the sets."""
+    path, out = Path(pivot, percent), [False] * len(sets)
+    for i in sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes()):
+        out[i] = path.links(sets[i])
     return out
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, ok) for pairs of ids; sets has (id, members). Hot sides are split by Spark's skewed joins."""
-    rows = pairs.select("a", "b").join(sets.select(F.col("id").alias("b"), F.col("members").alias("set_b")), "b")
-    rows = rows.join(sets.select(F.col("id").alias("a"), F.col("members").alias("set_a")), "a").select("a", "b", "set_a", "set_b")
+def verified(pairs: DataFrame, sets: DataFrame, percent: int, at_once: int = 256, broadcast_rows: int = 200_000) -> DataFrame:
+    """(a, b) for those pairs of ids (a, b) whose sets link; sets has (id, members).
+
+    Partners of a pivot meet it in one task, in the order of the tree of their sets; a pivot of more than
+    at_once partners is dealt to as many tasks as that takes, by hash of the partner.
+    """
+    hot = pairs.groupBy(F.col("a").alias("pivot")).count().where(F.col("count") > at_once).select("pivot", F.ceil(F.col("count") / at_once).alias("slices"))
+    dealt = pairs.select(F.col("a").alias("pivot"), F.col("b").alias("id")).join(small_or_shuffled(hot, broadcast_rows), "pivot", "left")
+    dealt = dealt.select("pivot", "id", F.pmod(F.xxhash64("id", F.lit("slice")), F.coalesce("slices", F.lit(1))).alias("slice"))
+    asked = dealt.withColumn("role", F.lit(1)).unionByName(dealt.select("pivot", F.col("pivot").alias("id"), "slice", F.lit(0).alias("role")).distinct())
+    rows = sets.select("id", "members").join(small_or_shuffled(asked, broadcast_rows), "id").select("pivot", "slice", "role", "id", "members")
 
     def walk(batches):
+        key, paths = None, []
         for batch in batches:
-            a, b, x, y = (batch.column(i).to_pylist() for i in range(4))
-            ok, at = [], 0
-            while at < len(a):
-                end = at
-                while end < len(a) and a[end] == a[at] and x[end] == x[at]:
-                    end += 1
-                ok += linked(np.frombuffer(x[at], np.uint64), [np.frombuffer(s, np.uint64) for s in y[at:end]], percent)
-                at = end
-            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
+            out = []
+            for pivot, part, role, own, raw in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if (pivot, part) != key:
+                    key, paths = (pivot, part), []
+                members = np.frombuffer(raw, ">u8").astype(np.uint64)
+                if role == 0:
+                    paths.append(Path(members, percent))
+                elif any([p.links(members) for p in paths]):
+                    out.append((pivot, own))
+            yield pa.record_batch([pa.array([x[i] for x in out], pa.int64()) for i in range(2)], names=["a", "b"])
+
+    return rows.repartition("pivot", "slice").sortWithinPartitions("pivot", "slice", "role", "members").mapInArrow(walk, "a bigint, b bigint")
+
+
+def likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, ...) whose sizes and parities allow a link.
 
-    return rows.mapInArrow(walk, "a bigint, b bigint, ok boolean")
+    Two sets differ in as many shingles as their parities differ in bits, or more; sets that link
+    differ in (s + t)(100 - percent) // (100 + percent) at most.
+    """
+    for side in "ab":
+        pairs = pairs.join(sets.select(F.col("id").alias(side), F.col("size").alias(f"size_{side}"), F.col("bits").alias(f"bits_{side}")), side)
+    return pairs.where(_may(percent)).drop("size_a", "size_b", "bits_a", "bits_b").distinct()
+
+
+def _may(percent: int):
+    unlike = functools.reduce(operator.add, [F.bit_count(F.col("bits_a")[i].bitwiseXOR(F.col("bits_b")[i])) for i in range(_PARITY // 64)])
+    return F.greatest(unlike, F.abs(F.col("size_a") - F.col("size_b"))) * (100 + percent) <= (F.col("size_a") + F.col("size_b")) * (100 - percent)
 
 
-def classes(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classes(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 200_000) -> DataFrame:
     """(id_col, n_shingles, component_id) for every row of docs.
 
     Documents link when the intersection of their shingle sets is percent or more of the union;
     component_id is the least id reachable. id_col must be an integer. Copies of a set link without
-    comparison. Then each document is compared with the document it shares most segments with, then with
-    the other least documents of its segments unless already connected; lastly, where a comparison
-    failed between two components, with every document of the other that shares a segment. So only comparisons whose
+    comparison, and one stands for all. Then each document is compared with the document it shares most segments with, then with
+    the other least documents of its segments unless already connected; lastly, where such pairs
+    stay in two components, with every document of the other that shares a segment. So only comparisons whose
     outcome cannot change a component are left out. Texts that are null or without words have an empty set and link with
     nothing; rows that repeat an id count as one document with links of each; a null id links with
     nothing; an empty table gives an empty result; other columns are not read.
     """
-
-    def measure(batches):
-        for batch in batches:
-            n, high, low = [], [], []
-            for text in batch.column(1).to_pylist():
-                own = shingle_set(text, k)
-                n.append(len(own))
-                mixed = _mixed(own + _MIX[3])
-                high.append(int(np.bitwise_xor.reduce(mixed).view(np.int64)) if len(own) else 0)
-                low.append(int(mixed.sum(dtype=np.uint64).view(np.int64)) if len(own) else 0)
-            yield pa.record_batch([batch.column(0), *(pa.array(c, pa.int64()) for c in (n, high, low))], names=["id", "n", "h1", "h2"])
-
+    spark, kind = docs.sparkSession, docs.schema[id_col].dataType
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    sizes = written(rows.mapInArrow(measure, "id bigint, n bigint, h1 bigint, h2 bigint"), "sizes")
-    full = sizes.where("n > 0 and id is not null")
-    copied = written(full.groupBy("h1", "h2").agg(F.min("id").alias("b"), F.max("id").alias("top")).where("b < top").drop("top"), "copied")
-    copies = full.join(copied, ["h1", "h2"]).select(F.col("id").alias("a"), "b").where("a <> b")
-    met = written(postings(docs, k, percent, id_col, text_col), "postings")
-    first = met.groupBy("sig").agg(F.min("id").alias("a"), F.max("id").alias("top")).where("a < top").drop("top")
-    pairs = met.join(first, "sig").where("id <> a").groupBy("a", F.col("id").alias("b")).agg(F.count("*").alias("n"))
-    pairs = written(pairs, "pairs")
-    near = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-
-    def members(batches):
-        for batch in batches:
-            got = [shingle_set(t, k) for t in batch.column(1).to_pylist()]
-            columns = [pa.array([s.tobytes() for s in got], pa.binary()), pa.array([len(s) for s in got], pa.int64()), pa.array([parity(s) for s in got], pa.list_(pa.int64()))]
-            yield pa.record_batch([batch.column(0), *columns], names=["id", "members", "size", "bits"])
-
-    sets = written(rows.join(near, "id").select("id", "text").mapInArrow(members, "id bigint, members binary, size bigint, bits array<bigint>"), "sets")
-    best = pairs.groupBy("b").agg(F.max_by("a", F.struct(F.col("n"), -F.col("a"))).alias("a"))
-    tried = written(verified(best, sets, percent), "tried")
-    links = copies.unionByName(tried.where("ok").select("a", "b"))
-    node = components(links)
-    for last in (False, True):
-        left = _apart(pairs.select("a", "b"), node)
-        if last:
-            left = _more(left, node, met, sets, percent)
-        left = left.select("a", "b").join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        more = written(verified(left, sets, percent), "tried")
-        tried = tried.unionByName(more)
-        links = more.where("ok").select("a", "b")
-        if not links.isEmpty():
-            node = components(node.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
-    found = sizes.join(node.withColumnRenamed("node", "id"), "id", "left")
-    return found.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").cast(docs.schema[id_col].dataType).alias("component_id"))
+    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with Scratch(spark) as scratch:
+        cut = scratch.written(measured(rows, k, percent, buckets), "segments")
+        sizes = scratch.written(cut.where("blob is null").select("id", "n", "h1", "h2"), "sizes")
+        full = sizes.where("n > 0 and id is not null")
+        least = full.groupBy("h1", "h2").agg(F.min("id").alias("b"), F.max("id").alias("top")).where("b < top").drop("top")
+        copies = scratch.written(full.join(least, ["h1", "h2"]).select(F.col("id").alias("a"), "b").where("a <> b").distinct(), "copies")
+        one = full.groupBy("id").agg(F.min(F.struct("h1", "h2")).alias("x"), F.max(F.struct("h1", "h2")).alias("y")).where("x = y").select(F.col("id").alias("a"))
+        met = scratch.written(postings(cut.where("blob is not null"), copies.join(one, "a", "left_semi")), "postings")
+        scratch.drop(cut)
+        own = met.select("id", F.explode("sigs").alias("sig"))
+        first = own.groupBy("sig").agg(F.min("id").alias("a"), F.max("id").alias("top")).where("a < top").drop("top")
+        pairs = scratch.written(own.join(first, "sig").where("id <> a").groupBy("a", F.col("id").alias("b")).agg(F.count("*").alias("n")), "pairs")
+        near = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+
+        def members(batches):
+            for batch in batches:
+                got = [shingle_set(t, k) for t in batch.column(1).to_pylist()]
+                columns = [pa.array([s.astype(">u8").tobytes() for s in got], pa.binary()), pa.array([len(s) for s in got], pa.int64()), pa.array([parity(s) for s in got], pa.list_(pa.int64()))]
+                yield pa.record_batch([batch.column(0), *columns], names=["id", "members", "size", "bits"])
+
+        sets = scratch.written(rows.join(small_or_shuffled(near, broadcast_rows), "id").select("id", "text").mapInArrow(members, "id bigint, members binary, size bigint, bits array<bigint>"), "sets")
+        open_ = scratch.written(likely(pairs, sets, percent), "pairs")
+        best = open_.groupBy("b").agg(F.max_by("a", F.struct(F.col("n"), -F.col("a"))).alias("a")).select("a", "b")
+        links = copies.unionByName(scratch.written(verified(best, sets, percent, broadcast_rows=broadcast_rows), "links"))
+        node = components(links, scratch=scratch)
+        left = scratch.written(_apart(open_.select("a", "b"), node).select("a", "b").join(best, ["a", "b"], "left_anti"), "pairs")
+        node = _grown(node, scratch.written(verified(left, sets, percent, broadcast_rows=broadcast_rows), "links"), scratch)
+        # the first documents of a segment stay apart where neither links: their other documents may link all the same
+        more = scratch.written(_more(_apart(pairs.select("a", "b"), node), node, met, sets, percent, scratch).join(best.unionByName(left), ["a", "b"], "left_anti"), "pairs")
+        node = _grown(node, scratch.written(verified(more, sets, percent, broadcast_rows=broadcast_rows), "links"), scratch)
+        found = sizes.join(node.withColumnRenamed("node", "id"), "id", "left")
+        return written(found.select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").cast(kind).alias("component_id")), "classes")
+
+
+def _grown(node: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """Components with more links."""
+    if links.isEmpty():
+        return node
+    return components(node.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links), scratch=scratch)
 
 
 def _apart(pairs: DataFrame, node: DataFrame) -> DataFrame:
@@ -298,20 +345,14 @@ def _apart(pairs: DataFrame, node: DataFrame) -> DataFrame:
     return got.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb")
 
 
-def _more(failed: DataFrame, node: DataFrame, met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs across components that a failed comparison left open, that keep a segment in common and may link.
-
-    Two sets differ in as many shingles as their parities differ in bits, or more; sets that link
-    differ in (s + t)(100 - percent) // (100 + percent) at most, so other pairs are not made.
-    """
-    open_ = written(failed.select(F.explode(F.array("ca", "cb")).alias("component")).distinct(), "open")
+def _more(failed: DataFrame, node: DataFrame, met: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs across components that pairs left apart keep open, that keep a segment in common and may link (see likely)."""
+    open_ = scratch.written(failed.select(F.explode(F.array("ca", "cb")).alias("component")).distinct(), "open")
     ids = node.join(open_, "component", "left_semi").select(F.col("node").alias("id"), "component")
     ids = ids.unionByName(open_.select(F.col("component").alias("id"), "component")).distinct()
-    own = met.join(ids, "id")
+    own = met.join(ids, "id").join(sets.select("id", "size", "bits"), "id").select("id", "component", "size", "bits", F.explode("sigs").alias("sig"))
     mixed = own.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("sig")
-    own = written(own.join(mixed, "sig").join(sets.select("id", "size", "bits"), "id"), "open")
+    own = scratch.written(own.join(mixed, "sig"), "open")
     x, y = (own.select("sig", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "component", "size", "bits")]) for side in "ab")
-    unlike = functools.reduce(operator.add, [F.bit_count(F.col("bits_a")[i].bitwiseXOR(F.col("bits_b")[i])) for i in range(_PARITY // 64)])
-    may = unlike * (100 + percent) <= (F.col("size_a") + F.col("size_b")) * (100 - percent)
-    near = x.join(y, "sig").where((F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & may)
+    near = x.join(y, "sig").where((F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & _may(percent))
     return near.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()

@@ -154,6 +154,36 @@ def test_linked_walks_the_tree():
         assert jaccard_join.linked(pivot, sets, 90) == want
 
 
+def test_walk_shares_overlaps():
+    """Near copies share a beginning in the global order, which is looked up once."""
+    pivot = np.arange(0, 4000, 2).astype(np.uint64)
+    sets = [np.unique(np.append(pivot, np.uint64(3001 + 2 * i))) for i in range(20)] + [np.arange(1, 4000, 2).astype(np.uint64)]
+    path = jaccard_join.Path(pivot, 90)
+    got = [path.links(s) for s in sorted(sets, key=lambda s: s.astype(">u8").tobytes())]
+    assert sum(got) == 20 and path.reused > 10 * len(pivot) and path.counted < 12 * len(pivot)
+
+
+def test_jaccard_join_of_rows_that_share_an_id(spark):
+    """An id with two texts links with the partners of both, also where one of its texts has copies elsewhere."""
+    base = [[f"w{s}x{i}" for i in range(60)] for s in (1, 2)]
+    near = [" ".join(["other", *w[1:]]) for w in base]
+    rows = [(5, " ".join(base[0])), (5, " ".join(base[1])), (3, " ".join(base[0])), (9, " ".join(base[0])), (20, near[1]), (21, near[0]), (30, "alone in the world")]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {5: 3, 3: 3, 9: 3, 20: 3, 21: 3, 30: 30}
+
+
+def test_hot_pivots_are_dealt_out(spark):
+    base = np.arange(100, 400).astype(np.uint64)
+    sets = {0: base} | {i: np.unique(np.append(base[i % 40 :], np.uint64(1000 + i))) for i in range(1, 60)}
+    rows = spark.createDataFrame([(i, bytearray(s.astype(">u8").tobytes()), len(s), jaccard_join.parity(s)) for i, s in sets.items()], "id bigint, members binary, size bigint, bits array<bigint>")
+    pairs = spark.createDataFrame([(0, i) for i in range(1, 60)], "a bigint, b bigint")
+    want = {(0, i) for i in range(1, 60) if 100 * len({*base} & {*sets[i]}) >= 90 * len({*base} | {*sets[i]})}
+    assert 20 < len(want) < 59
+    for at_once in (7, 1000):
+        assert {tuple(r) for r in jaccard_join.verified(pairs, rows, 90, at_once).collect()} == want
+    assert want <= {(r["a"], r["b"]) for r in jaccard_join.likely(pairs, rows, 90).collect()}
+
+
 def brute_secrets(t):
     found = [(m.start(), "assign", m.end()) for m in re.finditer(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[2]) >= 6]
     found += [(m.start(), "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
