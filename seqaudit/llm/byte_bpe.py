@@ -12,8 +12,6 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
-
 _LOADED: dict[str, object] = {}
 
 
@@ -46,12 +44,12 @@ def _unpack(blob: bytes) -> list[bytes]:
 def pre_tokens(docs: DataFrame, id_col: str, text_col: str, words_in_chunk: int, buckets: int) -> DataFrame:
     """Explode texts to pre-tokens with positions, packed by chunk of whole documents.
 
-    A chunk has rows of two kinds: `bucket` null with the ids, lengths and word numbers of its
-    documents in order (the positions), and one row per bucket with the chunk's distinct words whose
-    hash falls there. A chunk closes after words_in_chunk pre-tokens; one longer text is a chunk.
+    A chunk has rows of two kinds. One has dest = the chunk, and the ids, lengths and word numbers of its
+    documents in order (the positions). The others have dest = -1 - bucket, and the chunk's distinct words whose
+    hash falls in the bucket. A chunk closes after words_in_chunk pre-tokens; one longer text is a chunk.
+    A chunk's key is a digest of its place and texts, so words never meet positions of another reading of it.
     """
-    kind = docs.schema[id_col].dataType
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind.simpleString()]
+    names = ["dest", "chunk", "keys", "lengths", "blob"]
 
     def cut(batches):
         import public_tokenizers
@@ -61,10 +59,9 @@ def pre_tokens(docs: DataFrame, id_col: str, text_col: str, words_in_chunk: int,
 
         split = regex.compile(public_tokenizers.PATTERN).findall
         part, serial = TaskContext.get().partitionId(), 0
-        ids, codes, numbers = [], [], {}
+        ids, codes, numbers, held, read = [], [], {}, 0, xxhash.xxh3_64()
 
         def close():
-            names = ["chunk", "bucket", "ids", "lengths", "blob"]
             words = [w.encode() for w in numbers]
             where = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in words), np.int64, len(words))
             order = np.argsort(where, kind="stable")
@@ -74,37 +71,42 @@ def pre_tokens(docs: DataFrame, id_col: str, text_col: str, words_in_chunk: int,
             rank[order] = np.arange(len(order))
             coded = rank[np.concatenate(codes)] if len(order) else np.zeros(0, np.int64)
             lengths = [len(x) for x in codes]
-            chunk = part << 32 | serial
+            read.update(f"{part} {serial}")
+            chunk = read.intdigest() >> 1
             rows = [(chunk, None, ids, lengths, zstandard.ZstdCompressor(level=1).compress(_narrow(coded, len(order))))]
-            rows += [(chunk, int(where[g[0]]), None, None, _pack([words[i] for i in g])) for g in groups]
-            types = [pa.int64(), pa.int64(), pa.list_(arrow), pa.list_(pa.int64()), pa.binary()]
+            rows += [(-1 - int(where[g[0]]), chunk, None, None, _pack([words[i] for i in g])) for g in groups]
+            types = [pa.int64(), pa.int64(), pa.list_(kind), pa.list_(pa.int64()), pa.binary()]
             return pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), types)], names=names)
 
-        held = 0
         for batch in batches:
+            kind = batch.column(0).type
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 got = split(text) if text else []
+                read.update(f"{key} {text}".encode())
                 codes.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in got), np.uint32, len(got)))
                 ids.append(key)
                 held += len(got)
-                if held >= words_in_chunk or len(numbers) > 12_000_000:
+                if held >= words_in_chunk:
                     yield close()
-                    serial, held, ids, codes, numbers = serial + 1, 0, [], [], {}
+                    serial, held, ids, codes, numbers, read = serial + 1, 0, [], [], {}, xxhash.xxh3_64()
         if ids:
             yield close()
 
-    schema = f"chunk bigint, bucket bigint, ids array<{kind.simpleString()}>, lengths array<bigint>, blob binary"
+    schema = f"dest bigint, chunk bigint, keys array<{docs.schema[id_col].dataType.simpleString()}>, lengths array<bigint>, blob binary"
     return docs.select(id_col, text_col).mapInArrow(cut, schema)
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """Numbers under 2**24 as three planes of bytes, which compress apart."""
-    return b"".join(((x >> s) & 255).astype(np.uint8).tobytes() for s in (0, 8, 16))
+def _planes(x: np.ndarray, size: int) -> bytes:
+    """Numbers under size as planes of bytes, which compress apart."""
+    return b"".join(((x >> s) & 255).astype(np.uint8).tobytes() for s in range(0, _bits(size), 8))
+
 
+def _from_planes(raw: bytes, n: int, at: int, size: int) -> np.ndarray:
+    return sum((np.frombuffer(raw, np.uint8, n, at + i * n).astype(np.int64) << 8 * i for i in range(_bits(size) // 8)), np.zeros(n, np.int64))
 
-def _from_planes(raw: bytes, n: int, at: int) -> np.ndarray:
-    low, mid, high = (np.frombuffer(raw, np.uint8, n, at + i * n).astype(np.int64) for i in range(3))
-    return low | mid << 8 | high << 16
+
+def _bits(size: int) -> int:
+    return 24 if size <= 1 << 24 else 32
 
 
 def _narrow(codes: np.ndarray, size: int) -> bytes:
@@ -112,65 +114,79 @@ def _narrow(codes: np.ndarray, size: int) -> bytes:
     by_count = np.argsort(-np.bincount(codes, minlength=size), kind="stable")
     rank = np.empty(size, np.int64)
     rank[by_count] = np.arange(size)
-    return np.array([len(codes), size], np.uint32).tobytes() + _planes(by_count) + _planes(rank[codes])
+    return np.array([len(codes), size], np.uint32).tobytes() + _planes(by_count, size) + _planes(rank[codes], size)
 
 
 def _wide(blob: bytes) -> np.ndarray:
     raw = zstandard.ZstdDecompressor().decompress(blob)
     n, size = (int(x) for x in np.frombuffer(raw, np.uint32, 2))
-    return _from_planes(raw, size, 8)[_from_planes(raw, n, 8 + 3 * size)]
+    return _from_planes(raw, size, 8, size)[_from_planes(raw, n, 8 + size * _bits(size) // 8, size)]
+
 
+def _width(rank_file: str):
+    """The narrowest whole numbers that hold the ranks."""
+    return np.uint16 if max(ranks(rank_file).values()) < 1 << 16 else np.uint32
 
-def encode_words(words: DataFrame, rank_file: str) -> DataFrame:
-    """Per (chunk, bucket) the ids of its words; every distinct word of a bucket is encoded once."""
+
+def encode_words(dealt: DataFrame, rank_file: str) -> DataFrame:
+    """(dest, bucket, ids): the ids of each chunk's words in a bucket; every distinct word of a bucket is encoded once.
+
+    Reads the rows of dealt with words, sorted by dest, and passes over the others.
+    """
 
     def encode(batches):
-        encoding, bucket, known = _encoding(rank_file), None, {}
+        encoding, bucket, known, width = _encoding(rank_file), None, {}, _width(rank_file)
         for batch in batches:
             out = []
-            for chunk, own, blob in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if own != bucket:
-                    bucket, known = own, {}
+            for dest, chunk, blob in zip(*(batch.column(i).to_pylist() for i in (0, 1, 4))):
+                if dest >= 0:
+                    continue
+                if dest != bucket:
+                    bucket, known = dest, {}
                 ids = []
                 for w in _unpack(blob):
                     got = known.get(w)
                     if got is None:
-                        got = known[w] = np.array(encoding.encode_ordinary(w.decode()), np.uint32).tobytes()
+                        got = known[w] = np.array(encoding.encode_ordinary(w.decode()), width).tobytes()
                     ids.append(got)
-                out.append((chunk, own, _pack(ids)))
-            yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out) if out else ([], [], []), (pa.int64(), pa.int64(), pa.binary()))], names=["chunk", "bucket", "ids"])
+                out.append((chunk, -1 - dest, _pack(ids)))
+            yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out) if out else ([], [], []), (pa.int64(), pa.int64(), pa.binary()))], names=["dest", "bucket", "ids"])
 
-    dealt = words.repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(encode, "chunk bigint, bucket bigint, ids binary")
+    return dealt.sortWithinPartitions("dest").mapInArrow(encode, "dest bigint, bucket bigint, ids binary")
 
 
 def encode(docs: DataFrame, rank_file: str, id_col: str = "doc_id", text_col: str = "text", words_in_chunk: int = 2_000_000, buckets: int | None = None, digests: bool = False) -> DataFrame:
     """One row per document: id_col, n_tokens and ids (array<int>), or with digests=True the ids'
     and the decoded bytes' SHA-256 in place of the ids.
 
-    Null and empty texts have no ids; repeated rows each give a row; extra columns are not read; an
-    empty table gives an empty result. Pre-tokens are cut once and written to the shared folder;
-    only distinct words of a chunk are shuffled, so no word is a hot key. Decoding looks each id up
-    in the token-byte table of the rank file.
+    Null and empty texts have no ids; repeated rows each give a row; ids may have any type; extra columns are not read; an
+    empty table gives an empty result. Pre-tokens are cut once and shuffled once: positions to
+    their chunk's partition, a chunk's distinct words to their bucket's, so no word is a hot key. Ids go back to
+    the chunk, which the join finds in place. Decoding looks each id up in the token-byte table of the rank file.
+    docs should be a table, or a plan that gives its rows in the same order when an executor is lost; if it
+    does not, the job fails rather than mixing chunks up.
     """
-    spark = docs.sparkSession
-    buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cut = written(pre_tokens(docs, id_col, text_col, words_in_chunk, buckets), "pre-tokens")
-    ids = encode_words(cut.where("bucket is not null").select("chunk", "bucket", "blob"), rank_file)
-    packed = ids.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("bucket", "ids"))).alias("words"))
-    rows = cut.where("bucket is null").select("chunk", F.col("ids").alias("keys"), "lengths", "blob").join(packed, "chunk", "left")
+    shuffled = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = pre_tokens(docs, id_col, text_col, words_in_chunk, buckets or 4 * shuffled).repartition(shuffled, "dest")
+    packed = encode_words(dealt, rank_file).groupBy("dest").agg(F.array_sort(F.collect_list(F.struct("bucket", "ids"))).alias("words"))
+    rows = dealt.join(packed, "dest", "left")  # all columns stay, so that both uses of dealt are one shuffle
     kind = docs.schema[id_col].dataType.simpleString()
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
 
     def assemble(batches):
         table: list[bytes] = []
+        width = _width(rank_file)
         for batch in batches:
-            for keys, lengths, blob, words in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("keys", "lengths", "blob", "words"))):
+            arrow = batch.schema.field("keys").type.value_type
+            for dest, keys, lengths, blob, words in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("dest", "keys", "lengths", "blob", "words"))):
+                if dest < 0:
+                    continue
                 if digests and not table:
                     by_id = {n: b for b, n in ranks(rank_file).items()}
                     table = [by_id.get(n, b"") for n in range(max(by_id) + 1)]
-                word_ids = [np.frombuffer(x, np.uint32) for w in words or [] for x in _unpack(w["ids"])]
+                word_ids = [np.frombuffer(x, width) for w in words or [] for x in _unpack(w["ids"])]
                 codes, at, out = _wide(blob), 0, []
+                if len(codes) and codes.max() >= len(word_ids):
+                    raise ValueError("the words of a chunk are missing: its texts came in another order when they were read again")
                 counts = np.fromiter(map(len, word_ids), np.int64, len(word_ids))
                 if digests:
                     texts = [",".join(map(str, x.tolist())) for x in word_ids]

@@ -59,6 +59,9 @@ def test_byte_bpe_is_the_library(spark):
     back = byte_bpe.decode(byte_bpe.encode(frame(spark, texts[:60]), MULTI, words_in_chunk=50), MULTI)
     assert {r["doc_id"]: bytes(r["decoded"]).decode() for r in back.collect() if r["doc_id"] in range(60)} == dict(enumerate(texts[:60]))
     assert byte_bpe.encode(empty(spark), MULTI).count() == 0
+    dated = spark.sql("select date'2020-01-02' as doc_id, 1.5 as n, 'a b' as text")
+    assert [tuple(r)[1] for r in byte_bpe.encode(dated, MULTI).collect()] == [2] and str(byte_bpe.encode(dated, MULTI, id_col="n").first()["n"]) == "1.5"
+    assert byte_bpe._wide(byte_bpe.zstandard.ZstdCompressor().compress(byte_bpe._narrow(np.array([3, 0, 3]), (1 << 24) + 5))).tolist() == [3, 0, 3]
 
 
 @pytest.mark.parametrize("file", [JSON, public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("word_bpe_49k.json")])
