@@ -70,6 +70,17 @@ def let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def row_key(*cols: str) -> list[Column]:
+    """Two 64-bit hashes of columns, key_1 and key_2, never null: what is decided by these columns is joined back by them."""
+    return [F.xxhash64(F.lit(n), *map(F.col, cols)).alias(f"key_{n}") for n in (1, 2)]
+
+
+def without(docs: DataFrame, gone: DataFrame, cols: tuple[str, ...], broadcast_rows: int = 200_000) -> DataFrame:
+    """docs without the rows whose row_key of cols is in gone (key_1, key_2); no column of docs is added or renamed."""
+    own = docs.select(F.struct(*docs.columns).alias("own"), *row_key(*cols))
+    return own.join(small_or_shuffled(gone.select("key_1", "key_2").distinct(), broadcast_rows), ["key_1", "key_2"], "left_anti").select("own.*")
+
+
 def held_out(id_col: str) -> Column:
     """True where crc32 of the id as text is a multiple of 5; a null id counts as held out."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(True))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, let, small_or_shuffled, written
+from .common import SPACE, let, row_key, small_or_shuffled, without, written
 
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: Transformed statistics and the least spread that counts as variation in each.
@@ -156,6 +156,8 @@ def rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
 
 
 def passing(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", share: float = 0.75, steps: int = 2, cutoff: float = 40.0, min_rows: int = 40, broadcast_rows: int = 20_000) -> DataFrame:
-    """The rows of docs, all columns, that rules() keeps. Whole rows ride along, so none is joined back."""
-    got = _judged(docs, text_col, lang_col, source_col, docs.columns, share, steps, cutoff, min_rows, broadcast_rows)
-    return got.where("kept").select("own.*")
+    """The rows of docs, all columns, that rules() keeps. The verdict is one of text, language and source: only their keys are joined back."""
+    of = (text_col, lang_col, source_col)
+    keyed = docs.select(*of, *row_key(*of))
+    got = _judged(keyed, text_col, lang_col, source_col, ("key_1", "key_2"), share, steps, cutoff, min_rows, broadcast_rows)
+    return without(docs, written(got.where("not kept").select("own.*").distinct(), "rejected"), of)

@@ -87,7 +87,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, text
     Content is normalised only by reading null as the empty text, since any other change would
     change counts. Its digest and the tokenizer file's digest are joined to the cache, a Parquet
     folder (digest, version, n_tokens); each distinct text that is missing is encoded once and
-    appended. cache=None starts an empty cache in the shared folder. Copies are combined before the
+    appended. Texts that very many rows repeat are joined by broadcast, so that none is a hot key. cache=None starts an empty cache in the shared folder. Copies are combined before the
     shuffle, so a text that a third of the rows repeat reaches the encoder once a map task. Empty
     texts count 0 tokens; repeated rows each give a row; extra columns are not read; an empty table
     gives an empty result and appends nothing.
@@ -109,8 +109,13 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, text
     fresh = missing.mapInArrow(encode, "digest binary, n_tokens bigint")
     fresh.select("digest", F.lit(made).alias("version"), "n_tokens").write.mode("append").parquet(cache)
     known = _stored(spark, cache).where(F.col("version") == made).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    rows = docs.select(*keep, F.unhex(F.sha2(text, 256)).alias("digest"), F.octet_length(text).cast("bigint").alias("n_bytes"))
-    return rows.join(known, "digest").select(*keep, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    rows = docs.select(F.struct(*keep).alias("own"), F.unhex(F.sha2(text, 256)).alias("digest"), F.octet_length(text).cast("bigint").alias("n_bytes"))
+    often = max(1000, docs.count() // 100_000)  # so that at most 100,000 texts are frequent, and broadcast
+    hot = rows.groupBy("digest").count().where(F.col("count") > often).select("digest")
+    hot = F.broadcast(hot.join(known, "digest").withColumnRenamed("n_tokens", "hot_tokens"))
+    counted = rows.join(hot, "digest", "left")
+    found = counted.where("hot_tokens is not null").withColumnRenamed("hot_tokens", "n_tokens").unionByName(counted.where("hot_tokens is null").drop("hot_tokens").join(known, "digest"))
+    return found.select("own.*", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def _stored(spark: SparkSession, cache: str) -> DataFrame:
