@@ -96,6 +96,19 @@ def small_or_shuffled(small: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(small) if small.count() <= max_rows else small
 
 
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join of rows with a table that has one row a key, where one key may hold a third of rows.
+
+    Keys of more than a hundred-thousandth of all rows, of which there are 100,000 at most, are joined by
+    broadcast; the others by a shuffle, in which none of them is hot.
+    """
+    often = max(1000, rows.count() // 100_000)
+    hot = rows.groupBy(*keys).count().where(F.col("count") > often).select(*keys).join(table, keys).withColumn("_hot", F.lit(True))
+    met = rows.join(F.broadcast(hot), keys, "left")
+    rest = met.where("_hot is null").select(*rows.columns).join(table, keys)
+    return met.where("_hot").drop("_hot").unionByName(rest)
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b", scratch: Scratch | None = None) -> DataFrame:
     """(node, component) for the nodes of undirected links; component is the smallest node reachable.
 

@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, small_or_shuffled, written
+from .common import Scratch, components, small_or_shuffled, spread_join, written
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _WORDS: dict[bytes, int] = {}
@@ -303,7 +303,7 @@ def classes(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_i
         sizes = scratch.written(cut.where("blob is null").select("id", "n", "h1", "h2"), "sizes")
         full = sizes.where("n > 0 and id is not null")
         least = full.groupBy("h1", "h2").agg(F.min("id").alias("b"), F.max("id").alias("top")).where("b < top").drop("top")
-        copies = scratch.written(full.join(least, ["h1", "h2"]).select(F.col("id").alias("a"), "b").where("a <> b").distinct(), "copies")
+        copies = scratch.written(spread_join(full.select("id", "h1", "h2"), scratch.written(least, "copies"), ["h1", "h2"]).select(F.col("id").alias("a"), "b").where("a <> b").distinct(), "copies")
         one = full.groupBy("id").agg(F.min(F.struct("h1", "h2")).alias("x"), F.max(F.struct("h1", "h2")).alias("y")).where("x = y").select(F.col("id").alias("a"))
         met = scratch.written(postings(cut.where("blob is not null"), copies.join(one, "a", "left_semi")), "postings")
         scratch.drop(cut)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import shared_dir, spread_join
 
 #: The printable stand-ins that byte-level vocabularies use for the 256 bytes.
 _KEPT = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -110,11 +110,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, text
     fresh.select("digest", F.lit(made).alias("version"), "n_tokens").write.mode("append").parquet(cache)
     known = _stored(spark, cache).where(F.col("version") == made).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     rows = docs.select(F.struct(*keep).alias("own"), F.unhex(F.sha2(text, 256)).alias("digest"), F.octet_length(text).cast("bigint").alias("n_bytes"))
-    often = max(1000, docs.count() // 100_000)  # so that at most 100,000 texts are frequent, and broadcast
-    hot = rows.groupBy("digest").count().where(F.col("count") > often).select("digest")
-    hot = F.broadcast(hot.join(known, "digest").withColumnRenamed("n_tokens", "hot_tokens"))
-    counted = rows.join(hot, "digest", "left")
-    found = counted.where("hot_tokens is not null").withColumnRenamed("hot_tokens", "n_tokens").unionByName(counted.where("hot_tokens is null").drop("hot_tokens").join(known, "digest"))
+    found = spread_join(rows, known, ["digest"])
     return found.select("own.*", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import pkgutil
+
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
@@ -11,16 +15,15 @@ from pyspark.sql import functions as F
 #: (verdict, host, path) as fixed by the contract.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
-#: A small labelled table: words that mark a host or path as unwanted, and ordinary ones.
-BLOCKED = ["spam-farm", "spam", "casino", "bet-win", "free-pills", "cheap-loans", "adult-cams", "click-bait", "ad-tracker", "phish-login", "malware-host", "link-farm"]
-ALLOWED = ["thering", "tionble", "docs", "library", "weather", "garden", "museum", "theron", "school", "ththan", "recipes", "city-news"]
+#: The labelled table that comes with the package: label (1 is to be blocked) and url.
+LABELS = "url_labels.csv"
 
 
-def labelled(spark: SparkSession, blocked=BLOCKED, allowed=ALLOWED) -> DataFrame:
-    """(url, label) built from two word lists, each in a few hosts and paths; 1 is to be blocked."""
-    shapes = ["https://{}.example.com/en/12", "http://www.{}.example.org/de/345.html", "https://blog.{}.example.net/fr/6?page=2", "http://{}.example.org/es/7890/"]
-    rows = [f"('{shape.format(word)}', {label}D)" for label, own in ((1, blocked), (0, allowed)) for word in own for shape in shapes]
-    return spark.sql(f"select * from values {', '.join(rows)} as t(url, label)")
+def labelled(spark: SparkSession, path: str | None = None) -> DataFrame:
+    """(url, label) of a small labelled CSV table, by default the package's own; 1 is to be blocked."""
+    text = open(path, encoding="utf8").read() if path else pkgutil.get_data(__package__, LABELS).decode()
+    rows = [(r["url"], float(r["label"])) for r in csv.DictReader(io.StringIO(text))]
+    return spark.createDataFrame(rows, "url string, label double")
 
 
 def host(url: Column) -> Column:
@@ -56,10 +59,12 @@ def _cut(spots: Column, part: Column, n: int, mark: str) -> Column:
     return F.transform(spots, lambda i: F.concat(F.lit(mark), F.substring(part, i, F.lit(n))))
 
 
-def train(table: DataFrame, buckets: int = 1 << 14, url_col: str = "url", label_col: str = "label") -> tuple[HashingTF, LogisticRegressionModel]:
-    """Fit on the labelled table, which is small by definition; rows with null label are left out."""
+def train(table: DataFrame, buckets: int = 1 << 14, url_col: str = "url", label_col: str = "label") -> tuple[HashingTF, LogisticRegressionModel] | None:
+    """Fit on the labelled table, which is small by definition; rows with null label are left out. Without both labels there is no model (None)."""
     hashed = HashingTF(inputCol="grams", outputCol="features", numFeatures=buckets, binary=True)
     rows = table.where(F.col(label_col).isNotNull()).select(host(F.col(url_col)).alias("host"), path(F.col(url_col)).alias("path"), F.col(label_col).cast("double").alias("label"))
+    if rows.select("label").distinct().count() < 2:
+        return None
     rows = hashed.transform(rows.select(grams(F.col("host"), F.col("path")).alias("grams"), "label"))
     return hashed, LogisticRegression(regParam=0.01, maxIter=60, featuresCol="features", labelCol="label").fit(rows.coalesce(1))
 
@@ -67,15 +72,17 @@ def train(table: DataFrame, buckets: int = 1 << 14, url_col: str = "url", label_
 def judge(pages: DataFrame, model, rules=RULES, threshold: float = 0.5, url_col: str = "url", keep=("page_id",)) -> DataFrame:
     """The columns in keep, host, path, rule, verdict and p_block for every row.
 
-    The longest fitting rule decides; elsewhere the model blocks from the threshold on. A url that is
+    The longest fitting rule decides; elsewhere the model blocks from the threshold on, and without a model all is allowed. A url that is
     null or has no `://` has an empty host and path, no rule, and is allowed (p_block 0), as there is
     nothing to judge. Repeated rows each give a row; an empty table gives an empty result; other
     columns are not read, so clashing names do no harm.
     """
-    hashed, fitted = model
     rows = pages.select(F.struct(*keep).alias("own"), host(F.col(url_col)).alias("host"), path(F.col(url_col)).alias("path"))
-    scored = fitted.transform(hashed.transform(rows.withColumn("grams", grams(F.col("host"), F.col("path")))))
-    p = F.when((F.col("host") == "") & (F.col("path") == ""), 0.0).otherwise(vector_to_array("probability")[1])
+    scored, p = rows, F.lit(0.0)
+    if model is not None:
+        hashed, fitted = model
+        scored = fitted.transform(hashed.transform(rows.withColumn("grams", grams(F.col("host"), F.col("path")))))
+        p = F.when((F.col("host") == "") & (F.col("path") == ""), 0.0).otherwise(vector_to_array("probability")[1])
     name, verdict = rule_of(rules)
     scored = scored.select("own", "host", "path", name.alias("rule"), verdict.alias("said"), p.alias("p_block"))
     said = F.coalesce("said", F.when(F.col("p_block") >= threshold, "block").otherwise("allow"))

@@ -475,7 +475,7 @@ URLS = [
 
 
 def test_url_filters(spark):
-    rows = [(i, u[0], "clash") for i, u in enumerate(URLS)] + [(50, "https://" + "a" * 30_000 + ".com/", ""), (51, "http://www.spam-farm.example.org/en/9", ""), (52, "https://blog.theron.example.org/es/77", ""), (None, "x://a.net/", "")]
+    rows = [(i, u[0], "clash") for i, u in enumerate(URLS)] + [(50, "https://" + "a" * 30_000 + ".com/", ""), (51, "http://www.spam-farm.example.org/en/9", ""), (52, "https://blog.garden.example.org/es/77", ""), (None, "x://a.net/", "")]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, host string")
     model = url_filters.train(url_filters.labelled(spark))
     got = {r["page_id"]: r for r in url_filters.judge(pages, model).collect()}
@@ -483,6 +483,9 @@ def test_url_filters(spark):
         assert (got[i]["host"], got[i]["path"], got[i]["rule"]) == (host, path, rule) and verdict in (None, got[i]["verdict"]), URLS[i]
     assert (got[51]["verdict"], got[52]["verdict"], got[None]["verdict"]) == ("block", "allow", "block")
     assert url_filters.judge(pages.limit(0), model).count() == 0
+    table = url_filters.labelled(spark)
+    assert url_filters.train(table.limit(0)) is None and url_filters.train(table.where("label = 1")) is None
+    assert {r["verdict"] for r in url_filters.judge(pages.where("page_id = 51"), None).collect()} == {"allow"}
     hashed, fitted = model
     text = spark.sql("select 'spam.com' as host, '/x' as path")
     grams = text.select(url_filters.grams(F.col("host"), F.col("path")).alias("g")).first()["g"]
@@ -498,6 +501,17 @@ def test_url_model_holds_out(spark):
     assert got.where("(verdict = 'block') <> (page_id = 1)").count() == 0
 
 
+def test_url_labels_hold_out(spark):
+    """Fifths of the package's table, each judged by a model of the others."""
+    table = url_filters.labelled(spark).withColumn("fold", F.crc32("url") % 5)
+    right = n = 0
+    for fold in range(3):
+        own = table.where(F.col("fold") == fold)
+        got = url_filters.judge(own, url_filters.train(table.where(F.col("fold") != fold)), rules=[], keep=("label",))
+        right, n = right + got.where("(verdict = 'block') = (label = 1)").count(), n + own.count()
+    assert right >= 0.85 * n
+
+
 def test_chat_links_quotations(spark):
     rows = [
         (1, 0, "user", "Hello there.\nHow ARE   you?"), (1, 1, "assistant", "> hello THERE.\n> how are you?\nFine."), (1, 2, "user", "An aside"),
