@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -16,7 +17,7 @@ from .common import uniform
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}|(?<![A-Za-z0-9+/_.=-])(?=[+/_.=-]*[A-Za-z0-9+/_.=-]*[A-Za-z])(?=[A-Za-z+/_.=-]*[0-9])[A-Za-z0-9+/_.=-]{8,15}(?![A-Za-z0-9+/_.=-])")
 KINDS = ("assign", "access", "hex", "net")
 _ANY = re.compile(rb"passw|secret|token|api_?key", re.IGNORECASE)
 
@@ -37,10 +38,60 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Every run of 16 or more characters that keys and encoded values are made of."""
+    """Every run of 16 or more characters that keys and encoded values are made of, or of 8 or more with a letter and a digit.
+
+    Shorter runs, and those of letters only under 16, are words as far as their shape tells; the base patterns see them by keyword.
+    """
     return [m.span() for m in RUN.finditer(text)]
 
 
+_DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_ALNUM = _DIGITS + _LOWER + _UPPER
+#: How published formats of credentials begin, the symbols that follow, and how many.
+FORMATS = [
+    ("ghp_", _ALNUM, 36), ("gho_", _ALNUM, 36), ("github_pat_", _ALNUM + "_", 60), ("glpat-", _ALNUM + "-_", 20), ("xoxb-", _ALNUM + "-", 48),
+    ("sk_live_", _ALNUM, 24), ("rk_live_", _ALNUM, 24), ("AIza", _ALNUM + "-_", 35), ("ya29.", _ALNUM + "-_", 60), ("SG.", _ALNUM + "-_.", 66),
+    ("eyJ", _ALNUM + "-_.", 90), ("npm_", _ALNUM, 36), ("pypi-", _ALNUM + "-_", 80), ("dop_v1_", "0123456789abcdef", 64), ("hf_", _ALNUM, 34),
+    ("ASIA", _UPPER + _DIGITS, 16), ("", _ALNUM + "+/", 40), ("", _ALNUM, 32), ("", "0123456789ABCDEF", 40), ("", _ALNUM, 20), ("", _ALNUM, 12),
+]
+#: Where findings of the labelled table stand, and what else stands there.
+SECRET_PLACES = ["Authorization: Bearer {}", "export AUTH={}", "https://admin:{}@db.example.com/main", '"auth": "{}",', "credentials {} until May", "key {}", "login bob / {}", "use {} to sign in", "{}", "<value>{}</value>", "set KEY '{}'"]
+PLAIN_PLACES = ["see {} for more", "the file {} was moved", "{}", "in {} and elsewhere", "<a>{}</a>", "version {} of", "from {}, then", '"name": "{}",']
+
+
+def labelled(n: int, seed: int) -> list[tuple[str, int, int, int]]:
+    """(text, start, end, label): a table of labelled findings, made by rule: n credentials in published formats and n ordinary long runs."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice(["ba", "ter", "lo", "min", "sur", "en", "tra", "vel", "co", "pen", "ing", "st"]) for _ in range(rng.randrange(1, 5)))
+    digits = lambda k: "".join(rng.choice(_DIGITS) for _ in range(k))
+    plain = [
+        lambda: "/".join(word() for _ in range(rng.randrange(3, 6))) + rng.choice([".html", ".py", ".jpg", ""]), lambda: f"www.{word()}{word()}.example.com/{word()}/{digits(4)}",
+        lambda: f"{rng.randrange(1, 9)}.{rng.randrange(30)}.{rng.randrange(30)}-{rng.choice(['rc', 'beta', 'alpha'])}.{rng.randrange(9)}", lambda: f"20{digits(2)}-0{rng.randrange(1, 10)}-1{rng.randrange(10)}T1{rng.randrange(10)}.{digits(2)}.{digits(2)}",
+        lambda: f"IMG_20{digits(6)}_{digits(6)}.jpg", lambda: "-".join(word() for _ in range(rng.randrange(3, 7))), lambda: "_".join(word() for _ in range(rng.randrange(3, 6))) + rng.choice(["", digits(1)]),
+        lambda: f"978-{digits(1)}-{digits(2)}-{digits(6)}-{digits(1)}", lambda: digits(rng.randrange(16, 22)), lambda: f"10.{digits(4)}/{word()}.{digits(4)}", lambda: word() + word() + word() + word() + word(),
+        lambda: f"{word()}.{digits(2)}.mail{digits(1)}.example.com", lambda: f"{word()}{word()}{digits(2)}", lambda: f"{word().upper()}-{digits(4)}", lambda: "=" * rng.randrange(16, 60), lambda: "-" * rng.randrange(16, 60),
+    ]
+    out = []
+    for label in (1, 0):
+        for _ in range(n):
+            head, symbols, size = rng.choice(FORMATS)
+            value = head + "".join(rng.choice(symbols) for _ in range(size)) if label else rng.choice(plain)()
+            before, after = rng.choice(SECRET_PLACES if label and rng.random() < 0.5 else PLAIN_PLACES).split("{}")
+            text = " ".join(word() for _ in range(rng.randrange(6))) + " " + before
+            out.append((text + value + after + " " + " ".join(word() for _ in range(rng.randrange(8))), len(text), len(text) + len(value), label))
+    return out
+
+
+def labelled_windows(rows: list[tuple[str, int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of every candidate of a labelled table, and whether what they show of it lies in a finding."""
+    x, y = [], []
+    for text, start, end, label in rows:
+        spans = candidates(text)
+        x.append(windows(text, spans))
+        y += [int(label and max(a, s - LEFT) < end and start < min(b, s - LEFT + WIDTH)) for a, b in spans for s in places(a, b)]
+    return np.concatenate(x), np.array(y)
+
+
 def _classes() -> np.ndarray:
     """Symbol by code point below 256; others share one. 1-36 letters and digits by case, then marks."""
     table = np.full(257, 63, np.int64)
@@ -94,13 +145,14 @@ def probabilities(net: dict, x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(net["scale"] * z + net["shift"], -30, 30)))
 
 
-def train(docs: DataFrame, sample_docs: int = 12_000, recall: float = 0.99, epochs: int = 12, seed: int = 7, id_col: str = "doc_id", text_col: str = "text") -> dict | None:
-    """Fit the network to labelled findings of about sample_docs documents (taken by a hash of the id).
+def train(docs: DataFrame, sample_docs: int = 12_000, findings: int = 1500, recall: float = 0.95, epochs: int = 12, seed: int = 7, most: int = 3000, negatives: int = 12, id_col: str = "doc_id", text_col: str = "text") -> dict:
+    """Fit the network to a table of labelled findings and to those of about sample_docs documents (taken by a hash of the id).
 
-    A window is labelled 1 if what it shows of its candidate overlaps a base finding. Half the positives are repeated
-    with the surroundings of a negative, so that shape counts and not the keyword alone. A fifth is
-    held back: it scales the outputs (Platt) and sets the threshold, the highest that keeps the
-    wanted recall there, and not below 0.5. Returns None if either class is missing.
+    The table (see labelled) has `findings` credentials of kinds that the base patterns miss, and as many ordinary runs. A window of a
+    document is labelled 1 if what it shows of its candidate overlaps a base finding; at most `most` such windows and `negatives`
+    times as many others are used. Half of them are repeated with the surroundings of a negative, so that shape counts and
+    not the keyword alone. A fifth of all is held back: it scales the outputs (Platt) and sets the threshold, the highest that
+    keeps the wanted recall there.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null and id is not null")
     rate = min(1.0, sample_docs / max(1, rows.count()))
@@ -118,21 +170,18 @@ def train(docs: DataFrame, sample_docs: int = 12_000, recall: float = 0.99, epoc
             yield pa.record_batch([pa.array(ids, pa.string()), pa.array(starts, pa.int64()), pa.array(labels, pa.int64()), pa.array(codes, pa.binary())], names=["id", "start", "label", "code"])
 
     found = rows.where(uniform("id") < rate).mapInArrow(find, "id string, start bigint, label bigint, code binary")
-    found = found.groupBy("code").agg(F.max("label").alias("label")).orderBy("code").toArrow()
-    y = found["label"].to_numpy()
-    if len(set(y.tolist())) < 2:
-        return None
-    x = np.stack([np.frombuffer(c, np.uint8) for c in found["code"].to_pylist()]).astype(np.int64)
+    found = found.groupBy("code").agg(F.max("label").alias("label"))
+    pos = found.where("label = 1").orderBy(F.xxhash64("code"), "code").limit(most).toArrow()
+    neg = found.where("label = 0").orderBy(F.xxhash64("code"), "code").limit(negatives * max(pos.num_rows, most // 10)).toArrow()
     rng = np.random.default_rng(seed)
-    pos, neg = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    if len(neg) > 12 * len(pos) + 200:
-        neg = rng.permutation(neg)[: 12 * len(pos) + 200]
-    if len(pos) > 3000:
-        pos = rng.permutation(pos)[:3000]
-    bare = x[rng.permutation(pos)[: (len(pos) + 1) // 2]].copy()
-    around = x[rng.choice(neg, len(bare))]
-    bare[:, :LEFT] = around[:, :LEFT]
-    x, y = np.concatenate([x[pos], bare, x[neg]]), np.concatenate([np.ones(len(pos) + len(bare)), np.zeros(len(neg))])
+    read = lambda t: np.frombuffer(b"".join(t["code"].to_pylist()), np.uint8).reshape(-1, WIDTH).astype(np.int64)
+    own, others = read(pos), read(neg)
+    x, y = labelled_windows(labelled(findings, seed))
+    if len(own) and len(others):
+        bare = own[: (len(own) + 1) // 2].copy()
+        bare[:, :LEFT] = others[rng.choice(len(others), len(bare))][:, :LEFT]
+        own = np.concatenate((own, bare))
+    x, y = np.concatenate([x, own, others]), np.concatenate([y, np.ones(len(own)), np.zeros(len(others))])
     order = rng.permutation(len(y))
     x, y = x[order], y[order]
     held = np.arange(len(y)) % 5 == 0
@@ -141,7 +190,7 @@ def train(docs: DataFrame, sample_docs: int = 12_000, recall: float = 0.99, epoc
     net["scale"], net["shift"] = _platt(z, y[held])
     p = 1 / (1 + np.exp(-np.clip(net["scale"] * z + net["shift"], -30, 30)))
     hits = np.sort(p[y[held] == 1])
-    net["threshold"] = max(0.5, float(hits[int((1 - recall) * len(hits))])) if len(hits) else 0.5
+    net["threshold"] = float(hits[int((1 - recall) * len(hits))])
     return net
 
 
