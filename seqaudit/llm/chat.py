@@ -23,16 +23,18 @@ def _lines(text: Column) -> Column:
     return F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.struct(_level(x).alias("level"), F.regexp_replace(x, QUOTE, "").alias("line")))
 
 
-def linked(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """One row per message: conversation, turn, role, text without quotes, reply_to, thread, rendered.
+def linked(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", least_words: int = 5) -> DataFrame:
+    """One row per message: conversation, turn, role, text without quotes, reply_to, reply_conv, thread, rendered.
 
     Lines that begin with `>` are quoted, as deep as they have marks; lines of one depth in a row are a
     passage. Its normalised hash is joined to earlier messages of the conversation whose own text,
     a paragraph or a line of it is the same; the latest such message is its source. A passage that
     is none of these has as source the latest earlier message whose own text holds all its lines, or
     all its paragraphs, one after another (blank lines do not count). A message replies
-    to the source of its shallowest passages (most passages, then the latest); without one, reply_to is
-    null. thread is the turn at the root of its replies (its own turn without one), so the order
+    to the source of its shallowest passages (most passages, then the latest). Where the conversation has none,
+    a passage of least_words words or more is joined to the messages of all other conversations; the first by
+    conversation and turn is the source, in reply_conv and reply_to, and the message stays in its own conversation.
+    thread is the turn at the root of its replies there (its own turn without one), so the order
     (conversation, thread, turn) puts every reply after its message. rendered is the chat form.
 
     Null text is empty; null conversations and turns link with nothing and are their own thread (null);
@@ -42,14 +44,11 @@ def linked(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
     rows = messages.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), _lines(F.col(text_col)).alias("lines"))
     own = F.btrim(F.array_join(F.transform(F.filter("lines", lambda x: x["level"] == 0), lambda x: x["line"]), "\n"), F.lit(" \t\r\n"))
     rows = written(rows.select("conv", "turn", "role", own.alias("own"), F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("at"), x["level"].alias("level"), x["line"].alias("line"))), lambda x: x["level"] > 0).alias("quoted")), "messages")
-    where = "conv is not null and turn is not null"
-    parent = _parents(rows.where(where)) if not rows.where(where).where("size(quoted) > 0").isEmpty() else None
-    if parent is None:
-        out = rows.withColumn("reply_to", F.lit(None).cast(messages.schema[turn_col].dataType)).withColumn("thread", F.col("turn"))
-    else:
-        out = rows.join(_roots(parent), ["conv", "turn"], "left").withColumn("thread", F.coalesce("root", "turn"))
+    parent = written(_parents(rows.where("conv is not null and turn is not null"), least_words), "parents")
+    roots = _roots(parent.where("conv = reply_conv").drop("reply_conv"))
+    out = rows.join(parent, ["conv", "turn"], "left").join(roots.select("conv", "turn", "root"), ["conv", "turn"], "left").withColumn("thread", F.coalesce("root", "turn"))
     mark = F.concat(F.lit("<|"), F.coalesce("role", F.lit("user")), F.lit("|>\n"), F.col("own"), F.lit("\n"))
-    return out.select(F.col("conv").alias(conv_col), F.col("turn").alias(turn_col), F.col("role").alias(role_col), F.col("own").alias(text_col), "reply_to", "thread", mark.alias("rendered"))
+    return out.select(F.col("conv").alias(conv_col), F.col("turn").alias(turn_col), F.col("role").alias(role_col), F.col("own").alias(text_col), "reply_to", "reply_conv", "thread", mark.alias("rendered"))
 
 
 def _units(text: Column, kind: str) -> Column:
@@ -85,8 +84,8 @@ def _held(rows: DataFrame, left: DataFrame, kind: str) -> DataFrame:
     return _latest(held, wanted.drop("first", "n"))
 
 
-def _parents(rows: DataFrame) -> DataFrame:
-    """(conv, turn, reply_to) for the messages with a linked quotation."""
+def _parents(rows: DataFrame, least_words: int) -> DataFrame:
+    """(conv, turn, reply_to, reply_conv) for the messages with a linked quotation."""
     lines = rows.where("size(quoted) > 0").select("conv", "turn", F.explode("quoted").alias("q")).select("conv", "turn", "q.*")
     run = F.col("at") - F.row_number().over(Window.partitionBy("conv", "turn", "level").orderBy("at"))
     passages = lines.withColumn("run", run).groupBy("conv", "turn", "level", "run").agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("x"))
@@ -94,13 +93,19 @@ def _parents(rows: DataFrame) -> DataFrame:
     passages = passages.select("conv", "turn", "level", "run", text.alias("text"), F.md5(_plain(text)).alias("hash")).where(_plain(F.col("text")) != "")
     units = F.concat(F.array("own"), F.split("own", r"\n[ \t]*\n"), F.split("own", "\n"))
     units = F.array_distinct(F.filter(F.transform(units, _plain), lambda x: x != ""))
-    originals = rows.select("conv", "turn", F.explode(F.transform(units, F.md5)).alias("hash"))
-    first = written(_latest(originals, passages), "passages")
+    originals = rows.select("conv", "turn", F.explode(units).alias("unit")).select("conv", "turn", F.md5("unit").alias("hash"), (F.size(F.split("unit", " ")) >= least_words).alias("long"))
+    first = written(_latest(originals.drop("long"), passages), "passages")
     left = first.where("source is null").select("conv", "turn", "level", "run", "text")
     found = _held(rows, left, "line").unionByName(_held(rows, left, "paragraph")).groupBy("conv", "turn", "level", "run").agg(F.max("source").alias("source"))
-    links = first.select("conv", "turn", "level", "source").unionByName(found.select("conv", "turn", "level", "source")).where("source is not null")
-    counted = links.groupBy("conv", "turn", "level", "source").count()
-    return counted.groupBy("conv", "turn").agg(F.max_by("source", F.struct(-F.col("level"), F.col("count"), F.col("source"))).alias("reply_to"))
+    key = ["conv", "turn", "level", "run"]
+    links = written(first.select(*key, "source").unionByName(found.select(*key, "source")).where("source is not null"), "links")
+    # what a conversation does not hold: by hash over all of them, of which one row a wanted passage comes back
+    wanted = first.where("source is null").join(links.select("conv", "turn").distinct(), ["conv", "turn"], "left_anti").where(F.size(F.split(_plain(F.col("text")), " ")) >= least_words).select(*key, "hash")
+    other = originals.where("long").join(wanted.select("hash").distinct(), "hash", "left_semi").groupBy("hash").agg(F.min(F.struct("conv", "turn")).alias("x"))
+    away = wanted.join(other, "hash").select(*key, F.col("x.turn").alias("source"), F.col("x.conv").alias("reply_conv")).where("reply_conv <> conv")
+    counted = links.withColumn("reply_conv", F.col("conv")).unionByName(away).groupBy("conv", "turn", "level", "source", "reply_conv").count()
+    best = F.max_by(F.struct("source", "reply_conv"), F.struct(-F.col("level"), F.col("count"), F.col("source"))).alias("x")
+    return counted.groupBy("conv", "turn").agg(best).select("conv", "turn", F.col("x.source").alias("reply_to"), F.col("x.reply_conv").alias("reply_conv"))
 
 
 def _roots(parent: DataFrame) -> DataFrame:
@@ -114,10 +119,15 @@ def _roots(parent: DataFrame) -> DataFrame:
             return now
 
 
-def transcripts(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn") -> DataFrame:
-    """(conversation, thread, n_messages, transcript) from linked(): rendered messages in reply order.
+def transcripts(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", turns: int = 200) -> DataFrame:
+    """(conversation, part, n_messages, n_replies, transcript) from linked(): rendered messages in reply order, without quotes.
 
-    A row is one training example, so a thread must fit in a row.
+    Every message follows the one it replies to; threads come by the turn of their root. A part holds the
+    threads whose roots lie in `turns` turns in a row, so that a conversation of any length is cut into training examples
+    of bounded length (a thread stays whole). Messages without conversation or turn are transcripts of their own.
     """
-    got = messages.groupBy(conv_col, "thread").agg(F.count("*").alias("n_messages"), F.array_sort(F.collect_list(F.struct(turn_col, "rendered"))).alias("x"))
-    return got.select(conv_col, "thread", "n_messages", F.array_join("x.rendered", "").alias("transcript"))
+    placed = F.col(conv_col).isNotNull() & F.col(turn_col).isNotNull()
+    got = messages.where(placed).groupBy(conv_col, F.floor(F.col("thread") / turns).alias("part")).agg(F.count("*").alias("n_messages"), F.count("reply_to").alias("n_replies"), F.array_sort(F.collect_list(F.struct("thread", turn_col, "rendered"))).alias("x"))
+    got = got.select(conv_col, "part", "n_messages", "n_replies", F.array_join("x.rendered", "").alias("transcript"))
+    alone = messages.where(~placed).select(conv_col, F.lit(None).cast("bigint").alias("part"), F.lit(1).cast("bigint").alias("n_messages"), F.lit(0).cast("bigint").alias("n_replies"), F.col("rendered").alias("transcript"))
+    return got.unionByName(alone)

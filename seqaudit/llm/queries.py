@@ -25,7 +25,7 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.linked(table(spark, sf_dir, "conversations"))
+    return chat.transcripts(chat.linked(table(spark, sf_dir, "conversations")))
 
 
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -563,8 +563,10 @@ def test_chat_links_quotations(spark):
     assert {k: at[k]["reply_to"] for k in want} == want
     assert [at[1, n]["thread"] for n in range(7)] == [0, 0, 2, 0, 2, 5, 0]
     assert at[1, 3]["text"] == "Good.\n\nReally." and at[1, 6]["rendered"] == "<|user|>\nYes\n" and at[2, 1]["text"] == ""
-    texts = {(r["conv_id"], r["thread"]): r["transcript"] for r in chat.transcripts(chat.linked(messages)).collect()}
-    assert texts[1, 0] == "<|user|>\nHello there.\nHow ARE   you?\n<|assistant|>\nFine.\n<|assistant|>\nGood.\n\nReally.\n<|user|>\nYes\n"
+    texts = {r["conv_id"]: r for r in chat.transcripts(chat.linked(messages)).collect()}
+    assert texts[1]["transcript"] == "<|user|>\nHello there.\nHow ARE   you?\n<|assistant|>\nFine.\n<|assistant|>\nGood.\n\nReally.\n<|user|>\nYes\n<|user|>\nAn aside\n<|user|>\nNoted\n<|user|>\nAlone\n"
+    assert (texts[1]["n_messages"], texts[1]["n_replies"], texts[2]["n_messages"], texts[None]["transcript"]) == (7, 4, 3, "<|user|>\n\n")
+    assert chat.transcripts(chat.linked(messages), turns=2).where("conv_id = 1").count() == 3
     assert chat.linked(messages.limit(0)).count() == 0 and chat.linked(messages.where("text not like '%>%'")).where("reply_to is not null").count() == 0
 
 
@@ -580,6 +582,30 @@ def test_chat_links_parts_of_a_message(spark):
     assert [got[1, n] for n in range(12)] == [None, None, 0, 0, 0, 1, None, None, None, 0, None, 10] and got[2, 0] is None
 
 
+def test_planted_quotes_are_found(spark):
+    """Random conversations whose replies quote whole messages, in the same or another conversation: brute force over all of them."""
+    rng = random.Random(11)
+    say = lambda: " ".join(rng.choice(["stone", "river", "cloud", "field", "lamp"]) + str(rng.randrange(90)) for _ in range(rng.randrange(6, 12)))
+    own, rows, want = {}, [], {}
+    for c in range(12):
+        for t in range(10):
+            own[c, t] = say()
+            at = rng.random()
+            if at < 0.4 and t:
+                want[c, t] = (c, rng.randrange(t))
+            elif at < 0.6 and c:
+                want[c, t] = (rng.randrange(c), rng.randrange(10))
+            quote = own.get(want.get((c, t)))
+            rows.append((c, t, "user", f"> {quote.upper()}\n{own[c, t]}" if quote else own[c, t]))
+    got = chat.linked(spark.createDataFrame(rows, "conv_id int, turn int, role string, text string").repartition(5))
+    assert {(r["conv_id"], r["turn"]): (r["reply_conv"], r["reply_to"]) for r in got.where("reply_to is not null").collect()} == want
+    lines = {r["conv_id"]: r["transcript"].split("\n")[1::2] for r in chat.transcripts(got).collect()}
+    for c in range(12):
+        place = {text: n for n, text in enumerate(lines[c])}
+        assert sorted(lines[c]) == sorted(own[c, t] for t in range(10))
+        assert all(place[own[c, t]] > place[own[w]] for (d, t), w in want.items() if d == c == w[0])
+
+
 def test_components(spark):
     rng = random.Random(3)
     pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)] + [(1000 + i, 1001 + i) for i in range(60)]
