@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,7 +104,7 @@ def _distance() -> Column:
 
 
 def estimates(rows: DataFrame, share: float, steps: int, broadcast_rows: int) -> DataFrame:
-    """Minimum-covariance-determinant estimate by group: two starts, concentration steps, the smaller determinant.
+    """Minimum-covariance-determinant estimate by group: two starts, concentration steps until no determinant falls by more, the smaller determinant.
 
     Starts take the rows nearest the coordinatewise median, by the sum and by the largest of the
     scaled deviations; a step keeps the `share` of a group's rows nearest the current estimate.
@@ -118,46 +120,69 @@ def estimates(rows: DataFrame, share: float, steps: int, broadcast_rows: int) ->
         cut = scored.groupBy("grp", "start").agg(F.percentile_approx("d", share, 1000).alias("cut"))
         return scored.join(small_or_shuffled(cut, broadcast_rows), ["grp", "start"]).where("d <= cut")
 
-    now = written(_moments(nearest(both)), "mcd")
+    now, last = written(_moments(nearest(both)), "mcd"), None
     for _ in range(steps):
         scored = both.drop("d").join(small_or_shuffled(now, broadcast_rows), ["grp", "start"]).select("grp", "start", *names, _distance().alias("d"))
-        now = written(_moments(nearest(scored)), "mcd")
+        last, now = now, written(_moments(nearest(scored)), "mcd")
+        moved = now.select("grp", "start", "det").join(last.select("grp", "start", F.col("det").alias("was")), ["grp", "start"]).where("was - det > 1e-3")
+        if moved.isEmpty():
+            break
     return now.groupBy("grp").agg(F.min_by(F.struct(*[c for c in now.columns if c not in ("grp",)]), F.struct("det", "start")).alias("e")).select("grp", "e.*").drop("start", "det")
 
 
-def _judged(docs, text_col, lang_col, source_col, keep, share, steps, cutoff, min_rows, broadcast_rows):
+def cutoff(share: float, tail: float) -> float:
+    """The squared distance that a clean normal row of len(DIMS) = 4 statistics passes with probability tail.
+
+    The chi-square quantile, over the factor by which the covariance of the `share` nearest rows is too small. For even
+    numbers of statistics both distributions have closed forms.
+    """
+    def above(x: float, half: int) -> float:  # P(chi-square of 2 * half > x)
+        return math.exp(-x / 2) * sum((x / 2) ** i / math.factorial(i) for i in range(half))
+
+    def quantile(p: float, half: int) -> float:
+        low, high = 0.0, 1e4
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if above(mid, half) > p else (low, mid)
+        return low
+
+    half = len(DIMS) // 2
+    return quantile(tail, half) * share / (1 - above(quantile(1 - share, half), half + 1))
+
+
+def _judged(docs, text_col, lang_col, source_col, keep, share, steps, tail, min_rows, broadcast_rows):
     rows = measured(docs, text_col, lang_col, source_col, keep)
     good = rows.where(~F.col("base_failed"))
     large = good.groupBy("grp").count().where(F.col("count") >= min_rows).select("grp", F.lit(True).alias("own_estimate"))
     rows = rows.join(small_or_shuffled(large, broadcast_rows), "grp", "left").withColumn("grp", F.when(F.col("own_estimate"), F.col("grp")).otherwise("*")).drop("own_estimate")
     good = rows.where(~F.col("base_failed")).select("grp", *DIMS)
-    if good.where("grp = '*'").limit(min_rows).count() < min_rows:
-        good = good.where("grp <> '*'")
+    if not rows.where("grp = '*'").isEmpty():
+        good = good.where("grp <> '*'").unionByName(good.withColumn("grp", F.lit("*")))
     made = small_or_shuffled(written(estimates(good, share, steps, broadcast_rows), "mcd"), broadcast_rows)
     scored = rows.join(made, "grp", "left").select("own", *STATS, "base_failed", _distance().alias("distance"))
-    kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))
+    kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff(share, tail), F.lit(True))
     return scored.withColumn("kept", kept)
 
 
-def rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", keep=("doc_id",), share: float = 0.75, steps: int = 2, cutoff: float = 40.0, min_rows: int = 40, broadcast_rows: int = 20_000) -> DataFrame:
+def rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", keep=("doc_id",), share: float = 0.75, steps: int = 8, tail: float = 2e-5, min_rows: int = 40, broadcast_rows: int = 20_000) -> DataFrame:
     """The columns in keep, STATS, base_failed, distance and kept for every row.
 
     kept is false if a base rule fails; else it is the method's verdict: the squared Mahalanobis
     distance of (log mean word length, log symbol rate, log duplicate-line rate, root of the repeated
-    share) from the estimate of the row's language and source is at most `cutoff`. Estimates come from
-    all rows that pass the base rules. Groups of fewer than min_rows such rows are estimated
-    together; if those are too few as well they are all kept. Null language and source are groups
+    share) from the estimate of the row's language and source is at most what a clean row exceeds with probability `tail`
+    (see cutoff). Estimates come from all rows that pass the base rules. Groups of fewer than min_rows such rows are judged by the estimate
+    over all groups together. Without any such row nothing is left to judge. Null language and source are groups
     of their own; null and empty texts fail the base rule; repeated rows each count and give a row;
     an empty table gives an empty result; columns outside keep are not read, and kept ones travel in
     a struct, so their names cannot clash inside. Group tables are broadcast only up to broadcast_rows.
     """
-    got = _judged(docs, text_col, lang_col, source_col, keep, share, steps, cutoff, min_rows, broadcast_rows)
+    got = _judged(docs, text_col, lang_col, source_col, keep, share, steps, tail, min_rows, broadcast_rows)
     return got.select("own.*", *STATS, "base_failed", "distance", "kept")
 
 
-def passing(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", share: float = 0.75, steps: int = 2, cutoff: float = 40.0, min_rows: int = 40, broadcast_rows: int = 20_000) -> DataFrame:
+def passing(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", share: float = 0.75, steps: int = 8, tail: float = 2e-5, min_rows: int = 40, broadcast_rows: int = 20_000) -> DataFrame:
     """The rows of docs, all columns, that rules() keeps. The verdict is one of text, language and source: only their keys are joined back."""
     of = (text_col, lang_col, source_col)
     keyed = docs.select(*of, *row_key(*of))
-    got = _judged(keyed, text_col, lang_col, source_col, ("key_1", "key_2"), share, steps, cutoff, min_rows, broadcast_rows)
+    got = _judged(keyed, text_col, lang_col, source_col, ("key_1", "key_2"), share, steps, tail, min_rows, broadcast_rows)
     return without(docs, written(got.where("not kept").select("own.*").distinct(), "rejected"), of)

@@ -414,6 +414,12 @@ def test_quality_outliers(spark):
     assert stay.columns == docs.columns and stay.count() == sum(got.values())
 
 
+def test_cutoff_is_a_quantile():
+    """Against simulated chi-squares; 0.75 of the rows have 1 / 1.487 of the covariance in four dimensions."""
+    x = np.random.default_rng(1).chisquare(4, 400_000)
+    assert quality.cutoff(0.75, 0.01) == pytest.approx(np.quantile(x, 0.99) * 1.487, rel=0.02) and quality.cutoff(1.0, 0.01) == pytest.approx(13.277, rel=1e-3)
+
+
 def test_estimate_is_numpy_s(spark):
     rng = np.random.default_rng(0)
     x = rng.multivariate_normal([1, 2, 3, 4], np.diag([0.04, 0.5, 0.1, 0.3]) + 0.02, 500)
