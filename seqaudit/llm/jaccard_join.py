@@ -108,63 +108,61 @@ def _blob(*arrays: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
 
 
-def measured(docs: DataFrame, k: int, percent: int, buckets: int, flush: int = 1_500_000) -> DataFrame:
-    """One pass over docs (id, text), rows of two kinds: (id, n, h1, h2), the size and digest of each row's
-    set, and (bucket, n, blob), segments packed by bucket of their digest. Copies within a task travel once.
+def packed(docs: DataFrame, k: int, percent: int, buckets: int, flush: int = 1_500_000) -> DataFrame:
+    """(bucket, n, blob): one pass over docs (id, text).
+
+    A chunk of documents gives a row for each bucket of its segments' digests, with n segments, and one with n = -1 for
+    the sizes and digests of all its sets. Copies within a chunk post their segments once.
     """
-    names = ["id", "n", "h1", "h2", "bucket", "blob"]
-    types = [pa.int64()] * 5 + [pa.binary()]
 
     def post(batches):
-        ids, sigs, held, seen = [], [], 0, set()
+        from pyspark import TaskContext
+
+        part, serial, sizes, ids, sigs, held, seen = TaskContext.get().partitionId(), 0, [], [], [], 0, set()
 
         def close():
-            s, c, least = (np.concatenate(x) for x in zip(*sigs))
-            d = np.repeat(np.array([i for i, _ in ids], np.int64), [n for _, n in ids])
-            where = (s % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(where, kind="stable")
-            rows = []
-            for own in np.split(order, np.flatnonzero(np.diff(where[order])) + 1):
-                low = (s[own] >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]
-                rows.append((None, len(own), None, None, int(where[own[0]]), _blob(np.diff(d[own], prepend=0), c[own].astype(np.int32), least[own].astype(np.int32), low)))
-            return pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), types)], names=names)
+            keys, n, high, low = zip(*sizes)
+            known = np.array([i is not None for i in keys])
+            rows = [((part * 7919 + serial) % buckets, -1, _blob(np.array([i or 0 for i in keys], np.int64), np.array(n, np.int64), np.array(high, np.int64), np.array(low, np.int64), known))]
+            if sigs:
+                s, c, least = (np.concatenate(x) for x in zip(*sigs))
+                d = np.repeat(np.array([i for i, _ in ids], np.int64), [n for _, n in ids])
+                where = (s % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(where, kind="stable")
+                for own in np.split(order, np.flatnonzero(np.diff(where[order])) + 1):
+                    digest = (s[own] >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]
+                    rows.append((int(where[own[0]]), len(own), _blob(np.diff(d[own], prepend=0), c[own].astype(np.int32), least[own].astype(np.int32), digest)))
+            return pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))], names=["bucket", "n", "blob"])
 
         for batch in batches:
-            sizes = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 own = shingle_set(text, k)
-                if not len(own):
-                    sizes.append((key, 0, 0, 0, None, None))
-                    continue
-                mixed = _mixed(own + _MIX[3])
-                digest = int(np.bitwise_xor.reduce(mixed).view(np.int64)), int(mixed.sum(dtype=np.uint64).view(np.int64))
-                sizes.append((key, len(own), *digest, None, None))
-                if key is None or digest in seen:
-                    continue
-                seen.add(digest)
-                got = signatures(own, percent)
-                ids.append((key, len(got[0])))
-                sigs.append(got)
-                held += len(got[0])
-                if held >= flush:
+                digest = (0, 0)
+                if len(own):
+                    mixed = _mixed(own + _MIX[3])
+                    digest = int(np.bitwise_xor.reduce(mixed).view(np.int64)), int(mixed.sum(dtype=np.uint64).view(np.int64))
+                sizes.append((key, len(own), *digest))
+                if len(own) and key is not None and digest not in seen:
+                    seen.add(digest)
+                    got = signatures(own, percent)
+                    ids.append((key, len(got[0])))
+                    sigs.append(got)
+                    held += len(got[0])
+                if held >= flush or len(sizes) >= flush:
                     yield close()
-                    ids, sigs, held, seen = [], [], 0, set()
-            yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*sizes) if sizes else [[]] * 6, types)], names=names)
-        if ids:
+                    serial, sizes, ids, sigs, held, seen = serial + 1, [], [], [], 0, set()
+        if sizes:
             yield close()
 
-    return docs.mapInArrow(post, "id bigint, n bigint, h1 bigint, h2 bigint, bucket bigint, blob binary")
+    return docs.mapInArrow(post, "bucket bigint, n bigint, blob binary")
 
 
-def postings(packed: DataFrame, copies: DataFrame) -> DataFrame:
-    """(id, sigs): the segments by which a document can meet all that link with it.
+def meetings(packed: DataFrame) -> DataFrame:
+    """(id, kind, least, times, sig): segments that more than one document has, and how many have them.
 
-    A segment that one document has goes no further. Of its q shared segments in a class a document keeps the
-    q - least + 1 that fewest documents have: of the `least` or more that two linked documents share, the
-    one of fewest documents is then kept by both (the prefix filter, with segments for tokens). So
-    common passages, whose segments many documents have, do not bring their documents together.
-    copies (a, b) has for ids with one set the least id that has the same: it stands for all.
+    Rows of kind -1 are the documents' sizes: least is the size, times and sig the digest.
     """
+    names = ["id", "kind", "least", "times", "sig"]
 
     def meet(batches):
         bucket, held = None, []
@@ -177,22 +175,39 @@ def postings(packed: DataFrame, copies: DataFrame) -> DataFrame:
             times[order] = np.repeat(np.diff(np.append(lead, len(s))), np.diff(np.append(lead, len(s))))
             many = times > 1
             sig = (s[many].astype(np.int64) << 14) ^ np.int64(bucket)
-            return pa.record_batch([pa.array(x.astype(np.int64)) for x in (d[many], c[many], least[many], times[many], sig)], names=["id", "kind", "least", "times", "sig"])
+            return pa.record_batch([pa.array(x.astype(np.int64)) for x in (d[many], c[many], least[many], times[many], sig)], names=names)
 
         for batch in batches:
             for own, n, blob in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                raw = zstandard.ZstdDecompressor().decompress(blob)
+                if n < 0:
+                    n = len(raw) // 33
+                    known = np.frombuffer(raw, bool, n, 32 * n)
+                    columns = [np.frombuffer(raw, np.int64, n, 8 * n * i) for i in range(4)]
+                    yield pa.record_batch([pa.array(columns[0], mask=~known), pa.array(np.full(n, -1)), *map(pa.array, columns[1:])], names=names)
+                    continue
                 if own != bucket and held:
                     yield shared()
                     held = []
                 bucket = own
-                raw = zstandard.ZstdDecompressor().decompress(blob)
                 low = np.zeros((n, 8), np.uint8)
                 low[:, :6] = np.frombuffer(raw, np.uint8, 6 * n, 16 * n).reshape(n, 6)
                 held.append((np.cumsum(np.frombuffer(raw, np.int64, n)), np.frombuffer(raw, np.int32, n, 8 * n), np.frombuffer(raw, np.int32, n, 12 * n), low.view(np.uint64).ravel()))
         if held:
             yield shared()
 
-    met = packed.select("bucket", "n", "blob").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "id bigint, kind bigint, least bigint, times bigint, sig bigint")
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "id bigint, kind bigint, least bigint, times bigint, sig bigint")
+
+
+def postings(met: DataFrame, copies: DataFrame) -> DataFrame:
+    """(id, sigs): the segments by which a document can meet all that link with it.
+
+    A segment that one document has goes no further. Of its q shared segments in a class a document keeps the
+    q - least + 1 that fewest documents have: of the `least` or more that two linked documents share, the
+    one of fewest documents is then kept by both (the prefix filter, with segments for tokens). So
+    common passages, whose segments many documents have, do not bring their documents together.
+    copies (a, b) has for ids with one set the least id that has the same: it stands for all.
+    """
     by_doc = met.groupBy("id", "kind").agg(F.min("least").alias("least"), F.array_sort(F.collect_list(F.struct("times", "sig"))).alias("x"))
     by_doc = by_doc.where(F.size("x") >= F.col("least")).select("id", F.slice("x.sig", F.lit(1), (F.size("x") - F.col("least") + 1).cast("int")).alias("sigs"))
     by_doc = by_doc.join(copies.select(F.col("a").alias("id"), "b"), "id", "left").select(F.coalesce("b", "id").alias("id"), "sigs")
@@ -299,14 +314,14 @@ def classes(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_i
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     with Scratch(spark) as scratch:
-        cut = scratch.written(measured(rows, k, percent, buckets), "segments")
-        sizes = scratch.written(cut.where("blob is null").select("id", "n", "h1", "h2"), "sizes")
+        raw = scratch.written(meetings(packed(rows, k, percent, buckets)), "segments")
+        sizes = scratch.written(raw.where("kind = -1").select("id", F.col("least").alias("n"), F.col("times").alias("h1"), F.col("sig").alias("h2")), "sizes")
         full = sizes.where("n > 0 and id is not null")
         least = full.groupBy("h1", "h2").agg(F.min("id").alias("b"), F.max("id").alias("top")).where("b < top").drop("top")
         copies = scratch.written(spread_join(full.select("id", "h1", "h2"), scratch.written(least, "copies"), ["h1", "h2"]).select(F.col("id").alias("a"), "b").where("a <> b").distinct(), "copies")
         one = full.groupBy("id").agg(F.min(F.struct("h1", "h2")).alias("x"), F.max(F.struct("h1", "h2")).alias("y")).where("x = y").select(F.col("id").alias("a"))
-        met = scratch.written(postings(cut.where("blob is not null"), copies.join(one, "a", "left_semi")), "postings")
-        scratch.drop(cut)
+        met = scratch.written(postings(raw.where("kind >= 0"), copies.join(one, "a", "left_semi")), "postings")
+        scratch.drop(raw)
         own = met.select("id", F.explode("sigs").alias("sig"))
         first = own.groupBy("sig").agg(F.min("id").alias("a"), F.max("id").alias("top")).where("a < top").drop("top")
         pairs = scratch.written(own.join(first, "sig").where("id <> a").groupBy("a", F.col("id").alias("b")).agg(F.count("*").alias("n")), "pairs")

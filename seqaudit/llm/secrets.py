@@ -94,7 +94,7 @@ def labelled_windows(rows: list[tuple[str, int, int, int]]) -> tuple[np.ndarray,
 
 def _classes() -> np.ndarray:
     """Symbol by code point below 256; others share one. 1-36 letters and digits by case, then marks."""
-    table = np.full(257, 63, np.int64)
+    table = np.full(257, 63, np.uint8)
     for n, c in enumerate("0123456789"):
         table[ord(c)] = 1 + n
     for n in range(26):
@@ -119,7 +119,7 @@ def places(a: int, b: int) -> range:
 def windows(text: str, spans: list[tuple[int, int]]) -> np.ndarray:
     """Symbols of each window of each candidate, in order; SYMBOLS is added inside the candidate."""
     laid = [(a, b, s - LEFT) for a, b in spans for s in places(a, b)]
-    out = np.zeros((len(laid), WIDTH), np.int64)
+    out = np.zeros((len(laid), WIDTH), np.uint8)
     for n, (a, b, start) in enumerate(laid):
         low = max(0, start)
         piece = np.frombuffer(text[low : start + WIDTH].encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -166,7 +166,7 @@ def train(docs: DataFrame, sample_docs: int = 12_000, findings: int = 1500, reca
                 ids += [str(key)] * len(laid)
                 starts += [a for a, _ in laid]
                 labels += [int(any(a < e and s < b for s, _, e in base)) for a, b in laid]
-                codes += [x.astype(np.uint8).tobytes() for x in windows(text, spans)]
+                codes += [x.tobytes() for x in windows(text, spans)]
             yield pa.record_batch([pa.array(ids, pa.string()), pa.array(starts, pa.int64()), pa.array(labels, pa.int64()), pa.array(codes, pa.binary())], names=["id", "start", "label", "code"])
 
     found = rows.where(uniform("id") < rate).mapInArrow(find, "id string, start bigint, label bigint, code binary")
@@ -174,7 +174,7 @@ def train(docs: DataFrame, sample_docs: int = 12_000, findings: int = 1500, reca
     pos = found.where("label = 1").orderBy(F.xxhash64("code"), "code").limit(most).toArrow()
     neg = found.where("label = 0").orderBy(F.xxhash64("code"), "code").limit(negatives * max(pos.num_rows, most // 10)).toArrow()
     rng = np.random.default_rng(seed)
-    read = lambda t: np.frombuffer(b"".join(t["code"].to_pylist()), np.uint8).reshape(-1, WIDTH).astype(np.int64)
+    read = lambda t: np.frombuffer(b"".join(t["code"].to_pylist()), np.uint8).reshape(-1, WIDTH)
     own, others = read(pos), read(neg)
     x, y = labelled_windows(labelled(findings, seed))
     if len(own) and len(others):
