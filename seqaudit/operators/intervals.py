@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -15,18 +15,36 @@ def merge_intervals(spans: DataFrame, keys: list[str]) -> DataFrame:
     return marked.groupBy(*keys, "_island").agg(F.min("s0").alias("s0"), F.max("s1").alias("s1")).drop("_island")
 
 
-def interval_overlap(queries: DataFrame, spans: DataFrame, key: str = "accession", cls: str = "cls") -> DataFrame:
-    """Covered length and share of each query [w0, w1) by each class, spans merged first."""
-    merged = merge_intervals(spans, [key, cls])
-    met = queries.join(merged, (queries[key] == merged[key]) & (merged["s0"] < queries["w1"]) & (merged["s1"] > queries["w0"])).drop(merged[key])
-    got = met.groupBy(*queries.columns, cls).agg(F.sum(F.least("w1", "s1") - F.greatest("w0", "s0")).alias("covered"))
-    return got.withColumn("frac", F.col("covered") / (F.col("w1") - F.col("w0")))
+def _binned(df: DataFrame, low: str, last: Column, size: int | None) -> DataFrame:
+    """A row for each bin of `size` positions that [low, last] touches; bin 0 without a size."""
+    if not size:
+        return df.withColumn("_bin", F.lit(0))
+    return df.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(low) / size), F.greatest(F.floor(last / size), F.floor(F.col(low) / size)))))
+
 
+def interval_overlap(queries: DataFrame, spans: DataFrame, key: str = "accession", cls: str = "cls", bin_size: int | None = None) -> DataFrame:
+    """Covered length and share of each query [w0, w1) by each class that meets it, spans merged first.
 
-def point_in_interval(points: DataFrame, spans: DataFrame, key: str = "accession", cls: str = "cls") -> DataFrame:
-    """Points with each class that has a span over their pos."""
+    Repeated queries give the same row once each; queries that no span meets give none. With bin_size the join is on
+    (key, bin), so that a long genome is spread over tasks; a pair is counted in the bin where its overlap begins.
+    """
     merged = merge_intervals(spans, [key, cls])
-    return points.join(merged, (points[key] == merged[key]) & (points["pos"] >= merged["s0"]) & (points["pos"] < merged["s1"])).select(*[points[c] for c in points.columns], cls)
+    own = queries.groupBy(*queries.columns).agg(F.count("*").alias("_times"))
+    x = _binned(own, "w0", F.col("w1") - 1, bin_size)
+    y = _binned(merged.withColumnRenamed(key, "_key"), "s0", F.col("s1") - 1, bin_size).withColumnRenamed("_bin", "_bin_s")
+    met = x.join(y, (F.col(key) == F.col("_key")) & (F.col("_bin") == F.col("_bin_s")) & (F.col("s0") < F.col("w1")) & (F.col("s1") > F.col("w0")))
+    if bin_size:
+        met = met.where(F.floor(F.greatest("s0", "w0") / bin_size) == F.col("_bin"))
+    got = met.groupBy(*queries.columns, "_times", cls).agg(F.sum(F.least("w1", "s1") - F.greatest("w0", "s0")).alias("covered"))
+    got = got.withColumn("frac", F.col("covered") / (F.col("w1") - F.col("w0")))
+    return got.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_times")))).drop("_times", "_copy")
+
+
+def point_in_interval(points: DataFrame, spans: DataFrame, key: str = "accession", cls: str = "cls", bin_size: int | None = None) -> DataFrame:
+    """Points with each class that has a span over their pos; with bin_size the join is on (key, bin)."""
+    merged = _binned(merge_intervals(spans, [key, cls]).withColumnRenamed(key, "_key"), "s0", F.col("s1") - 1, bin_size)
+    at = F.floor(F.col("pos") / bin_size) if bin_size else F.lit(0)
+    return points.join(merged, (points[key] == merged["_key"]) & (at == merged["_bin"]) & (points["pos"] >= merged["s0"]) & (points["pos"] < merged["s1"])).select(*[points[c] for c in points.columns], cls)
 
 
 def region_lengths(genomes: DataFrame, spans: DataFrame, key: str = "accession", cls: str = "cls") -> DataFrame:
@@ -61,12 +79,18 @@ def equal_windows(genomes: DataFrame, w: int, key: str = "accession") -> DataFra
 
 
 def window_scores(track: DataFrame, windows: DataFrame, key: str = "accession") -> DataFrame:
-    """Mean absolute score of each window, from prefix sums looked up at its edges."""
-    run = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    sums = track.select(key, (F.col("pos") + 1).alias("edge"), F.sum(F.abs("attr")).over(run).alias("cum"))
-    hi, lo = sums.select(key, F.col("edge").alias("w1"), F.col("cum").alias("hi")), sums.select(key, F.col("edge").alias("w0"), F.col("cum").alias("lo"))
-    got = windows.join(hi, [key, "w1"]).join(lo, [key, "w0"], "left")
-    return got.select(key, "window_index", "w0", "w1", ((F.col("hi") - F.coalesce("lo", F.lit(0.0))) / (F.col("w1") - F.col("w0"))).alias("score"))
+    """Mean absolute score of each window over its length, positions without a row counting 0.
+
+    Edges and positions are run through once in order, which gives the sum before each edge; so a track may have gaps.
+    A genome without a track has no row.
+    """
+    edges = windows.select(key, F.explode(F.array("w0", "w1")).alias("pos")).distinct().select(key, "pos", F.lit(0).alias("_kind"), F.lit(0.0).alias("_x"))
+    both = edges.unionByName(track.select(key, "pos", F.lit(1).alias("_kind"), F.abs("attr").alias("_x")))
+    run = Window.partitionBy(key).orderBy("pos", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    sums = both.withColumn("_cum", F.sum("_x").over(run)).where("_kind = 0")
+    hi, lo = sums.select(key, F.col("pos").alias("w1"), F.col("_cum").alias("_hi")), sums.select(key, F.col("pos").alias("w0"), F.col("_cum").alias("_lo"))
+    got = windows.join(track.select(key).distinct(), key, "left_semi").join(hi, [key, "w1"]).join(lo, [key, "w0"])
+    return got.select(key, "window_index", "w0", "w1", ((F.col("_hi") - F.col("_lo")) / F.nullif(F.col("w1") - F.col("w0"), F.lit(0))).alias("score"))
 
 
 def rank_windows(windows: DataFrame, score: str = "score", key: str = "accession") -> DataFrame:
@@ -85,6 +109,7 @@ def top_quantile(track: DataFrame, q: float, key: str = "accession") -> DataFram
 
 
 def top_positions(track: DataFrame, n: int = 3, key: str = "accession") -> DataFrame:
+    """The n highest positions of each key with their rank, the earlier first on ties."""
     order = Window.partitionBy(key).orderBy(F.desc("attr"), "pos")
     return track.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
@@ -110,7 +135,8 @@ def shift_null(track: DataFrame, spans: DataFrame, b: int, key: str = "accession
     """Circular-shift null of the mass in a class: observed mass, p, null mean and sd.
 
     A shifted span's mass is a difference of prefix sums, a wrapped one two of them; so the work is
-    shifts times spans, not shifts times positions. Shifts are drawn by keyed hashing.
+    shifts times spans, not shifts times positions. Shifts are drawn by keyed hashing. The track has a row for every
+    position (see dense_track), as edges are looked up by equality.
     """
     from ..functions.keyed import draw
 

@@ -2,38 +2,13 @@
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
+from ..functions.columns import log_choose
 from ..functions.keyed import draw
 from . import intervals
-from .statistics import average_rank
-
-
-@F.pandas_udf(DoubleType())
-def upper_tail(z: pd.Series) -> pd.Series:
-    """P(Z >= z) of a standard normal, for the few rows of a result."""
-    return z.map(lambda x: 0.5 * math.erfc(x / math.sqrt(2)))
-
-
-def log_factorials(spark: SparkSession, most: int) -> DataFrame:
-    """(i, lf) up to most, as running sums."""
-    run = Window.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    return spark.range(0, most + 1).toDF("i").select("i", F.sum(F.log(F.greatest("i", F.lit(1)))).over(run).alias("lf"))
-
-
-def _with_logs(df: DataFrame, most: str) -> DataFrame:
-    top = df.agg(F.max(most)).first()[0] or 0
-    table = log_factorials(df.sparkSession, int(top)).agg(F.array_sort(F.collect_list(F.struct("i", "lf"))).alias("_t")).select(F.col("_t.lf").alias("lf"))
-    return df.join(F.broadcast(table), F.lit(True))
-
-
-def _f(x: Column) -> Column:
-    return F.get("lf", x.cast("int"))
+from .statistics import average_rank, upper_tail
 
 
 def hypergeom_top(track: DataFrame, spans: DataFrame, q: float, key: str = "accession", cls: str = "cls") -> DataFrame:
@@ -44,18 +19,18 @@ def hypergeom_top(track: DataFrame, spans: DataFrame, q: float, key: str = "acce
     hits = intervals.point_in_interval(top.select(key, "pos"), spans, key, cls).groupBy(key, cls).agg(F.count("*").alias("a"))
     got = merged.where("k > 0").join(sizes, key).join(hits, [key, cls], "left").fillna(0, ["a"])
     low = F.greatest(F.col("a"), F.col("r") + F.col("k") - F.col("n"))
-    grid = _with_logs(got, "n").select("*", F.explode(F.sequence(low, F.least("r", "k"))).alias("x"))
+    grid = got.select("*", F.explode(F.sequence(low, F.least("r", "k"))).alias("x"))
     n, r, k, x = (F.col(c) for c in ("n", "r", "k", "x"))
-    logp = _f(k) - _f(x) - _f(k - x) + _f(n - k) - _f(r - x) - _f(n - k - r + x) - _f(n) + _f(r) + _f(n - r)
+    logp = log_choose(k, x) + log_choose(n - k, r - x) - log_choose(n, r)
     return grid.groupBy(key, cls, "n", "r", "k", "a").agg(F.least(F.lit(1.0), F.sum(F.exp(logp))).alias("p")).withColumn("enrichment", F.col("a") / F.col("r") / (F.col("k") / F.col("n")))
 
 
 def binom_sign(df: DataFrame, by: str, k: str, n: str, p0: str) -> DataFrame:
     """P(K >= k) of n draws at p0, which is held within [1e-6, 1 - 1e-6]."""
     p = F.least(F.greatest(F.col(p0), F.lit(1e-6)), F.lit(1 - 1e-6))
-    grid = _with_logs(df, n).select(by, k, n, p.alias("_p"), "lf", F.explode(F.sequence(F.col(k), F.col(n))).alias("x"))
+    grid = df.select(by, k, n, p.alias("_p"), F.explode(F.sequence(F.col(k), F.col(n))).alias("x"))
     size, x = F.col(n), F.col("x")
-    logp = _f(size) - _f(x) - _f(size - x) + x * F.log("_p") + (size - x) * F.log1p(-F.col("_p"))
+    logp = log_choose(size, x) + x * F.log("_p") + (size - x) * F.log1p(-F.col("_p"))
     return grid.groupBy(by, k, n).agg(F.least(F.lit(1.0), F.sum(F.exp(logp))).alias("p"))
 
 
@@ -86,6 +61,11 @@ def residualize(df: DataFrame, y: str, x: str, by: list[str]) -> DataFrame:
     return df.join(line, by).withColumn("residual", F.col(y) - F.col("_s") * F.col(x) - F.col("_i")).drop("_s", "_i")
 
 
+def residualize_groups(df: DataFrame, y: str, by: list[str]) -> DataFrame:
+    """Residual of y on a class variable (its dummies with intercept): y less its mean in the class; null y stays null."""
+    return df.join(df.groupBy(*by).agg(F.avg(y).alias("_m")), by).withColumn("residual", F.col(y) - F.col("_m")).drop("_m")
+
+
 def placement_null(fragments: DataFrame, genomes: DataFrame, spans: DataFrame, b: int, length: int, share: float = 0.5, seed: int = 42) -> DataFrame:
     """Share of fragments lying in each class against random placements: observed, null mean, 95 % point and p.
 

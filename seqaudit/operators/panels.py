@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,8 +12,28 @@ from ..functions.keyed import draw
 from . import splits, statistics
 
 
+#: Classes of features in order of precedence, with the whole names, parts of names and patterns of names that tell them.
+CLASSES = [
+    ("rbd", [], ["rbd", "receptor bind"], []),
+    ("entry", ["s", "he", "spike"], ["spike", "surface glycoprotein", "receptor bind", "rbd", "hemagglutinin-esterase", "s glycoprotein"], []),
+    ("polymerase", ["orf1ab", "orf1a", "orf1b", "1a", "1ab", "1b"], ["orf1", "polyprotein", "replicase", "rna-dependent rna polymerase", "rdrp", "helicase", "nsp", "methyltransferase", "exonuclease", "endorna"], []),
+    ("accessory", [], ["orf3", "orf6", "orf7", "orf8", "orf10", "accessory", "interferon", "immune", "ns3", "ns7"], ["(orf)?([3-9]|10)a?", r"ns\d+"]),
+    ("structural_other", ["e", "m", "n"], ["envelope", "membrane", "nucleocapsid", "nucleoprotein"], []),
+]
+
+
+def classify_span(spans: DataFrame, names: tuple[str, ...] = ("gene", "product", "label"), out: str = "cls") -> DataFrame:
+    """The first of CLASSES that a name of the span tells: whole, in part, or by pattern; null without one. Null and empty names tell nothing."""
+    every = F.filter(F.array(*[F.lower(F.col(c)) for c in names]), lambda x: F.coalesce(x != "", F.lit(False)))
+    tests = []
+    for cls, whole, parts, patterns in CLASSES:
+        fits = lambda x: functools.reduce(operator.or_, [x.isin(*whole)] * bool(whole) + [x.contains(p) for p in parts] + [x.rlike(f"^(?:{p})$") for p in patterns])  # noqa: B023, E731
+        tests.append(F.when(F.exists(every, fits), cls))
+    return spans.withColumn(out, F.coalesce(*tests))
+
+
 def classify_feature(df: DataFrame, label: str, rules: list[tuple[str, str]], out: str = "cls") -> DataFrame:
-    """The class of the first rule (class, pattern) whose pattern is in the label; null without one."""
+    """The class of the first rule (class, pattern) whose pattern is in the label; null without one. classify_span has built-in rules."""
     return df.withColumn(out, F.coalesce(*[F.when(F.col(label).rlike(f"(?i){p}"), c) for c, p in rules]))
 
 
@@ -38,8 +61,10 @@ def resolve_locus(genomes: DataFrame, spans: DataFrame, last_third: DataFrame, f
     return got.select(key, pick(F.col("s0"), F.col("t0"), F.lit(0)).alias("s0"), pick(F.col("s1"), F.col("t1"), F.floor(F.col("n") * frac)).alias("s1"), source.alias("span_source"))
 
 
-def pooled_enrichment(per: DataFrame, by: str, value: str) -> DataFrame:
-    return per.groupBy(by).agg(F.count(value).alias("n"), F.percentile(value, F.lit(0.5)).alias("median"), F.avg(value).alias("mean"))
+def pooled_enrichment(per: DataFrame, by: str, value: str, p: str | None = None, alpha: float = 0.05) -> DataFrame:
+    """Number, median and mean of a value by class and, given p-values, their median and how many lie under alpha; nulls are left out."""
+    more = [F.percentile(p, F.lit(0.5)).alias("median_p"), F.count_if(F.col(p) < alpha).alias("n_significant")] if p else []
+    return per.groupBy(by).agg(F.count(value).alias("n"), F.percentile(value, F.lit(0.5)).alias("median"), F.avg(value).alias("mean"), *more)
 
 
 def high_low(windows: DataFrame, key: str, high: str, value: str) -> DataFrame:
@@ -54,10 +79,14 @@ def class_counts(windows: DataFrame, key: str, cls: str) -> DataFrame:
     return counts.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", cls, "n"))), ",").alias("counts"))
 
 
-def dense_track(track: DataFrame, key: str = "accession") -> DataFrame:
-    """A row for every position up to a track's last one, 0 where none was given."""
+def dense_track(track: DataFrame, key: str = "accession", order: str | None = None) -> DataFrame:
+    """A row for every position up to a track's last one, 0 where none was given.
+
+    Of a position given twice the last one by `order` wins (the highest score without an order).
+    """
+    one = track.groupBy(key, "pos").agg(F.max_by("attr", order or "attr").alias("attr"))
     full = track.groupBy(key).agg(F.max("pos").alias("last")).select(key, F.explode(F.sequence(F.lit(0), F.col("last"))).alias("pos"))
-    return full.join(track, [key, "pos"], "left").withColumn("attr", F.coalesce("attr", F.lit(0.0)))
+    return full.join(one, [key, "pos"], "left").withColumn("attr", F.coalesce("attr", F.lit(0.0)))
 
 
 def anchor_starts(seqs: DataFrame, length: str, window_len: int, k: int) -> DataFrame:
@@ -91,6 +120,7 @@ def expand_panel(df: DataFrame, panel: DataFrame, key: str, group: str, length:
 
 
 def one_hot(df: DataFrame, col: str, values: list, drop_first: bool = False) -> DataFrame:
+    """A 0/1 column for each value (all but the first with drop_first); null is 0 in all."""
     return df.select("*", *[F.coalesce((F.col(col) == v).cast("int"), F.lit(0)).alias(f"{col}_{v}") for v in values[int(drop_first) :]])
 
 
@@ -102,12 +132,20 @@ def cosine_within(vectors: DataFrame, cluster: str, features: str = "features")
     return sums.groupBy(cluster).agg(F.max("n").alias("n"), F.when(F.max("n") > 1, (F.sum(F.col("s") * F.col("s")) - F.max("n")) / (F.max("n") * (F.max("n") - 1))).alias("cosine"))
 
 
-def kmer_enrichment(counts: DataFrame, high: Column) -> DataFrame:
-    """High and low counts of each k-mer, log2 of the ratio of its shares, and its odds ratio, all with 0.5 added."""
-    got = counts.groupBy("kmer").agg(F.sum(F.when(high, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(high, 0).otherwise(F.col("n"))).alias("c"))
-    total = F.broadcast(got.agg(F.sum("a").alias("_a"), F.sum("c").alias("_c")))
+def kmer_enrichment(counts: DataFrame, high: Column, stratum: list[str] | None = None) -> DataFrame:
+    """Of each k-mer in each stratum: high and low counts, log2 of the ratio of its shares and its odds ratio (0.5 added), Fisher p and q.
+
+    q is Benjamini-Hochberg over all rows. counts has (kmer, n) and what high and stratum name.
+    """
+    by = list(stratum or [])
+    got = counts.groupBy(*by, "kmer").agg(F.sum(F.when(high, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(high, 0).otherwise(F.col("n"))).alias("c"))
+    total = got.groupBy(*by).agg(F.sum("a").alias("_a"), F.sum("c").alias("_c"))
+    tables = (got.join(total, by) if by else got.join(F.broadcast(total), F.lit(True))).withColumn("b", F.col("_a") - F.col("a")).withColumn("d", F.col("_c") - F.col("c"))
+    row = F.concat_ws("|", *[F.col(c).cast("string") for c in (*by, "kmer")])
+    p = statistics.bh_fdr(statistics.fisher_or(tables.withColumn("_row", row), "_row").select("_row", F.col("fisher_p").alias("p")), "p", "_row")
     a, c = F.col("a") + 0.5, F.col("c") + 0.5
-    return got.join(total, F.lit(True)).select("kmer", "a", "c", F.log2(a / (F.col("_a") + 0.5) / (c / (F.col("_c") + 0.5))).alias("log2_fc"), (a * (F.col("_c") - F.col("c") + 0.5) / (c * (F.col("_a") - F.col("a") + 0.5))).alias("odds_ratio"))
+    fold, odds = F.log2(a / (F.col("_a") + 0.5) / (c / (F.col("_c") + 0.5))), a * (F.col("d") + 0.5) / (c * (F.col("b") + 0.5))
+    return tables.withColumn("_row", row).join(p, "_row").select(*by, "kmer", "a", "c", fold.alias("log2_fc"), odds.alias("odds_ratio"), "p", "q")
 
 
 def logo_folds(df: DataFrame, group: str, min_train: int = 5) -> DataFrame:
@@ -136,8 +174,30 @@ def temporal_holdout(df: DataFrame, year: Column, group: str | None = None) -> D
     return dated.join(cut, F.lit(True)).withColumn("split", F.when(F.col("year") <= F.col("_m"), "train").otherwise("test")).drop("_m")
 
 
-def prepare_split(df: DataFrame, group: str, label: str, test_size: float = 0.2, seed: int = 42) -> DataFrame:
-    """Groups split apart, then the smaller class of the training rows repeated; validation rows stay single."""
+def value_holdout(df: DataFrame, col: str, value, disjoint: str | None = None) -> DataFrame:
+    """split: test for the rows whose col is the value, train for the others.
+
+    This is the cross-host rule, the one that leaves out a family or genus, and the geographic one; with disjoint (say, the species) rows of
+    other values that share it with a test row are `dropped`. A null col trains.
+    """
+    test = F.col(col).eqNullSafe(F.lit(value))
+    if disjoint is None:
+        return df.withColumn("split", F.when(test, "test").otherwise("train"))
+    seen = df.where(test & F.col(disjoint).isNotNull()).select(disjoint).distinct().withColumn("_seen", F.lit(True))
+    return df.join(seen, disjoint, "left").withColumn("split", F.when(test, "test").when(F.col("_seen"), "dropped").otherwise("train")).drop("_seen")
+
+
+def prepare_split(df: DataFrame, group: str, label: str, test_size: float = 0.2, seed: int = 42, legacy: bool = False, id_col: str | None = None) -> DataFrame:
+    """Groups split apart, then the smaller class of the training rows repeated; validation rows stay single.
+
+    legacy repeats first and then splits rows by class in hash order of id_col, so copies of a row may lie on both sides, as the
+    older protocol had it.
+    """
+    if legacy:
+        more = splits.oversample_minority(df, label)
+        order = Window.partitionBy(label).orderBy(draw(seed, F.col(id_col), F.col("copy")), id_col, "copy")
+        ranked = more.withColumn("_r", F.row_number().over(order)).withColumn("_n", F.count("*").over(Window.partitionBy(label)))
+        return ranked.withColumn("split", F.when(F.col("_r") <= F.ceil(F.col("_n") * test_size), "val").otherwise("train")).drop("_r", "_n")
     parted = splits.group_split(df, group, test_size, seed)
     train = splits.oversample_minority(parted.where("split = 'train'"), label)
     return train.unionByName(parted.where("split = 'val'").withColumn("copy", F.lit(1)))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .rows import finite_rows
-from .statistics import spearman
+from .statistics import auroc, spearman
 
 ALPHAS = tuple(10.0**k for k in range(-3, 4))
 
@@ -69,6 +69,20 @@ def pick_alpha(grams: dict[int, np.ndarray], alphas=ALPHAS) -> float:
     return min(alphas, key=lambda a: (sum(_squares(g, *_ridge(total - g, a)) for g in grams.values()), a))
 
 
+def fitted(m: np.ndarray, alpha: float) -> tuple[float, list[float]]:
+    """Intercept and weights of a ridge from the Gram matrix of its training rows."""
+    b, w = _ridge(m, alpha)
+    return b, w.tolist()
+
+
+def scored(df: DataFrame, features: str, fold: str, lines: list[tuple]) -> DataFrame:
+    """df with pred, by the line (fold, intercept, weights) of each row's fold; null without one."""
+    table = F.broadcast(df.sparkSession.createDataFrame(lines, "_k int, _b double, _w array<double>"))
+    dot = F.aggregate(F.zip_with(features, "_w", lambda x, w: x.cast("double") * w), F.col("_b"), lambda s, x: s + x)
+    got = df.join(table, F.col(fold).cast("int") == F.col("_k"), "left")
+    return got.withColumn("pred", F.when(F.col("_b").isNotNull(), dot)).drop("_k", "_b", "_w")
+
+
 def oof_ridge(df: DataFrame, id_col: str, features: str, y: str, fold: str, alphas=ALPHAS) -> DataFrame:
     """(id, fold, y, pred): each fold predicted from the others, the penalty chosen among these alone.
 
@@ -80,16 +94,22 @@ def oof_ridge(df: DataFrame, id_col: str, features: str, y: str, fold: str, alph
     lines = []
     for k, g in grams.items():
         if total[0, 0] > g[0, 0]:
-            b, w = _ridge(total - g, pick_alpha({j: h for j, h in grams.items() if j != k}, alphas))
-            lines.append((k, b, w.tolist()))
-    table = F.broadcast(df.sparkSession.createDataFrame(lines, "fold int, b double, w array<double>").withColumnRenamed("fold", "_k"))
-    got = kept.join(table, F.col(fold).cast("int") == F.col("_k"), "left")
-    dot = F.aggregate(F.zip_with(features, "w", lambda x, w: x.cast("double") * w), F.col("b"), lambda s, x: s + x)
-    return got.select(F.col(id_col), F.col(fold).alias("fold"), F.col(y).alias("y"), F.when(F.col("b").isNotNull(), dot).alias("pred"))
+            lines.append((k, *fitted(total - g, pick_alpha({j: h for j, h in grams.items() if j != k}, alphas))))
+    return scored(kept, features, fold, lines).select(F.col(id_col), F.col(fold).alias("fold"), F.col(y).alias("y"), "pred")
 
 
 def probe_gap(df: DataFrame, id_col: str, features: str, y: str, random: str, blocked: str) -> DataFrame:
-    """One row: rank correlation of out-of-fold predictions under random and under blocked folds, and the gap."""
-    rho = lambda fold, name: spearman(oof_ridge(df, id_col, features, y, fold).withColumn("all", F.lit(1)), "y", "pred", ["all"]).select("all", "n", F.col("rho").alias(name))
-    both = rho(random, "rho_random").join(rho(blocked, "rho_blocked").drop("n"), "all")
-    return both.select("n", "rho_random", "rho_blocked", (F.col("rho_random") - F.col("rho_blocked")).alias("gap"))
+    """One row: rank correlation of out-of-fold predictions under random and under blocked folds, AUROC where the label is binary, and the gaps.
+
+    delta is the gap of the primary metric, AUROC for a binary label, else the correlation.
+    """
+    def score(fold, name):
+        pred = oof_ridge(df, id_col, features, y, fold).withColumn("all", F.lit(1))
+        rho = spearman(pred, "y", "pred", ["all"]).select("all", "n", F.col("rho").alias(f"rho_{name}"))
+        area = auroc(pred.where("y in (0, 1)"), "y", "pred", ["all"]).withColumnRenamed("auroc", "_auc")
+        kinds = pred.agg(F.count_distinct("y").alias("_kinds"), F.count_if(~F.col("y").isin(0, 1)).alias("_else"))
+        return rho.join(area, "all", "left").join(F.broadcast(kinds), F.lit(True)).select("all", "n", f"rho_{name}", F.when((F.col("_kinds") == 2) & (F.col("_else") == 0), F.col("_auc")).alias(f"auroc_{name}"))
+
+    both = score(random, "random").join(score(blocked, "blocked").drop("n"), "all")
+    gap = F.col("rho_random") - F.col("rho_blocked")
+    return both.select("n", "rho_random", "rho_blocked", gap.alias("gap"), "auroc_random", "auroc_blocked", F.coalesce(F.col("auroc_random") - F.col("auroc_blocked"), gap).alias("delta"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import let
+
 
 def finite(x: Column) -> Column:
     """Neither null nor NaN nor infinite."""
@@ -18,6 +20,7 @@ def finite_rows(df: DataFrame, label: str, features: str | None = None) -> DataF
 
 
 def coerce_label(df: DataFrame, col: str) -> DataFrame:
+    """The column as a double; null where it is no number."""
     return df.withColumn(col, F.expr(f"try_cast(`{col}` as double)"))
 
 
@@ -29,6 +32,7 @@ def label_kind(df: DataFrame, label: str, mode: str = "exact2") -> DataFrame:
 
 
 def fill_default(df: DataFrame, col: str, value: Column) -> DataFrame:
+    """Nulls of a column replaced by a value or another column's."""
     return df.withColumn(col, F.coalesce(col, value))
 
 
@@ -38,6 +42,7 @@ def dedupe_key(df: DataFrame, keys: list[str], order_by: list[Column]) -> DataFr
 
 
 def row_id(df: DataFrame, id_col: str, seq_col: str) -> DataFrame:
+    """row_id: the id as text, or where it is null 40 digits of the sequence's SHA-256 (null if both are)."""
     return df.withColumn("row_id", F.coalesce(F.col(id_col).cast("string"), F.substring(F.sha2(seq_col, 256), 1, 40)))
 
 
@@ -48,6 +53,7 @@ def membership_flag(df: DataFrame, key: str, panel: DataFrame) -> DataFrame:
 
 
 def clip_log_ratio(df: DataFrame, ratio: str, scale: float = 0.25, bound: float = 3.0) -> DataFrame:
+    """z: the log ratio over scale, held within the bound; null where the ratio is not finite and positive."""
     z = F.greatest(F.least(F.log(ratio) / scale, F.lit(bound)), F.lit(-bound))
     return df.withColumn("z", F.when(finite(F.col(ratio)) & (F.col(ratio) > 0), z))
 
@@ -70,26 +76,34 @@ def gc_acgt(df: DataFrame, seq: str) -> DataFrame:
 
 
 def dinuc_frac(df: DataFrame, seq: str, dinuc: str) -> DataFrame:
-    """Share of overlapping pairs that are dinuc, other letters dropped first."""
+    """Share of overlapping pairs that are dinuc, other letters dropped first; null under two letters. One pass over the text."""
     own = F.regexp_replace(F.upper(seq), "[^ACGT]", "")
-    pairs = F.when(F.length(own) > 1, F.transform(F.sequence(F.lit(1), F.length(own) - 1), lambda i: F.substring(own, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
-    return df.withColumn("frac", F.size(F.filter(pairs, lambda x: x == dinuc)) / F.nullif(F.size(pairs), F.lit(0)))
+    return df.withColumn("frac", F.regexp_count(own, F.lit(f"(?={dinuc})")) / F.nullif(F.greatest(F.length(own) - 1, F.lit(0)), F.lit(0)))
 
 
 def kmer_counts(df: DataFrame, key: str, seq: str, k: int = 3) -> DataFrame:
-    """(key, kmer, n, freq); letters other than A, C, G, T are removed first, so k-mers bridge gaps."""
-    own = F.regexp_replace(F.upper(seq), "[^ACGT]", "")
-    cut = F.transform(F.sequence(F.lit(1), F.length(own) - k + 1), lambda i: F.substring(own, i, F.lit(k)))
-    counts = df.where(F.length(own) >= k).select(key, F.explode(cut).alias("kmer")).groupBy(key, "kmer").agg(F.count("*").alias("n"))
+    """(key, kmer, n, freq); letters other than A, C, G, T are removed first, so k-mers bridge gaps.
+
+    The cleaned text is split once a row and k-mers are cut from the letters, so the work is the length of the text.
+    Null texts and those under k letters give no row; rows that repeat a key count together.
+    """
+    letters = F.split(F.regexp_replace(F.upper(seq), "[^ACGT]", ""), "")
+    cut = let(letters, lambda a: F.transform(F.sequence(F.lit(0), F.size(a) - k), lambda i: F.concat(*[a[i + j] for j in range(k)])))
+    long = df.where(F.length(F.regexp_replace(F.upper(seq), "[^ACGT]", "")) >= k)
+    counts = long.select(key, F.explode(cut).alias("kmer")).groupBy(key, "kmer").agg(F.count("*").alias("n"))
     return counts.withColumn("freq", F.col("n") / F.sum("n").over(Window.partitionBy(key)))
 
 
 def parse_factors(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, name, weighted) from blocks of free text; a block needs a name and a weight."""
+    """(key, name, weighted, risk_score, impact) from blocks of free text; a block needs a name and a weight.
+
+    A number is digits and dots; one that is no number, as a lone dot, counts as absent.
+    """
     block = F.explode(F.split(text, r"\n(?=Risk Name:)")).alias("block")
     name = F.nullif(F.trim(F.regexp_extract("block", r"Risk Name:\s*([^\n]+)", 1)), F.lit(""))
-    weight = F.nullif(F.regexp_extract("block", r"Weighted Score:\s*([-0-9.]+)", 1), F.lit("")).cast("double")
-    return df.select(key, block).select(key, name.alias("name"), weight.alias("weighted")).where("name is not null and weighted is not null")
+    number = lambda field: F.regexp_extract("block", rf"{field}:\s*([0-9.]+)", 1).try_cast("double")
+    got = df.select(key, block).select(key, name.alias("name"), number("Weighted Score").alias("weighted"), number("Risk Score").alias("risk_score"), number("Impact Score").alias("impact"))
+    return got.where("name is not null and weighted is not null")
 
 
 def flag_factors(factors: DataFrame, patterns: dict[str, str]) -> DataFrame:

@@ -10,11 +10,11 @@ from .statistics import spearman
 
 
 def group_split(df: DataFrame, group: str, test_size: float = 0.2, seed: int = 42) -> DataFrame:
-    """split: val for ceil(test_size * groups) of the groups, train for the others; null groups go."""
+    """split: val for ceil(test_size * groups) of the groups, the first in hash order, train for the others; null groups go."""
     groups = df.where(F.col(group).isNotNull()).select(group).distinct()
-    n = F.count("*").over(Window.partitionBy())
-    ranked = groups.withColumn("_n", F.row_number().over(Window.orderBy(draw(seed, F.col(group)), group))).withColumn("split", F.when(F.col("_n") <= F.ceil(n * test_size), "val").otherwise("train"))
-    return df.join(ranked.drop("_n"), group)
+    n = F.broadcast(groups.agg(F.count("*").alias("_groups")))
+    ranked = hash_rank(groups, group, seed).join(n, F.lit(True)).withColumn("split", F.when(F.col("_rank") < F.ceil(F.col("_groups") * test_size), "val").otherwise("train"))
+    return df.join(ranked.drop("_rank", "_groups"), group)
 
 
 def oversample_minority(df: DataFrame, label: str) -> DataFrame:
@@ -27,12 +27,26 @@ def oversample_minority(df: DataFrame, label: str) -> DataFrame:
     return df.withColumn("copy", F.explode(F.sequence(F.lit(1), times)))
 
 
+def hash_rank(df: DataFrame, id_col: str, seed: int, out: str = "_rank", buckets: int = 4096) -> DataFrame:
+    """out: the rank, from 0, of every row by keyed hash of its id, ties by id.
+
+    Hashes are even, so equal ranges of them are even buckets: rows are ranked within theirs, and a table of `buckets`
+    counts, which is broadcast, gives what lies before. No task sees all rows.
+    """
+    marked = df.withColumn("_h", draw(seed, F.col(id_col))).withColumn("_b", F.floor(F.col("_h") / F.lit((1 << 32) // buckets)))
+    counts = marked.groupBy("_b").agg(F.count("*").alias("_n"))
+    before = counts.select("_b", (F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))
+    own = marked.withColumn("_i", F.row_number().over(Window.partitionBy("_b").orderBy("_h", id_col)) - 1)
+    return own.join(F.broadcast(before), "_b").withColumn(out, F.col("_before") + F.col("_i")).drop("_b", "_h", "_i", "_before")
+
+
 def kfold_random(df: DataFrame, id_col: str, k: int = 5, seed: int = 42) -> DataFrame:
-    """fold: rows dealt in hash order."""
-    return df.withColumn("fold", F.pmod(F.row_number().over(Window.orderBy(draw(seed, F.col(id_col)), id_col)) - 1, F.lit(k)))
+    """fold: rows dealt in hash order, so that folds differ by one row at most; a null id is hashed as an empty one."""
+    return hash_rank(df, id_col, seed).withColumn("fold", F.pmod(F.col("_rank"), F.lit(k))).drop("_rank")
 
 
 def group_fold_random(df: DataFrame, group: str, k: int = 5, seed: int = 42) -> DataFrame:
+    """fold: groups dealt in hash order, all rows of a group with it; null groups go."""
     groups = df.select(group).distinct()
     return df.join(kfold_random(groups, group, k, seed), group)
 

@@ -2,8 +2,20 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+
+from ..functions.columns import log_factorial
+
+
+@F.pandas_udf(DoubleType())
+def upper_tail(z: pd.Series) -> pd.Series:
+    """P(Z >= z) of a standard normal, for the few rows of a result."""
+    return z.map(lambda x: 0.5 * math.erfc(x / math.sqrt(2)))
 
 
 def contingency(rows: DataFrame, by: str, high: str, inside: str) -> DataFrame:
@@ -20,19 +32,23 @@ def haldane_or(tables: DataFrame) -> DataFrame:
     return tables.select("*", odds.alias("odds_ratio"), F.exp(log).alias("haldane_or"), F.exp(log - 1.96 * se).alias("ci_low"), F.exp(log + 1.96 * se).alias("ci_high"))
 
 
-def fisher_or(tables: DataFrame, key: str) -> DataFrame:
-    """Two-sided Fisher p of each table: the sum over its margins' tables that are no likelier."""
-    spark = tables.sparkSession
-    got = tables.select(key, "a", "b", "c", "d", (F.col("a") + F.col("b")).alias("r"), (F.col("a") + F.col("c")).alias("k"), (F.col("a") + F.col("b") + F.col("c") + F.col("d")).alias("n"))
-    most = got.agg(F.max("n")).first()[0] or 0
-    run = Window.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    logs = spark.range(0, most + 1).toDF("i").select("i", F.sum(F.log(F.greatest("i", F.lit(1)))).over(run).alias("lf"))
-    table = F.broadcast(logs.agg(F.array_sort(F.collect_list(F.struct("i", "lf"))).alias("lf")).select(F.col("lf.lf").alias("lf")))
-    grid = got.select("*", F.explode(F.sequence(F.greatest(F.lit(0), F.col("r") + F.col("k") - F.col("n")), F.least("r", "k"))).alias("x")).join(table, F.lit(True))
-    f = lambda c: F.get("lf", c)
-    logp = lambda x: f(F.col("r")) + f(F.col("n") - F.col("r")) + f(F.col("k")) + f(F.col("n") - F.col("k")) - f(F.col("n")) - f(x) - f(F.col("r") - x) - f(F.col("k") - x) - f(F.col("n") - F.col("r") - F.col("k") + x)
-    scored = grid.select(key, "a", "b", "c", "d", F.exp(logp(F.col("x").cast("int"))).alias("p"), F.exp(logp(F.col("a").cast("int"))).alias("seen"))
-    return scored.groupBy(key, "a", "b", "c", "d").agg(F.least(F.lit(1.0), F.sum(F.when(F.col("p") <= F.col("seen") * (1 + 1e-7), F.col("p")).otherwise(0.0))).alias("fisher_p"))
+def fisher_or(tables: DataFrame, key: str, exact_to: int = 1_000_000) -> DataFrame:
+    """Two-sided Fisher p of each table: the sum over its margins' tables that are no likelier.
+
+    A table whose margins allow more than exact_to tables takes the normal form of the log odds ratio (0.5 added), as
+    listing them would be the only cost that grows with the counts.
+    """
+    got = tables.select(key, "a", "b", "c", "d", (F.col("a") + F.col("b")).alias("_r"), (F.col("a") + F.col("c")).alias("_k"), (F.col("a") + F.col("b") + F.col("c") + F.col("d")).alias("_n"))
+    low, high = F.greatest(F.lit(0), F.col("_r") + F.col("_k") - F.col("_n")), F.least("_r", "_k")
+    n, r, k = F.col("_n"), F.col("_r"), F.col("_k")
+    fixed = log_factorial(r) + log_factorial(n - r) + log_factorial(k) + log_factorial(n - k) - log_factorial(n)
+    logp = lambda x: F.col("_fixed") - log_factorial(x) - log_factorial(r - x) - log_factorial(k - x) - log_factorial(n - r - k + x)
+    own = got.withColumn("_fixed", fixed).withColumn("_seen", F.exp(logp(F.col("a"))))
+    grid = own.where(high - low <= exact_to).select("*", F.explode(F.sequence(low, high)).alias("_x")).withColumn("_p", F.exp(logp(F.col("_x"))))
+    exact = grid.groupBy(key, "a", "b", "c", "d").agg(F.least(F.lit(1.0), F.sum(F.when(F.col("_p") <= F.col("_seen") * (1 + 1e-7), F.col("_p")).otherwise(0.0))).alias("fisher_p"))
+    half = [F.col(x) + 0.5 for x in "abcd"]
+    z = F.abs(F.log(half[0] * half[3] / (half[1] * half[2]))) / F.sqrt(1 / half[0] + 1 / half[1] + 1 / half[2] + 1 / half[3])
+    return exact.unionByName(own.where(high - low > exact_to).select(key, "a", "b", "c", "d", F.least(F.lit(1.0), 2 * upper_tail(z)).alias("fisher_p")))
 
 
 def bh_fdr(df: DataFrame, p: str, key: str) -> DataFrame:
@@ -60,16 +76,17 @@ def spearman(df: DataFrame, a: str, b: str, by: list[str], min_n: int = 10) -> D
 def auroc(df: DataFrame, y: str, score: str, by: list[str], weight: str | None = None) -> DataFrame:
     """Area under the ROC curve with ties halved, from weight sums by distinct score."""
     w = F.col(weight) if weight else F.lit(1.0)
-    sums = df.groupBy(*by, score).agg(F.sum(F.when(F.col(y) == 1, w).otherwise(0.0)).alias("p"), F.sum(F.when(F.col(y) == 0, w).otherwise(0.0)).alias("n"))
-    under = F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return sums.withColumn("u", under).groupBy(*by).agg((F.sum(F.col("p") * (F.col("u") + F.col("n") / 2)) / F.nullif(F.sum("p") * F.sum("n"), F.lit(0.0))).alias("auroc"))
+    sums = df.groupBy(*by, score).agg(F.sum(F.when(F.col(y) == 1, w).otherwise(0.0)).alias("_p"), F.sum(F.when(F.col(y) == 0, w).otherwise(0.0)).alias("_n"))
+    under = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    return sums.withColumn("_u", under).groupBy(*by).agg((F.sum(F.col("_p") * (F.col("_u") + F.col("_n") / 2)) / F.nullif(F.sum("_p") * F.sum("_n"), F.lit(0.0))).alias("auroc"))
 
 
 def average_precision(df: DataFrame, y: str, score: str, by: list[str]) -> DataFrame:
-    sums = df.groupBy(*by, score).agg(F.count_if(F.col(y) == 1).alias("p"), F.count("*").alias("n"))
+    """Average precision, ties as one step; null without positives."""
+    sums = df.groupBy(*by, score).agg(F.count_if(F.col(y) == 1).alias("_p"), F.count("*").alias("_n"))
     down = Window.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    run = sums.withColumn("tp", F.sum("p").over(down)).withColumn("all", F.sum("n").over(down))
-    return run.groupBy(*by).agg((F.sum(F.col("p") * F.col("tp") / F.col("all")) / F.nullif(F.sum("p"), F.lit(0))).alias("avg_precision"))
+    run = sums.withColumn("_tp", F.sum("_p").over(down)).withColumn("_all", F.sum("_n").over(down))
+    return run.groupBy(*by).agg((F.sum(F.col("_p") * F.col("_tp") / F.col("_all")) / F.nullif(F.sum("_p"), F.lit(0))).alias("avg_precision"))
 
 
 def class_metrics(df: DataFrame, y: str, score: str, by: list[str]) -> DataFrame:
@@ -82,11 +99,13 @@ def class_metrics(df: DataFrame, y: str, score: str, by: list[str]) -> DataFrame
 
 
 def reg_metrics(df: DataFrame, y: str, pred: str, by: list[str]) -> DataFrame:
+    """Mean squared and absolute error, R2 (null for a constant y) and Pearson; rows with a null are left out by each average."""
     off = F.col(y) - F.col(pred)
     return df.groupBy(*by).agg(F.avg(off * off).alias("mse"), F.avg(F.abs(off)).alias("mae"), (1 - F.avg(off * off) / F.nullif(F.var_pop(y), F.lit(0.0))).alias("r2"), F.corr(y, pred).alias("pearson"))
 
 
 def group_sizes(df: DataFrame, block: str) -> DataFrame:
+    """One row: number, least, largest and median size of the blocks, and the share of single ones; null is a block."""
     sizes = df.groupBy(block).agg(F.count("*").alias("n"))
     return sizes.agg(F.count("*").alias("n_groups"), F.min("n").alias("min_size"), F.max("n").alias("max_size"), F.percentile("n", F.lit(0.5)).alias("median_size"), F.avg((F.col("n") == 1).cast("double")).alias("singleton_share"))
 
@@ -97,16 +116,21 @@ def percentile_ci(df: DataFrame, by: str, value: str, lo: float = 0.025, hi: flo
 
 
 def icc_groups(df: DataFrame, y: str, group: str) -> DataFrame:
-    """Between-group share of the sum of squares (eta squared), 1 if y is constant."""
-    each = df.groupBy(group).agg(F.count("*").alias("n"), F.avg(y).alias("m"))
-    total = df.agg(F.avg(y).alias("all"), (F.var_pop(y) * F.count("*")).alias("ss"))
-    got = each.join(F.broadcast(total), F.lit(True)).agg(F.sum(F.col("n") * (F.col("m") - F.col("all")) ** 2).alias("between"), F.max("ss").alias("ss"))
-    return got.select(F.when(F.col("ss") <= 1e-12, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("between") / F.col("ss")))).alias("eta_squared"))
+    """Between-group share of the sum of squares (eta squared), 1 if y is constant.
+
+    Rows with a null label or group are left out; null with fewer than two groups.
+    """
+    known = df.where(F.col(y).isNotNull() & F.col(group).isNotNull())
+    each = known.groupBy(group).agg(F.count("*").alias("n"), F.avg(y).alias("m"))
+    total = known.agg(F.avg(y).alias("all"), (F.var_pop(y) * F.count("*")).alias("ss"))
+    got = each.join(F.broadcast(total), F.lit(True)).agg(F.sum(F.col("n") * (F.col("m") - F.col("all")) ** 2).alias("between"), F.max("ss").alias("ss"), F.count("*").alias("groups"))
+    share = F.when(F.col("ss") <= 1e-12, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("between") / F.col("ss"))))
+    return got.select(F.when(F.col("groups") > 1, share).alias("eta_squared"))
 
 
 def purity(df: DataFrame, y: str, block: str) -> DataFrame:
-    """Majority-label share of each block."""
-    counts = df.groupBy(block, y).agg(F.count("*").alias("n"))
+    """Majority-label share of each block and its labelled rows; null labels do not count."""
+    counts = df.where(F.col(y).isNotNull()).groupBy(block, y).agg(F.count("*").alias("n"))
     return counts.groupBy(block).agg((F.max("n") / F.sum("n")).alias("purity"), F.sum("n").alias("n"))
 
 
@@ -117,6 +141,7 @@ def mean_pool(vectors: DataFrame, key: str, features: str = "features") -> DataF
 
 
 def group_macro(pred: DataFrame, group: str, y: str, p: str) -> DataFrame:
+    """Mean label and mean prediction of each group."""
     return pred.groupBy(group).agg(F.avg(y).alias("mean_y"), F.avg(p).alias("mean_pred"))
 
 
@@ -130,6 +155,9 @@ def overlap_audit(a: DataFrame, b: DataFrame, id_col: str, block_col: str, cap:
 
 
 def content_overlap(a: DataFrame, b: DataFrame, id_col: str, text: str) -> DataFrame:
-    """Pairs of ids whose content digest is the same in both splits."""
-    x = a.select(F.col(id_col).alias("id_a"), F.md5(text).alias("digest"))
-    return x.join(b.select(F.col(id_col).alias("id_b"), F.md5(text).alias("digest")), "digest").select("id_a", "id_b")
+    """(digest, id_a, id_b, n_a, n_b) for each content that both splits hold: the least ids and how many rows have it.
+
+    The rows themselves come by joining their digest; copies are not paired off. Null texts are no content.
+    """
+    digests = lambda df, side: df.where(F.col(text).isNotNull()).groupBy(F.md5(text).alias("digest")).agg(F.min(id_col).alias(f"id_{side}"), F.count("*").alias(f"n_{side}"))
+    return digests(a, "a").join(digests(b, "b"), "digest").select("digest", "id_a", "id_b", "n_a", "n_b")

@@ -8,8 +8,9 @@ from ..functions.keyed import draw
 from ..operators import intervals as I
 from ..operators import nulls as N
 from ..operators import panels as P
-from ..operators import probes, rows
+from ..operators import probes, reports, rows
 from ..operators import splits as K
+from ..operators import tables as T
 from ..sources import files
 from . import registry as G
 from .registry import HASH, ORACLES, ORDER, query
@@ -19,10 +20,10 @@ query("resolve_columns", "select doc_id as sequence_id, source as block_id from
     lambda t: files.resolve_columns(t("documents").select("doc_id", F.col("source").alias(" source")), {"sequence_id": "doc_id", "block_id": None}, {"block_id": ["block", "source"]}).select("sequence_id", "block_id")
 )
 query("assemble_features", "select event_id, round(list_sum([value, cast(user_id as double)]), 6) as total from events")(
-    lambda t: t("events").withColumn("features", F.array("value", F.col("user_id").cast("double"))).select("event_id", F.aggregate("features", F.lit(0.0), lambda s, x: s + x).alias("total"))
+    lambda t: T.assemble_features(t("events").select("event_id", F.col("value").alias("emb_0"), F.col("user_id").alias("emb_1"))).select("event_id", F.aggregate("features", F.lit(0.0), lambda s, x: s + x).alias("total"))
 )
 query("filter_compound", "select d.doc_id from documents d left join (select doc_id, max(toxic) as toxic from labels group by 1) l using (doc_id) where d.n_chars > 200 and coalesce(l.toxic, 0) = 0")(
-    lambda t: t("documents").join(t("labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id", "left").where("n_chars > 200 and coalesce(toxic, 0) = 0").select("doc_id")
+    lambda t: t("documents").join(t("labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id", "left").transform(T.filter_compound, "n_chars > 200 and coalesce(toxic, 0) = 0").select("doc_id")
 )
 query("classify_feature", "select p_partkey, case when regexp_matches(p_brand, '(?i)brand#?1') then 'first' when regexp_matches(p_brand, '(?i)[135]$') then 'odd' when regexp_matches(p_brand, '(?i)b') then 'rest' end as cls from part")(
     lambda t: P.classify_feature(t("part"), "p_brand", [("first", "brand#?1"), ("odd", "[135]$"), ("rest", "b")]).select("p_partkey", "cls")
@@ -46,8 +47,10 @@ query("concordance", f"with a as (select accession, window_index, row_number() o
 query("resolve_locus", "select g.accession, cast(coalesce(s.s0, t.s1 - 3 * (t.s1 - t.s0), 0) as bigint) as s0, cast(coalesce(s.s1, t.s1, floor(g.n * 0.7)) as bigint) as s1, case when s.s0 is not null then 'annotated' when t.s0 is not null then 'last_third' else 'default' end as span_source from v_genome g left join (select accession, min(s0) as s0, max(s1) as s1 from v_span where accession % 3 = 0 and cls = 'rbd' group by 1) s using (accession) left join (select accession, s0, s1 from v_span where accession % 3 = 1 and cls = 'structural_other') t using (accession)")(
     lambda t: P.resolve_locus(t("v_genome"), t("v_span").where("accession % 3 = 0 and cls = 'rbd'"), t("v_span").where("accession % 3 = 1 and cls = 'structural_other'"))
 )
-query("pooled_enrichment", f"select cls, count(enrichment) as n, round(quantile_cont(enrichment, 0.5), 5) as median, round(avg(enrichment), 5) as mean from ({ORACLES['mass_enrichment']}) x group by cls")(
-    lambda t: P.pooled_enrichment(I.mass_enrichment(t("v_track"), t("v_span")).withColumn("enrichment", F.round("enrichment", 6)), "cls", "enrichment").select("cls", "n", F.round("median", 5).alias("median"), F.round("mean", 5).alias("mean"))
+query("pooled_enrichment", f"select cls, count(enrichment) as n, round(quantile_cont(enrichment, 0.5), 5) as median, round(avg(enrichment), 5) as mean, round(quantile_cont(p, 0.5), 5) as median_p, cast(count_if(p < 0.05) as bigint) as n_significant from ({ORACLES['mass_enrichment']}) x join (select accession, cls, p from ({ORACLES['shift_null']}) z) y using (accession, cls) group by cls")(
+    lambda t: P.pooled_enrichment(
+        I.mass_enrichment(t("v_track"), t("v_span")).withColumn("enrichment", F.round("enrichment", 6)).join(I.shift_null(t("v_track"), t("v_span"), 20).select("accession", "cls", F.round("p", 6).alias("p")), ["accession", "cls"]), "cls", "enrichment", "p"
+    ).select("cls", "n", F.round("median", 5).alias("median"), F.round("mean", 5).alias("mean"), F.round("median_p", 5).alias("median_p"), "n_significant")
 )
 HIGH = f"(select accession, score, window_index, row_number() over ({ORDER}) <= greatest(1, count(*) over (partition by accession) // 2) as is_high from v_scored)"
 
@@ -57,7 +60,7 @@ def ranked(t):
 
 
 query("high_low_delta", f"select accession, round(avg(round(score, 6)) filter (is_high), 6) as high, round(avg(round(score, 6)) filter (not is_high), 6) as low, round(avg(round(score, 6)) filter (is_high) - avg(round(score, 6)) filter (not is_high), 6) as delta from {HIGH} x group by 1")(lambda t: P.high_low(ranked(t), "accession", "is_high", "score"))
-query("pivot_fragments", "select l_returnflag, round(avg(l_quantity) filter (l_linestatus = 'F'), 6) as \"F\", round(avg(l_quantity) filter (l_linestatus = 'O'), 6) as \"O\" from lineitem group by 1")(lambda t: t("lineitem").groupBy("l_returnflag").pivot("l_linestatus", ["F", "O"]).agg(F.avg("l_quantity")))
+query("pivot_fragments", "select l_returnflag, round(avg(l_quantity) filter (l_linestatus = 'F'), 6) as \"F\", round(avg(l_quantity) filter (l_linestatus = 'O'), 6) as \"O\" from lineitem group by 1")(lambda t: T.pivot_fragments(t("lineitem"), "l_returnflag", "l_linestatus", ["F", "O"], "l_quantity"))
 query("class_counts_map", "select accession, string_agg(event_type || ':' || n, ',' order by event_type || ':' || n) as counts from (select accession, event_type, count(*) as n from v_track group by 1, 2) x group by 1")(lambda t: P.class_counts(t("v_track"), "accession", "event_type"))
 query("dense_track", "select f.accession, f.pos, round(coalesce(t.attr, 0), 6) as attr from (select accession, cast(unnest(range(0, m + 1)) as int) as pos from (select accession, max(pos) as m from v_track where pos % 3 <> 0 group by 1) x) f left join (select * from v_track where pos % 3 <> 0) t using (accession, pos)")(
     lambda t: P.dense_track(t("v_track").where("pos % 3 <> 0").select("accession", "pos", "attr"))
@@ -75,14 +78,15 @@ query("expand_panel", f"with own as (select sequence_id, group_id, n_chars from
     lambda t: P.expand_panel(t("v_manifest").select("sequence_id", "group_id", "n_chars"), t("v_manifest").join(F.broadcast(t("v_manifest").agg(F.min("block_id").alias("block_id"))), "block_id").where("sequence_id % 17 = 0"), "sequence_id", "group_id", "n_chars")
 )
 query("capped_sample", "select lang, string_agg(doc_id, ',' order by doc_id) as first_ids from (select lang, doc_id, row_number() over (partition by lang order by doc_id) as r from documents) x where r <= 50 group by 1")(
-    lambda t: rows.dedupe_key(t("documents").select("lang", "doc_id"), ["doc_id"], [F.col("doc_id")]).transform(lambda d: I.top_positions(d.select(F.col("lang").alias("accession"), (-F.col("doc_id")).alias("attr"), F.col("doc_id").alias("pos")), 50)).groupBy(F.col("accession").alias("lang")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("pos")), lambda x: x.cast("string")), ",").alias("first_ids"))
+    lambda t: T.capped_sample(t("documents"), "lang", "doc_id").select("lang", F.array_join(F.transform("first", lambda x: x.cast("string")), ",").alias("first_ids"))
 )
 query("one_hot", "select doc_id, " + ", ".join(f"coalesce(cast(source = '{v}' as int), 0) as source_{v}" for v in ("web", "books")) + " from documents")(lambda t: P.one_hot(t("documents").select("doc_id", "source"), "source", ["web", "books"]).drop("source"))
 query("cosine_pairs", "with u as (select label, unnest([x / sqrt(list_sum([cast(v as double) * v for v in embedding])) for x in embedding]) as x, unnest(range(0, len(embedding))) as i from embeddings where list_sum([cast(v as double) * v for v in embedding]) > 0), s as (select label, i, sum(x) as s, count(*) as n from u group by 1, 2) select label, max(n) as n, case when max(n) > 1 then round((sum(s * s) - max(n)) / (max(n) * (max(n) - 1)), 6) end as cosine from s group by 1")(
     lambda t: P.cosine_within(t("embeddings"), "label", "embedding")
 )
-query("kmer_enrichment", f"with e as (select kmer, cast(sum(case when doc_id % 2 = 0 then n else 0 end) as bigint) as a, cast(sum(case when doc_id % 2 = 0 then 0 else n end) as bigint) as c from ({ORACLES['kmer_freq']}) x group by 1), s as (select sum(a) as ta, sum(c) as tc from e) select kmer, a, c, round(log2((a + .5) / (ta + .5) / ((c + .5) / (tc + .5))), 6) as log2_fc, round((a + .5) * (tc - c + .5) / ((c + .5) * (ta - a + .5)), 6) as odds_ratio from e cross join s")(
-    lambda t: P.kmer_enrichment(rows.kmer_counts(t("documents"), "doc_id", "text"), F.col("doc_id") % 2 == 0)
+STRATA = f"e as (select (doc_id // 2) % 2 as stratum, kmer, cast(sum(case when doc_id % 2 = 0 then n else 0 end) as bigint) as a, cast(sum(case when doc_id % 2 = 0 then 0 else n end) as bigint) as c from ({G.kmers(5)}) x group by 1, 2), s as (select stratum, sum(a) as ta, sum(c) as tc from e group by 1), tab as (select stratum || '|' || kmer as cls, stratum, kmer, a, cast(ta - a as bigint) as b, c, cast(tc - c as bigint) as d from e join s using (stratum))"
+query("kmer_enrichment", f"with {STRATA}, {G.FISHER}, bh as (select cls, min(pr * m / rk) over (order by rk desc rows unbounded preceding) as q from (select cls, fisher_p as pr, count(*) over () as m, row_number() over (order by fisher_p, cls) as rk from fp) z) select stratum, kmer, t.a, t.c, round(log2((t.a + .5) / (t.a + t.b + .5) / ((t.c + .5) / (t.c + t.d + .5))), 6) as log2_fc, round((t.a + .5) * (t.d + .5) / ((t.c + .5) * (t.b + .5)), 6) as odds_ratio, round(fisher_p, 4) as p, round(least(1.0, q), 4) as q from tab t join fp using (cls) join bh using (cls)")(
+    lambda t: P.kmer_enrichment(rows.kmer_counts(t("documents"), "doc_id", "text", 5).withColumn("stratum", F.floor(F.col("doc_id") / 2) % 2), F.col("doc_id") % 2 == 0, ["stratum"]).withColumn("p", F.round("p", 4)).withColumn("q", F.round("q", 4))
 )
 C = "lgamma({0} + 1) - lgamma({1} + 1) - lgamma({0} - {1} + 1)"
 query("hypergeom_top", f"with top as (select accession, pos from (select *, row_number() over (partition by accession order by abs(attr) desc, pos) as r, count(*) over (partition by accession) as n from v_track) x where r <= greatest(1, ceil(n * 0.1))), k as (select accession, cls, sum(s1 - s0) as k from v_merged group by 1, 2 having sum(s1 - s0) > 0), g as (select accession, n, r from v_genome join (select accession, count(*) as r from top group by 1) y using (accession)), h as (select t.accession, m.cls, count(*) as a from top t join v_merged m on m.accession = t.accession and t.pos >= m.s0 and t.pos < m.s1 group by 1, 2), z as (select accession, cls, n, r, k, coalesce(a, 0) as a from k join g using (accession) left join h using (accession, cls)), p as (select *, unnest(range(greatest(a, r + k - n)::bigint, least(r, k)::bigint + 1)) as x from z) select accession, cls, n, r, cast(k as bigint) as k, a, round(least(1.0, sum(exp({C.format('k', 'x')} + {C.format('(n - k)', '(r - x)')} - ({C.format('n', 'r')})))), 6) as p, round(a / r / (k / n), 6) as enrichment from p group by accession, cls, n, r, k, a")(
@@ -100,6 +104,9 @@ query("stouffer", f"select cls, count(*) as n, round(sum((observed - null_mean)
 query("residualize", "select l_orderkey, l_linenumber, round(l_quantity - s * l_linenumber - i, 5) as residual from lineitem join (select l_returnflag, regr_slope(l_quantity, l_linenumber) as s, regr_intercept(l_quantity, l_linenumber) as i from lineitem group by 1) x using (l_returnflag)")(
     lambda t: N.residualize(t("lineitem"), "l_quantity", "l_linenumber", ["l_returnflag"]).select("l_orderkey", "l_linenumber", F.round("residual", 5).alias("residual"))
 )
+query("residualize_groups", "select l_orderkey, l_linenumber, round(l_quantity - m, 5) as residual from lineitem join (select l_linestatus, avg(l_quantity) as m from lineitem group by 1) x using (l_linestatus)")(
+    lambda t: N.residualize_groups(t("lineitem"), "l_quantity", ["l_linestatus"]).select("l_orderkey", "l_linenumber", F.round("residual", 5).alias("residual"))
+)
 PEAK = ORACLES["peak_fragment"]
 query("placement_null", f"with f as (select x.accession, x.window_index, x.frag_start, g.n from ({PEAK}) x join v_genome g using (accession) where g.n >= 5), e as (select f.*, p.perm, case when p.perm = 0 then frag_start else {HASH.format("'42|' || p.perm || '|' || f.accession || '|' || f.window_index")} % (n - 4) end as w0 from f cross join (select unnest(range(0, 21)) as perm) p), o as (select e.accession, e.window_index, e.perm, m.cls, sum(least(e.w0 + 5, m.s1) - greatest(e.w0, m.s0)) as c from e join v_merged m on m.accession = e.accession and m.s0 < e.w0 + 5 and m.s1 > e.w0 group by 1, 2, 3, 4), s as (select c.cls, p.perm, coalesce(h, 0) / (select count(*) from f) as x from (select distinct cls from v_span) c cross join (select unnest(range(0, 21)) as perm) p left join (select cls, perm, count(*) as h from o where c >= 2.5 group by 1, 2) y using (cls, perm)) select n.cls, round(o.x, 6) as observed, round(avg(n.x), 6) as null_mean, round(quantile_cont(n.x, 0.95), 6) as null_p95, round((1 + count_if(n.x >= o.x)) / (1 + count(*)), 6) as p from s n join s o on n.cls = o.cls and o.perm = 0 where n.perm > 0 group by n.cls, o.x")(
     lambda t: N.placement_null(I.peak_fragment(t("v_track"), t("v_window"), 5).select("accession", F.col("window_index").alias("frag_id"), "frag_start"), t("v_genome"), t("v_span"), 20, 5)
@@ -131,8 +138,17 @@ query("sample_manifest", f"select sequence_id, group_id from (select *, row_numb
 query("geometry_report", f"select * from ({ORACLES['group_sizes']}) a cross join ({ORACLES['icc_groups']}) b cross join (select round(avg(purity), 5) as mean_purity from ({ORACLES['purity']}) z) c cross join ({ORACLES['shared_block_fraction']}) d")(
     lambda t: P.geometry_report(t("v_manifest"), "sequence_id", "label", "group_id", "block_id").withColumn("mean_purity", F.round("mean_purity", 5))
 )
-query("fidelity", "select count(*) as n, round(corr(ra, rb), 6) as rho from (select rank() over (order by p_size) + (count(*) over (partition by p_size) - 1) / 2 as ra, rank() over (order by p_retailprice) + (count(*) over (partition by p_retailprice) - 1) / 2 as rb from part) x")(
-    lambda t: G.S.spearman(t("part").select(F.lit(1).alias("all"), "p_size", "p_retailprice"), "p_size", "p_retailprice", ["all"]).select("n", "rho")
+query("fidelity", "select count(*) as n, round(corr(ra, rb), 6) as rho, round(quantile_cont(share, 0.5), 6) as median_share from (select p_partkey % 50 / (p_partkey % 50 + p_size) as share, rank() over (order by p_size) + (count(*) over (partition by p_size) - 1) / 2 as ra, rank() over (order by p_retailprice) + (count(*) over (partition by p_retailprice) - 1) / 2 as rb from part) x")(
+    lambda t: T.fidelity(t("part").withColumn("share", F.col("p_partkey") % 50 / (F.col("p_partkey") % 50 + F.col("p_size"))), "p_size", "p_retailprice", "share")
+)
+HOST = "case when family = 1 then 'test' when group_id in (select group_id from v_emb where family = 1) then 'dropped' else 'train' end"
+query("value_holdout", f"select vec_id, case when host = 1 then 'test' else 'train' end as cross_host, {HOST} as geographic from v_emb")(
+    lambda t: P.value_holdout(t("v_emb"), "host", 1).withColumnRenamed("split", "cross_host").transform(lambda d: P.value_holdout(d, "family", 1, "group_id")).select("vec_id", "cross_host", F.col("split").alias("geographic"))
+)
+LEGACY = f"select sequence_id, label, copy, case when r <= ceil(n * 0.2) then 'val' else 'train' end as split from (select *, row_number() over (partition by label order by {HASH.format("'42|' || sequence_id || '|' || copy")}, sequence_id, copy) as r, count(*) over (partition by label) as n from ({ORACLES['oversample_minority']}) x) y"
+query("prepare_split_legacy", LEGACY)(lambda t: P.prepare_split(t("v_manifest"), "group_id", "label", legacy=True, id_col="sequence_id").select("sequence_id", "label", "copy", "split"))
+query("classify_span", "select p_partkey, case p_partkey % 7 when 0 then 'entry' when 1 then 'polymerase' when 2 then 'accessory' when 3 then 'structural_other' when 4 then 'rbd' when 6 then 'structural_other' end as cls from part")(
+    lambda t: P.classify_span(t("part").withColumn("label", F.element_at(F.array(*map(F.lit, ["Spike glycoprotein", "ORF1ab polyprotein", "orf3a", "membrane protein M", "Receptor binding", "something", "N"])), (F.col("p_partkey") % 7 + 1).cast("int"))), ("label",)).select("p_partkey", "cls")
 )
 
 
@@ -144,3 +160,27 @@ def probed(t):
 # The solve has no SQL form; tests hold both queries against numpy.
 query("oof_ridge")(lambda t: probes.oof_ridge(probed(t), "vec_id", "features", "y", "fold"))
 query("probe_gap")(lambda t: probes.probe_gap(probed(t), "vec_id", "features", "y", "fold", "blocked"))
+
+
+def pooled_features(t):
+    """The embeddings and, as baselines, their first two numbers and the one-hot family."""
+    own = probed(t).withColumn("family_hot", F.array(*[(F.col("family") == i).cast("double") for i in range(3)]))
+    return own.withColumn("two", F.slice("features", 1, 2))
+
+
+query("split_contrast")(lambda t: reports.split_contrast(t("v_emb"), "vec_id", "features", "y", "group_id", repeats=5))
+query("logo_influence")(lambda t: reports.logo_influence(t("v_emb"), "vec_id", "features", "y", "group_id"))
+query("audit_report")(lambda t: reports.audit_report(t("v_emb"), "vec_id", "y", "group_id", "group_id", "features").withColumn("warnings", F.array_join("warnings", ",")))
+query("baseline_matrix")(lambda t: reports.baseline_matrix(pooled_features(t), "vec_id", {"embedding": "features", "two": "two", "family": "family_hot"}, ["y"], {"random": "fold", "blocked": "blocked"}))
+query("logit_adjust")(lambda t: reports.logit_adjust(in_class(t).join(I.equal_windows(t("v_genome"), 3), ["accession", "window_index"]).withColumn("middle", (F.col("window_index") == 1).cast("int")).withColumn("length", F.col("w1") - F.col("w0")), "is_top", "inside", ["middle", "length"], "accession"))
+query("minhash_leakage")(lambda t: reports.minhash_leakage(G.split_a(t), G.split_b(t), "sequence_id", "text"))
+query("clean_manifest_near")(lambda t: reports.clean_manifest(G.split_a(t), G.split_b(t), "sequence_id", "text").select("sequence_id"))
+LOCUS = "(select accession, min(s0) as s0, max(s1) as s1 from v_span where cls = 'rbd' group by 1)"
+SUMS = "(select accession, pos + 1 as edge, sum(abs(attr)) over (partition by accession order by pos) as cum from v_track union all select accession, 0, 0.0 from v_genome)"
+OUTER = f"o as (select l.accession, l.s1 - l.s0 as len, g.n, x.o, case when x.o = 0 then l.s0 else {HASH.format("'42|locus|' || x.o || '|' || l.accession")} % (g.n - (l.s1 - l.s0)) end as start from {LOCUS} l join v_genome g using (accession) cross join (select unnest(range(0, 11)) as o) x where g.n > l.s1 - l.s0 + 1 and l.s1 > l.s0)"
+INNER = f"i as (select o.*, x.i, (start + case when x.i = 0 then 0 else {HASH.format("'42|shift|' || o.o || '|' || x.i || '|' || o.accession")} % n end) % n as a from o cross join (select unnest(range(0, 13)) as i) x)"
+MASS = f"m as (select i.accession, i.o, i.i, round(p.cum - q.cum + case when i.a + i.len > i.n then r.cum else 0 end, 6) as mass from i join {SUMS} q on q.accession = i.accession and q.edge = i.a join {SUMS} p on p.accession = i.accession and p.edge = least(i.a + i.len, i.n) join {SUMS} r on r.accession = i.accession and r.edge = greatest(i.a + i.len - i.n, 0))"
+STOUFFER = "t as (select o, count(*) as n, round(sum((seen - mean) / (sd + 1e-6)) / sqrt(count(*)), 4) as t from (select accession, o, max(mass) filter (i = 0) as seen, avg(mass) filter (i > 0) as mean, stddev_pop(mass) filter (i > 0) as sd from m group by 1, 2) y group by 1)"
+query("locus_set_null", f"with {OUTER}, {INNER}, {MASS}, {STOUFFER} select s.n, round(s.t, 3) as t_observed, round((1 + count_if(t.t >= s.t)) / (1 + count(*)), 6) as p, round(avg(t.t), 3) as null_mean, round(quantile_cont(t.t, 0.95), 3) as null_p95 from t cross join (select n, t from t where o = 0) s where t.o > 0 group by s.n, s.t")(
+    lambda t: reports.locus_set_null(t("v_track"), t("v_span").where("cls = 'rbd'").groupBy("accession").agg(F.min("s0").alias("s0"), F.max("s1").alias("s1")), 10, 12).select("n", F.round("t_observed", 3).alias("t_observed"), "p", F.round("null_mean", 3).alias("null_mean"), F.round("null_p95", 3).alias("null_p95"))
+)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import controls as C
+from ..operators import reports
 from .registry import HASH, ORACLES, query
 
 TOP = f"select accession, pos from ({ORACLES['top_quantile']}) z where is_top"
@@ -46,3 +47,6 @@ select n, cast(1 as int) as df1, n - g - 1 as df2, round(yy, 6) as rss_reduced,
 )
 # Signs of components are free, so SQL cannot fix them; a test holds the scores against numpy.
 query("pca_scores")(lambda t: C.pca_scores(t("v_emb"), "features", 4).select("vec_id", *[F.abs(F.col("scores")[i]).alias(f"pc{i + 1}") for i in range(4)]))
+query("known_locus_scores", f"select * from ({ORACLES['locus_percentile']}) a join ({ORACLES['mass_enrichment']}) b using (accession, cls) join (select accession, cls, p from ({ORACLES['shift_null']}) z) c using (accession, cls)")(
+    lambda t: reports.known_locus_scores(t("v_track"), t("v_merged"), 20)
+)

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions.keyed import draw
 from ..operators import intervals as I
+from ..operators import nulls as N
 from ..operators import rows as R
 from ..operators import splits as K
 from ..operators import statistics as S
+from ..operators import tables as T
 from .fixtures import ctes, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,7 +62,11 @@ query("gc_acgt", f"select doc_id, round((length(s) - length(translate(s, 'GC', '
 query("dinuc_frac", f"select doc_id, round(len([i for i in range(1, length(s)) if substr(s, i, 2) = 'CA']) / nullif(length(s) - 1, 0), 6) as frac from (select doc_id, {CLEAN} as s from documents) x where length(s) > 1")(
     lambda t: R.dinuc_frac(t("documents"), "text", "CA").where("frac is not null").select("doc_id", "frac")
 )
-query("kmer_freq", f"with k as (select doc_id, substr(s, i, 3) as kmer from (select doc_id, s, unnest(range(1, length(s) - 1)) as i from (select doc_id, {CLEAN} as s from documents) x) y) select doc_id, kmer, count(*) as n, round(count(*) / sum(count(*)) over (partition by doc_id), 6) as freq from k group by doc_id, kmer")(
+def kmers(k):
+    return f"with k as (select doc_id, substr(s, i, {k}) as kmer from (select doc_id, s, unnest(range(1, length(s) - {k - 2})) as i from (select doc_id, {CLEAN} as s from documents) x) y) select doc_id, kmer, count(*) as n, round(count(*) / sum(count(*)) over (partition by doc_id), 6) as freq from k group by doc_id, kmer"
+
+
+query("kmer_freq", kmers(3))(
     lambda t: R.kmer_counts(t("documents"), "doc_id", "text")
 )
 NAMES = "case p_size % 4 when 0 then 'Pandemic virus' when 1 then 'Animal to human transmission' when 2 then 'Geography of the host(s)' else 'Genome type' end"
@@ -69,21 +75,25 @@ FACTORS = f"select p_partkey, {NAMES} as name, cast(p_size as double) as weighte
 
 
 def factors(t):
+    return parsed(t).select("p_partkey", "name", "weighted")
+
+
+def parsed(t):
     return R.parse_factors(t("part").withColumn("risk", F.expr(TEXT)), "p_partkey", "risk")
 
 
-query("parse_factors", FACTORS)(factors)
+query("parse_factors", f"select *, cast(null as double) as risk_score, case when name like 'Host plasticity%' then 2.0 end as impact from ({FACTORS}) x")(parsed)
 query("flag_factors", f"select p_partkey, name, weighted, case when name ilike '%pandemic%' or name ilike '%human transmission%' then 1 else 0 end as circular, case when name ilike '%host%' then 1 else 0 end as host_axis from ({FACTORS}) x")(
     lambda t: R.flag_factors(factors(t), {"circular": "pandemic|human transmission", "host_axis": "host"})
 )
-query("factor_catalog", f"select name, count(*) as n from ({FACTORS}) x group by name")(lambda t: factors(t).groupBy("name").agg(F.count("*").alias("n")))
+query("factor_catalog", f"select name, count(*) as n from ({FACTORS}) x group by name")(lambda t: T.factor_catalog(factors(t)))
 query("factor_scores", f"select p_partkey, count(*) as n_factors, sum(weighted) as total, sum(case when name ilike '%pandemic%' then weighted else 0.0 end) as circular, sum(case when name ilike '%pandemic%' then 0.0 else weighted end) as ablated from ({FACTORS}) x group by p_partkey")(
-    lambda t: R.flag_factors(factors(t), {"c": "pandemic"}).groupBy("p_partkey").agg(F.count("*").alias("n_factors"), F.sum("weighted").alias("total"), F.sum(F.col("weighted") * F.col("c")).alias("circular"), F.sum(F.col("weighted") * (1 - F.col("c"))).alias("ablated"))
+    lambda t: T.factor_scores(R.flag_factors(factors(t), {"c": "pandemic"}), "p_partkey", "c")
 )
 query("join_scores", "select d.doc_id, l.quality, case when l.doc_id is null then 0 else 1 end as matched from documents d left join (select doc_id, max(quality) as quality from labels group by doc_id) l using (doc_id)")(
-    lambda t: t("documents").select("doc_id").join(t("labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.lit(1).alias("m")), "doc_id", "left").select("doc_id", "quality", F.coalesce("m", F.lit(0)).alias("matched"))
+    lambda t: T.join_scores(t("documents").select("doc_id"), t("labels").groupBy("doc_id").agg(F.max("quality").alias("quality")), "doc_id", "doc_id").select("doc_id", "quality", "matched")
 )
-query("lookup_attrs", "select o.o_orderkey, c.c_name, c.c_nationkey from orders o join customer c on o.o_custkey = c.c_custkey")(lambda t: t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_name", "c_nationkey"))
+query("lookup_attrs", "select o.o_orderkey, c.c_name, c.c_nationkey from orders o join customer c on o.o_custkey = c.c_custkey")(lambda t: T.lookup_attrs(t("orders").select("o_orderkey", "o_custkey"), t("customer"), "o_custkey", "c_custkey", ["c_name", "c_nationkey"]).drop("o_custkey"))
 query("merge_intervals", "select accession, cls, s0, s1 from v_merged")(lambda t: I.merge_intervals(t("v_span"), ["accession", "cls"]))
 query("interval_overlap", "select w.accession, w.window_index, w.w0, w.w1, m.cls, cast(sum(least(w.w1, m.s1) - greatest(w.w0, m.s0)) as bigint) as covered, round(sum(least(w.w1, m.s1) - greatest(w.w0, m.s0)) / (w.w1 - w.w0), 6) as frac from v_window w join v_merged m on w.accession = m.accession and m.s0 < w.w1 and m.s1 > w.w0 group by w.accession, w.window_index, w.w0, w.w1, m.cls")(
     lambda t: I.interval_overlap(t("v_window"), t("v_span"))
@@ -146,9 +156,21 @@ FISHER = f"tt as (select *, a+b as r, a+c as k, a+b+c+d as n from tab), gr as (s
 query("fisher_or", CONTRAST.rstrip() + ", " + FISHER + "select cls, a, b, c, d, round(fisher_p, 6) as fisher_p from fp")(lambda t: S.fisher_or(contrast(t), "cls"))
 BH = "select cls, round(least(1.0, min(pr * m / rk) over (order by rk desc rows unbounded preceding)), 6) as q from (select cls, round(fisher_p, 9) as pr, count(*) over () as m, row_number() over (order by round(fisher_p, 9), cls) as rk from fp) z"
 query("bh_fdr", CONTRAST.rstrip() + ", " + FISHER + BH)(lambda t: S.bh_fdr(S.fisher_or(contrast(t), "cls").select("cls", F.round("fisher_p", 9).alias("p")), "p", "cls").select("cls", "q"))
-query("high_low_contrast", CONTRAST.rstrip() + ", " + FISHER + f"select cls, a, b, c, d, {HALDANE}, round(fisher_p, 6) as fisher_p from fp")(
-    lambda t: S.haldane_or(S.fisher_or(contrast(t), "cls")).select("cls", "a", "b", "c", "d", "odds_ratio", "haldane_or", "ci_low", "ci_high", "fisher_p")
+SIGN = "lgamma(a + b + 1) - lgamma(x + 1) - lgamma(a + b - x + 1) + x * ln(p0) + (a + b - x) * ln(1 - p0)"
+query("high_low_contrast", CONTRAST.rstrip() + ", " + FISHER + f", bh as ({BH}), s as (select cls, least(1.0, sum(exp({SIGN}))) as sign_p from (select *, greatest(1e-6, least(1 - 1e-6, (a + c) / (a + b + c + d))) as p0, unnest(range(a, a + b + 1)) as x from fp) y group by 1) select cls, a, b, c, d, {HALDANE}, round(fisher_p, 6) as fisher_p, q, round(sign_p, 6) as sign_p from fp join bh using (cls) join s using (cls)")(
+    lambda t: contrast_report(contrast(t))
 )
+
+
+def contrast_report(tables):
+    """Odds ratios, Fisher p and q, and the sign test of the high windows against the class's share of all."""
+    own = S.haldane_or(S.fisher_or(tables, "cls"))
+    q = S.bh_fdr(own.select("cls", F.round("fisher_p", 9).alias("p")), "p", "cls").select("cls", "q")
+    share = own.select("cls", F.col("a").alias("_k"), (F.col("a") + F.col("b")).alias("_n"), ((F.col("a") + F.col("c")) / (F.col("a") + F.col("b") + F.col("c") + F.col("d"))).alias("p0"))
+    sign = N.binom_sign(share, "cls", "_k", "_n", "p0").select("cls", F.col("p").alias("sign_p"))
+    return own.join(q, "cls").join(sign, "cls").select("cls", "a", "b", "c", "d", "odds_ratio", "haldane_or", "ci_low", "ci_high", "fisher_p", "q", "sign_p")
+
+
 RANKS = "avg(x) over w"
 query("average_rank", "select doc_id, b + (c + 1) / 2 as rank from (select doc_id, rank() over (order by n_chars) - 1 as b, count(*) over (partition by n_chars) as c from documents) x")(lambda t: S.average_rank(t("documents").select("doc_id", "n_chars"), "n_chars", [], "rank").select("doc_id", "rank"))
 query("spearman", "select lang, count(*) as n, case when count(*) >= 10 then round(corr(ra, rb), 6) end as rho from (select lang, rank() over (partition by lang order by n_chars) + (count(*) over (partition by lang, n_chars) - 1) / 2 as ra, rank() over (partition by lang order by source) + (count(*) over (partition by lang, source) - 1) / 2 as rb from documents) x group by lang")(
@@ -176,10 +198,10 @@ query("reg_metrics", "select l_returnflag, round(avg((l_quantity - l_linenumber)
 )
 query("group_sizes", "select count(*) as n_groups, min(n) as min_size, max(n) as max_size, quantile_cont(n, 0.5) as median_size, round(avg(case when n = 1 then 1.0 else 0.0 end), 6) as singleton_share from (select group_id, count(*) as n from v_manifest group by 1) x")(lambda t: S.group_sizes(t("v_manifest"), "group_id"))
 query("percentile_ci", "select event_type, round(avg(value), 6) as mean, round(coalesce(stddev_samp(value), 0), 6) as sd, round(quantile_cont(value, 0.025), 6) as lo, round(quantile_cont(value, 0.975), 6) as hi, count(value) as n from events group by 1")(lambda t: S.percentile_ci(t("events"), "event_type", "value"))
-query("median_by_name", "select event_type, round(quantile_cont(value, 0.5), 6) as median from events group by 1")(lambda t: t("events").groupBy("event_type").agg(F.percentile("value", F.lit(0.5)).alias("median")))
-query("any_yes", "select p_brand, max(case when p_partkey % 5 = 0 then 1 else 0 end) as any_yes from part group by 1")(lambda t: t("part").withColumn("h", F.when(F.col("p_partkey") % 5 == 0, "Yes").otherwise("No")).groupBy("p_brand").agg(F.max((F.lower("h") == "yes").cast("int")).alias("any_yes")))
-query("icc_groups", "with m as (select group_id, count(*) as n, avg(label) as m from v_manifest group by 1), a as (select avg(label) as al, var_pop(label) * count(*) as ss from v_manifest) select round(case when max(ss) <= 1e-12 then 1.0 else greatest(0, least(1, sum(n * (m - al) ** 2) / max(ss))) end, 6) as eta_squared from m cross join a")(lambda t: S.icc_groups(t("v_manifest"), "label", "group_id"))
-query("purity", "select block_id, round(max(n) / sum(n), 6) as purity, cast(sum(n) as bigint) as n from (select block_id, label, count(*) as n from v_manifest group by 1, 2) x group by 1")(lambda t: S.purity(t("v_manifest"), "label", "block_id"))
+query("median_by_name", "select event_type, round(quantile_cont(value, 0.5), 6) as median from events group by 1")(lambda t: T.median_by_name(t("events"), "event_type", ["value"]).withColumnRenamed("value", "median"))
+query("any_yes", "select p_brand, max(case when p_partkey % 5 = 0 then 1 else 0 end) as any_yes from part group by 1")(lambda t: T.any_yes(t("part").withColumn("any_yes", F.when(F.col("p_partkey") % 5 == 0, "Yes").otherwise("No")), "p_brand", ["any_yes"]))
+query("icc_groups", "with k as (select * from v_manifest where label is not null and group_id is not null), m as (select group_id, count(*) as n, avg(label) as m from k group by 1), a as (select avg(label) as al, var_pop(label) * count(*) as ss from k) select case when count(*) > 1 then round(case when max(ss) <= 1e-12 then 1.0 else greatest(0, least(1, sum(n * (m - al) ** 2) / max(ss))) end, 6) end as eta_squared from m cross join a")(lambda t: S.icc_groups(t("v_manifest"), "label", "group_id"))
+query("purity", "select block_id, round(max(n) / sum(n), 6) as purity, cast(sum(n) as bigint) as n from (select block_id, label, count(*) as n from v_manifest where label is not null group by 1, 2) x group by 1")(lambda t: S.purity(t("v_manifest"), "label", "block_id"))
 query("mean_pool", "with e as (select group_id, unnest(features) as x, unnest(range(0, len(features))) as i from v_emb) select group_id, i, round(avg(x), 6) as x from e group by 1, 2")(
     lambda t: S.mean_pool(t("v_emb"), "group_id").select("group_id", F.posexplode("pooled").alias("i", "x")).select("group_id", F.col("i").cast("bigint").alias("i"), "x")
 )
@@ -198,10 +220,10 @@ def split_b(t):
 query("overlap_audit", f"with i as (select distinct sequence_id from {A} a where sequence_id in (select sequence_id from {B} b)), k as (select distinct group_id from {A} a where group_id in (select group_id from {B} b)) select (select count(*) from {A} a) as n_a, (select count(distinct sequence_id) from {A} a) as ids_a, (select count(*) from {B} b) as n_b, (select count(distinct sequence_id) from {B} b) as ids_b, (select count(*) from i) as shared_ids, (select count(*) from k) as shared_blocks, round((select count(*) from i) / (select count(distinct sequence_id) from {B} b), 6) as share_ids, (select string_agg(sequence_id, ',' order by sequence_id) from (select sequence_id from i order by 1 limit 50) z) as first_shared")(
     lambda t: S.overlap_audit(split_a(t), split_b(t), "sequence_id", "group_id").select("n_a", "ids_a", "n_b", "ids_b", "shared_ids", "shared_blocks", "share_ids", F.array_join(F.col("first_shared").cast("array<string>"), ",").alias("first_shared"))
 )
-query("content_overlap", f"select a.sequence_id as id_a, b.sequence_id as id_b from {A} a join {B} b on md5(a.text) = md5(b.text)")(lambda t: S.content_overlap(split_a(t), split_b(t), "sequence_id", "text"))
-query("intersect_ids", f"select distinct sequence_id from {A} a where sequence_id in (select sequence_id from {B} b)")(lambda t: split_a(t).select("sequence_id").intersect(split_b(t).select("sequence_id")))
+query("content_overlap", f"select a.digest, a.id as id_a, b.id as id_b, a.n as n_a, b.n as n_b from (select md5(text) as digest, min(sequence_id) as id, count(*) as n from {A} x where text is not null group by 1) a join (select md5(text) as digest, min(sequence_id) as id, count(*) as n from {B} x where text is not null group by 1) b using (digest)")(lambda t: S.content_overlap(split_a(t), split_b(t), "sequence_id", "text"))
+query("intersect_ids", f"select distinct sequence_id from {A} a where sequence_id in (select sequence_id from {B} b)")(lambda t: T.intersect_ids(split_a(t), split_b(t), "sequence_id"))
 query("union_models", f"select 'a' as split, group_id, count(*) as n from {A} x group by 2 union all select 'b', group_id, count(*) from {B} x group by 2")(
-    lambda t: split_a(t).withColumn("split", F.lit("a")).unionByName(split_b(t).withColumn("split", F.lit("b"))).groupBy("split", "group_id").agg(F.count("*").alias("n"))
+    lambda t: T.union_models({"a": split_a(t), "b": split_b(t)}, "split").groupBy("split", "group_id").agg(F.count("*").alias("n"))
 )
 DEAL = "with g as (select group_id, row_number() over (order by {h}, group_id) as r, count(*) over () as n from (select distinct group_id from v_manifest) z) "
 GROUP_HASH = HASH.format("'42|' || group_id")

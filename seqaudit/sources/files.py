@@ -12,6 +12,11 @@ def scan_manifest(spark: SparkSession, path: str, schema: str, sep: str | None =
     return spark.read.csv(path, schema=schema, header=True, sep=sep or ("\t" if tabs else ","))
 
 
+def scan_pruned(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """Named columns of a Parquet table; the scan reads no others."""
+    return spark.read.parquet(path).select(*columns)
+
+
 def resolve_columns(df: DataFrame, wanted: dict[str, str | None], aliases: dict[str, list[str]]) -> DataFrame:
     """Rename to each key of wanted the column asked for, else the first alias there; blanks around names are ignored."""
     there = {c.strip(): c for c in reversed(df.columns)}
@@ -24,10 +29,13 @@ def resolve_columns(df: DataFrame, wanted: dict[str, str | None], aliases: dict[
 
 
 def scan_tracks(spark: SparkSession, glob: str) -> DataFrame:
-    """(accession, pos, attr) of many track files; the accession is the file's name up to its first dot."""
+    """(accession, pos, attr) of many track files; the accession is the file's name up to its first dot.
+
+    attr is attr_abs_mean, else the absolute attr_score. What is no number is null; rows without a position go.
+    """
     raw = spark.read.option("header", True).csv(glob)
-    known = [F.col("attr_abs_mean").cast("double")] * ("attr_abs_mean" in raw.columns) + [F.abs(F.col("attr_score").cast("double"))] * ("attr_score" in raw.columns)
-    return raw.select(F.regexp_extract("_metadata.file_name", r"^([^.]+)", 1).alias("accession"), F.col("genomic_pos").cast("int").alias("pos"), F.coalesce(*known).alias("attr"))
+    known = [F.col("attr_abs_mean").try_cast("double")] * ("attr_abs_mean" in raw.columns) + [F.abs(F.col("attr_score").try_cast("double"))] * ("attr_score" in raw.columns)
+    return raw.select(F.regexp_extract("_metadata.file_name", r"^([^.]+)", 1).alias("accession"), F.col("genomic_pos").try_cast("int").alias("pos"), F.coalesce(*known).alias("attr")).where("pos is not null")
 
 
 def accession(header: Column) -> Column:
@@ -44,11 +52,58 @@ def scan_sequences(spark: SparkSession, path: str) -> DataFrame:
     return records.select(accession(parts[0]).alias("accession"), F.upper(F.regexp_replace(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), r"\s", "")).alias("sequence"))
 
 
+#: Kinds of features that become spans. Fixed values of the annotation format.
+KINDS = ("CDS", "mat_peptide", "Region", "gene")
+
+
+def scan_annotations(spark: SparkSession, glob: str) -> DataFrame:
+    """(accession, ftype, s0, s1, label, gene, product) of annotation flat files, a row for each part of a feature's location.
+
+    Records end with a line of two slashes; the accession is the first word of a record's LOCUS line, else the file's name without its
+    extension. Parts a..b, joined or complemented, become [a - 1, b); what is no such part is left out. The label is the region's name, else
+    the product, else the gene, in lower case as these are; names are empty where absent. All of it is column expressions on the executors.
+    """
+    records = spark.read.option("lineSep", "\n//").text(glob).select(F.regexp_replace("value", "\r", "").alias("r"), F.regexp_replace("_metadata.file_name", r"\.[^.]*$", "").alias("file"))
+    locus = F.regexp_extract("r", r"(?m)^LOCUS +(\S+)", 1)
+    blocks = records.select(F.coalesce(F.nullif(locus, F.lit("")), "file").alias("accession"), F.explode(F.split("r", r"\n(?= {5}\S)")).alias("b"))
+    named = lambda field: F.lower(F.coalesce(F.try_element_at(F.regexp_extract_all("b", F.lit(rf'\n {{21}} */{field}="([^"\n]*)'), 1), F.lit(-1)), F.lit("")))
+    place = F.regexp_replace(F.regexp_extract("b", r"^ {5}\S+\s+([^\n]*(?:\n {21} *[^/\s][^\n]*)*)", 1), r"\s", "")
+    own = blocks.select("accession", F.regexp_extract("b", r"^ {5}(\S+)\s+\S", 1).alias("ftype"), place.alias("place"), named("region_name").alias("region"), named("product").alias("product"), named("gene").alias("gene")).where(F.col("ftype").isin(*KINDS))
+    digits = lambda x: F.regexp_replace(x, "[^0-9]", "").try_cast("bigint")
+    parts = F.transform(F.filter(F.split("place", ","), lambda x: x.contains("..")), lambda x: F.struct((digits(F.substring_index(x, "..", 1)) - 1).alias("s0"), digits(F.regexp_extract(x, r"\.\.(.*)$", 1)).alias("s1")))
+    label = F.coalesce(F.nullif("region", F.lit("")), F.nullif("product", F.lit("")), "gene")
+    return own.select("accession", "ftype", F.inline(parts), label.alias("label"), "gene", "product").where("s0 >= 0 and s1 > s0")
+
+
 def write_results(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Write a result as parquet, csv (with a header) or json."""
     df.write.mode("overwrite").options(**({"header": True} if fmt == "csv" else {})).format(fmt).save(path)
 
 
+def write_by_key(df: DataFrame, path: str, key: str, extension: str = "csv") -> None:
+    """One delimited file with a header a key, named by it, as readers that tell the key from the file's name expect.
+
+    Rows of a key are gathered in one file, so a key is what one such file may hold.
+    """
+    df.repartition(key).write.partitionBy(key).option("header", True).csv(f"{path}/_parts")
+    _named(df.sparkSession, path, extension)
+
+
+def write_lines_by_key(df: DataFrame, path: str, key: str, extension: str = "txt") -> None:
+    """One text file a key with the numbers of the column `line` in order, a line each."""
+    df.repartition(key).sortWithinPartitions(key, F.col("line").cast("bigint")).write.partitionBy(key).text(f"{path}/_parts")
+    _named(df.sparkSession, path, extension)
+
+
+def _named(spark: SparkSession, path: str, extension: str) -> None:
+    """Move the one file of each folder key=... to a file named by the key."""
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    files = place(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for there in files.globStatus(place(f"{path}/_parts/*/part-*")):
+        files.rename(there.getPath(), place(f"{path}/{there.getPath().getParent().getName().split('=', 1)[1]}.{extension}"))
+    files.delete(place(f"{path}/_parts"), True)
+
+
 def write_nulls(nulls: DataFrame, path: str, by: str = "cls") -> None:
     """Keep null distributions as one long table, a folder for each value of by."""
     nulls.write.mode("overwrite").partitionBy(by).parquet(path)

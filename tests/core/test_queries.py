@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 
 from seqaudit.operators import probes, statistics
-from seqaudit.plans import audits, controls  # noqa: F401
+from seqaudit.plans import audits, controls, files  # noqa: F401
 from seqaudit.plans.registry import ORACLES, QUERIES
 
 SMALL = "/root/testdata/sf0.001"
