@@ -39,7 +39,7 @@ def label_perm_global(df: DataFrame, id_col: str, pred: str, y: str, b: int, see
     rows = df.select(F.col(id_col).alias("id"), F.col(pred).alias("pred"), F.col(y).alias("permuted"), F.lit(0).alias("_all"))
     dealt = splits.label_perm(rows, "id", "permuted", "_all", b, seed).join(rows.select("id", "pred"), "id")
     every = dealt.select("perm", "pred", "permuted").unionByName(rows.select(F.lit(0).alias("perm"), "pred", "permuted"))
-    rho = spearman(every, "pred", "permuted", ["perm"]).withColumn("rho", F.round("rho", 6))
+    rho = spearman(every, "pred", "permuted", ["perm"], ranges=64).withColumn("rho", F.round("rho", 6))
     null = rho.where("perm > 0").join(F.broadcast(rho.where("perm = 0").agg(F.first("rho").alias("observed"))), F.lit(True))
     return null.groupBy("observed").agg(F.avg("rho").alias("null_mean"), F.stddev_pop("rho").alias("null_sd"), ((1 + F.count_if(F.col("rho") >= F.col("observed"))) / (1 + F.count("*"))).alias("p"))
 

@@ -105,7 +105,7 @@ def probe_gap(df: DataFrame, id_col: str, features: str, y: str, random: str, bl
     """
     def score(fold, name):
         pred = oof_ridge(df, id_col, features, y, fold).withColumn("all", F.lit(1))
-        rho = spearman(pred, "y", "pred", ["all"]).select("all", "n", F.col("rho").alias(f"rho_{name}"))
+        rho = spearman(pred, "y", "pred", ["all"], ranges=64).select("all", "n", F.col("rho").alias(f"rho_{name}"))
         area = auroc(pred.where("y in (0, 1)"), "y", "pred", ["all"]).withColumnRenamed("auroc", "_auc")
         kinds = pred.agg(F.count_distinct("y").alias("_kinds"), F.count_if(~F.col("y").isin(0, 1)).alias("_else"))
         return rho.join(area, "all", "left").join(F.broadcast(kinds), F.lit(True)).select("all", "n", f"rho_{name}", F.when((F.col("_kinds") == 2) & (F.col("_else") == 0), F.col("_auc")).alias(f"auroc_{name}"))

@@ -33,7 +33,7 @@ def _scores(pred: DataFrame, by: list[str], group: str, binary: bool) -> DataFra
         each = statistics.auroc(pred, "y", "pred", by).withColumnRenamed("auroc", "score")
         macro = statistics.auroc(pred.withColumn("_w", weight), "y", "pred", by, "_w").withColumnRenamed("auroc", "macro")
     else:
-        each = statistics.spearman(pred, "y", "pred", by).select(*by, F.col("rho").alias("score"))
+        each = statistics.spearman(pred, "y", "pred", by, ranges=64).select(*by, F.col("rho").alias("score"))
         means = pred.groupBy(*by, group).agg(F.avg("y").alias("y"), F.avg("pred").alias("pred"))
         macro = statistics.spearman(means, "y", "pred", by, min_n=3).select(*by, F.col("rho").alias("macro"))
     return each.join(macro, by, "left")
@@ -117,7 +117,7 @@ def baseline_matrix(df: DataFrame, id_col: str, feature_sets: dict[str, str], ta
         for y in targets:
             for scheme, fold in schemes.items():
                 pred = oof_ridge(df, id_col, features, y, fold).select(F.lit(1).alias("_all"), "y", "pred")
-                got = statistics.spearman(pred, "y", "pred", ["_all"]).select(F.lit(name).alias("features"), F.lit(y).alias("target"), F.lit(scheme).alias("scheme"), "n", "rho")
+                got = statistics.spearman(pred, "y", "pred", ["_all"], ranges=64).select(F.lit(name).alias("features"), F.lit(y).alias("target"), F.lit(scheme).alias("scheme"), "n", "rho")
                 out = got if out is None else out.unionByName(got)
     return out
 

@@ -59,17 +59,32 @@ def bh_fdr(df: DataFrame, p: str, key: str) -> DataFrame:
     return ranked.withColumn("q", F.least(F.lit(1.0), least)).drop("_r")
 
 
-def average_rank(df: DataFrame, value: str, by: list[str], out: str) -> DataFrame:
-    """Mid-ranks: values counted, counts run up, joined back; so a value's ties are one row."""
-    counts = df.groupBy(*by, value).agg(F.count("*").alias("_c"))
-    before = F.coalesce(F.sum("_c").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return df.join(counts.select(*by, value, (before + (F.col("_c") + 1) / 2).alias(out)), [*by, value])
+def average_rank(df: DataFrame, value: str, by: list[str], out: str, ranges: int | None = None) -> DataFrame:
+    """Mid-ranks: values counted, counts run up, joined back; so a value's ties are one row. Rows with a null value or key go.
 
-
-def spearman(df: DataFrame, a: str, b: str, by: list[str], min_n: int = 10) -> DataFrame:
-    """Rank correlation of pairs that are complete; null under min_n pairs."""
+    With ranges the values of a key are cut in so many ranges by approximate quantiles; counts run up within a range, and what
+    lies in the ranges before is added, so no task orders all values. That is the way without keys, or where one key holds most rows; values must be
+    numbers for it.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
+    if ranges is None and not by and dict(df.dtypes)[value] not in ("string", "binary", "boolean"):
+        ranges = 64
+    if ranges:
+        cuts = counts.groupBy(*by).agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 1000).alias("_cuts"))
+        counts = counts.join(F.broadcast(cuts), by or F.lit(True)).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+        sizes = counts.groupBy(*by, "_b").agg(F.sum("_c").alias("_n"))
+        start = (F.sum("_n").over(Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_start")
+        counts = counts.join(F.broadcast(sizes.select(*by, "_b", start)), [*by, "_b"])
+    else:
+        counts = counts.withColumn("_b", F.lit(0)).withColumn("_start", F.lit(0))
+    before = F.coalesce(F.sum("_c").over(Window.partitionBy(*by, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return df.join(counts.select(*by, value, (F.col("_start") + before + (F.col("_c") + 1) / 2).alias(out)), [*by, value])
+
+
+def spearman(df: DataFrame, a: str, b: str, by: list[str], min_n: int = 10, ranges: int | None = None) -> DataFrame:
+    """Rank correlation of pairs that are complete; null under min_n pairs. ranges as in average_rank, for numbers."""
     both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    ranked = average_rank(average_rank(both, a, by, "_ra"), b, by, "_rb")
+    ranked = average_rank(average_rank(both, a, by, "_ra", ranges), b, by, "_rb", ranges)
     return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.when(F.count("*") >= min_n, F.corr("_ra", "_rb")).alias("rho"))
 
 

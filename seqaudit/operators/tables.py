@@ -88,5 +88,5 @@ def fidelity(df: DataFrame, rebuilt: str, published: str, share: str) -> DataFra
     """One row: rank correlation of rebuilt and published scores, and the median share of circular weight."""
     from .statistics import spearman
 
-    rho = spearman(df.withColumn("_all", F.lit(1)), rebuilt, published, ["_all"]).drop("_all")
+    rho = spearman(df.withColumn("_all", F.lit(1)), rebuilt, published, ["_all"], ranges=64).drop("_all")
     return rho.join(F.broadcast(df.agg(F.percentile(share, F.lit(0.5)).alias("median_share"))), F.lit(True))
