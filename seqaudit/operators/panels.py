@@ -132,6 +132,25 @@ def cosine_within(vectors: DataFrame, cluster: str, features: str = "features")
     return sums.groupBy(cluster).agg(F.max("n").alias("n"), F.when(F.max("n") > 1, (F.sum(F.col("s") * F.col("s")) - F.max("n")) / (F.max("n") * (F.max("n") - 1))).alias("cosine"))
 
 
+def cosine_pairs(vectors: DataFrame, id_col: str, cluster: str, features: str = "features", lags: int = 3, between_ratio: int = 3, buckets: int = 64, seed: int = 42) -> DataFrame:
+    """(kind, n, mean, q1, median, q3) of cosines within and between clusters, over pairs drawn by keyed hashing.
+
+    Vectors are dealt in buckets by hash and ordered by it; each meets the `lags` before it of its bucket and cluster, and those of other
+    clusters among the lags * between_ratio before it in its bucket. So the pairs grow with the vectors, not their square; choose buckets so
+    that one fits a task. Null and zero vectors go; a null cluster is one.
+    """
+    norm = F.sqrt(F.aggregate(features, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    h = draw(seed, F.col(id_col))
+    own = vectors.select(F.col(id_col).alias("id"), F.col(cluster).alias("c"), h.alias("h"), (h % buckets).alias("b"), norm.alias("l"), features).where("l > 0")
+    own = own.select("id", "c", "h", "b", F.transform(features, lambda x: x.cast("double") / F.col("l")).alias("u"))
+    dot = lambda v: F.aggregate(F.zip_with("u", v, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    same, near = Window.partitionBy("b", "c").orderBy("h", "id"), Window.partitionBy("b").orderBy("h", "id")
+    inside = [F.struct(F.lit("within").alias("kind"), dot(F.lag("u", j).over(same)).alias("x")) for j in range(1, lags + 1)]
+    across = [F.struct(F.lit("between").alias("kind"), F.when(~F.lag("c", j).over(near).eqNullSafe(F.col("c")), dot(F.lag("u", j).over(near))).alias("x")) for j in range(1, lags * between_ratio + 1)]
+    pairs = own.select(F.array(*inside, *across).alias("ps")).select(F.explode("ps").alias("p")).select("p.kind", F.round("p.x", 6).alias("x")).where("x is not null")
+    return pairs.groupBy("kind").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), *[F.percentile("x", F.lit(q)).alias(c) for c, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))])
+
+
 def kmer_enrichment(counts: DataFrame, high: Column, stratum: list[str] | None = None) -> DataFrame:
     """Of each k-mer in each stratum: high and low counts, log2 of the ratio of its shares and its odds ratio (0.5 added), Fisher p and q.
 

@@ -84,6 +84,11 @@ query("one_hot", "select doc_id, " + ", ".join(f"coalesce(cast(source = '{v}' as
 query("cosine_pairs", "with u as (select label, unnest([x / sqrt(list_sum([cast(v as double) * v for v in embedding])) for x in embedding]) as x, unnest(range(0, len(embedding))) as i from embeddings where list_sum([cast(v as double) * v for v in embedding]) > 0), s as (select label, i, sum(x) as s, count(*) as n from u group by 1, 2) select label, max(n) as n, case when max(n) > 1 then round((sum(s * s) - max(n)) / (max(n) * (max(n) - 1)), 6) end as cosine from s group by 1")(
     lambda t: P.cosine_within(t("embeddings"), "label", "embedding")
 )
+UNITS = f"u as (select vec_id as id, label as c, {HASH.format("'42|' || vec_id")} as h, {HASH.format("'42|' || vec_id")} % 8 as b, [x / sqrt(list_sum([cast(v as double) * v for v in embedding])) for x in embedding] as u from embeddings where list_sum([cast(v as double) * v for v in embedding]) > 0)"
+COSINES = " union all ".join([f"select 'within' as kind, list_dot_product(u, lag(u, {j}) over (partition by b, c order by h, id)) as x from u" for j in (1, 2)] + [f"select 'between', case when lag(c, {j}) over (partition by b order by h, id) is distinct from c then list_dot_product(u, lag(u, {j}) over (partition by b order by h, id)) end from u" for j in range(1, 5)])
+query("cosine_quartiles", f"with {UNITS}, p as (select kind, round(x, 6) as x from ({COSINES}) y where x is not null) select kind, count(*) as n, round(avg(x), 5) as mean, round(quantile_cont(x, 0.25), 5) as q1, round(quantile_cont(x, 0.5), 5) as median, round(quantile_cont(x, 0.75), 5) as q3 from p group by 1")(
+    lambda t: P.cosine_pairs(t("embeddings"), "vec_id", "label", "embedding", 2, 2, 8).select("kind", "n", *[F.round(c, 5).alias(c) for c in ("mean", "q1", "median", "q3")])
+)
 STRATA = f"e as (select (doc_id // 2) % 2 as stratum, kmer, cast(sum(case when doc_id % 2 = 0 then n else 0 end) as bigint) as a, cast(sum(case when doc_id % 2 = 0 then 0 else n end) as bigint) as c from ({G.kmers(5)}) x group by 1, 2), s as (select stratum, sum(a) as ta, sum(c) as tc from e group by 1), tab as (select stratum || '|' || kmer as cls, stratum, kmer, a, cast(ta - a as bigint) as b, c, cast(tc - c as bigint) as d from e join s using (stratum))"
 query("kmer_enrichment", f"with {STRATA}, {G.FISHER}, bh as (select cls, min(pr * m / rk) over (order by rk desc rows unbounded preceding) as q from (select cls, fisher_p as pr, count(*) over () as m, row_number() over (order by fisher_p, cls) as rk from fp) z) select stratum, kmer, t.a, t.c, round(log2((t.a + .5) / (t.a + t.b + .5) / ((t.c + .5) / (t.c + t.d + .5))), 6) as log2_fc, round((t.a + .5) * (t.d + .5) / ((t.c + .5) * (t.b + .5)), 6) as odds_ratio, round(fisher_p, 4) as p, round(least(1.0, q), 4) as q from tab t join fp using (cls) join bh using (cls)")(
     lambda t: P.kmer_enrichment(rows.kmer_counts(t("documents"), "doc_id", "text", 5).withColumn("stratum", F.floor(F.col("doc_id") / 2) % 2), F.col("doc_id") % 2 == 0, ["stratum"]).withColumn("p", F.round("p", 4)).withColumn("q", F.round("q", 4))
