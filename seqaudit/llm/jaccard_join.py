@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, small_or_shuffled, spread_join, written
+from .common import Scratch, components, let, small_or_shuffled, spread_join, written
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _WORDS: dict[bytes, int] = {}
@@ -365,9 +365,12 @@ def _more(failed: DataFrame, node: DataFrame, met: DataFrame, sets: DataFrame, p
     open_ = scratch.written(failed.select(F.explode(F.array("ca", "cb")).alias("component")).distinct(), "open")
     ids = node.join(open_, "component", "left_semi").select(F.col("node").alias("id"), "component")
     ids = ids.unionByName(open_.select(F.col("component").alias("id"), "component")).distinct()
-    own = met.join(ids, "id").join(sets.select("id", "size", "bits"), "id").select("id", "component", "size", "bits", F.explode("sigs").alias("sig"))
+    # a segment says nothing new of two documents that hold the one before it, in order, in common too
+    ordered = let(F.sort_array("sigs"), lambda own: F.transform(own, lambda x, i: F.struct(x.alias("sig"), F.get(own, i - 1).alias("before"))))
+    own = met.join(ids, "id").join(sets.select("id", "size", "bits"), "id").select("id", "component", "size", "bits", F.inline(ordered))
     mixed = own.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("sig")
     own = scratch.written(own.join(mixed, "sig"), "open")
-    x, y = (own.select("sig", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "component", "size", "bits")]) for side in "ab")
-    near = x.join(y, "sig").where((F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & _may(percent))
+    x, y = (own.select("sig", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "component", "size", "bits", "before")]) for side in "ab")
+    new = ~F.coalesce(F.col("before_a") == F.col("before_b"), F.lit(False))
+    near = x.join(y, "sig").where((F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & new & _may(percent))
     return near.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
