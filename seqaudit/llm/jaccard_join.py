@@ -98,8 +98,8 @@ def signatures(ordered: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarra
         digest = sums[ends] - sums[ends - counts]
         place = np.arange(parts, dtype=np.uint64) + np.uint64(own << 40)
         digests.append(_mixed(digest + _MIX[1] * place + _MIX[3] * counts.astype(np.uint64)))
-        kinds.append(np.full(parts, own, np.int64))
-        least.append(np.full(parts, max(1, parts - most), np.int64))
+        kinds.append(np.full(parts, own, np.int32))
+        least.append(np.full(parts, max(1, parts - most), np.int32))
         own -= 1
     return np.concatenate(digests), np.concatenate(kinds), np.concatenate(least)
 
@@ -108,7 +108,7 @@ def _blob(*arrays: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
 
 
-def packed(docs: DataFrame, k: int, percent: int, buckets: int, flush: int = 1_500_000) -> DataFrame:
+def packed(docs: DataFrame, k: int, percent: int, buckets: int, flush: int = 800_000) -> DataFrame:
     """(bucket, n, blob): one pass over docs (id, text).
 
     A chunk of documents gives a row for each bucket of its segments' digests, with n segments, and one with n = -1 for
