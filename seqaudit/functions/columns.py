@@ -6,7 +6,7 @@ import functools
 import math
 import operator
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -15,16 +15,29 @@ def let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def log_gamma(z: Column) -> Column:
-    """Logarithm of the gamma function for z >= 1, by Stirling's series at z + 8 and the recurrence; no table, no action."""
-    x = z.cast("double") + 8
-    series = (x - 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - 1 / (1680 * x**7)
-    return series - F.log(functools.reduce(operator.mul, [z.cast("double") + i for i in range(8)]))
-
-
-def log_factorial(n: Column) -> Column:
-    return log_gamma(n + 1)
-
-
-def log_choose(n: Column, k: Column) -> Column:
-    return log_factorial(n) - log_factorial(k) - log_factorial(n - k)
+def correlation(a: str | Column, b: str | Column) -> Column:
+    """Pearson correlation of complete pairs, an aggregate; null where a side is constant (F.corr raises there under ANSI rules)."""
+    a, b = (F.col(c) if isinstance(c, str) else c for c in (a, b))
+    x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    return F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(x) * F.var_pop(y)))
+
+
+def upper_tail(z: Column | str) -> Column:
+    """P(Z >= z) of a standard normal: a series of positive terms for the middle, a continued fraction for the tail."""
+    z = F.col(z) if isinstance(z, str) else z
+    x = F.abs(z) / math.sqrt(2)
+    term = lambda acc, n: F.struct((acc["t"] * 2 * x * x / (2 * n + 1)).alias("t"), (acc["s"] + acc["t"]).alias("s"))
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(90)), F.struct(x.alias("t"), F.lit(0.0).alias("s")), term)["s"]
+    middle = 1 - 2 / math.sqrt(math.pi) * F.exp(-x * x) * series
+    fraction = F.aggregate(F.sequence(F.lit(60), F.lit(1), F.lit(-1)), x, lambda acc, n: x + n / 2 / acc)
+    one = F.when(x < 3, middle).otherwise(F.exp(-x * x) / math.sqrt(math.pi) / F.greatest(fraction, F.lit(1e-300))) / 2
+    return F.when(z >= 0, one).otherwise(1 - one)
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on keys where null equals null; without keys every pair of rows (for a right side of one row). Columns of left, then the rest of right."""
+    if not keys:
+        return left.join(F.broadcast(right), F.lit(True), how)
+    other = right.select(*[F.col(k).alias(f"_key_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    got = left.join(other, functools.reduce(operator.and_, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]), how)
+    return got.drop(*[f"_key_{k}" for k in keys])

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.keyed import draw
+from .statistics import run_up
+
 
 def merge_intervals(spans: DataFrame, keys: list[str]) -> DataFrame:
     """Merge spans (s0, s1) of a key that overlap or touch."""
@@ -15,36 +18,60 @@ def merge_intervals(spans: DataFrame, keys: list[str]) -> DataFrame:
     return marked.groupBy(*keys, "_island").agg(F.min("s0").alias("s0"), F.max("s1").alias("s1")).drop("_island")
 
 
-def _binned(df: DataFrame, low: str, last: Column, size: int | None) -> DataFrame:
-    """A row for each bin of `size` positions that [low, last] touches; bin 0 without a size."""
-    if not size:
-        return df.withColumn("_bin", F.lit(0))
-    return df.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(low) / size), F.greatest(F.floor(last / size), F.floor(F.col(low) / size)))))
+def _level(low: str, high: str) -> Column:
+    """The least power of two that the interval [low, high) fits in, as an exponent."""
+    return F.ceil(F.log2((F.col(high) - F.col(low)).cast("double"))).cast("int")
+
+
+def _levels(df: DataFrame, low: str, high: str) -> list[int]:
+    """The levels that occur, 64 at most."""
+    return sorted(r[0] for r in df.select(_level(low, high)).distinct().collect())
+
 
+def _laid(df: DataFrame, low: str, high: str, others: list[int]) -> DataFrame:
+    """df once for each (_level, _bin) that an interval touches: bins of 2 ** _level positions, at its own level (_own), where it touches two
+    at most, and at each higher one of `others`."""
+    above = F.filter(F.array(*map(F.lit, others)).cast("array<int>"), lambda x: x > F.col("_fit"))
+    every = F.concat(F.array(F.struct(F.col("_fit").alias("_level"), F.lit(True).alias("_own"))), F.transform(above, lambda x: F.struct(x.alias("_level"), F.lit(False).alias("_own"))))
+    rows = df.withColumn("_fit", _level(low, high))
+    rows = rows.select(*df.columns, F.inline(every))
+    size = F.pow(F.lit(2.0), F.col("_level"))
+    return rows.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(low) / size), F.floor((F.col(high) - 1) / size))))
 
-def interval_overlap(queries: DataFrame, spans: DataFrame, key: str = "accession", cls: str = "cls", bin_size: int | None = None) -> DataFrame:
+
+def interval_overlap(queries: DataFrame, spans: DataFrame, key: str = "accession", cls: str = "cls") -> DataFrame:
     """Covered length and share of each query [w0, w1) by each class that meets it, spans merged first.
 
-    Repeated queries give the same row once each; queries that no span meets give none. With bin_size the join is on
-    (key, bin), so that a long genome is spread over tasks; a pair is counted in the bin where its overlap begins.
+    The join is on (key, level, bin): bins of powers of two, by the lengths that occur, so that a long genome is spread over tasks and no
+    caller chooses a size. A pair meets at the higher of both levels and counts in the bin where its overlap begins. Repeated
+    queries give the same row once each; empty queries and those that no span meets give none.
     """
-    merged = merge_intervals(spans, [key, cls])
-    own = queries.groupBy(*queries.columns).agg(F.count("*").alias("_times"))
-    x = _binned(own, "w0", F.col("w1") - 1, bin_size)
-    y = _binned(merged.withColumnRenamed(key, "_key"), "s0", F.col("s1") - 1, bin_size).withColumnRenamed("_bin", "_bin_s")
-    met = x.join(y, (F.col(key) == F.col("_key")) & (F.col("_bin") == F.col("_bin_s")) & (F.col("s0") < F.col("w1")) & (F.col("s1") > F.col("w0")))
-    if bin_size:
-        met = met.where(F.floor(F.greatest("s0", "w0") / bin_size) == F.col("_bin"))
+    merged = merge_intervals(spans.where("s1 > s0"), [key, cls])
+    own = queries.where("w1 > w0").groupBy(*queries.columns).agg(F.count("*").alias("_times"))
+    x = _laid(own, "w0", "w1", _levels(merged, "s0", "s1"))
+    y = _laid(merged, "s0", "s1", _levels(own, "w0", "w1")).select(F.col(key).alias("_key"), cls, "s0", "s1", F.col("_level").alias("_level_s"), F.col("_bin").alias("_bin_s"), F.col("_own").alias("_own_s"))
+    same = (F.col(key) == F.col("_key")) & (F.col("_level") == F.col("_level_s")) & (F.col("_bin") == F.col("_bin_s"))
+    met = x.join(y, same & (F.col("s0") < F.col("w1")) & (F.col("s1") > F.col("w0")) & (F.col("_own") | F.col("_own_s")))
+    met = met.where(F.floor(F.greatest("s0", "w0") / F.pow(F.lit(2.0), F.col("_level"))) == F.col("_bin"))
     got = met.groupBy(*queries.columns, "_times", cls).agg(F.sum(F.least("w1", "s1") - F.greatest("w0", "s0")).alias("covered"))
     got = got.withColumn("frac", F.col("covered") / (F.col("w1") - F.col("w0")))
     return got.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_times")))).drop("_times", "_copy")
 
 
-def point_in_interval(points: DataFrame, spans: DataFrame, key: str = "accession", cls: str = "cls", bin_size: int | None = None) -> DataFrame:
-    """Points with each class that has a span over their pos; with bin_size the join is on (key, bin)."""
-    merged = _binned(merge_intervals(spans, [key, cls]).withColumnRenamed(key, "_key"), "s0", F.col("s1") - 1, bin_size)
-    at = F.floor(F.col("pos") / bin_size) if bin_size else F.lit(0)
-    return points.join(merged, (points[key] == merged["_key"]) & (at == merged["_bin"]) & (points["pos"] >= merged["s0"]) & (points["pos"] < merged["s1"])).select(*[points[c] for c in points.columns], cls)
+def point_in_interval(points: DataFrame, spans: DataFrame, key: str = "accession", cls: str = "cls") -> DataFrame:
+    """Points with each class that has a span over their pos; joined on (key, level, bin) as in interval_overlap."""
+    merged = merge_intervals(spans.where("s1 > s0"), [key, cls])
+    levels = _levels(merged, "s0", "s1")
+    laid = _laid(merged, "s0", "s1", []).select(F.col(key).alias("_key"), cls, "s0", "s1", F.col("_level").alias("_level_s"), F.col("_bin").alias("_bin_s"))
+    at = points.withColumn("_level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn("_bin", F.floor(F.col("pos") / F.pow(F.lit(2.0), F.col("_level"))))
+    same = (F.col(key) == F.col("_key")) & (F.col("_level") == F.col("_level_s")) & (F.col("_bin") == F.col("_bin_s"))
+    return at.join(laid, same & (F.col("pos") >= F.col("s0")) & (F.col("pos") < F.col("s1"))).select(*points.columns, cls)
+
+
+def winning_class(queries: DataFrame, spans: DataFrame, key: str = "accession", cls: str = "cls") -> DataFrame:
+    """Queries with the class that covers most of each, the first by name on ties; null where none does."""
+    best = interval_overlap(queries.select(key, "w0", "w1").distinct(), spans, key, cls).groupBy(key, "w0", "w1").agg(F.min_by(cls, F.struct(-F.col("covered"), F.col(cls))).alias(cls))
+    return queries.join(best, [key, "w0", "w1"], "left")
 
 
 def region_lengths(genomes: DataFrame, spans: DataFrame, key: str = "accession", cls: str = "cls") -> DataFrame:
@@ -123,36 +150,62 @@ def peak_fragment(track: DataFrame, windows: DataFrame, frag_len: int = 250, key
     return full.withColumn("_n", F.row_number().over(order)).where("_n = 1").select(key, "window_index", F.col("pos").alias("frag_start"), "frag")
 
 
-def sliding_starts(seqs: DataFrame, length: str, window_len: int, stride: int) -> DataFrame:
-    """Window starts over each length: stride steps, and a last start at length - window_len."""
+def sliding_starts(seqs: DataFrame, length: str, window_len: int, stride: int | None = None, overlap: float = 0.1) -> DataFrame:
+    """Window starts over each length: stride steps, and a last start at length - window_len.
+
+    Without a stride it follows from the share that neighbours overlap, which is held within 0.1 and 0.5.
+    """
+    stride = stride or max(1, round(window_len * (1 - min(max(overlap, 0.1), 0.5))))
     last = F.greatest(F.col(length) - window_len, F.lit(0))
     steps = F.sequence(F.lit(0).cast("int"), last.cast("int"), F.lit(stride))
     starts = steps if stride >= window_len else F.array_union(steps, F.array(last.cast("int")))
     return seqs.withColumn("start", F.explode(starts))
 
 
-def shift_null(track: DataFrame, spans: DataFrame, b: int, key: str = "accession", cls: str = "cls", seed: int = 42) -> DataFrame:
-    """Circular-shift null of the mass in a class: observed mass, p, null mean and sd.
+def prefix_sums(track: DataFrame, edges: DataFrame, key: str = "accession") -> DataFrame:
+    """(key, edge, cum): the absolute score before each edge. Edges and positions run up together, so a track may have gaps and a long one is cut in ranges."""
+    both = track.select(key, "pos", F.abs("attr").alias("_x"), F.lit(False).alias("_e")).unionByName(edges.select(key, F.col("edge").alias("pos"), F.lit(0.0).alias("_x"), F.lit(True).alias("_e")))
+    sums = run_up(both.groupBy(key, "pos").agg(F.sum("_x").alias("_x"), F.max("_e").alias("_e")), [key], "pos", ["_x"])
+    return sums.where("_e").select(key, F.col("pos").alias("edge"), F.col("_x_under").alias("cum"))
+
+
+def track_lengths(track: DataFrame, key: str = "accession") -> DataFrame:
+    """(key, n): positions up to the last that has a row."""
+    return track.groupBy(key).agg((F.max("pos") + 1).cast("bigint").alias("n"))
+
+
+def circular_mass(track: DataFrame, spots: DataFrame, key: str = "accession") -> DataFrame:
+    """spots with mass: the absolute score of [a, a + len) on a circle of n positions; spots has key, a, len, n, a < n and len <= n."""
+    end = F.col("a") + F.col("len")
+    own = spots.withColumn("_z", F.least(end, "n")).withColumn("_over", F.greatest(end - F.col("n"), F.lit(0)))
+    edges = own.select(key, F.explode(F.array(F.col("a").cast("bigint"), F.col("_z").cast("bigint"), F.col("_over").cast("bigint"))).alias("edge")).distinct()
+    sums = prefix_sums(track, edges, key)
+    for at, name in (("a", "_lo"), ("_z", "_hi"), ("_over", "_first")):
+        own = own.join(sums.select(F.col(key).alias("_key"), F.col("edge").alias("_edge"), F.col("cum").alias(name)), (F.col(key) == F.col("_key")) & (F.col(at) == F.col("_edge"))).drop("_key", "_edge")
+    return own.withColumn("mass", F.col("_hi") - F.col("_lo") + F.col("_first")).drop("_z", "_over", "_lo", "_hi", "_first")
+
+
+def shift_null(track: DataFrame, spans: DataFrame, b: int, key: str = "accession", cls: str = "cls", seed: int = 42, genomes: DataFrame | None = None) -> DataFrame:
+    """Circular-shift null of the mass in a class: observed mass, p, null mean and sd of b shifts.
 
-    A shifted span's mass is a difference of prefix sums, a wrapped one two of them; so the work is
-    shifts times spans, not shifts times positions. Shifts are drawn by keyed hashing. The track has a row for every
-    position (see dense_track), as edges are looked up by equality.
+    A shifted span's mass is a difference of prefix sums, a wrapped one two of them; shifts that fall on the same place of a genome
+    are summed once and counted. So the work is spans times the distinct shifts, not shifts times positions. Shifts are drawn by keyed
+    hashing. A track may have gaps; genomes (key, n) gives lengths, else a genome ends with its last position.
     """
-    from ..functions.keyed import draw
-
-    run = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    sums = track.select(key, (F.col("pos") + 1).alias("edge"), F.sum(F.abs("attr")).over(run).alias("cum"))
-    sums = sums.unionByName(track.where("pos = 0").select(key, F.lit(0).alias("edge"), F.lit(0.0).alias("cum")))
-    size = track.groupBy(key).agg(F.count("*").cast("int").alias("n"))
-    merged = merge_intervals(spans, [key, cls]).join(size, key)
-    shifts = merged.select("*", F.explode(F.sequence(F.lit(0), F.lit(b))).alias("perm"))
-    move = F.when(F.col("perm") == 0, 0).otherwise(draw(seed, F.col("perm"), F.col(key)) % F.col("n"))
-    shifts = shifts.withColumn("a", ((F.col("s0") + move) % F.col("n")).cast("int")).withColumn("z", F.col("a") + F.col("s1") - F.col("s0"))
-    one = F.struct("a", F.least("z", "n").alias("z"))
-    wrapped = F.when(F.col("z") > F.col("n"), F.array(one, F.struct(F.lit(0).alias("a"), (F.col("z") - F.col("n")).alias("z")))).otherwise(F.array(one))
-    parts = shifts.select(key, cls, "perm", F.explode(wrapped).alias("p")).select(key, cls, "perm", "p.a", "p.z")
-    mass = parts.join(sums.withColumnRenamed("edge", "z").withColumnRenamed("cum", "hi"), [key, "z"]).join(sums.withColumnRenamed("edge", "a").withColumnRenamed("cum", "lo"), [key, "a"])
-    mass = mass.groupBy(key, cls, "perm").agg(F.round(F.sum(F.col("hi") - F.col("lo")), 6).alias("mass"))
-    observed = mass.where("perm = 0").select(key, cls, F.col("mass").alias("observed"))
-    null = mass.where("perm > 0").join(observed, [key, cls])
-    return null.groupBy(key, cls, "observed").agg(((1 + F.count_if(F.col("mass") >= F.col("observed"))) / (1 + F.count("*"))).alias("p"), F.avg("mass").alias("null_mean"), F.stddev_pop("mass").alias("null_sd"))
+    size = (genomes or track_lengths(track, key)).select(key, F.col("n").cast("bigint").alias("n"))
+    drawn = size.select(key, "n", F.explode(F.sequence(F.lit(1), F.lit(b))).alias("perm")).select(key, (draw(seed, F.col("perm"), F.col(key)) % F.col("n")).alias("move"), F.lit(1).alias("times"))
+    moves = drawn.unionByName(size.select(key, F.lit(0).cast("bigint").alias("move"), F.lit(0).alias("times"))).groupBy(key, "move").agg(F.sum("times").alias("times"))
+    merged = merge_intervals(spans.where("s1 > s0"), [key, cls]).join(size, key)
+    parts = merged.join(moves, key).select(key, cls, "move", "times", ((F.col("s0") + F.col("move")) % F.col("n")).alias("a"), (F.col("s1") - F.col("s0")).cast("bigint").alias("len"), "n")
+    spots = circular_mass(track, parts.select(key, "a", "len", "n").distinct(), key)
+    mass = parts.join(spots.select(key, "a", "len", "mass"), [key, "a", "len"]).groupBy(key, cls, "move", "times").agg(F.round(F.sum("mass"), 6).alias("mass"))
+    seen = mass.where("move = 0").select(key, cls, F.col("mass").alias("observed"))
+    return weighted_null(mass.join(seen, [key, cls]), [key, cls, "observed"], "mass", b)
+
+
+def weighted_null(rows: DataFrame, by: list[str], value: str, b: int, observed: str = "observed") -> DataFrame:
+    """p, null_mean and null_sd of b draws of which `times` had each value."""
+    x, t = F.col(value), F.col("times")
+    mean = F.sum(t * x) / b
+    sd = F.sqrt(F.greatest(F.sum(t * x * x) / b - mean * mean, F.lit(0.0)))
+    return rows.groupBy(*by).agg(((1 + F.sum(F.when(x >= F.col(observed), t).otherwise(0))) / (1 + b)).alias("p"), mean.alias("null_mean"), sd.alias("null_sd"))

@@ -3,21 +3,23 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import operator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import null_safe_join
 from ..functions.keyed import draw
-from . import splits, statistics
+from . import rows, splits, statistics
 
 
 #: Classes of features in order of precedence, with the whole names, parts of names and patterns of names that tell them.
 CLASSES = [
     ("rbd", [], ["rbd", "receptor bind"], []),
-    ("entry", ["s", "he", "spike"], ["spike", "surface glycoprotein", "receptor bind", "rbd", "hemagglutinin-esterase", "s glycoprotein"], []),
-    ("polymerase", ["orf1ab", "orf1a", "orf1b", "1a", "1ab", "1b"], ["orf1", "polyprotein", "replicase", "rna-dependent rna polymerase", "rdrp", "helicase", "nsp", "methyltransferase", "exonuclease", "endorna"], []),
-    ("accessory", [], ["orf3", "orf6", "orf7", "orf8", "orf10", "accessory", "interferon", "immune", "ns3", "ns7"], ["(orf)?([3-9]|10)a?", r"ns\d+"]),
+    ("entry_interface", ["s", "he", "spike"], ["spike", "surface glycoprotein", "receptor bind", "rbd", "hemagglutinin-esterase", "s glycoprotein"], []),
+    ("polymerase_replicase", ["orf1ab", "orf1a", "orf1b", "1a", "1ab", "1b"], ["orf1", "polyprotein", "replicase", "rna-dependent rna polymerase", "rdrp", "helicase", "nsp", "methyltransferase", "exonuclease", "endorna"], []),
+    ("accessory_immune", [], ["orf3", "orf6", "orf7", "orf8", "orf10", "accessory", "interferon", "immune", "ns3", "ns7"], ["(orf)?([3-9]|10)a?", r"ns\d+"]),
     ("structural_other", ["e", "m", "n"], ["envelope", "membrane", "nucleocapsid", "nucleoprotein"], []),
 ]
 
@@ -32,6 +34,12 @@ def classify_span(spans: DataFrame, names: tuple[str, ...] = ("gene", "product",
     return spans.withColumn(out, F.coalesce(*tests))
 
 
+def class_spans(spans: DataFrame, names: tuple[str, ...] = ("gene", "product", "label"), out: str = "cls") -> DataFrame:
+    """A row for each class that a span counts in: its own, and entry_interface too for one of rbd. Spans without a class have none."""
+    own = classify_span(spans, names, out)
+    return own.withColumn(out, F.explode(F.when(F.col(out) == "rbd", F.array(F.lit("rbd"), F.lit("entry_interface"))).when(F.col(out).isNotNull(), F.array(out))))
+
+
 def classify_feature(df: DataFrame, label: str, rules: list[tuple[str, str]], out: str = "cls") -> DataFrame:
     """The class of the first rule (class, pattern) whose pattern is in the label; null without one. classify_span has built-in rules."""
     return df.withColumn(out, F.coalesce(*[F.when(F.col(label).rlike(f"(?i){p}"), c) for c, p in rules]))
@@ -46,11 +54,16 @@ def prefix_override(spans: DataFrame, genomes: DataFrame, rules: list[tuple[str,
 
 
 def concordance(a: DataFrame, b: DataFrame, key: str, cols: list[str]) -> DataFrame:
-    """For the top windows of two models: is each column the same, by key."""
+    """For the top windows of two models: is each column the same, by key. Two nulls are the same."""
     both = a.select(key, *[F.col(c).alias(f"{c}_a") for c in cols]).join(b.select(key, *[F.col(c).alias(f"{c}_b") for c in cols]), key)
     return both.select("*", *[F.col(f"{c}_a").eqNullSafe(F.col(f"{c}_b")).alias(f"same_{c}") for c in cols])
 
 
+def agreement(both: DataFrame, cols: list[str]) -> DataFrame:
+    """One row: the number of keys of a concordance and the share of them that agree in each column."""
+    return both.agg(F.count("*").alias("n"), *[F.avg(F.col(f"same_{c}").cast("double")).alias(f"share_{c}") for c in cols])
+
+
 def resolve_locus(genomes: DataFrame, spans: DataFrame, last_third: DataFrame, frac: float = 0.7, key: str = "accession") -> DataFrame:
     """(key, s0, s1, span_source): the annotated span, else one told from the last third, else the first part of the genome."""
     own = spans.groupBy(key).agg(F.min("s0").alias("s0"), F.max("s1").alias("s1"))
@@ -124,6 +137,22 @@ def one_hot(df: DataFrame, col: str, values: list, drop_first: bool = False) ->
     return df.select("*", *[F.coalesce((F.col(col) == v).cast("int"), F.lit(0)).alias(f"{col}_{v}") for v in values[int(drop_first) :]])
 
 
+def hot(df: DataFrame, col: str, most: int = 1000) -> Column:
+    """0/1 doubles for the values of a column in order, a null having none; an error for more than `most` values, as a row holds them all."""
+    values = sorted(r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().limit(most + 1).collect())
+    if len(values) > most:
+        raise ValueError(f"{col} has over {most} values")
+    return F.array(*[F.coalesce((F.col(col) == v).cast("double"), F.lit(0.0)) for v in values])
+
+
+def kmer_vectors(df: DataFrame, key: str, seq: str, k: int = 3) -> DataFrame:
+    """(key, kmers): the frequencies of all k-mers of A, C, G and T in order, 0 for texts under k letters."""
+    names = ["".join(x) for x in itertools.product("ACGT", repeat=k)]
+    freqs = rows.kmer_counts(df, key, seq, k).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("kmer", "freq"))).alias("_f"))
+    found = F.transform(F.array(*map(F.lit, names)), lambda m: F.coalesce(F.try_element_at("_f", m), F.lit(0.0)))
+    return df.select(key).distinct().join(freqs, key, "left").select(key, F.coalesce(found, F.array_repeat(F.lit(0.0), len(names))).alias("kmers"))
+
+
 def cosine_within(vectors: DataFrame, cluster: str, features: str = "features") -> DataFrame:
     """Mean cosine of all pairs within each cluster, without making pairs: (|sum of unit vectors|^2 - n) / (n (n - 1))."""
     norm = F.sqrt(F.aggregate(features, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
@@ -174,11 +203,41 @@ def logo_folds(df: DataFrame, group: str, min_train: int = 5) -> DataFrame:
     return got.withColumn("status", F.when(F.col("n_train") < min_train, "too_small").otherwise("ok"))
 
 
-def group_fold_snake(df: DataFrame, group: str, k: int = 5) -> DataFrame:
-    """Balanced group folds: groups by size, dealt forth and back over the folds. Orders the table of group sizes alone."""
-    sizes = df.groupBy(group).agg(F.count("*").alias("n")).withColumn("_r", F.row_number().over(Window.orderBy(F.desc("n"), group)) - 1)
-    turn = F.col("_r") % (2 * k)
-    return sizes.select(group, "n", F.when(turn < k, turn).otherwise(2 * k - 1 - turn).cast("int").alias("fold"))
+def group_fold_greedy(df: DataFrame, group: str, k: int = 5, seed: int = 42) -> DataFrame:
+    """(group, n, fold): groups from the largest on, each to the fold with the fewest rows so far, the first of those on ties; equal groups in hash order.
+
+    Groups of one size are a run: within it the folds are filled in the order of (rows + turns * size, fold), so the group of rank t finds the fold of
+    the t-th such pair by itself. Only the table of sizes, of which N rows have under sqrt(2 N), is gone through one after another, on the driver. A null group is a group.
+    """
+    sizes = df.groupBy(group).agg(F.count("*").alias("n"))
+    loads, starts = [0] * k, []
+    for size, many in sorted(map(tuple, sizes.groupBy("n").agg(F.count("*").alias("c")).collect()), reverse=True):
+        starts.append((size, list(loads)))
+        level = _fill_level(loads, size, many)
+        turns = [max(0, (level - x + size - 1) // size) for x in loads]
+        left = many - sum(turns)
+        for f in range(k):  # those that stand at the level itself, the first folds first
+            if left and level >= loads[f] and (level - loads[f]) % size == 0:
+                turns[f], left = turns[f] + 1, left - 1
+        loads = [x + t * size for x, t in zip(loads, turns, strict=True)]
+    table = df.sparkSession.createDataFrame(starts, "n bigint, _loads array<bigint>")
+    ranked = splits.hash_rank(sizes, group, seed, "_t", by=("n",)).join(table, "n")
+    under = lambda v: F.aggregate(F.transform("_loads", lambda x: F.greatest(F.ceil((v - x) / F.col("n")), F.lit(0))), F.lit(0).cast("bigint"), lambda s, x: s + x)  # noqa: E731  pairs below v
+    low, high = F.array_min("_loads"), F.array_max("_loads") + F.col("n") * (F.col("_t") + 1)
+    half = lambda acc: F.floor((acc["a"] + acc["b"] + 1) / 2)
+    step = lambda acc, _: F.when(acc["a"] >= acc["b"], acc).when(under(half(acc)) <= F.col("_t"), F.struct(half(acc).alias("a"), acc["b"].alias("b"))).otherwise(F.struct(acc["a"].alias("a"), (half(acc) - 1).alias("b")))
+    found = ranked.withColumn("_v", F.aggregate(F.sequence(F.lit(1), F.lit(63)), F.struct(low.alias("a"), high.cast("bigint").alias("b")), step)["a"])
+    at = F.filter(F.transform("_loads", lambda x, f: F.when((F.col("_v") >= x) & ((F.col("_v") - x) % F.col("n") == 0), f)), lambda f: f.isNotNull())
+    return found.select(group, "n", F.get(at, (F.col("_t") - under(F.col("_v"))).cast("int")).cast("int").alias("fold"))
+
+
+def _fill_level(loads: list[int], size: int, many: int) -> int:
+    """The largest v with at most `many` pairs (load + turns * size) below it."""
+    low, high = min(loads), max(loads) + size * (many + 1)
+    while low < high:
+        v = (low + high + 1) // 2
+        low, high = (v, high) if sum(max(0, -(-(v - x) // size)) for x in loads) <= many else (low, v - 1)
+    return low
 
 
 def temporal_holdout(df: DataFrame, year: Column, group: str | None = None) -> DataFrame:
@@ -213,13 +272,23 @@ def prepare_split(df: DataFrame, group: str, label: str, test_size: float = 0.2,
     older protocol had it.
     """
     if legacy:
-        more = splits.oversample_minority(df, label)
-        order = Window.partitionBy(label).orderBy(draw(seed, F.col(id_col), F.col("copy")), id_col, "copy")
-        ranked = more.withColumn("_r", F.row_number().over(order)).withColumn("_n", F.count("*").over(Window.partitionBy(label)))
-        return ranked.withColumn("split", F.when(F.col("_r") <= F.ceil(F.col("_n") * test_size), "val").otherwise("train")).drop("_r", "_n")
+        more = splits.oversample_minority(df, label).withColumn("_key", F.concat_ws("|", F.col(id_col).cast("string"), F.col("copy").cast("string")))
+        ranked = null_safe_join(splits.hash_rank(more, "_key", seed, "_r", by=(label,)), more.groupBy(label).agg(F.count("*").alias("_n")), [label])
+        return ranked.withColumn("split", F.when(F.col("_r") < F.ceil(F.col("_n") * test_size), "val").otherwise("train")).drop("_r", "_n", "_key")
     parted = splits.group_split(df, group, test_size, seed)
-    train = splits.oversample_minority(parted.where("split = 'train'"), label)
-    return train.unionByName(parted.where("split = 'val'").withColumn("copy", F.lit(1)))
+    train, val = parted.where("split = 'train'"), parted.where("split = 'val'")
+    keys = [group] + ([id_col] if id_col else [])
+    assert_disjoint(train, val, keys)
+    train = splits.oversample_minority(train, label)
+    assert_disjoint(train, val, keys)
+    return train.unionByName(val.withColumn("copy", F.lit(1)))
+
+
+def assert_disjoint(train: DataFrame, val: DataFrame, cols: list[str], shown: int = 5) -> None:
+    """ValueError that names up to `shown` ids or groups if both splits have any."""
+    both = shared_keys(train, val, cols).limit(shown).collect()
+    if both:
+        raise ValueError("train and validation share " + ", ".join(f"{r['kind']} {r['value']}" for r in both))
 
 
 def shared_keys(train: DataFrame, val: DataFrame, cols: list[str]) -> DataFrame:
@@ -245,10 +314,15 @@ def sample_manifest(df: DataFrame, id_col: str, group: str, n: int, min_per_grou
 
 
 def geometry_report(df: DataFrame, id_col: str, label: str, group: str, block: str) -> DataFrame:
-    """One row: group sizes, share of label variance between groups, mean purity of blocks, blocks shared by random folds."""
+    """One row: group sizes, share of label variance between groups, mean purity of blocks, blocks shared by random folds.
+
+    block_homogeneity is the mean purity for a label of two values at most, else the share of variance between blocks.
+    """
     homogeneity = statistics.purity(df, label, block).agg(F.avg("purity").alias("mean_purity"))
-    parts = [statistics.group_sizes(df, group), statistics.icc_groups(df, label, group), homogeneity, splits.shared_block_fraction(df, id_col, block)]
+    between = statistics.icc_groups(df, label, block).select(F.col("eta_squared").alias("_between"))
+    kinds = df.agg(F.count_distinct(label).alias("_kinds"))
+    parts = [statistics.group_sizes(df, group), statistics.icc_groups(df, label, group), homogeneity, splits.shared_block_fraction(df, id_col, block), between, kinds]
     out = parts[0]
     for p in parts[1:]:
         out = out.join(p, F.lit(True))
-    return out
+    return out.withColumn("block_homogeneity", F.when(F.col("_kinds") <= 2, F.col("mean_purity")).otherwise(F.col("_between"))).drop("_between", "_kinds")

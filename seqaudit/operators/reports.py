@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import let
 from ..functions.keyed import draw
 from . import controls, intervals, panels, statistics
-from .probes import ALPHAS, fitted, moments, pick_alpha, probe_gap, scored
+from .probes import ALPHAS, _square, fitted, moment_table, moments, oof_ridge, pick_alpha, probe_gap, scored
 from .rows import finite_rows
 
 
@@ -33,7 +34,7 @@ def _scores(pred: DataFrame, by: list[str], group: str, binary: bool) -> DataFra
         each = statistics.auroc(pred, "y", "pred", by).withColumnRenamed("auroc", "score")
         macro = statistics.auroc(pred.withColumn("_w", weight), "y", "pred", by, "_w").withColumnRenamed("auroc", "macro")
     else:
-        each = statistics.spearman(pred, "y", "pred", by, ranges=64).select(*by, F.col("rho").alias("score"))
+        each = statistics.spearman(pred, "y", "pred", by).select(*by, F.col("rho").alias("score"))
         means = pred.groupBy(*by, group).agg(F.avg("y").alias("y"), F.avg("pred").alias("pred"))
         macro = statistics.spearman(means, "y", "pred", by, min_n=3).select(*by, F.col("rho").alias("macro"))
     return each.join(macro, by, "left")
@@ -73,25 +74,66 @@ def split_contrast(df: DataFrame, id_col: str, features: str, y: str, group: str
 def logo_influence(df: DataFrame, id_col: str, features: str, y: str, group: str, alpha: float | None = None, min_train: int = 5) -> DataFrame:
     """(group, n_test, status, rho_within, score_without, delta) with every group held out in turn.
 
-    score_without is the score of all held-out predictions less the group's own, delta its difference from the score with it. The
-    driver gets one matrix of moments a group; rows come once for each group left out.
+    A line is fitted for each group on the executors, from all moments less the group's own, and joined to the group's rows.
+    score_without is the score of all held-out predictions less the group's own, delta its difference from the score with it; it comes from
+    sums by group that are taken off those over all rows (`_score_without`). Null where a side is constant.
     """
     kept = finite_rows(df, y, features).select(F.col(id_col).alias("id"), F.col(features).alias("features"), F.col(y).cast("double").alias("y"), F.col(group).alias("grp")).where("grp is not null")
     alpha = locked_alpha(kept, "features", "y", "grp") if alpha is None else alpha
-    numbers = kept.groupBy("grp").agg(F.count("*").alias("n_test")).withColumn("code", F.row_number().over(Window.orderBy("grp")))
-    rows = kept.join(F.broadcast(numbers.select("grp", "code")), "grp")
-    grams = moments(rows, "features", "y", "code")
-    total = sum(grams.values()) if grams else None
-    lines = [(code, *fitted(total - g, alpha)) for code, g in grams.items() if total[0, 0] - g[0, 0] >= min_train]
-    pred = scored(rows, "features", "code", lines).select("code", "grp", "y", "pred").where("pred is not null")
-    binary = _is_binary(kept, "y")
-    full = _scores(pred.withColumn("_all", F.lit(1)), ["_all"], "grp", binary).select(F.col("score").alias("full"))
-    without = pred.join(F.broadcast(numbers.select(F.col("code").alias("left_out"))), F.col("code") != F.col("left_out"))
-    score = _scores(without.select("left_out", "grp", "y", "pred"), ["left_out"], "grp", binary).select(F.col("left_out").alias("code"), F.col("score").alias("score_without"))
-    inside = statistics.spearman(pred, "y", "pred", ["code"], min_n=3).select("code", F.col("rho").alias("rho_within"))
-    there = pred.select("code").distinct().withColumn("status", F.lit("ok"))
-    got = numbers.join(there, "code", "left").join(inside, "code", "left").join(score, "code", "left").join(F.broadcast(full), F.lit(True))
-    return got.select(F.col("grp").alias("group"), "n_test", F.coalesce("status", F.lit("too_small")).alias("status"), "rho_within", "score_without", (F.col("score_without") - F.col("full")).alias("delta"))
+    grams = moment_table(kept, "features", "y", "grp")
+    summed = grams.select(F.posexplode("m").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()  # (d + 2)^2 numbers
+    total = _square([r["x"] for r in sorted(summed, key=lambda r: r["i"])]) if summed else None
+
+    def solve(batches):
+        for batch in batches:
+            rest = [total - _square(m) for m in batch.column("m").to_pylist()]
+            lines = [fitted(m, alpha) if m[0, 0] >= min_train else (None, None) for m in rest]
+            yield pa.record_batch([batch.column("key"), pa.array([b for b, _ in lines], pa.float64()), pa.array([w for _, w in lines], pa.list_(pa.float64()))], names=["grp", "_b", "_w"])
+
+    lines = grams.mapInArrow(solve, f"grp {kept.schema['grp'].dataType.simpleString()}, _b double, _w array<double>")
+    dot = F.aggregate(F.zip_with("features", "_w", lambda x, w: x.cast("double") * w), F.col("_b"), lambda s, x: s + x)
+    pred = kept.join(lines.where("_b is not null"), "grp").select("grp", "y", dot.alias("pred"))
+    score = _score_without(pred, _is_binary(kept, "y"))
+    inside = statistics.spearman(pred, "y", "pred", ["grp"], min_n=3).select("grp", F.col("rho").alias("rho_within"))
+    sizes = kept.groupBy("grp").agg(F.count("*").alias("n_test"))
+    got = sizes.join(lines.select("grp", F.when(F.col("_b").isNull(), "too_small").otherwise("ok").alias("status")), "grp").join(inside, "grp", "left").join(score, "grp", "left")
+    return got.select(F.col("grp").alias("group"), "n_test", "status", "rho_within", "score_without", (F.col("score_without") - F.col("full")).alias("delta"))
+
+
+def _score_without(pred: DataFrame, binary: bool) -> DataFrame:
+    """(grp, score_without, full) of rows (grp, y, pred): the score of the rows of the other groups, and of all.
+
+    AUROC of a binary label: of all pairs of a positive and a negative, those that touch the group are taken off by its sums against
+    all rows and within itself. Else the correlation of ranks, taken once among all rows: the group's sums are taken off. So rows
+    are never repeated for the groups left out.
+    """
+    if binary:
+        p, n = (F.sum((F.col("y") == v).cast("double")) for v in (1, 0))
+        top = pred.groupBy().agg(F.max("y").alias("_top"))  # a binary label need not be 0 and 1
+        marked = pred.join(F.broadcast(top), F.lit(True)).select("grp", "pred", (F.col("y") == F.col("_top")).cast("int").alias("y"))
+        every = statistics.run_up(marked.groupBy("pred").agg(p.alias("p"), n.alias("n")), [], "pred", ["p", "n"])
+        own = statistics.run_up(marked.groupBy("grp", "pred").agg(p.alias("gp"), n.alias("gn")), ["grp"], "pred", ["gn"])
+        half = F.col("n_under") + F.col("n") / 2
+        total = every.agg(F.sum("p").alias("P"), F.sum("n").alias("N"), F.sum(F.col("p") * half).alias("U"))
+        met = own.join(every.select("pred", half.alias("below"), (F.col("p_under") + F.col("p") / 2).alias("under_p")), "pred")
+        sums = met.groupBy("grp").agg(F.sum("gp").alias("gp"), F.sum("gn").alias("gn"), F.sum(F.col("gp") * F.col("below")).alias("x"), F.sum(F.col("gn") * F.col("under_p")).alias("z"), F.sum(F.col("gp") * (F.col("gn_under") + F.col("gn") / 2)).alias("w"))
+        rest = F.col("U") - F.col("x") - (F.col("gn") * F.col("P") - F.col("z")) + F.col("w")
+        score = F.try_divide(rest, (F.col("P") - F.col("gp")) * (F.col("N") - F.col("gn")))
+        return sums.join(F.broadcast(total), F.lit(True)).select("grp", score.alias("score_without"), F.try_divide(F.col("U"), F.col("P") * F.col("N")).alias("full"))
+    ranked = statistics.average_rank(statistics.average_rank(pred, "y", [], "a"), "pred", [], "b")
+    middle = F.broadcast(ranked.agg(((F.count("*") + 1) / 2).alias("c")))
+    own = ranked.join(middle, F.lit(True)).select("grp", (F.col("a") - F.col("c")).alias("a"), (F.col("b") - F.col("c")).alias("b"))  # about the mean, so that sums stay small
+    parts = {"n": F.count("*").cast("double"), "a": F.sum("a"), "b": F.sum("b"), "ab": F.sum(F.col("a") * F.col("b")), "aa": F.sum(F.col("a") * F.col("a")), "bb": F.sum(F.col("b") * F.col("b"))}
+    sums = own.groupBy("grp").agg(*[v.alias(k) for k, v in parts.items()])
+    total = sums.agg(*[F.sum(k).alias(f"_{k}") for k in parts])
+
+    def rho(c):
+        cov, va, vb = c("ab") - c("a") * c("b") / c("n"), c("aa") - c("a") * c("a") / c("n"), c("bb") - c("b") * c("b") / c("n")
+        tiny = F.lit(1e-9) * F.greatest(c("n"), F.lit(1.0))
+        return F.when((c("n") >= 10) & (va > tiny) & (vb > tiny), cov / F.sqrt(va * vb))
+
+    met = sums.join(F.broadcast(total), F.lit(True)).withColumns({f"r_{k}": F.col(f"_{k}") - F.col(k) for k in parts}).withColumn("r_n", F.when(F.col("r_n") > 0, F.col("r_n")))
+    return met.select("grp", rho(lambda k: F.col(f"r_{k}")).alias("score_without"), rho(lambda k: F.col(f"_{k}")).alias("full"))
 
 
 def audit_report(df: DataFrame, id_col: str, label: str, group: str, block: str, features: str | None = None, other: DataFrame | None = None, k: int = 5, seed: int = 42) -> DataFrame:
@@ -110,14 +152,12 @@ def audit_report(df: DataFrame, id_col: str, label: str, group: str, block: str,
 
 def baseline_matrix(df: DataFrame, id_col: str, feature_sets: dict[str, str], targets: list[str], schemes: dict[str, str]) -> DataFrame:
     """(features, target, scheme, n, rho): the same ridge probe over every combination; feature sets and schemes name columns."""
-    from .probes import oof_ridge
-
     out = None
     for name, features in feature_sets.items():
         for y in targets:
             for scheme, fold in schemes.items():
                 pred = oof_ridge(df, id_col, features, y, fold).select(F.lit(1).alias("_all"), "y", "pred")
-                got = statistics.spearman(pred, "y", "pred", ["_all"], ranges=64).select(F.lit(name).alias("features"), F.lit(y).alias("target"), F.lit(scheme).alias("scheme"), "n", "rho")
+                got = statistics.spearman(pred, "y", "pred", ["_all"]).select(F.lit(name).alias("features"), F.lit(y).alias("target"), F.lit(scheme).alias("scheme"), "n", "rho")
                 out = got if out is None else out.unionByName(got)
     return out
 
@@ -151,29 +191,27 @@ def logit_adjust(windows: DataFrame, high: str, exposure: str, covariates: list[
     return windows.sparkSession.createDataFrame(out, "model string, coefficient double, odds_ratio double, auroc double")
 
 
-def locus_set_null(track: DataFrame, loci: DataFrame, b_outer: int, b_inner: int, key: str = "accession", seed: int = 42) -> DataFrame:
+def locus_set_null(track: DataFrame, loci: DataFrame, b_outer: int, b_inner: int, key: str = "accession", seed: int = 42, genomes: DataFrame | None = None) -> DataFrame:
     """One row: Stouffer T of the loci's circular-shift z, and its p against random loci of the same lengths.
 
     loci has one [s0, s1) a key. For outer permutation 0 the locus itself, else one at a random start, is compared with b_inner shifts of
-    the track; T sums the z over the keys. Every mass is two or three lookups in prefix sums, so the work is b_outer * b_inner * keys.
-    The track has a row for every position.
+    the track; T sums the z over the keys. Draws are counted by place before any lookup, and the mass of a place comes from prefix
+    sums once. A track may have gaps; genomes (key, n) gives lengths, else a genome ends with its last position.
     """
-    run = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    sums = track.select(key, (F.col("pos") + 1).alias("edge"), F.sum(F.abs("attr")).over(run).alias("cum"))
-    sums = sums.unionByName(track.where("pos = 0").select(key, F.lit(0).alias("edge"), F.lit(0.0).alias("cum")))
-    own = loci.select(key, "s0", (F.col("s1") - F.col("s0")).alias("len")).join(track.groupBy(key).agg(F.count("*").cast("int").alias("n")), key).where("n > len + 1 and len > 0")
-    outer = own.select("*", F.explode(F.sequence(F.lit(0), F.lit(b_outer))).alias("outer"))
+    size = (genomes or intervals.track_lengths(track, key)).select(key, F.col("n").cast("bigint").alias("n"))
+    own = loci.select(key, F.col("s0").cast("bigint").alias("s0"), (F.col("s1") - F.col("s0")).cast("bigint").alias("len")).join(size, key).where("n > len + 1 and len > 0")
+    parts = int(track.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    outer = own.select("*", F.explode(F.sequence(F.lit(0), F.lit(b_outer))).alias("outer")).repartition(parts, key, "outer")  # a few loci make many draws
     start = F.when(F.col("outer") == 0, F.col("s0")).otherwise(draw(seed, F.lit("locus"), F.col("outer"), F.col(key)) % (F.col("n") - F.col("len")))
     inner = outer.select(key, "len", "n", "outer", start.alias("start"), F.explode(F.sequence(F.lit(0), F.lit(b_inner))).alias("inner"))
     move = F.when(F.col("inner") == 0, 0).otherwise(draw(seed, F.lit("shift"), F.col("outer"), F.col("inner"), F.col(key)) % F.col("n"))
-    placed = inner.withColumn("a", ((F.col("start") + move) % F.col("n")).cast("int")).withColumn("z", (F.col("a") + F.col("len")).cast("int"))
-    one = F.struct("a", F.least("z", "n").cast("int").alias("z"))
-    wrapped = F.when(F.col("z") > F.col("n"), F.array(one, F.struct(F.lit(0).alias("a"), (F.col("z") - F.col("n")).cast("int").alias("z")))).otherwise(F.array(one))
-    parts = placed.select(key, "outer", "inner", F.explode(wrapped).alias("p")).select(key, "outer", "inner", "p.a", "p.z")
-    met = parts.join(sums.withColumnRenamed("edge", "z").withColumnRenamed("cum", "hi"), [key, "z"]).join(sums.withColumnRenamed("edge", "a").withColumnRenamed("cum", "lo"), [key, "a"])
-    mass = met.groupBy(key, "outer", "inner").agg(F.round(F.sum(F.col("hi") - F.col("lo")), 6).alias("mass"))
-    shifted = F.when(F.col("inner") > 0, F.col("mass"))
-    z = mass.groupBy(key, "outer").agg(F.max(F.when(F.col("inner") == 0, F.col("mass"))).alias("seen"), F.avg(shifted).alias("mean"), F.stddev_pop(shifted).alias("sd"))
+    placed = inner.select(key, "len", "n", "outer", "inner", ((F.col("start") + move) % F.col("n")).alias("a"))
+    counted = placed.groupBy(key, "len", "n", "outer", "a").agg(F.count_if(F.col("inner") > 0).alias("times"), F.count_if(F.col("inner") == 0).alias("own"))
+    mass = intervals.circular_mass(track, counted.select(key, "a", "len", "n").distinct(), key).select(key, "a", F.round("mass", 6).alias("mass"))
+    met = counted.join(mass, [key, "a"])
+    mean = F.sum(F.col("times") * F.col("mass")) / b_inner
+    square = F.sum(F.col("times") * F.col("mass") * F.col("mass")) / b_inner
+    z = met.groupBy(key, "outer").agg(F.max(F.when(F.col("own") > 0, F.col("mass"))).alias("seen"), mean.alias("mean"), F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))).alias("sd"))
     t = z.groupBy("outer").agg(F.count("*").alias("n"), F.round(F.sum((F.col("seen") - F.col("mean")) / (F.col("sd") + 1e-6)) / F.sqrt(F.count("*")), 4).alias("t"))
     seen = F.broadcast(t.where("outer = 0").select("n", F.col("t").alias("t_observed")))
     null = t.where("outer > 0").select("t").join(seen, F.lit(True))
@@ -188,30 +226,57 @@ def known_locus_scores(track: DataFrame, loci: DataFrame, b: int, key: str = "ac
     return tiles.join(mass, [key, cls]).join(null, [key, cls])
 
 
+def known_locus_summary(scores: DataFrame, families: DataFrame, key: str = "accession", cls: str = "cls", alpha: float = 0.05, high: float = 0.9) -> DataFrame:
+    """Of each locus in each family: genomes, median and mean enrichment, median percentile, and how many have a p under alpha or a percentile of `high` or more."""
+    met = scores.join(families.select(key, "family").distinct(), key)
+    sure = F.count_if(F.col("p") < alpha)
+    return met.groupBy("family", cls).agg(
+        F.count_distinct(key).alias("n_accessions"),
+        F.percentile("enrichment", F.lit(0.5)).alias("median_enrichment"),
+        F.avg("enrichment").alias("mean_enrichment"),
+        F.percentile("percentile", F.lit(0.5)).alias("median_percentile"),
+        sure.alias("n_significant"),
+        (sure / F.count("*")).alias("frac_significant"),
+        F.count_if(F.col("percentile") >= high).alias("n_high"),
+    )
+
+
+#: A prime under 2 ** 31: hash i of a k-mer is (u + i * v) modulo it, u and v from the k-mer's md5.
+PRIME = 2_147_483_647
+
+
 def minhashes(text: Column, k: int = 7, stride: int = 31, hashes: int = 128) -> Column:
     """The least hash of a text's k-mers, one every stride letters, under each of so many hash functions; null under k letters."""
     starts = F.sequence(F.lit(1), F.length(text) - k + 1, F.lit(stride))
     mers = F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(k))))
-    return F.when(F.length(text) >= k, let(mers, lambda own: F.transform(F.sequence(F.lit(1), F.lit(hashes)), lambda h: F.array_min(F.transform(own, lambda x: F.xxhash64(x, h))))))
+    word = lambda digest, at: F.conv(F.substring(digest, at, 8), 16, 10).cast("bigint") % PRIME
+    pairs = F.transform(F.transform(mers, lambda m: F.md5(m)), lambda d: F.struct(word(d, 1).alias("u"), word(d, 9).alias("v")))
+    least = lambda own: F.transform(F.sequence(F.lit(1), F.lit(hashes)), lambda h: F.array_min(F.transform(own, lambda x: (x["u"] + h * x["v"]) % PRIME)))
+    return F.when(F.length(text) >= k, let(pairs, least))
 
 
-def minhash_leakage(a: DataFrame, b: DataFrame, id_col: str, seq: str, k: int = 7, stride: int = 31, hashes: int = 128, rows: int = 8, least: float = 0.5) -> DataFrame:
-    """(id_b, id_a, agreement): for rows of b, the row of a whose min-hashes agree most, at `least` or more; ties by id.
+def minhash_leakage(a: DataFrame, b: DataFrame, id_col: str, seq: str, k: int = 7, stride: int = 31, hashes: int = 128, rows: int = 8, least: float = 0.5, salts: int = 32, often: int = 1000) -> DataFrame:
+    """(id_b, id_a, agreement): for rows of b, the row of a whose min-hashes agree most, at `least` or more; the least id on ties. Ids of any type.
 
     Candidates share a band of `rows` hashes; agreement is the share of all hashes. Texts of one signature stand for one another, the least
-    id for all of a, so copies do not multiply pairs. Null texts and those under k letters meet nothing.
+    id for all of a, and a signature is compared once for all its rows of b, so copies do not multiply pairs. A band value that over
+    `often` signatures of a hold is dealt over `salts` tasks: each takes its part of a, and b's signatures go to all. Null texts and those under k letters meet nothing.
     """
     def signed(df, side):
-        got = df.select(F.col(id_col).alias(f"id_{side}"), minhashes(F.upper(seq), k, stride, hashes).alias(f"m_{side}")).where(f"m_{side} is not null")
-        return got
+        return df.select(F.col(id_col).alias(f"id_{side}"), minhashes(F.upper(seq), k, stride, hashes).alias(f"m_{side}")).where(f"m_{side} is not null")
 
     bands = lambda m: F.transform(F.sequence(F.lit(0), F.lit(hashes // rows - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(F.slice(m, i * rows + 1, rows)).alias("value")))
     x = signed(a, "a").groupBy("m_a").agg(F.min("id_a").alias("id_a"))
     y = signed(b, "b")
-    kinds = y.select("m_b").distinct()
-    met = x.select("id_a", "m_a", F.inline(bands(F.col("m_a")))).join(kinds.select("m_b", F.inline(bands(F.col("m_b")))), ["band", "value"]).select("id_a", "m_a", "m_b").distinct()
+    left = x.select("id_a", "m_a", F.inline(bands(F.col("m_a"))))
+    right = y.select("m_b").distinct().select("m_b", F.inline(bands(F.col("m_b"))))
+    hot = left.groupBy("band", "value").count().where(F.col("count") > often).select("band", "value", F.lit(True).alias("hot"))
+    dealt = lambda df, salt: df.join(hot, ["band", "value"], "left").withColumn("salt", salt)
+    left = dealt(left, F.when(F.col("hot"), F.pmod(F.xxhash64("id_a"), F.lit(salts)).cast("int")).otherwise(0)).drop("hot")
+    right = dealt(right, F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("hot")
     same = F.aggregate(F.zip_with("m_a", "m_b", lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v) / hashes
-    best = met.select("id_a", "m_b", same.alias("agreement")).where(F.col("agreement") >= least).groupBy("m_b").agg(F.max_by(F.struct("id_a", "agreement"), F.struct("agreement", -F.col("id_a"))).alias("x"))
+    met = left.join(right, ["band", "value", "salt"]).select("id_a", "m_b", same.alias("agreement")).where(F.col("agreement") >= least)
+    best = met.groupBy("m_b").agg(F.min_by(F.struct("id_a", "agreement"), F.struct(-F.col("agreement"), F.col("id_a"))).alias("x"))
     return y.join(best, "m_b").select("id_b", "x.id_a", "x.agreement")
 
 

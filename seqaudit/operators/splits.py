@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.keyed import draw
+from ..functions.columns import null_safe_join
+from ..functions.keyed import draw, shuffled_place
 from .statistics import spearman
 
 
@@ -18,8 +19,8 @@ def group_split(df: DataFrame, group: str, test_size: float = 0.2, seed: int = 4
 
 
 def oversample_minority(df: DataFrame, label: str) -> DataFrame:
-    """Repeat rows of the smaller class floor(larger / smaller) times."""
-    n = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
+    """Repeat rows of the smaller class floor(larger / smaller) times. Rows without a label count for no class and stay once; an error with under two classes."""
+    n = {r[label]: r["count"] for r in df.where(F.col(label).isNotNull()).groupBy(label).count().collect()}
     if len(n) < 2:
         raise ValueError("a class is empty")
     small = min(n, key=lambda k: (n[k], k))
@@ -27,17 +28,18 @@ def oversample_minority(df: DataFrame, label: str) -> DataFrame:
     return df.withColumn("copy", F.explode(F.sequence(F.lit(1), times)))
 
 
-def hash_rank(df: DataFrame, id_col: str, seed: int, out: str = "_rank", buckets: int = 4096) -> DataFrame:
-    """out: the rank, from 0, of every row by keyed hash of its id, ties by id.
+def hash_rank(df: DataFrame, id_col: str, seed: int, out: str = "_rank", buckets: int = 4096, by: tuple[str, ...] = ()) -> DataFrame:
+    """out: the rank, from 0, of every row by keyed hash of its id, ties by id; among the rows of its key with by. A null key is a key.
 
     Hashes are even, so equal ranges of them are even buckets: rows are ranked within theirs, and a table of `buckets`
-    counts, which is broadcast, gives what lies before. No task sees all rows.
+    counts a key gives what lies before. No task sees all rows, or all of a key.
     """
     marked = df.withColumn("_h", draw(seed, F.col(id_col))).withColumn("_b", F.floor(F.col("_h") / F.lit((1 << 32) // buckets)))
-    counts = marked.groupBy("_b").agg(F.count("*").alias("_n"))
-    before = counts.select("_b", (F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))
-    own = marked.withColumn("_i", F.row_number().over(Window.partitionBy("_b").orderBy("_h", id_col)) - 1)
-    return own.join(F.broadcast(before), "_b").withColumn(out, F.col("_before") + F.col("_i")).drop("_b", "_h", "_i", "_before")
+    counts = marked.groupBy(*by, "_b").agg(F.count("*").alias("_n"))
+    before = counts.select(*by, "_b", (F.sum("_n").over(Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))
+    own = marked.withColumn("_at", F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_h", id_col)) - 1)
+    met = null_safe_join(own, before, [*by, "_b"]) if by else own.join(F.broadcast(before), "_b")
+    return met.withColumn(out, F.col("_before") + F.col("_at")).drop("_b", "_h", "_at", "_before")
 
 
 def kfold_random(df: DataFrame, id_col: str, k: int = 5, seed: int = 42) -> DataFrame:
@@ -52,28 +54,45 @@ def group_fold_random(df: DataFrame, group: str, k: int = 5, seed: int = 42) ->
 
 
 def shared_block_fraction(df: DataFrame, id_col: str, block: str, k: int = 5, seed: int = 42) -> DataFrame:
-    """Under random folds, the share of test rows whose block is in training too, mean over folds."""
+    """Under random folds, the share of test rows whose block is in training too, mean over folds; null under 2 k rows."""
     dealt = kfold_random(df, id_col, k, seed)
     per = dealt.groupBy(block, "fold").agg(F.count("*").alias("n"))
     per = per.withColumn("all", F.sum("n").over(Window.partitionBy(block)))
-    folds = per.groupBy("fold").agg((F.sum(F.when(F.col("all") > F.col("n"), F.col("n")).otherwise(0)) / F.sum("n")).alias("x"))
-    return folds.agg(F.avg("x").alias("shared_block_fraction"))
+    folds = per.groupBy("fold").agg((F.sum(F.when(F.col("all") > F.col("n"), F.col("n")).otherwise(0)) / F.sum("n")).alias("x"), F.sum("n").alias("n"))
+    return folds.agg(F.when(F.sum("n") >= 2 * k, F.avg("x")).alias("shared_block_fraction"))
 
 
-def label_perm(df: DataFrame, id_col: str, y: str, stratum: str, b: int, seed: int = 42) -> DataFrame:
-    """(perm, id, permuted): labels shuffled within strata, b times."""
-    perms = F.explode(F.sequence(F.lit(1), F.lit(b))).alias("perm")
-    left = df.select(stratum, F.col(id_col).alias("id"), F.row_number().over(Window.partitionBy(stratum).orderBy(id_col)).alias("_n")).select("*", perms)
-    right = df.select(stratum, F.col(id_col).alias("_k"), F.col(y).alias("permuted"), perms)
-    right = right.withColumn("_n", F.row_number().over(Window.partitionBy("perm", stratum).orderBy(draw(seed, F.col("perm"), F.col("_k")), "_k"))).drop("_k")
-    return left.join(right, ["perm", stratum, "_n"]).select("perm", "id", "permuted")
+def _placed(df: DataFrame, id_col: str, stratum: str | None, b: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with their rank (_i) in their stratum, and these once a permutation with the rank (_j) whose label they get."""
+    by = (stratum,) if stratum else ()
+    rows = hash_rank(df, id_col, seed, "_i", by=by)
+    size = rows.groupBy(*by).agg(F.count("*").alias("_n"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunk = F.explode(F.sequence(F.lit(0), F.lit(min(b, 64) - 1))).alias("_chunk")  # few rows make many, so they are dealt out first
+    each = null_safe_join(rows, size, list(by)).select("*", chunk).repartition(parts, "_chunk", "_i")
+    each = each.select("*", F.explode(F.sequence(F.col("_chunk") + 1, F.lit(b), F.lit(min(b, 64)))).alias("perm")).drop("_chunk")
+    return rows, shuffled_place(each, "_i", "_n", [seed, F.col("perm"), *map(F.col, by)], "_j").drop("_n")
+
+
+def label_perm(df: DataFrame, id_col: str, y: str, stratum: str | None, b: int, seed: int = 42) -> DataFrame:
+    """(perm, id, permuted): labels shuffled within strata (all rows without one), b times.
+
+    Each row computes the place whose label it gets (`shuffled_place`), so a permutation is one join on (stratum, place) and no stratum is sorted
+    or held by one task. A null stratum is one of its own; rows that repeat an id are shuffled like others.
+    """
+    by = [stratum] if stratum else []
+    own = df.select(*by, F.col(id_col).alias("id"), F.col(y).alias("permuted"))
+    rows, placed = _placed(own, "id", stratum, b, seed)
+    labels = rows.select(*by, F.col("_i").alias("_j"), "permuted")
+    return null_safe_join(placed.drop("permuted"), labels, [*by, "_j"]).select("perm", "id", "permuted")
 
 
 def group_bootstrap(df: DataFrame, group: str, a: str, b: str, reps: int, seed: int = 42) -> DataFrame:
-    """Spearman of each replicate in which groups are drawn with replacement."""
-    groups = df.select(group).distinct().withColumn("_n", F.row_number().over(Window.orderBy(group)) - 1)
+    """Spearman of each replicate in which groups are drawn with replacement; null where a side is constant. Groups are numbered by hash."""
+    groups = hash_rank(df.where(F.col(group).isNotNull()).select(group).distinct(), group, seed, "_n")
     n = groups.count()
     draws = df.sparkSession.range(reps * n).select((F.col("id") / n).cast("int").alias("rep"), (F.col("id") % n).cast("int").alias("k"))
-    draws = draws.withColumn("_n", (draw(seed, F.col("rep"), F.col("k")) % n).cast("int"))
-    rows = draws.join(groups, "_n").join(df, group)
-    return spearman(rows, a, b, ["rep"])
+    draws = draws.withColumn("_n", draw(seed, F.col("rep"), F.col("k")) % n)
+    times = draws.groupBy("rep", "_n").agg(F.count("*").alias("_times"))
+    rows = times.join(groups, "_n").join(df, group)
+    return spearman(rows.select("rep", a, b, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_times"))).alias("_copy")), a, b, ["rep"])

@@ -2,20 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
-
-from ..functions.columns import log_factorial
-
 
-@F.pandas_udf(DoubleType())
-def upper_tail(z: pd.Series) -> pd.Series:
-    """P(Z >= z) of a standard normal, for the few rows of a result."""
-    return z.map(lambda x: 0.5 * math.erfc(x / math.sqrt(2)))
+from ..functions.columns import correlation, null_safe_join
+from ..functions.tails import Hypergeometric
 
 
 def contingency(rows: DataFrame, by: str, high: str, inside: str) -> DataFrame:
@@ -32,76 +23,86 @@ def haldane_or(tables: DataFrame) -> DataFrame:
     return tables.select("*", odds.alias("odds_ratio"), F.exp(log).alias("haldane_or"), F.exp(log - 1.96 * se).alias("ci_low"), F.exp(log + 1.96 * se).alias("ci_high"))
 
 
-def fisher_or(tables: DataFrame, key: str, exact_to: int = 1_000_000) -> DataFrame:
-    """Two-sided Fisher p of each table: the sum over its margins' tables that are no likelier.
-
-    A table whose margins allow more than exact_to tables takes the normal form of the log odds ratio (0.5 added), as
-    listing them would be the only cost that grows with the counts.
-    """
-    got = tables.select(key, "a", "b", "c", "d", (F.col("a") + F.col("b")).alias("_r"), (F.col("a") + F.col("c")).alias("_k"), (F.col("a") + F.col("b") + F.col("c") + F.col("d")).alias("_n"))
-    low, high = F.greatest(F.lit(0), F.col("_r") + F.col("_k") - F.col("_n")), F.least("_r", "_k")
-    n, r, k = F.col("_n"), F.col("_r"), F.col("_k")
-    fixed = log_factorial(r) + log_factorial(n - r) + log_factorial(k) + log_factorial(n - k) - log_factorial(n)
-    logp = lambda x: F.col("_fixed") - log_factorial(x) - log_factorial(r - x) - log_factorial(k - x) - log_factorial(n - r - k + x)
-    own = got.withColumn("_fixed", fixed).withColumn("_seen", F.exp(logp(F.col("a"))))
-    grid = own.where(high - low <= exact_to).select("*", F.explode(F.sequence(low, high)).alias("_x")).withColumn("_p", F.exp(logp(F.col("_x"))))
-    exact = grid.groupBy(key, "a", "b", "c", "d").agg(F.least(F.lit(1.0), F.sum(F.when(F.col("_p") <= F.col("_seen") * (1 + 1e-7), F.col("_p")).otherwise(0.0))).alias("fisher_p"))
-    half = [F.col(x) + 0.5 for x in "abcd"]
-    z = F.abs(F.log(half[0] * half[3] / (half[1] * half[2]))) / F.sqrt(1 / half[0] + 1 / half[1] + 1 / half[2] + 1 / half[3])
-    return exact.unionByName(own.where(high - low > exact_to).select(key, "a", "b", "c", "d", F.least(F.lit(1.0), 2 * upper_tail(z)).alias("fisher_p")))
+def fisher_or(tables: DataFrame, key: str) -> DataFrame:
+    """Two-sided Fisher p of each table: the sum over its margins' tables that are no likelier. Exact for any counts; no table is listed."""
+    a, b, c, d = (F.col(x) for x in "abcd")
+    own = tables.select(key, "a", "b", "c", "d")
+    return Hypergeometric(own, a + b + c + d, a + b, a + c).no_likelier(a, "fisher_p").select(key, "a", "b", "c", "d", "fisher_p")
 
 
 def bh_fdr(df: DataFrame, p: str, key: str) -> DataFrame:
-    """Benjamini-Hochberg q of the p-values; key breaks ties."""
-    n = df.where(F.col(p).isNotNull()).count()
-    ranked = df.withColumn("_r", F.row_number().over(Window.orderBy(p, key)))
-    least = F.min(F.col(p) * n / F.col("_r")).over(Window.orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, 0))
-    return ranked.withColumn("q", F.least(F.lit(1.0), least)).drop("_r")
-
+    """Benjamini-Hochberg q of the p-values; key breaks ties. Null p-values do not count and get a null q.
 
-def average_rank(df: DataFrame, value: str, by: list[str], out: str, ranges: int | None = None) -> DataFrame:
-    """Mid-ranks: values counted, counts run up, joined back; so a value's ties are one row. Rows with a null value or key go.
-
-    With ranges the values of a key are cut in so many ranges by approximate quantiles; counts run up within a range, and what
-    lies in the ranges before is added, so no task orders all values. That is the way without keys, or where one key holds most rows; values must be
-    numbers for it.
+    Equal p-values are one row, whose last rank decides; ranks and the least p * n / rank of higher values run up by
+    ranges of p (`run_up`), so no task orders all of them.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
-    if ranges is None and not by and dict(df.dtypes)[value] not in ("string", "binary", "boolean"):
-        ranges = 64
-    if ranges:
-        cuts = counts.groupBy(*by).agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 1000).alias("_cuts"))
-        counts = counts.join(F.broadcast(cuts), by or F.lit(True)).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
-        sizes = counts.groupBy(*by, "_b").agg(F.sum("_c").alias("_n"))
-        start = (F.sum("_n").over(Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_start")
-        counts = counts.join(F.broadcast(sizes.select(*by, "_b", start)), [*by, "_b"])
+    counts = df.where(F.col(p).isNotNull()).groupBy(p).agg(F.count("*").alias("_c"))
+    ranked = run_up(counts, [], p, ["_c"]).withColumn("_rank", F.col("_c_under") + F.col("_c"))
+    n = F.broadcast(counts.agg(F.sum("_c").alias("_n")))
+    own = ranked.join(n, F.lit(True)).select(F.col(p).alias("_p"), "_b", (F.col(p) * F.col("_n") / F.col("_rank")).alias("_x"))
+    after = own.groupBy("_b").agg(F.min("_x").alias("_m")).withColumn("_later", F.min("_m").over(Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)))
+    least = F.least(F.min("_x").over(Window.partitionBy("_b").orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, 0)), "_later", F.lit(1.0))
+    q = own.join(F.broadcast(after.select("_b", "_later")), "_b").select("_p", least.alias("q"))
+    return df.join(q, F.col(p) == F.col("_p"), "left").drop("_p")
+
+
+def run_up(sums: DataFrame, by: list[str], value: str, cols: list[str], cut_over: int = 100_000, ranges: int = 256) -> DataFrame:
+    """sums, one row a key and value, with <col>_under for each col: its sum over the key's smaller values; and _b, the range of the value.
+
+    Sums run within one task for a key of up to cut_over values. The values of a larger one are cut in ranges by approximate quantiles; the
+    sums run within a range, and the totals of the ranges before are added. So one key may hold most of the rows, or there may be no key.
+    Values that are no numbers are not cut. A null key is a key.
+    """
+    totals = [F.sum(c).alias(f"{c}_under") for c in cols]
+    if dict(sums.dtypes)[value] in ("string", "binary", "boolean"):
+        marked, starts = sums.withColumn("_b", F.lit(0)).withColumns({f"{c}_before": F.lit(0) for c in cols}), None
     else:
-        counts = counts.withColumn("_b", F.lit(0)).withColumn("_start", F.lit(0))
-    before = F.coalesce(F.sum("_c").over(Window.partitionBy(*by, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return df.join(counts.select(*by, value, (F.col("_start") + before + (F.col("_c") + 1) / 2).alias(out)), [*by, value])
+        points = [i / ranges for i in range(1, ranges)]
+        cuts = sums.groupBy(*by).agg(F.count("*").alias("_many"), F.percentile_approx(value, points, 10_000).alias("_cuts")).where(F.col("_many") > cut_over).drop("_many")
+        marked = null_safe_join(sums, cuts, by, "left").withColumn("_b", F.when(F.col("_cuts").isNull(), 0).otherwise(F.size(F.filter("_cuts", lambda c: c < F.col(value)))))
+        sizes = marked.where("_cuts is not null").groupBy(*by, "_b").agg(*totals)
+        before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        starts = sizes.select(*by, "_b", *[F.sum(f"{c}_under").over(before).alias(f"{c}_before") for c in cols])
+        marked = null_safe_join(marked.drop("_cuts"), starts, [*by, "_b"], "left")
+    inside = Window.partitionBy(*by, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    under = {f"{c}_under": F.coalesce(f"{c}_before", F.lit(0)) + F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in cols}
+    return marked.select("*", *[x.alias(n) for n, x in under.items()]).drop(*[f"{c}_before" for c in cols])
+
+
+def average_rank(df: DataFrame, value: str, by: list[str], out: str) -> DataFrame:
+    """Mid-ranks: values counted, counts run up, joined back; so a value's ties are one row. Rows with a null value or key go."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
+    ranks = run_up(counts, by, value, ["_c"])
+    return df.join(ranks.select(*by, value, (F.col("_c_under") + (F.col("_c") + 1) / 2).alias(out)), [*by, value])
 
 
-def spearman(df: DataFrame, a: str, b: str, by: list[str], min_n: int = 10, ranges: int | None = None) -> DataFrame:
-    """Rank correlation of pairs that are complete; null under min_n pairs. ranges as in average_rank, for numbers."""
+def spearman(df: DataFrame, a: str, b: str, by: list[str], min_n: int = 10) -> DataFrame:
+    """Rank correlation of pairs that are complete; null under min_n pairs and where a side is constant."""
     both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    ranked = average_rank(average_rank(both, a, by, "_ra", ranges), b, by, "_rb", ranges)
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.when(F.count("*") >= min_n, F.corr("_ra", "_rb")).alias("rho"))
+    ranked = average_rank(average_rank(both, a, by, "_ra"), b, by, "_rb")
+    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.when(F.count("*") >= min_n, correlation("_ra", "_rb")).alias("rho"))
 
 
 def auroc(df: DataFrame, y: str, score: str, by: list[str], weight: str | None = None) -> DataFrame:
-    """Area under the ROC curve with ties halved, from weight sums by distinct score."""
+    """Area under the ROC curve with ties halved, from weight sums by distinct score; null without both labels.
+
+    The sums below a score run up by ranges of scores where a key has many, so one key may hold all rows. Rows with a null score go.
+    """
     w = F.col(weight) if weight else F.lit(1.0)
-    sums = df.groupBy(*by, score).agg(F.sum(F.when(F.col(y) == 1, w).otherwise(0.0)).alias("_p"), F.sum(F.when(F.col(y) == 0, w).otherwise(0.0)).alias("_n"))
-    under = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return sums.withColumn("_u", under).groupBy(*by).agg((F.sum(F.col("_p") * (F.col("_u") + F.col("_n") / 2)) / F.nullif(F.sum("_p") * F.sum("_n"), F.lit(0.0))).alias("auroc"))
+    known = df.where(F.col(score).isNotNull())
+    sums = known.groupBy(*by, score).agg(F.sum(F.when(F.col(y) == 1, w).otherwise(0.0)).alias("_p"), F.sum(F.when(F.col(y) == 0, w).otherwise(0.0)).alias("_n"))
+    area = F.sum(F.col("_p") * (F.col("_n_under") + F.col("_n") / 2))
+    return run_up(sums, by, score, ["_n"]).groupBy(*by).agg((area / F.nullif(F.sum("_p") * F.sum("_n"), F.lit(0.0))).alias("auroc"))
 
 
-def average_precision(df: DataFrame, y: str, score: str, by: list[str]) -> DataFrame:
-    """Average precision, ties as one step; null without positives."""
-    sums = df.groupBy(*by, score).agg(F.count_if(F.col(y) == 1).alias("_p"), F.count("*").alias("_n"))
-    down = Window.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    run = sums.withColumn("_tp", F.sum("_p").over(down)).withColumn("_all", F.sum("_n").over(down))
-    return run.groupBy(*by).agg((F.sum(F.col("_p") * F.col("_tp") / F.col("_all")) / F.nullif(F.sum("_p"), F.lit(0))).alias("avg_precision"))
+def average_precision(df: DataFrame, y: str, score: str, by: list[str], weight: str | None = None) -> DataFrame:
+    """Average precision, ties as one step, of rows of equal or given weight; null without positives. Sums run up by ranges from the highest score."""
+    w = F.col(weight) if weight else F.lit(1)
+    known = df.where(F.col(score).isNotNull()).withColumn("_down", -F.col(score))
+    sums = known.groupBy(*by, "_down").agg(F.sum(F.when(F.col(y) == 1, w).otherwise(0)).alias("_p"), F.sum(w).alias("_n"))
+    run = run_up(sums, by, "_down", ["_p", "_n"])
+    tp, every = F.col("_p_under") + F.col("_p"), F.col("_n_under") + F.col("_n")
+    return run.groupBy(*by).agg((F.sum(F.col("_p") * tp / every) / F.nullif(F.sum("_p"), F.lit(0))).alias("avg_precision"))
 
 
 def class_metrics(df: DataFrame, y: str, score: str, by: list[str]) -> DataFrame:
@@ -114,9 +115,9 @@ def class_metrics(df: DataFrame, y: str, score: str, by: list[str]) -> DataFrame
 
 
 def reg_metrics(df: DataFrame, y: str, pred: str, by: list[str]) -> DataFrame:
-    """Mean squared and absolute error, R2 (null for a constant y) and Pearson; rows with a null are left out by each average."""
+    """Mean squared and absolute error, R2 (null for a constant y) and Pearson (null if a side is constant); rows with a null are left out by each average."""
     off = F.col(y) - F.col(pred)
-    return df.groupBy(*by).agg(F.avg(off * off).alias("mse"), F.avg(F.abs(off)).alias("mae"), (1 - F.avg(off * off) / F.nullif(F.var_pop(y), F.lit(0.0))).alias("r2"), F.corr(y, pred).alias("pearson"))
+    return df.groupBy(*by).agg(F.avg(off * off).alias("mse"), F.avg(F.abs(off)).alias("mae"), (1 - F.avg(off * off) / F.nullif(F.var_pop(y), F.lit(0.0))).alias("r2"), correlation(y, pred).alias("pearson"))
 
 
 def group_sizes(df: DataFrame, block: str) -> DataFrame:

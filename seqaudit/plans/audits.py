@@ -35,21 +35,36 @@ HEADER = "concat('lineage ', p_brand, ' x|', p_partkey, 'nt|', case when p_partk
 query("extract_accession", f"select p_partkey, coalesce([w for w in list_transform(string_split(h, '|'), lambda x: string_split(trim(x), ' ')[1]) if regexp_matches(w, '[0-9]') and length(w) <= 20 and not w like '%nt'][1], string_split(trim(h), ' ')[1]) as accession from (select p_partkey, {HEADER} as h from part) x")(
     lambda t: t("part").select("p_partkey", files.accession(F.expr(HEADER)).alias("accession"))
 )
-MEANS = "v_scored"
 PEAKS = "(select w.accession, w.window_index, max(abs(t.attr)) as peak from v_window w join v_track t on t.accession = w.accession and t.pos >= w.w0 and t.pos < w.w1 group by 1, 2)"
-query("concordance", f"with a as (select accession, window_index, row_number() over ({ORDER}) as r from v_scored), b as (select accession, window_index, row_number() over (partition by accession order by peak desc, window_index) as r from {PEAKS} p) select a.accession, a.window_index as window_index_a, b.window_index as window_index_b, a.window_index = b.window_index as same_window_index from a join b using (accession) where a.r = 1 and b.r = 1")(
-    lambda t: P.concordance(
-        I.rank_windows(G.scored(t).withColumn("score", F.round("score", 6))).where("is_top"),
-        I.rank_windows(t("v_window").join(t("v_track"), "accession").where("pos >= w0 and pos < w1").groupBy("accession", "window_index").agg(F.max(F.abs("attr")).alias("peak")), "peak").where("is_top"),
-        "accession", ["window_index"],
-    )
+AGREE = f"""with o as (
+  select w.accession, w.window_index, m.cls, sum(least(w.w1, m.s1) - greatest(w.w0, m.s0)) as c from v_window w join v_merged m on w.accession = m.accession and m.s0 < w.w1 and m.s1 > w.w0 group by 1, 2, 3),
+k as (select accession, window_index, cls from (select *, row_number() over (partition by accession, window_index order by c desc, cls) as r from o) x where r = 1),
+a as (select accession, window_index, row_number() over ({ORDER}) as r from v_scored),
+b as (select accession, window_index, row_number() over (partition by accession order by peak desc, window_index) as r from {PEAKS} p)
+select a.accession, a.window_index as window_index_a, ka.cls as cls_a, b.window_index as window_index_b, kb.cls as cls_b,
+  a.window_index = b.window_index as same_window_index, ka.cls is not distinct from kb.cls as same_cls
+from a join b using (accession) left join k ka on ka.accession = a.accession and ka.window_index = a.window_index
+left join k kb on kb.accession = b.accession and kb.window_index = b.window_index where a.r = 1 and b.r = 1"""
+
+
+def concordant(t):
+    """Top windows by mean and by highest score, with the class that covers most of each."""
+    named = I.winning_class(t("v_window"), t("v_span")).select("accession", "window_index", "cls")
+    peaks = t("v_window").join(t("v_track"), "accession").where("pos >= w0 and pos < w1").groupBy("accession", "window_index").agg(F.max(F.abs("attr")).alias("peak"))
+    by_mean, by_peak = I.rank_windows(G.scored(t).withColumn("score", F.round("score", 6))), I.rank_windows(peaks, "peak")
+    return P.concordance(*[x.where("is_top").join(named, ["accession", "window_index"], "left") for x in (by_mean, by_peak)], "accession", ["window_index", "cls"])
+
+
+query("concordance", AGREE)(lambda t: concordant(t).select("accession", "window_index_a", "cls_a", "window_index_b", "cls_b", "same_window_index", "same_cls"))
+query("concordance_shares", f"select count(*) as n, round(avg(same_window_index::int), 6) as share_window_index, round(avg(same_cls::int), 6) as share_cls from ({AGREE}) x")(
+    lambda t: P.agreement(concordant(t), ["window_index", "cls"])
 )
 query("resolve_locus", "select g.accession, cast(coalesce(s.s0, t.s1 - 3 * (t.s1 - t.s0), 0) as bigint) as s0, cast(coalesce(s.s1, t.s1, floor(g.n * 0.7)) as bigint) as s1, case when s.s0 is not null then 'annotated' when t.s0 is not null then 'last_third' else 'default' end as span_source from v_genome g left join (select accession, min(s0) as s0, max(s1) as s1 from v_span where accession % 3 = 0 and cls = 'rbd' group by 1) s using (accession) left join (select accession, s0, s1 from v_span where accession % 3 = 1 and cls = 'structural_other') t using (accession)")(
     lambda t: P.resolve_locus(t("v_genome"), t("v_span").where("accession % 3 = 0 and cls = 'rbd'"), t("v_span").where("accession % 3 = 1 and cls = 'structural_other'"))
 )
 query("pooled_enrichment", f"select cls, count(enrichment) as n, round(quantile_cont(enrichment, 0.5), 5) as median, round(avg(enrichment), 5) as mean, round(quantile_cont(p, 0.5), 5) as median_p, cast(count_if(p < 0.05) as bigint) as n_significant from ({ORACLES['mass_enrichment']}) x join (select accession, cls, p from ({ORACLES['shift_null']}) z) y using (accession, cls) group by cls")(
     lambda t: P.pooled_enrichment(
-        I.mass_enrichment(t("v_track"), t("v_span")).withColumn("enrichment", F.round("enrichment", 6)).join(I.shift_null(t("v_track"), t("v_span"), 20).select("accession", "cls", F.round("p", 6).alias("p")), ["accession", "cls"]), "cls", "enrichment", "p"
+        I.mass_enrichment(t("v_track"), t("v_span")).withColumn("enrichment", F.round("enrichment", 6)).join(I.shift_null(t("v_track"), t("v_span"), G.SHIFT_COUNT).select("accession", "cls", F.round("p", 6).alias("p")), ["accession", "cls"]), "cls", "enrichment", "p"
     ).select("cls", "n", F.round("median", 5).alias("median"), F.round("mean", 5).alias("mean"), F.round("median_p", 5).alias("median_p"), "n_significant")
 )
 HIGH = f"(select accession, score, window_index, row_number() over ({ORDER}) <= greatest(1, count(*) over (partition by accession) // 2) as is_high from v_scored)"
@@ -97,24 +112,34 @@ C = "lgamma({0} + 1) - lgamma({1} + 1) - lgamma({0} - {1} + 1)"
 query("hypergeom_top", f"with top as (select accession, pos from (select *, row_number() over (partition by accession order by abs(attr) desc, pos) as r, count(*) over (partition by accession) as n from v_track) x where r <= greatest(1, ceil(n * 0.1))), k as (select accession, cls, sum(s1 - s0) as k from v_merged group by 1, 2 having sum(s1 - s0) > 0), g as (select accession, n, r from v_genome join (select accession, count(*) as r from top group by 1) y using (accession)), h as (select t.accession, m.cls, count(*) as a from top t join v_merged m on m.accession = t.accession and t.pos >= m.s0 and t.pos < m.s1 group by 1, 2), z as (select accession, cls, n, r, k, coalesce(a, 0) as a from k join g using (accession) left join h using (accession, cls)), p as (select *, unnest(range(greatest(a, r + k - n)::bigint, least(r, k)::bigint + 1)) as x from z) select accession, cls, n, r, cast(k as bigint) as k, a, round(least(1.0, sum(exp({C.format('k', 'x')} + {C.format('(n - k)', '(r - x)')} - ({C.format('n', 'r')})))), 6) as p, round(a / r / (k / n), 6) as enrichment from p group by accession, cls, n, r, k, a")(
     lambda t: N.hypergeom_top(t("v_track"), t("v_span"), 0.1)
 )
-query("binom_sign", f"with b as (select p_brand, cast(count_if(p_size > 25) as bigint) as k, count(*) as n from part group by 1), g as (select *, unnest(range(k, n + 1)) as x from b) select p_brand, k, n, round(least(1.0, sum(exp({C.format('n', 'x')} + x * ln(0.45) + (n - x) * ln(0.55)))), 6) as p from g group by 1, 2, 3")(
+query("binom_sign", f"with b as (select p_brand, cast(count_if(p_size > 25) as bigint) as k, count(*) as n from part group by 1), g as (select *, unnest(range(k, n + 1)) as x from b) select p_brand, k, n, round(least(1.0, sum(exp({C.format('n', 'x')} + x * ln(0.45) + (n - x) * ln(0.55)))), 6) as p, round(least(1.0, sum(exp({C.format('n', 'x')} + n * ln(0.5)))), 6) as p_half from g group by 1, 2, 3")(
     lambda t: N.binom_sign(t("part").groupBy("p_brand").agg(F.count_if(F.col("p_size") > 25).alias("k"), F.count("*").alias("n")).withColumn("p0", F.lit(0.45)), "p_brand", "k", "n", "p0")
 )
 query("wilcoxon", "with d as (select l_orderkey, l_quantity - 25 as v from lineitem where l_quantity <> 25), r as (select l_orderkey, v, rank() over (partition by l_orderkey order by abs(v)) + (count(*) over (partition by l_orderkey, abs(v)) - 1) / 2 as r from d), g as (select l_orderkey, count(*) as n, sum(case when v > 0 then r else 0 end) as w, list(r) as rs from r group by 1 having count(*) between 5 and 16), m as (select *, unnest(range(0, cast(pow(2, n) as bigint))) as m from g), s as (select *, list_sum([rs[i] * ((m // cast(pow(2, i - 1) as bigint)) % 2) for i in range(1, n + 1)]) as x from m) select l_orderkey, n, round(w, 6) as w, round(count_if(abs(x - n * (n + 1) / 4) >= abs(w - n * (n + 1) / 4) - 1e-9) / count(*), 6) as p from s group by 1, 2, w")(
     lambda t: N.wilcoxon(t("lineitem").select("l_orderkey", (F.col("l_quantity") - 25).cast("double").alias("v")), "l_orderkey", "v")
 )
 query("stouffer", f"select cls, count(*) as n, round(sum((observed - null_mean) / (null_sd + 1e-6)) / sqrt(count(*)), 3) as t from ({ORACLES['shift_null']}) x group by 1")(
-    lambda t: N.stouffer(I.shift_null(t("v_track"), t("v_span"), 20).select("cls", ((F.col("observed") - F.round("null_mean", 6)) / (F.round("null_sd", 6) + 1e-6)).alias("z")), "cls").select("cls", "n", F.round("t", 3).alias("t"))
+    lambda t: N.stouffer(I.shift_null(t("v_track"), t("v_span"), G.SHIFT_COUNT).select("cls", ((F.col("observed") - F.round("null_mean", 6)) / (F.round("null_sd", 6) + 1e-6)).alias("z")), "cls").select("cls", "n", F.round("t", 3).alias("t"))
 )
 query("residualize", "select l_orderkey, l_linenumber, round(l_quantity - s * l_linenumber - i, 5) as residual from lineitem join (select l_returnflag, regr_slope(l_quantity, l_linenumber) as s, regr_intercept(l_quantity, l_linenumber) as i from lineitem group by 1) x using (l_returnflag)")(
-    lambda t: N.residualize(t("lineitem"), "l_quantity", "l_linenumber", ["l_returnflag"]).select("l_orderkey", "l_linenumber", F.round("residual", 5).alias("residual"))
+    lambda t: N.residualize(t("lineitem"), "l_quantity", ["l_linenumber"], ["l_returnflag"]).select("l_orderkey", "l_linenumber", F.round("residual", 5).alias("residual"))
 )
 query("residualize_groups", "select l_orderkey, l_linenumber, round(l_quantity - m, 5) as residual from lineitem join (select l_linestatus, avg(l_quantity) as m from lineitem group by 1) x using (l_linestatus)")(
     lambda t: N.residualize_groups(t("lineitem"), "l_quantity", ["l_linestatus"]).select("l_orderkey", "l_linenumber", F.round("residual", 5).alias("residual"))
 )
+SEVERAL = """with r as (
+  select *, case when l_orderkey % 7 <> 0 then cast(l_quantity as double) end as y, cast(l_linenumber as double) as x, cast(l_discount as double) as z from lineitem),
+m as (select l_returnflag, l_linestatus, avg(y) as my, avg(x) as mx, avg(z) as mz, count(*) as n, covar_pop(y, x) * count(*) as yx, covar_pop(y, z) * count(*) as yz,
+  var_pop(x) * count(*) as xx, covar_pop(x, z) * count(*) as xz, var_pop(z) * count(*) as zz from r where y is not null group by 1, 2),
+s as (select l_returnflag, sum(yx) as yx, sum(yz) as yz, sum(xx) as xx, sum(xz) as xz, sum(zz) as zz from m group by 1),
+w as (select l_returnflag, (yx * zz - yz * xz) / (xx * zz - xz * xz) as wx, (yz * xx - yx * xz) / (xx * zz - xz * xz) as wz from s)
+select l_orderkey, l_linenumber, round(y - my - wx * (x - mx) - wz * (z - mz), 5) as residual from r left join m using (l_returnflag, l_linestatus) left join w using (l_returnflag)"""
+query("residualize_several", SEVERAL)(
+    lambda t: N.residualize(t("lineitem").withColumn("y", F.when(F.col("l_orderkey") % 7 != 0, F.col("l_quantity"))), "y", ["l_linenumber", "l_discount"], ["l_returnflag"], "l_linestatus").select("l_orderkey", "l_linenumber", F.round("residual", 5).alias("residual"))
+)
 PEAK = ORACLES["peak_fragment"]
-query("placement_null", f"with f as (select x.accession, x.window_index, x.frag_start, g.n from ({PEAK}) x join v_genome g using (accession) where g.n >= 5), e as (select f.*, p.perm, case when p.perm = 0 then frag_start else {HASH.format("'42|' || p.perm || '|' || f.accession || '|' || f.window_index")} % (n - 4) end as w0 from f cross join (select unnest(range(0, 21)) as perm) p), o as (select e.accession, e.window_index, e.perm, m.cls, sum(least(e.w0 + 5, m.s1) - greatest(e.w0, m.s0)) as c from e join v_merged m on m.accession = e.accession and m.s0 < e.w0 + 5 and m.s1 > e.w0 group by 1, 2, 3, 4), s as (select c.cls, p.perm, coalesce(h, 0) / (select count(*) from f) as x from (select distinct cls from v_span) c cross join (select unnest(range(0, 21)) as perm) p left join (select cls, perm, count(*) as h from o where c >= 2.5 group by 1, 2) y using (cls, perm)) select n.cls, round(o.x, 6) as observed, round(avg(n.x), 6) as null_mean, round(quantile_cont(n.x, 0.95), 6) as null_p95, round((1 + count_if(n.x >= o.x)) / (1 + count(*)), 6) as p from s n join s o on n.cls = o.cls and o.perm = 0 where n.perm > 0 group by n.cls, o.x")(
-    lambda t: N.placement_null(I.peak_fragment(t("v_track"), t("v_window"), 5).select("accession", F.col("window_index").alias("frag_id"), "frag_start"), t("v_genome"), t("v_span"), 20, 5)
+query("placement_null", f"with f as (select x.accession, x.window_index, x.frag_start, g.n from ({PEAK}) x join v_genome g using (accession) where g.n >= 5), e as (select f.*, p.perm, case when p.perm = 0 then frag_start else {HASH.format("'42|' || p.perm || '|' || f.accession || '|' || f.window_index")} % (n - 4) end as w0 from f cross join (select unnest(range(0, 2001)) as perm) p), o as (select e.accession, e.window_index, e.perm, m.cls, sum(least(e.w0 + 5, m.s1) - greatest(e.w0, m.s0)) as c from e join v_merged m on m.accession = e.accession and m.s0 < e.w0 + 5 and m.s1 > e.w0 group by 1, 2, 3, 4), s as (select c.cls, p.perm, coalesce(h, 0) / (select count(*) from f) as x from (select distinct cls from v_span) c cross join (select unnest(range(0, 2001)) as perm) p left join (select cls, perm, count(*) as h from o where c >= 2.5 group by 1, 2) y using (cls, perm)) select n.cls, round(o.x, 6) as observed, round(avg(n.x), 6) as null_mean, round(quantile_cont(n.x, 0.95), 6) as null_p95, round((1 + count_if(n.x >= o.x)) / (1 + count(*)), 6) as p from s n join s o on n.cls = o.cls and o.perm = 0 where n.perm > 0 group by n.cls, o.x")(
+    lambda t: N.placement_null(I.peak_fragment(t("v_track"), t("v_window"), 5).select("accession", F.col("window_index").alias("frag_id"), "frag_start"), t("v_genome"), t("v_span"), 2000, 5)
 )
 INSIDE = "(select w.accession, w.window_index, c.cls, coalesce((select sum(least(w.w1, m.s1) - greatest(w.w0, m.s0)) from v_merged m where m.accession = w.accession and m.cls = c.cls and m.s0 < w.w1 and m.s1 > w.w0), 0) * 2 >= w.w1 - w.w0 and w.w1 > w.w0 as inside from v_window w cross join (select distinct cls from v_span) c)"
 
@@ -125,11 +150,34 @@ def in_class(t):
     return grid.join(cover, ["accession", "window_index", "cls"], "left").withColumn("inside", F.coalesce(F.col("frac") >= 0.5, F.lit(False)))
 
 
-query("position_perm", f"with w as (select s.accession, s.window_index, i.cls, i.inside, row_number() over (partition by s.accession, i.cls order by round(s.score, 6) desc, s.window_index) = 1 as is_top, count(*) over (partition by s.accession, i.cls) as k from v_scored s join {INSIDE} i using (accession, window_index)), e as (select w.*, p.perm, case when p.perm = 0 then is_top else {HASH.format("'42|' || p.perm || '|' || w.accession")} % k = window_index end as high from w cross join (select unnest(range(0, 21)) as perm) p), o as (select cls, perm, round(ln((count_if(high and inside) + .5) * (count_if(not high and not inside) + .5) / ((count_if(high and not inside) + .5) * (count_if(not high and inside) + .5))), 6) as x from e group by 1, 2) select n.cls, o.x as observed, round(avg(n.x), 6) as null_mean, round((1 + count_if(abs(n.x) >= abs(o.x))) / (1 + count(*)), 6) as p from o n join o on n.cls = o.cls and o.perm = 0 where n.perm > 0 group by n.cls, o.x")(
-    lambda t: N.position_perm(in_class(t), 20)
-)
+DRAWN = HASH.format("'42|' || p.perm || '|' || x.accession")
+query(
+    "position_perm",
+    f"""with w as (
+  select s.accession, s.window_index, i.cls, i.inside::bigint as i, row_number() over (partition by s.accession, i.cls order by round(s.score, 6) desc, s.window_index) = 1 as is_top,
+    count(*) over (partition by s.accession, i.cls) as k from v_scored s join {INSIDE} i using (accession, window_index)),
+d as (select x.accession, p.perm, {DRAWN} % x.k as window_index from (select distinct accession, k from w) x cross join (select unnest(range(1, 10001)) as perm) p
+  union all select distinct accession, 0, window_index from w where is_top),
+h as (select w.cls, d.perm, sum(w.i) as a, count(*) as g from d join w using (accession, window_index) group by 1, 2),
+e as (select cls, sum(i) as t, count(*) as n from w group by 1),
+o as (select cls, perm, round(ln((a + .5) * (n - g - t + a + .5) / ((g - a + .5) * (t - a + .5))), 6) as x from h join e using (cls)),
+s as (select n.cls, o.x as observed, avg(n.x) as null_mean, (1 + count_if(abs(n.x) >= abs(o.x))) / (1 + count(*)) as p, avg(round(exp(n.x), 6)) as null_or,
+  quantile_cont(round(exp(n.x), 6), 0.025) as null_or_low, quantile_cont(round(exp(n.x), 6), 0.975) as null_or_high from o n join o on n.cls = o.cls and o.perm = 0 where n.perm > 0 group by n.cls, o.x)
+select cls, observed, round(null_mean, 6) as null_mean, round(p, 6) as p, round(null_or, 6) as null_or, round(null_or_low, 6) as null_or_low, round(null_or_high, 6) as null_or_high,
+  case when p < 0.05 and (null_or_high < round(exp(observed), 6) or round(exp(observed), 6) > null_or) then 'keep_primary'
+    when round(exp(observed), 6) > 1 and p >= 0.05 then 'directional_downgrade' else 'null_reproduces_or_nonspecific' end as gate from s""",
+)(lambda t: N.position_perm(in_class(t), 10_000))
 query("logo_folds", "select group_id, count(*) as n_test, (select count(*) from v_manifest) - count(*) as n_train, case when (select count(*) from v_manifest) - count(*) < 5 then 'too_small' else 'ok' end as status from v_manifest group by 1")(lambda t: P.logo_folds(t("v_manifest"), "group_id"))
-query("group_fold_greedy", "select group_id, n, cast(case when r % 10 < 5 then r % 10 else 9 - r % 10 end as int) as fold from (select group_id, count(*) as n, row_number() over (order by count(*) desc, group_id) - 1 as r from v_manifest group by 1) x")(lambda t: P.group_fold_snake(t("v_manifest"), "group_id"))
+query(
+    "group_fold_greedy",
+    f"""with recursive g as (select group_id, count(*) as n from v_manifest group by 1),
+o as (select group_id, n, row_number() over (order by n desc, {HASH.format("'42|' || group_id")}, group_id) as r from g),
+w as (select 0::bigint as r, cast(null as varchar) as group_id, 0::bigint as n, 0::bigint as fold, 0::bigint as a, 0::bigint as b, 0::bigint as c, 0::bigint as d, 0::bigint as e
+  union all select o.r, o.group_id, o.n, f, w.a + case when f = 0 then o.n else 0 end, w.b + case when f = 1 then o.n else 0 end, w.c + case when f = 2 then o.n else 0 end,
+    w.d + case when f = 3 then o.n else 0 end, w.e + case when f = 4 then o.n else 0 end
+  from (select *, list_position([a, b, c, d, e], least(a, b, c, d, e)) - 1 as f from w) w join o on o.r = w.r + 1)
+select group_id, n, cast(fold as int) as fold from w where r > 0""",
+)(lambda t: P.group_fold_greedy(t("v_manifest"), "group_id"))
 query("holdout_rules", "with c as (select o_custkey, min(year(o_orderdate)) as y from orders group by 1), m as (select quantile_cont(y, 0.5) as m from c), r as (select quantile_cont(year(o_orderdate), 0.5) as m from orders) select o_orderkey, case when year(o_orderdate) <= (select m from r) then 'train' else 'test' end as temporal, case when c.y <= (select m from m) then 'train' else 'test' end as disjoint from orders join c using (o_custkey)")(
     lambda t: P.temporal_holdout(t("orders").select("o_orderkey", "o_orderdate"), F.year("o_orderdate")).select("o_orderkey", F.col("split").alias("temporal")).join(P.temporal_holdout(t("orders").select("o_orderkey", "o_custkey", "o_orderdate"), F.year("o_orderdate"), "o_custkey").select("o_orderkey", F.col("split").alias("disjoint")), "o_orderkey")
 )
@@ -140,9 +188,11 @@ query("prepare_split", f"with s as (select x.sequence_id, x.split, m.label from
 query("assert_disjoint", f"select distinct 'sequence_id' as kind, cast(sequence_id as varchar) as value from {G.A} a where sequence_id in (select sequence_id from {G.B} b) union all select distinct 'group_id', group_id from {G.A} a where group_id in (select group_id from {G.B} b)")(lambda t: P.shared_keys(G.split_a(t), G.split_b(t), ["sequence_id", "group_id"]))
 query("clean_manifest", f"select sequence_id from {G.A} a where sequence_id not in (select sequence_id from {G.B} b) and md5(text) not in (select md5(text) from {G.B} b)")(lambda t: P.clean_manifest(G.split_a(t), G.split_b(t), "sequence_id", "text").select("sequence_id"))
 query("sample_manifest", f"select sequence_id, group_id from (select *, row_number() over (partition by group_id order by {HASH.format("'42|' || sequence_id")}, sequence_id) as r, count(*) over (partition by group_id) as n from v_manifest) x where n >= 2 and r <= 3")(lambda t: P.sample_manifest(t("v_manifest"), "sequence_id", "group_id", 3).select("sequence_id", "group_id"))
-query("geometry_report", f"select * from ({ORACLES['group_sizes']}) a cross join ({ORACLES['icc_groups']}) b cross join (select round(avg(purity), 5) as mean_purity from ({ORACLES['purity']}) z) c cross join ({ORACLES['shared_block_fraction']}) d")(
-    lambda t: P.geometry_report(t("v_manifest"), "sequence_id", "label", "group_id", "block_id").withColumn("mean_purity", F.round("mean_purity", 5))
-)
+query(
+    "geometry_report",
+    f"""select *, mean_purity as block_homogeneity from ({ORACLES['group_sizes']}) a cross join ({ORACLES['icc_groups']}) b
+  cross join (select round(avg(purity), 5) as mean_purity from ({ORACLES['purity']}) z) c cross join ({ORACLES['shared_block_fraction']}) d""",
+)(lambda t: P.geometry_report(t("v_manifest"), "sequence_id", "label", "group_id", "block_id").withColumns({c: F.round(c, 5) for c in ("mean_purity", "block_homogeneity")}))
 query("fidelity", "select count(*) as n, round(corr(ra, rb), 6) as rho, round(quantile_cont(share, 0.5), 6) as median_share from (select p_partkey % 50 / (p_partkey % 50 + p_size) as share, rank() over (order by p_size) + (count(*) over (partition by p_size) - 1) / 2 as ra, rank() over (order by p_retailprice) + (count(*) over (partition by p_retailprice) - 1) / 2 as rb from part) x")(
     lambda t: T.fidelity(t("part").withColumn("share", F.col("p_partkey") % 50 / (F.col("p_partkey") % 50 + F.col("p_size"))), "p_size", "p_retailprice", "share")
 )
@@ -152,8 +202,17 @@ query("value_holdout", f"select vec_id, case when host = 1 then 'test' else 'tra
 )
 LEGACY = f"select sequence_id, label, copy, case when r <= ceil(n * 0.2) then 'val' else 'train' end as split from (select *, row_number() over (partition by label order by {HASH.format("'42|' || sequence_id || '|' || copy")}, sequence_id, copy) as r, count(*) over (partition by label) as n from ({ORACLES['oversample_minority']}) x) y"
 query("prepare_split_legacy", LEGACY)(lambda t: P.prepare_split(t("v_manifest"), "group_id", "label", legacy=True, id_col="sequence_id").select("sequence_id", "label", "copy", "split"))
-query("classify_span", "select p_partkey, case p_partkey % 7 when 0 then 'entry' when 1 then 'polymerase' when 2 then 'accessory' when 3 then 'structural_other' when 4 then 'rbd' when 6 then 'structural_other' end as cls from part")(
-    lambda t: P.classify_span(t("part").withColumn("label", F.element_at(F.array(*map(F.lit, ["Spike glycoprotein", "ORF1ab polyprotein", "orf3a", "membrane protein M", "Receptor binding", "something", "N"])), (F.col("p_partkey") % 7 + 1).cast("int"))), ("label",)).select("p_partkey", "cls")
+NAMES = ["Spike glycoprotein", "ORF1ab polyprotein", "orf3a", "membrane protein M", "Receptor binding", "something", "N"]
+
+
+def named(t):
+    return t("part").withColumn("label", F.element_at(F.array(*map(F.lit, NAMES)), (F.col("p_partkey") % 7 + 1).cast("int")))
+
+
+OWN = "case p_partkey % 7 when 0 then 'entry_interface' when 1 then 'polymerase_replicase' when 2 then 'accessory_immune' when 3 then 'structural_other' when 4 then 'rbd' when 6 then 'structural_other' end"
+query("classify_span", f"select p_partkey, {OWN} as cls from part")(lambda t: P.classify_span(named(t), ("label",)).select("p_partkey", "cls"))
+query("class_spans", f"select p_partkey, {OWN} as cls from part where p_partkey % 7 <> 5 union all select p_partkey, 'entry_interface' from part where p_partkey % 7 = 4")(
+    lambda t: P.class_spans(named(t), ("label",)).select("p_partkey", "cls")
 )
 
 
@@ -173,19 +232,64 @@ def pooled_features(t):
     return own.withColumn("two", F.slice("features", 1, 2))
 
 
-query("split_contrast")(lambda t: reports.split_contrast(t("v_emb"), "vec_id", "features", "y", "group_id", repeats=5))
+query("pick_alpha")(lambda t: probes.nested_alpha(probed(t), "features", "y", "fold", "group_id").withColumn("mse", F.round("mse", 6)))
+
+
+def baselines(t):
+    """Feature sets that know little: length, GC and family; 3-mer frequencies; the organism."""
+    own = rows.gc_full(t("v_manifest"), "text").withColumn("gc", F.coalesce("gc", F.lit(0.0))).withColumn("family", F.split("group_id", "/")[0])
+    own = own.withColumn("length_gc_family", F.concat(F.array(F.col("n_chars").cast("double"), "gc"), P.hot(own, "family")))
+    own = own.withColumn("organism", P.hot(own, "block_id")).join(P.kmer_vectors(own, "sequence_id", "text", 3), "sequence_id")
+    return K.kfold_random(own, "sequence_id").withColumn("blocked", reports.group_fold("group_id", 5))
+
+
+query("baseline_features")(
+    lambda t: reports.baseline_matrix(baselines(t), "sequence_id", {"length_gc_family": "length_gc_family", "kmer3": "kmers", "organism": "organism"}, ["label"], {"random": "fold", "blocked": "blocked"})
+)
+query("split_contrast")(lambda t: reports.split_contrast(t("v_emb"), "vec_id", "features", "y", "group_id", repeats=20))
 query("logo_influence")(lambda t: reports.logo_influence(t("v_emb"), "vec_id", "features", "y", "group_id"))
 query("audit_report")(lambda t: reports.audit_report(t("v_emb"), "vec_id", "y", "group_id", "group_id", "features").withColumn("warnings", F.array_join("warnings", ",")))
 query("baseline_matrix")(lambda t: reports.baseline_matrix(pooled_features(t), "vec_id", {"embedding": "features", "two": "two", "family": "family_hot"}, ["y"], {"random": "fold", "blocked": "blocked"}))
 query("logit_adjust")(lambda t: reports.logit_adjust(in_class(t).join(I.equal_windows(t("v_genome"), 3), ["accession", "window_index"]).withColumn("middle", (F.col("window_index") == 1).cast("int")).withColumn("length", F.col("w1") - F.col("w0")), "is_top", "inside", ["middle", "length"], "accession"))
-query("minhash_leakage")(lambda t: reports.minhash_leakage(G.split_a(t), G.split_b(t), "sequence_id", "text"))
+SIGNED = f"""with s as (select 'a' as side, cast(sequence_id as varchar) as id, upper(replace(text, 'ß', 'SS')) as x from {G.A} q where text is not null
+  union all select 'b', cast(sequence_id as varchar), upper(replace(text, 'ß', 'SS')) from {G.B} q where text is not null),
+g as (select distinct side, id, md5(substr(x, i, 7)) as m from (select side, id, x, unnest(range(1, length(x) - 5, 31)) as i from s where length(x) >= 7) y),
+u as (select side, id, ('0x' || substr(m, 1, 8))::bigint % {reports.PRIME} as u, ('0x' || substr(m, 9, 8))::bigint % {reports.PRIME} as v from g),
+h as (select side, id, h, min((u + h * v) % {reports.PRIME}) as m from u cross join (select unnest(range(1, 129)) as h) k group by 1, 2, 3),
+band as (select side, id, (h - 1) // 8 as band, string_agg(m, ',' order by h) as value from h group by 1, 2, 3),
+met as (select distinct a.id as id_a, b.id as id_b from band a join band b on a.band = b.band and a.value = b.value and a.side = 'a' and b.side = 'b'),
+same as (select id_a, id_b, count_if(a.m = b.m) / 128 as agreement from met join h a on a.side = 'a' and a.id = id_a join h b on b.side = 'b' and b.id = id_b and b.h = a.h group by 1, 2),
+near as (select id_b, id_a, agreement, row_number() over (partition by id_b order by agreement desc, id_a) as r from same)"""
+query("minhash_leakage", f"{SIGNED} select id_b, id_a, round(agreement, 6) as agreement from near where r = 1 and agreement >= 0.5")(lambda t: reports.minhash_leakage(text_ids(G.split_a(t)), text_ids(G.split_b(t)), "sequence_id", "text"))
+
+
+def text_ids(df):
+    return df.withColumn("sequence_id", F.col("sequence_id").cast("string"))
+
+
 query("clean_manifest_near")(lambda t: reports.clean_manifest(G.split_a(t), G.split_b(t), "sequence_id", "text").select("sequence_id"))
 LOCUS = "(select accession, min(s0) as s0, max(s1) as s1 from v_span where cls = 'rbd' group by 1)"
-SUMS = "(select accession, pos + 1 as edge, sum(abs(attr)) over (partition by accession order by pos) as cum from v_track union all select accession, 0, 0.0 from v_genome)"
-OUTER = f"o as (select l.accession, l.s1 - l.s0 as len, g.n, x.o, case when x.o = 0 then l.s0 else {HASH.format("'42|locus|' || x.o || '|' || l.accession")} % (g.n - (l.s1 - l.s0)) end as start from {LOCUS} l join v_genome g using (accession) cross join (select unnest(range(0, 11)) as o) x where g.n > l.s1 - l.s0 + 1 and l.s1 > l.s0)"
-INNER = f"i as (select o.*, x.i, (start + case when x.i = 0 then 0 else {HASH.format("'42|shift|' || o.o || '|' || x.i || '|' || o.accession")} % n end) % n as a from o cross join (select unnest(range(0, 13)) as i) x)"
-MASS = f"m as (select i.accession, i.o, i.i, round(p.cum - q.cum + case when i.a + i.len > i.n then r.cum else 0 end, 6) as mass from i join {SUMS} q on q.accession = i.accession and q.edge = i.a join {SUMS} p on p.accession = i.accession and p.edge = least(i.a + i.len, i.n) join {SUMS} r on r.accession = i.accession and r.edge = greatest(i.a + i.len - i.n, 0))"
-STOUFFER = "t as (select o, count(*) as n, round(sum((seen - mean) / (sd + 1e-6)) / sqrt(count(*)), 4) as t from (select accession, o, max(mass) filter (i = 0) as seen, avg(mass) filter (i > 0) as mean, stddev_pop(mass) filter (i > 0) as sd from m group by 1, 2) y group by 1)"
-query("locus_set_null", f"with {OUTER}, {INNER}, {MASS}, {STOUFFER} select s.n, round(s.t, 3) as t_observed, round((1 + count_if(t.t >= s.t)) / (1 + count(*)), 6) as p, round(avg(t.t), 3) as null_mean, round(quantile_cont(t.t, 0.95), 3) as null_p95 from t cross join (select n, t from t where o = 0) s where t.o > 0 group by s.n, s.t")(
-    lambda t: reports.locus_set_null(t("v_track"), t("v_span").where("cls = 'rbd'").groupBy("accession").agg(F.min("s0").alias("s0"), F.max("s1").alias("s1")), 10, 12).select("n", F.round("t_observed", 3).alias("t_observed"), "p", F.round("null_mean", 3).alias("null_mean"), F.round("null_p95", 3).alias("null_p95"))
-)
+LOCUS_MOVE = HASH.format("'42|locus|' || x.o || '|' || l.accession")
+SHIFT_MOVE = HASH.format("'42|shift|' || o.o || '|' || x.i || '|' || o.accession")
+SETS = f"""with sums as (
+  select accession, pos + 1 as edge, sum(abs(attr)) over (partition by accession order by pos) as cum from v_track union all select accession, 0, 0.0 from v_genome),
+o as (select l.accession, l.s1 - l.s0 as len, g.n, x.o, case when x.o = 0 then l.s0 else {LOCUS_MOVE} % (g.n - (l.s1 - l.s0)) end as start
+  from {LOCUS} l join v_genome g using (accession) cross join (select unnest(range(0, 501)) as o) x where g.n > l.s1 - l.s0 + 1 and l.s1 > l.s0),
+i as (select o.accession, o.len, o.n, o.o, x.i, (start + case when x.i = 0 then 0 else {SHIFT_MOVE} % n end) % n as a from o cross join (select unnest(range(0, 401)) as i) x),
+k as (select accession, len, n, o, a, count_if(i > 0) as times, count_if(i = 0) as own from i group by 1, 2, 3, 4, 5),
+p as (select distinct accession, len, n, a from k),
+m as (select p.accession, p.a, round(z.cum - q.cum + case when p.a + p.len > p.n then r.cum else 0 end, 6) as mass from p join sums q on q.accession = p.accession and q.edge = p.a
+  join sums z on z.accession = p.accession and z.edge = least(p.a + p.len, p.n) join sums r on r.accession = p.accession and r.edge = greatest(p.a + p.len - p.n, 0)),
+y as (select accession, o, max(mass) filter (own > 0) as seen, sum(times * mass) / 400 as mean, sum(times * mass * mass) / 400 as square from k join m using (accession, a) group by 1, 2),
+t as (select o, count(*) as n, round(sum((seen - mean) / (sqrt(greatest(square - mean * mean, 0.0)) + 1e-6)) / sqrt(count(*)), 4) as t from y group by 1)
+select s.n, round(s.t, 3) as t_observed, round((1 + count_if(t.t >= s.t)) / (1 + count(*)), 6) as p, round(avg(t.t), 3) as null_mean, round(quantile_cont(t.t, 0.95), 3) as null_p95
+from t cross join (select n, t from t where o = 0) s where t.o > 0 group by s.n, s.t"""
+
+
+def locus_set(t):
+    loci = t("v_span").where("cls = 'rbd'").groupBy("accession").agg(F.min("s0").alias("s0"), F.max("s1").alias("s1"))
+    got = reports.locus_set_null(t("v_track"), loci, 500, 400)
+    return got.select("n", "p", *[F.round(c, 3).alias(c) for c in ("t_observed", "null_mean", "null_p95")])
+
+
+query("locus_set_null", SETS)(locus_set)

@@ -6,24 +6,28 @@ from pyspark.sql import functions as F
 
 from ..operators import controls as C
 from ..operators import reports
-from .registry import HASH, ORACLES, query
+from .registry import HASH, ORACLES, ROW_HASH, SHIFT_COUNT, query, walked
 
 TOP = f"select accession, pos from ({ORACLES['top_quantile']}) z where is_top"
 query("shift_top_null", f"""with top as ({TOP}),
-mv as (select g.accession, g.n, p.perm, case when p.perm = 0 then 0 else {HASH.format("'42|' || p.perm || '|' || g.accession")} % g.n end as mv from v_genome g cross join (select unnest(range(0, 21)) as perm) p),
+mv as (select g.accession, g.n, p.perm, case when p.perm = 0 then 0 else {HASH.format("'42|' || p.perm || '|' || g.accession")} % g.n end as mv from v_genome g cross join (select unnest(range(0, 2001)) as perm) p),
 h as (select v.accession, m.cls, v.perm, count(*) as h from mv v join top t on t.accession = v.accession join v_merged m on m.accession = v.accession and (t.pos + v.mv) % v.n >= m.s0 and (t.pos + v.mv) % v.n < m.s1 group by 1, 2, 3),
 x as (select g.accession, g.cls, v.perm, coalesce(h.h, 0) / k.k as x from (select distinct accession, cls from v_merged) g join mv v on v.accession = g.accession join (select accession, count(*) as k from top group by 1) k on k.accession = g.accession left join h on h.accession = g.accession and h.cls = g.cls and h.perm = v.perm)
 select n.accession, n.cls, round(o.x, 6) as observed, round((1 + count_if(n.x >= o.x)) / (1 + count(*)), 6) as p, round(avg(n.x), 6) as null_mean from x n join x o on o.accession = n.accession and o.cls = n.cls and o.perm = 0 where n.perm > 0 group by n.accession, n.cls, o.x""")(
-    lambda t: C.shift_top_null(t("v_track"), t("v_span"), 0.1, 20)
-)
-query("label_perm_global", f"""with p as (select unnest(range(1, 11)) as perm),
-l as (select p.perm, m.n_chars, row_number() over (partition by p.perm order by m.sequence_id) as k from v_manifest m cross join p),
-r as (select p.perm, m.label, row_number() over (partition by p.perm order by {HASH.format("'42|' || p.perm || '|' || m.sequence_id")}, m.sequence_id) as k from v_manifest m cross join p),
-e as (select l.perm, l.n_chars, r.label from l join r on l.perm = r.perm and l.k = r.k union all select 0, n_chars, label from v_manifest),
-rho as (select perm, round(corr(ra, rb), 6) as rho from (select perm, rank() over (partition by perm order by n_chars) + (count(*) over (partition by perm, n_chars) - 1) / 2 as ra, rank() over (partition by perm order by label) + (count(*) over (partition by perm, label) - 1) / 2 as rb from e) z group by perm)
-select o.rho as observed, round(avg(n.rho), 6) as null_mean, round(stddev_pop(n.rho), 6) as null_sd, round((1 + count_if(n.rho >= o.rho)) / (1 + count(*)), 6) as p from rho n cross join rho o where n.perm > 0 and o.perm = 0 group by o.rho""")(
-    lambda t: C.label_perm_global(t("v_manifest"), "sequence_id", "n_chars", "label", 10)
+    lambda t: C.shift_top_null(t("v_track"), t("v_span"), 0.1, 2000)
 )
+query(
+    "label_perm_global",
+    f"""with recursive perms as (select cast(unnest(range(1, 5001)) as int) as perm),
+ranks as (
+  select sequence_id as id, rank() over (order by n_chars) + (count(*) over (partition by n_chars) - 1) / 2 as a0, rank() over (order by label) + (count(*) over (partition by label) - 1) / 2 as b0,
+    row_number() over (order by {ROW_HASH}, sequence_id) - 1 as i, count(*) over () as n from v_manifest),
+{walked("a0", "")},
+s as (select w.perm, sum(w.a0 * r.b0) as x from w join ranks r on r.i = w.x where w.x < w.n group by 1),
+f as (select count(*) as n, avg(a0) as ma, avg(b0) as mb, sqrt(var_pop(a0) * var_pop(b0)) as s, sum(a0 * b0) as seen from ranks),
+rho as (select round((s.x / f.n - f.ma * f.mb) / f.s, 6) as rho, round((f.seen / f.n - f.ma * f.mb) / f.s, 6) as observed from s cross join f)
+select observed, round(avg(rho), 6) as null_mean, round(stddev_pop(rho), 6) as null_sd, round((1 + count_if(rho >= observed)) / (1 + count(*)), 6) as p from rho group by observed""",
+)(lambda t: C.label_perm_global(t("v_manifest"), "sequence_id", "n_chars", "label", 5000))
 query("locus_percentile", """with l as (select m.accession, m.cls, m.s0, m.s1, g.n, m.s1 - m.s0 as l from v_merged m join v_genome g on g.accession = m.accession where m.s1 > m.s0),
 w as (select *, unnest(range(-1, n // l)) as i from l),
 e as (select *, case when i < 0 then s0 else i * l end as a from w),
@@ -47,6 +51,21 @@ select n, cast(1 as int) as df1, n - g - 1 as df2, round(yy, 6) as rss_reduced,
 )
 # Signs of components are free, so SQL cannot fix them; a test holds the scores against numpy.
 query("pca_scores")(lambda t: C.pca_scores(t("v_emb"), "features", 4).select("vec_id", *[F.abs(F.col("scores")[i]).alias(f"pc{i + 1}") for i in range(4)]))
-query("known_locus_scores", f"select * from ({ORACLES['locus_percentile']}) a join ({ORACLES['mass_enrichment']}) b using (accession, cls) join (select accession, cls, p from ({ORACLES['shift_null']}) z) c using (accession, cls)")(
-    lambda t: reports.known_locus_scores(t("v_track"), t("v_merged"), 20)
-)
+query(
+    "known_locus_scores",
+    f"""select * from ({ORACLES['locus_percentile']}) a join ({ORACLES['mass_enrichment']}) b using (accession, cls)
+  join (select accession, cls, p from ({ORACLES['shift_null']}) z) c using (accession, cls)""",
+)(lambda t: reports.known_locus_scores(t("v_track"), t("v_merged"), SHIFT_COUNT))
+query(
+    "known_locus_summary",
+    f"""select accession % 3 as family, cls, count(distinct accession) as n_accessions, round(quantile_cont(enrichment, 0.5), 5) as median_enrichment,
+  round(avg(enrichment), 5) as mean_enrichment, round(quantile_cont(percentile, 0.5), 5) as median_percentile, count_if(p < 0.05)::bigint as n_significant,
+  round(count_if(p < 0.05) / count(*), 5) as frac_significant, count_if(percentile >= 0.9)::bigint as n_high from ({ORACLES['known_locus_scores']}) x group by 1, 2""",
+)(lambda t: summary(t))
+
+
+def summary(t):
+    scores = reports.known_locus_scores(t("v_track"), t("v_merged"), SHIFT_COUNT)
+    scores = scores.select("accession", "cls", *[F.round(c, 6).alias(c) for c in ("enrichment", "percentile", "p")])
+    got = reports.known_locus_summary(scores, t("v_genome").select("accession", (F.col("accession") % 3).alias("family")))
+    return got.select(*[F.round(c, 5).alias(c) if kind == "double" else F.col(c) for c, kind in got.dtypes])

@@ -50,4 +50,7 @@ def ctes(sql: str) -> str:
 
     add(sql)
     head = ", ".join(f"{n} as ({VIEWS[n]})" for n in wanted)
-    return f"with {head}{', ' if sql.startswith('with ') else ' '}{sql[5:] if sql.startswith('with ') else sql}" if wanted else sql
+    if not wanted:
+        return sql
+    first, own = next(((w, sql[len(w) :]) for w in ("with recursive ", "with ") if sql.startswith(w)), ("with ", None))
+    return f"{first}{head} {sql}" if own is None else f"{first}{head}, {own}"

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.keyed import draw
+from ..functions.tails import binomial_at_least
 from ..operators import intervals as I
-from ..operators import nulls as N
 from ..operators import rows as R
 from ..operators import splits as K
 from ..operators import statistics as S
@@ -127,12 +126,25 @@ query("top_positions", "select accession, pos, rank from (select *, row_number()
 query("peak_fragment", "select accession, window_index, frag_start, round(frag, 6) as frag from (select *, row_number() over (partition by accession, window_index order by round(frag, 6) desc, frag_start) as r from (select w.accession, w.window_index, w.w1, t.pos as frag_start, sum(abs(t.attr)) over (partition by w.accession, w.window_index order by t.pos rows between current row and 4 following) as frag from v_window w join v_track t on t.accession = w.accession and t.pos >= w.w0 and t.pos < w.w1) x where frag_start + 5 <= w1) y where r = 1")(
     lambda t: I.peak_fragment(t("v_track"), t("v_window"), 5)
 )
+query(
+    "sliding_starts_overlap",
+    """select distinct accession, start from (
+  select accession, unnest(range(0, greatest(n - 20, 0) + 1, 10))::int as start from v_genome union all select accession, greatest(n - 20, 0)::int from v_genome) x""",
+)(lambda t: I.sliding_starts(t("v_genome"), "n", 20, overlap=0.7).select("accession", "start"))
 query("sliding_starts", "select distinct accession, start from (select accession, unnest(range(0, greatest(n - 20, 0) + 1, 7))::int as start from v_genome union all select accession, greatest(n - 20, 0)::int from v_genome) x")(lambda t: I.sliding_starts(t("v_genome"), "n", 20, 7).select("accession", "start"))
-SHIFTS = f"""with cum as (select accession, pos + 1 as edge, abs(attr) as x from v_track), g as (select accession, n from v_genome),
-mv as (select g.accession, g.n, p.perm, case when p.perm = 0 then 0 else {HASH.format("'42|' || p.perm || '|' || g.accession")} % g.n end as mv from g cross join (select unnest(range(0, 21)) as perm) p),
-mass as (select v.accession, m.cls, v.perm, round(sum(abs(t.attr)), 6) as mass from mv v join v_merged m on m.accession = v.accession join v_track t on t.accession = v.accession and (t.pos - v.mv + v.n) % v.n >= m.s0 and (t.pos - v.mv + v.n) % v.n < m.s1 group by 1, 2, 3)
-select n.accession, n.cls, o.mass as observed, round((1 + count_if(n.mass >= o.mass)) / (1 + count(*)), 6) as p, round(avg(n.mass), 6) as null_mean, round(stddev_pop(n.mass), 6) as null_sd from mass n join mass o on n.accession = o.accession and n.cls = o.cls and o.perm = 0 where n.perm > 0 group by 1, 2, 3"""
-query("shift_null", SHIFTS)(lambda t: I.shift_null(t("v_track"), t("v_span"), 20))
+SHIFT_COUNT = 2000  # as published
+SHIFTS = f"""with drawn as (
+  select g.accession, g.n, {HASH.format("'42|' || p.perm || '|' || g.accession")} % g.n as mv from v_genome g cross join (select unnest(range(1, {SHIFT_COUNT + 1})) as perm) p),
+mv as (select accession, n, mv, sum(k) as times from (select *, 1 as k from drawn union all select accession, n, 0, 0 from v_genome) x group by 1, 2, 3),
+mass as (
+  select v.accession, m.cls, v.mv, any_value(v.times) as times, round(sum(abs(t.attr)), 6) as mass
+  from mv v join v_merged m on m.accession = v.accession
+  join v_track t on t.accession = v.accession and (t.pos - v.mv + v.n) % v.n >= m.s0 and (t.pos - v.mv + v.n) % v.n < m.s1 group by 1, 2, 3),
+mean as (select accession, cls, sum(times * mass) / {SHIFT_COUNT} as mean from mass group by 1, 2)
+select n.accession, n.cls, o.mass as observed, round((1 + sum(case when n.mass >= o.mass then n.times else 0 end)) / (1 + {SHIFT_COUNT}), 6) as p,
+  round(any_value(mean.mean), 6) as null_mean, round(sqrt(sum(n.times * (n.mass - mean.mean) ** 2) / {SHIFT_COUNT}), 6) as null_sd
+from mass n join mass o on n.accession = o.accession and n.cls = o.cls and o.mv = 0 join mean on mean.accession = n.accession and mean.cls = n.cls group by 1, 2, 3"""
+query("shift_null", SHIFTS)(lambda t: I.shift_null(t("v_track"), t("v_span"), SHIFT_COUNT))
 
 
 def contrast(t):
@@ -164,11 +176,11 @@ query("high_low_contrast", CONTRAST.rstrip() + ", " + FISHER + f", bh as ({BH}),
 
 def contrast_report(tables):
     """Odds ratios, Fisher p and q, and the sign test of the high windows against the class's share of all."""
-    own = S.haldane_or(S.fisher_or(tables, "cls"))
+    a, b, c, d = (F.col(x) for x in "abcd")
+    p0 = F.least(F.greatest((a + c) / (a + b + c + d), F.lit(1e-6)), F.lit(1 - 1e-6))
+    own = binomial_at_least(S.haldane_or(S.fisher_or(tables, "cls")), a + b, a, p0, "sign_p")
     q = S.bh_fdr(own.select("cls", F.round("fisher_p", 9).alias("p")), "p", "cls").select("cls", "q")
-    share = own.select("cls", F.col("a").alias("_k"), (F.col("a") + F.col("b")).alias("_n"), ((F.col("a") + F.col("c")) / (F.col("a") + F.col("b") + F.col("c") + F.col("d"))).alias("p0"))
-    sign = N.binom_sign(share, "cls", "_k", "_n", "p0").select("cls", F.col("p").alias("sign_p"))
-    return own.join(q, "cls").join(sign, "cls").select("cls", "a", "b", "c", "d", "odds_ratio", "haldane_or", "ci_low", "ci_high", "fisher_p", "q", "sign_p")
+    return own.join(q, "cls").select("cls", "a", "b", "c", "d", "odds_ratio", "haldane_or", "ci_low", "ci_high", "fisher_p", "q", "sign_p")
 
 
 RANKS = "avg(x) over w"
@@ -190,6 +202,12 @@ query("auroc", f"select lang, round(sum(case when y = 1 then u else 0 end) / nul
 query("avg_precision", f"with v as (select lang, s, count_if(y = 1) as p, count(*) as n from {PRED} x group by 1, 2) select lang, round(sum(p * tp / al) / nullif(sum(p), 0), 6) as avg_precision from (select *, sum(p) over (partition by lang order by s desc) as tp, sum(n) over (partition by lang order by s desc) as al from v) z group by lang")(
     lambda t: S.average_precision(pred(t), "y", "s", ["lang"])
 )
+WEIGHTED = f"(select y, s, 1.0 / count(*) over (partition by lang) as w from {PRED} x)"
+query(
+    "auroc_weighted",
+    f"""select round(sum(case when p.y = 1 and n.y = 0 then p.w * n.w * case when n.s < p.s then 1.0 when n.s = p.s then 0.5 else 0.0 end else 0.0 end)
+  / nullif(sum(case when p.y = 1 and n.y = 0 then p.w * n.w else 0.0 end), 0), 6) as auroc from {WEIGHTED} p cross join {WEIGHTED} n""",
+)(lambda t: S.auroc(pred(t).withColumn("w", 1 / F.count("*").over(Window.partitionBy("lang"))), "y", "s", [], "w"))
 query("class_metrics", f"select lang, count(*) as n, round(avg(case when (s >= 0.5) = (y = 1) then 1.0 else 0.0 end), 6) as accuracy, round(coalesce(count_if(s >= 0.5 and y = 1) / nullif(count_if(s >= 0.5), 0), 0.0), 6) as precision, round(coalesce(count_if(s >= 0.5 and y = 1) / nullif(count_if(y = 1), 0), 0.0), 6) as recall, round(coalesce(2 * count_if(s >= 0.5 and y = 1) / nullif(count_if(s >= 0.5) + count_if(y = 1), 0), 0.0), 6) as f1 from {PRED} x group by lang")(
     lambda t: S.class_metrics(pred(t), "y", "s", ["lang"])
 )
@@ -235,8 +253,37 @@ query("shared_block_fraction", f"with f as (select block_id, fold, count(*) as n
 query("oversample_minority", "with c as (select label, count(*) as n from v_manifest group by 1) select sequence_id, label, cast(unnest(range(1, case when label = (select label from c order by n, label limit 1) then (select max(n) from c) // (select min(n) from c) else 1 end + 1)) as int) as copy from v_manifest")(
     lambda t: K.oversample_minority(t("v_manifest"), "label").select("sequence_id", "label", "copy")
 )
-PERM = f"with p as (select unnest(range(1, 6)) as perm), l as (select p.perm, m.block_id, m.sequence_id as id, row_number() over (partition by p.perm, m.block_id order by m.sequence_id) as k from v_manifest m cross join p), r as (select p.perm, m.block_id, m.label, row_number() over (partition by p.perm, m.block_id order by {HASH.format("'42|' || p.perm || '|' || m.sequence_id")}, m.sequence_id) as k from v_manifest m cross join p) select l.perm, l.id, r.label as permuted from l join r on l.perm = r.perm and l.block_id = r.block_id and l.k = r.k"
-query("label_perm_within", PERM.replace("l.perm, l.id", "cast(l.perm as int) as perm, l.id"))(lambda t: K.label_perm(t("v_manifest"), "sequence_id", "label", "block_id", 5))
-query("group_bootstrap", f"with g as (select group_id, row_number() over (order by group_id) - 1 as k, count(*) over () as n from (select distinct group_id from v_manifest) z), d as (select r.rep, {HASH.format("'42|' || r.rep || '|' || j.j")} % (select max(n) from g) as k from (select unnest(range(0, 10)) as rep) r cross join (select k as j from g) j), x as (select d.rep, m.label, m.n_chars from d join g using (k) join v_manifest m using (group_id)) select cast(rep as int) as rep, count(*) as n, round(corr(ra, rb), 6) as rho from (select rep, rank() over (partition by rep order by label) + (count(*) over (partition by rep, label) - 1) / 2 as ra, rank() over (partition by rep order by n_chars) + (count(*) over (partition by rep, n_chars) - 1) / 2 as rb from x) y group by rep")(
-    lambda t: K.group_bootstrap(t("v_manifest"), "group_id", "label", "n_chars", 10)
-)
+
+
+def walked(keep: str, key: str) -> str:
+    """Recursive table w: the place x of 0..n-1 to which each row (keep, i, n) of `ranks` goes under each perm of `perms`, by the rounds of shuffled_place."""
+    def once(source):
+        step = f"select {keep}, perm, i, n, a, x // a as l0, x % a as r0 from {source}"
+        for j in range(4):
+            turn = HASH.format(f"'42|' || perm {key} || '|{j}|' || r{j}")
+            step = f"select {keep}, perm, i, n, a, r{j} as l{j + 1}, (l{j} + {turn}) % a as r{j + 1} from ({step}) s{j}"
+        return f"select {keep}, perm, i, n, a, a * l4 + r4 as x from ({step}) e"
+
+    first = f"(select {keep}, perm, i, n, cast(greatest(ceil(sqrt(n)), 1) as bigint) as a, i as x from ranks cross join perms) first"
+    return f"w as ({once(first)} union all {once('(select * from w where x >= n) more')})"
+
+
+ROW_HASH = HASH.format("'42|' || sequence_id")
+query(
+    "label_perm_within",
+    f"""with recursive perms as (select cast(unnest(range(1, 401)) as int) as perm),
+ranks as (
+  select sequence_id as id, block_id, label, row_number() over (partition by block_id order by {ROW_HASH}, sequence_id) - 1 as i, count(*) over (partition by block_id) as n from v_manifest),
+{walked("id, block_id", "|| '|' || block_id")}
+select w.perm, w.id, r.label as permuted from w join ranks r on r.block_id = w.block_id and r.i = w.x where w.x < w.n""",
+)(lambda t: K.label_perm(t("v_manifest"), "sequence_id", "label", "block_id", 400))
+GROUP_RANK = f"(select group_id, row_number() over (order by {GROUP_HASH}, group_id) - 1 as k, count(*) over () as n from (select distinct group_id from v_manifest) z)"
+query(
+    "group_bootstrap",
+    f"""with g as {GROUP_RANK},
+d as (select r.rep, {HASH.format("'42|' || r.rep || '|' || j.j")} % (select max(n) from g) as k from (select unnest(range(0, 2000)) as rep) r cross join (select k as j from g) j),
+x as (select d.rep, m.label, m.n_chars from d join g using (k) join v_manifest m using (group_id)),
+y as (select rep, rank() over (partition by rep order by label) + (count(*) over (partition by rep, label) - 1) / 2 as ra,
+  rank() over (partition by rep order by n_chars) + (count(*) over (partition by rep, n_chars) - 1) / 2 as rb from x)
+select cast(rep as int) as rep, count(*) as n, case when count(*) >= 10 and var_pop(ra) * var_pop(rb) > 0 then round(covar_pop(ra, rb) / sqrt(var_pop(ra) * var_pop(rb)), 6) end as rho from y group by rep""",
+)(lambda t: K.group_bootstrap(t("v_manifest"), "group_id", "label", "n_chars", 2000))
