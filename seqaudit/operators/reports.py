@@ -15,6 +15,7 @@ from ..functions.keyed import draw
 from . import controls, intervals, panels, statistics
 from .probes import ALPHAS, _square, fitted, moment_table, moments, oof_ridge, pick_alpha, probe_gap, scored
 from .rows import finite_rows
+from .splits import hash_rank, kfold_random
 
 
 def locked_alpha(df: DataFrame, features: str, y: str, group: str, k: int = 5, alphas=ALPHAS) -> float:
@@ -75,8 +76,8 @@ def logo_influence(df: DataFrame, id_col: str, features: str, y: str, group: str
     """(group, n_test, status, rho_within, score_without, delta) with every group held out in turn.
 
     A line is fitted for each group on the executors, from all moments less the group's own, and joined to the group's rows.
-    score_without is the score of all held-out predictions less the group's own, delta its difference from the score with it; it comes from
-    sums by group that are taken off those over all rows (`_score_without`). Null where a side is constant.
+    score_without is the score of all held-out predictions less the group's own (`_score_without`), delta its difference from the score with it.
+    Null where a side is constant.
     """
     kept = finite_rows(df, y, features).select(F.col(id_col).alias("id"), F.col(features).alias("features"), F.col(y).cast("double").alias("y"), F.col(group).alias("grp")).where("grp is not null")
     alpha = locked_alpha(kept, "features", "y", "grp") if alpha is None else alpha
@@ -104,8 +105,8 @@ def _score_without(pred: DataFrame, binary: bool) -> DataFrame:
     """(grp, score_without, full) of rows (grp, y, pred): the score of the rows of the other groups, and of all.
 
     AUROC of a binary label: of all pairs of a positive and a negative, those that touch the group are taken off by its sums against
-    all rows and within itself. Else the correlation of ranks, taken once among all rows: the group's sums are taken off. So rows
-    are never repeated for the groups left out.
+    all rows and within itself, so rows are never repeated. The rank correlation of another label has no such sums, as leaving a group
+    out moves the ranks of the others: each row comes once for each other group there, rows times groups.
     """
     if binary:
         p, n = (F.sum((F.col("y") == v).cast("double")) for v in (1, 0))
@@ -120,20 +121,12 @@ def _score_without(pred: DataFrame, binary: bool) -> DataFrame:
         rest = F.col("U") - F.col("x") - (F.col("gn") * F.col("P") - F.col("z")) + F.col("w")
         score = F.try_divide(rest, (F.col("P") - F.col("gp")) * (F.col("N") - F.col("gn")))
         return sums.join(F.broadcast(total), F.lit(True)).select("grp", score.alias("score_without"), F.try_divide(F.col("U"), F.col("P") * F.col("N")).alias("full"))
-    ranked = statistics.average_rank(statistics.average_rank(pred, "y", [], "a"), "pred", [], "b")
-    middle = F.broadcast(ranked.agg(((F.count("*") + 1) / 2).alias("c")))
-    own = ranked.join(middle, F.lit(True)).select("grp", (F.col("a") - F.col("c")).alias("a"), (F.col("b") - F.col("c")).alias("b"))  # about the mean, so that sums stay small
-    parts = {"n": F.count("*").cast("double"), "a": F.sum("a"), "b": F.sum("b"), "ab": F.sum(F.col("a") * F.col("b")), "aa": F.sum(F.col("a") * F.col("a")), "bb": F.sum(F.col("b") * F.col("b"))}
-    sums = own.groupBy("grp").agg(*[v.alias(k) for k, v in parts.items()])
-    total = sums.agg(*[F.sum(k).alias(f"_{k}") for k in parts])
-
-    def rho(c):
-        cov, va, vb = c("ab") - c("a") * c("b") / c("n"), c("aa") - c("a") * c("a") / c("n"), c("bb") - c("b") * c("b") / c("n")
-        tiny = F.lit(1e-9) * F.greatest(c("n"), F.lit(1.0))
-        return F.when((c("n") >= 10) & (va > tiny) & (vb > tiny), cov / F.sqrt(va * vb))
-
-    met = sums.join(F.broadcast(total), F.lit(True)).withColumns({f"r_{k}": F.col(f"_{k}") - F.col(k) for k in parts}).withColumn("r_n", F.when(F.col("r_n") > 0, F.col("r_n")))
-    return met.select("grp", rho(lambda k: F.col(f"r_{k}")).alias("score_without"), rho(lambda k: F.col(f"_{k}")).alias("full"))
+    groups = hash_rank(pred.select("grp").distinct(), "grp", 42, "code")
+    n = groups.count()
+    others = pred.join(groups, "grp").select("y", "pred", "code", F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1))).alias("out")).where("out <> code")
+    rho = statistics.spearman(others, "y", "pred", ["out"]).select(F.col("out").alias("code"), F.col("rho").alias("score_without"))
+    full = statistics.spearman(pred, "y", "pred", []).select(F.col("rho").alias("full"))
+    return groups.join(rho, "code", "left").join(F.broadcast(full), F.lit(True)).select("grp", "score_without", "full")
 
 
 def audit_report(df: DataFrame, id_col: str, label: str, group: str, block: str, features: str | None = None, other: DataFrame | None = None, k: int = 5, seed: int = 42) -> DataFrame:
@@ -142,8 +135,6 @@ def audit_report(df: DataFrame, id_col: str, label: str, group: str, block: str,
     if other is not None:
         out = out.join(statistics.overlap_audit(df, other, id_col, block), F.lit(True))
     if features:
-        from .splits import kfold_random
-
         dealt = kfold_random(df, id_col, k, seed).withColumnRenamed("fold", "_random").withColumn("_blocked", group_fold(block, k, seed))
         out = out.join(probe_gap(dealt, id_col, features, label, "_random", "_blocked"), F.lit(True), "left")
     n = F.col("n_groups")
@@ -207,7 +198,8 @@ def locus_set_null(track: DataFrame, loci: DataFrame, b_outer: int, b_inner: int
     move = F.when(F.col("inner") == 0, 0).otherwise(draw(seed, F.lit("shift"), F.col("outer"), F.col("inner"), F.col(key)) % F.col("n"))
     placed = inner.select(key, "len", "n", "outer", "inner", ((F.col("start") + move) % F.col("n")).alias("a"))
     counted = placed.groupBy(key, "len", "n", "outer", "a").agg(F.count_if(F.col("inner") > 0).alias("times"), F.count_if(F.col("inner") == 0).alias("own"))
-    mass = intervals.circular_mass(track, counted.select(key, "a", "len", "n").distinct(), key).select(key, "a", F.round("mass", 6).alias("mass"))
+    spots = counted.where("times + own > 0").select(key, "a", "len", "n").distinct()  # true of all: both sides keep the same columns, so the draws are shuffled once
+    mass = intervals.circular_mass(track, spots, key).select(key, "a", F.round("mass", 6).alias("mass"))
     met = counted.join(mass, [key, "a"])
     mean = F.sum(F.col("times") * F.col("mass")) / b_inner
     square = F.sum(F.col("times") * F.col("mass") * F.col("mass")) / b_inner
