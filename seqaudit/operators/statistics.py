@@ -51,11 +51,13 @@ def run_up(sums: DataFrame, by: list[str], value: str, cols: list[str], cut_over
 
     Sums run within one task for a key of up to cut_over values. The values of a larger one are cut in ranges by approximate quantiles; the
     sums run within a range, and the totals of the ranges before are added. So one key may hold most of the rows, or there may be no key.
-    Values that are no numbers are not cut. A null key is a key.
+    Values that are no numbers are not cut. A null key is a key. Whether a key is that large is asked first, by a job that counts values, as
+    the plan with ranges reads the sums several times.
     """
     totals = [F.sum(c).alias(f"{c}_under") for c in cols]
-    if dict(sums.dtypes)[value] in ("string", "binary", "boolean"):
-        marked, starts = sums.withColumn("_b", F.lit(0)).withColumns({f"{c}_before": F.lit(0) for c in cols}), None
+    plain = dict(sums.dtypes)[value] in ("string", "binary", "boolean")
+    if plain or sums.groupBy(*by).agg(F.count("*").alias("_many")).where(F.col("_many") > cut_over).isEmpty():
+        marked = sums.withColumn("_b", F.lit(0)).withColumns({f"{c}_before": F.lit(0) for c in cols})
     else:
         points = [i / ranges for i in range(1, ranges)]
         cuts = sums.groupBy(*by).agg(F.count("*").alias("_many"), F.percentile_approx(value, points, 10_000).alias("_cuts")).where(F.col("_many") > cut_over).drop("_many")
@@ -71,15 +73,18 @@ def run_up(sums: DataFrame, by: list[str], value: str, cols: list[str], cut_over
 
 def average_rank(df: DataFrame, value: str, by: list[str], out: str) -> DataFrame:
     """Mid-ranks: values counted, counts run up, joined back; so a value's ties are one row. Rows with a null value or key go."""
+    return df.join(_ranks(df, value, by, out), [*by, value])
+
+
+def _ranks(df: DataFrame, value: str, by: list[str], out: str) -> DataFrame:
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
-    ranks = run_up(counts, by, value, ["_c"])
-    return df.join(ranks.select(*by, value, (F.col("_c_under") + (F.col("_c") + 1) / 2).alias(out)), [*by, value])
+    return run_up(counts, by, value, ["_c"]).select(*by, value, (F.col("_c_under") + (F.col("_c") + 1) / 2).alias(out))
 
 
 def spearman(df: DataFrame, a: str, b: str, by: list[str], min_n: int = 10) -> DataFrame:
     """Rank correlation of pairs that are complete; null under min_n pairs and where a side is constant."""
-    both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    ranked = average_rank(average_rank(both, a, by, "_ra"), b, by, "_rb")
+    both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*by, F.col(a).alias("_a"), F.col(b).alias("_b2"))
+    ranked = both.join(_ranks(both, "_a", by, "_ra"), [*by, "_a"]).join(_ranks(both, "_b2", by, "_rb"), [*by, "_b2"])
     return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.when(F.count("*") >= min_n, correlation("_ra", "_rb")).alias("rho"))
 
 
