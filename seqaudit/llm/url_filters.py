@@ -73,8 +73,7 @@ def judge(pages: DataFrame, model, rules=RULES, threshold: float = 0.5, url_col:
     """The columns in keep, host, path, rule, verdict and p_block for every row.
 
     The longest fitting rule decides; elsewhere the model blocks from the threshold on, and without a model all is allowed. A url that is
-    null or has no `://` has an empty host and path, no rule, and is allowed (p_block 0), as there is
-    nothing to judge. Repeated rows each give a row; an empty table gives an empty result; other
+    null or has no `://` has an empty host and path and no rule; the model judges it by what it gives a url without n-grams. Repeated rows each give a row; an empty table gives an empty result; other
     columns are not read, so clashing names do no harm.
     """
     rows = pages.select(F.struct(*keep).alias("own"), host(F.col(url_col)).alias("host"), path(F.col(url_col)).alias("path"))
@@ -82,7 +81,7 @@ def judge(pages: DataFrame, model, rules=RULES, threshold: float = 0.5, url_col:
     if model is not None:
         hashed, fitted = model
         scored = fitted.transform(hashed.transform(rows.withColumn("grams", grams(F.col("host"), F.col("path")))))
-        p = F.when((F.col("host") == "") & (F.col("path") == ""), 0.0).otherwise(vector_to_array("probability")[1])
+        p = vector_to_array("probability")[1]
     name, verdict = rule_of(rules)
     scored = scored.select("own", "host", "path", name.alias("rule"), verdict.alias("said"), p.alias("p_block"))
     said = F.coalesce("said", F.when(F.col("p_block") >= threshold, "block").otherwise("allow"))
