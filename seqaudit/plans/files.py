@@ -87,10 +87,10 @@ def _nulls(spark, path, t):
     return spark.read.parquet(f"{path}/nulls").groupBy("cls").agg(F.count("*").alias("n"), F.sum(F.col("s1") - F.col("s0")).cast("bigint").alias("total"))
 
 
-@query("hash_manifest", """with f as (select cast(p_size as varchar) as name, string_agg(cast(p_partkey as varchar), chr(10) order by p_partkey) || chr(10) as content from part where p_size <= 6 group by 1)
+@query("hash_manifest", """with f as (select cast(p_size as varchar) as name, string_agg(cast(p_partkey as varchar), chr(10) order by p_partkey) || chr(10) as content from part group by 1)
 select name || '.txt' as name, case when name = '3' then 'changed' when name = '5' then 'extra' else 'ok' end as status, sha256(content) as found_sha256, cast(length(content) as bigint) as found_bytes from f union all select 'none.txt', 'missing', null, null""")
 def _hashes(spark, path, t):
-    own = t("part").where("p_size <= 6").select("p_size", F.col("p_partkey").cast("string").alias("line"))
+    own = t("part").select("p_size", F.col("p_partkey").cast("string").alias("line"))
     files.write_lines_by_key(own, f"{path}/hashed", "p_size", "txt")
     content = F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.col("line").cast("bigint"))), lambda x: x.cast("string")), "\n"), F.lit("\n"))
     locked = own.groupBy("p_size").agg(content.alias("c")).where("p_size <> 5").select(F.concat("p_size", F.lit(".txt")).alias("name"), F.when(F.col("p_size") == 3, "0").otherwise(F.sha2("c", 256)).alias("sha256"), F.length("c").cast("bigint").alias("bytes"))
