@@ -30,19 +30,24 @@ def fisher_or(tables: DataFrame, key: str) -> DataFrame:
     return Hypergeometric(own, a + b + c + d, a + b, a + c).no_likelier(a, "fisher_p").select(key, "a", "b", "c", "d", "fisher_p")
 
 
-def bh_fdr(df: DataFrame, p: str, key: str) -> DataFrame:
+def bh_fdr(df: DataFrame, p: str, key: str, cut_over: int = 100_000) -> DataFrame:
     """Benjamini-Hochberg q of the p-values; key breaks ties. Null p-values do not count and get a null q.
 
-    Equal p-values are one row, whose last rank decides; ranks and the least p * n / rank of higher values run up by
-    ranges of p (`run_up`), so no task orders all of them.
+    Equal p-values are one row, whose last rank decides. One task orders up to cut_over distinct values, which are counted first; of more, ranks
+    and the least p * n / rank of higher values run up by ranges of p (`run_up`), so no task orders all of them.
     """
-    counts = df.where(F.col(p).isNotNull()).groupBy(p).agg(F.count("*").alias("_c"))
-    ranked = run_up(counts, [], p, ["_c"]).withColumn("_rank", F.col("_c_under") + F.col("_c"))
-    n = F.broadcast(counts.agg(F.sum("_c").alias("_n")))
-    own = ranked.join(n, F.lit(True)).select(F.col(p).alias("_p"), "_b", (F.col(p) * F.col("_n") / F.col("_rank")).alias("_x"))
-    after = own.groupBy("_b").agg(F.min("_x").alias("_m")).withColumn("_later", F.min("_m").over(Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)))
-    least = F.least(F.min("_x").over(Window.partitionBy("_b").orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, 0)), "_later", F.lit(1.0))
-    q = own.join(F.broadcast(after.select("_b", "_later")), "_b").select("_p", least.alias("q"))
+    counts = df.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_c"))
+    down = lambda *by: Window.partitionBy(*by).orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, 0)
+    if counts.limit(cut_over + 1).count() <= cut_over:
+        rank = F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0))
+        q = counts.withColumn("_x", F.col("_p") * F.sum("_c").over(Window.partitionBy()) / rank).select("_p", F.least(F.min("_x").over(down()), F.lit(1.0)).alias("q"))
+    else:
+        ranked = run_up(counts, [], "_p", ["_c"], cut_over).withColumn("_rank", F.col("_c_under") + F.col("_c"))
+        n = F.broadcast(counts.agg(F.sum("_c").alias("_n")))
+        own = ranked.join(n, F.lit(True)).select("_p", "_b", (F.col("_p") * F.col("_n") / F.col("_rank")).alias("_x"))
+        after = own.groupBy("_b").agg(F.min("_x").alias("_m")).withColumn("_later", F.min("_m").over(Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)))
+        least = F.least(F.min("_x").over(down("_b")), "_later", F.lit(1.0))
+        q = own.join(F.broadcast(after.select("_b", "_later")), "_b").select("_p", least.alias("q"))
     return df.join(q, F.col(p) == F.col("_p"), "left").drop("_p")
 
 

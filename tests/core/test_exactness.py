@@ -98,6 +98,9 @@ def test_sums_run_up_by_ranges(spark):
     assert statistics.average_precision(df, "y", "s", [], "w").first()["avg_precision"] == pytest.approx(want)
     p = spark.createDataFrame([(i, float(x)) for i, x in enumerate([0.01, 0.04, 0.04, 0.03, 0.9, 0.5])] + [(9, None)], "k int, p double")
     assert [r["q"] for r in statistics.bh_fdr(p, "p", "k").orderBy("k").collect()] == pytest.approx([0.06, 0.06, 0.06, 0.06, 0.9, 0.6, None])
+    many = spark.createDataFrame([(i, rng.random() ** 2) for i in range(400)], "k int, p double")
+    one, cut = ([r["q"] for r in statistics.bh_fdr(many, "p", "k", cut_over=n).orderBy("k").collect()] for n in (1000, 50))
+    assert one == pytest.approx(cut)
 
 
 def test_places_are_shuffled_one_to_one(spark):
