@@ -298,14 +298,15 @@ def _may(percent: int):
     return F.greatest(unlike, F.abs(F.col("size_a") - F.col("size_b"))) * (100 + percent) <= (F.col("size_a") + F.col("size_b")) * (100 - percent)
 
 
-def classes(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 200_000) -> DataFrame:
+def classes(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 200_000, turns: int = 4) -> DataFrame:
     """(id_col, n_shingles, component_id) for every row of docs.
 
     Documents link when the intersection of their shingle sets is percent or more of the union;
     component_id is the least id reachable. id_col must be an integer. Copies of a set link without
     comparison, and one stands for all. Then each document is compared with the document it shares most segments with, then with
-    the other least documents of its segments unless already connected; lastly, where such pairs
-    stay in two components, with every document of the other that shares a segment. So only comparisons whose
+    the other least documents of its segments unless already connected. Where such pairs
+    stay in two components, up to `turns` times with one document by hash of each segment's blocks, and lastly, whatever these
+    turns have left apart, with every document of another component that shares a segment. So only comparisons whose
     outcome cannot change a component are left out. Texts that are null or without words have an empty set and link with
     nothing; rows that repeat an id count as one document with links of each; a null id links with
     nothing; an empty table gives an empty result; other columns are not read.
@@ -341,7 +342,14 @@ def classes(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_i
         left = scratch.written(_apart(open_.select("a", "b"), node).select("a", "b").join(best, ["a", "b"], "left_anti"), "pairs")
         node = _grown(node, scratch.written(verified(left, sets, percent, broadcast_rows=broadcast_rows), "links"), scratch)
         # the first documents of a segment stay apart where neither links: their other documents may link all the same
-        more = scratch.written(_more(_apart(pairs.select("a", "b"), node), node, met, sets, percent, scratch).join(best.unionByName(left), ["a", "b"], "left_anti"), "pairs")
+        tried = best.unionByName(left)
+        for turn in range(turns):
+            few = scratch.written(_centres(_open(_apart(pairs.select("a", "b"), node), node, met, sets, scratch), turn, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
+            found = scratch.written(verified(few, sets, percent, broadcast_rows=broadcast_rows), "links")
+            node, tried = _grown(node, found, scratch), tried.unionByName(few)
+            if found.isEmpty():
+                break
+        more = scratch.written(_more(_open(_apart(pairs.select("a", "b"), node), node, met, sets, scratch), percent).join(tried, ["a", "b"], "left_anti"), "pairs")
         node = _grown(node, scratch.written(verified(more, sets, percent, broadcast_rows=broadcast_rows), "links"), scratch)
         found = sizes.join(node.withColumnRenamed("node", "id"), "id", "left")
         return written(found.select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").cast(kind).alias("component_id")), "classes")
@@ -360,16 +368,37 @@ def _apart(pairs: DataFrame, node: DataFrame) -> DataFrame:
     return got.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb")
 
 
-def _more(failed: DataFrame, node: DataFrame, met: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Pairs across components that pairs left apart keep open, that keep a segment in common and may link (see likely)."""
+def _open(failed: DataFrame, node: DataFrame, met: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """(sig, id, component, size, bits, before): kept segments that documents of several of the components have that failed pairs keep apart."""
     open_ = scratch.written(failed.select(F.explode(F.array("ca", "cb")).alias("component")).distinct(), "open")
     ids = node.join(open_, "component", "left_semi").select(F.col("node").alias("id"), "component")
     ids = ids.unionByName(open_.select(F.col("component").alias("id"), "component")).distinct()
-    # a segment says nothing new of two documents that hold the one before it, in order, in common too
     ordered = let(F.sort_array("sigs"), lambda own: F.transform(own, lambda x, i: F.struct(x.alias("sig"), F.get(own, i - 1).alias("before"))))
     own = met.join(ids, "id").join(sets.select("id", "size", "bits"), "id").select("id", "component", "size", "bits", F.inline(ordered))
-    mixed = own.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("sig")
-    own = scratch.written(own.join(mixed, "sig"), "open")
+    sigs = own.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("sig", "n")
+    return scratch.written(own.join(sigs, "sig"), "open")
+
+
+def _centres(own: DataFrame, turn: int, percent: int, block: int = 64) -> DataFrame:
+    """Pairs across components that may link (see likely), one for a document and segment at most: with the centre of its block.
+
+    The documents of a segment are dealt by hash into blocks of about `block`, anew each turn; the least hash of a block is its centre. So a group of
+    documents that link with most of the others grows together from rows in proportion to its postings, and no block is hot.
+    """
+    draw = F.xxhash64("id", F.lit(turn), F.lit("centre"))
+    dealt = own.select("sig", "id", "component", "size", "bits", draw.alias("h"), F.pmod(F.xxhash64("id", F.lit(turn), F.lit("block")), F.ceil(F.col("n") / block)).alias("block"))
+    centre = dealt.groupBy("sig", "block").agg(F.min_by(F.struct("id", "component", "size", "bits"), "h").alias("c"))
+    centre = centre.select("sig", "block", *[F.col(f"c.{c}").alias(f"{c}_a") for c in ("id", "component", "size", "bits")])
+    rows = dealt.select("sig", "block", *[F.col(c).alias(f"{c}_b") for c in ("id", "component", "size", "bits")])
+    met = rows.join(centre, ["sig", "block"]).where((F.col("component_a") != F.col("component_b")) & _may(percent))
+    return met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+
+
+def _more(own: DataFrame, percent: int) -> DataFrame:
+    """Pairs across components that keep a segment in common and may link (see likely); own comes from _open.
+
+    A segment says nothing new of two documents that hold the one before it, in order, in common too.
+    """
     x, y = (own.select("sig", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "component", "size", "bits", "before")]) for side in "ab")
     new = ~F.coalesce(F.col("before_a") == F.col("before_b"), F.lit(False))
     near = x.join(y, "sig").where((F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & new & _may(percent))
