@@ -23,7 +23,7 @@ _ANY = re.compile(rb"passw|secret|token|api_?key", re.IGNORECASE)
 
 #: Characters seen by the network: LEFT before a place in the candidate, then as far as WIDTH reaches.
 #: Places follow each other by STEP until LEFT characters after the candidate are seen too.
-LEFT, WIDTH, TAPS, FILTERS, DIM, STEP = 24, 88, 5, 12, 8, 24
+LEFT, WIDTH, TAPS, FILTERS, DIM, STEP = 24, 88, 5, 20, 8, 24
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -54,31 +54,77 @@ FORMATS = [
     ("eyJ", _ALNUM + "-_.", 90), ("npm_", _ALNUM, 36), ("pypi-", _ALNUM + "-_", 80), ("dop_v1_", "0123456789abcdef", 64), ("hf_", _ALNUM, 34),
     ("ASIA", _UPPER + _DIGITS, 16), ("", _ALNUM + "+/", 40), ("", _ALNUM, 32), ("", "0123456789ABCDEF", 40), ("", _ALNUM, 20), ("", _ALNUM, 12),
 ]
-#: Where findings of the labelled table stand, and what else stands there.
-SECRET_PLACES = ["Authorization: Bearer {}", "export AUTH={}", "https://admin:{}@db.example.com/main", '"auth": "{}",', "credentials {} until May", "key {}", "login bob / {}", "use {} to sign in", "{}", "<value>{}</value>", "set KEY '{}'"]
-PLAIN_PLACES = ["see {} for more", "the file {} was moved", "{}", "in {} and elsewhere", "<a>{}</a>", "version {} of", "from {}, then", '"name": "{}",']
-
-
-def labelled(n: int, seed: int) -> list[tuple[str, int, int, int]]:
-    """(text, start, end, label): a table of labelled findings, made by rule: n credentials in published formats and n ordinary long runs."""
+#: Where findings of the labelled table stand, and what else stands there. A random run without a format of its own is a secret only in the first.
+SECRET_PLACES = ["Authorization: Bearer {}", "export AUTH={}", "https://admin:{}@db.example.com/main", '"auth": "{}",', "credentials {} until May", "key {}", "login bob / {}", "use {} to sign in", "<value>{}</value>", "set KEY '{}'", "private key: {}", "signing key {}", "PWD={}", "X-Auth: {}", "client_key={}&"]
+PLAIN_PLACES = ["see {} for more", "the file {} was moved", "{}", "in {} and elsewhere", "<a>{}</a>", "version {} of", "from {}, then", '"name": "{}",', "({})", "call {}() first", "http://{}", "item {} is sold", "by {}:", "> {}"]
+
+
+def word(rng: random.Random, most: int = 4) -> str:
+    """A word that can be spoken, of up to `most` syllables."""
+    heads, ends = ["", *"bcdfghjklmnprstvwz", "ch", "st", "tr", "pl", "sh", "br"], ["", "", "", *"nrstlmdk", "ng", "nt", "st", "ck"]
+    return "".join(rng.choice(heads) + rng.choice("aeiouaeiouy") + rng.choice(ends) for _ in range(rng.randrange(1, most + 1)))
+
+
+def run_of(rng: random.Random, symbols: str, low: int, high: int | None = None) -> str:
+    return "".join(rng.choice(symbols) for _ in range(rng.randint(low, high or low)))
+
+
+#: Kinds of ordinary runs: each is made from a random source alone.
+PLAIN = [
+    lambda r: "/".join(word(r) for _ in range(r.randrange(2, 6))) + r.choice([".html", ".py", ".jpg", ""]),
+    lambda r: f"www.{word(r)}{word(r)}.example.com/{word(r)}/{run_of(r, _DIGITS, 4)}",
+    lambda r: f"{r.randrange(1, 9)}.{r.randrange(30)}.{r.randrange(30)}-{r.choice(['rc', 'beta', 'alpha'])}.{r.randrange(9)}",
+    lambda r: f"20{run_of(r, _DIGITS, 2)}-0{r.randrange(1, 10)}-1{r.randrange(10)}T1{r.randrange(10)}.{run_of(r, _DIGITS, 2)}.{run_of(r, _DIGITS, 2)}",
+    lambda r: f"{r.choice(['IMG', 'VID', 'SCAN', 'PXL', 'P'])}_20{run_of(r, _DIGITS, 6)}_{run_of(r, _DIGITS, 6)}.{r.choice(['jpg', 'png', 'mp4'])}",
+    lambda r: "-".join(word(r) for _ in range(r.randrange(2, 7))) + r.choice(["", "-" + run_of(r, _DIGITS, 1, 4)]),
+    lambda r: "_".join(word(r) for _ in range(r.randrange(2, 6))) + r.choice(["", run_of(r, _DIGITS, 1, 2)]),
+    lambda r: f"978-{run_of(r, _DIGITS, 1)}-{run_of(r, _DIGITS, 2)}-{run_of(r, _DIGITS, 6)}-{run_of(r, _DIGITS, 1)}",
+    lambda r: run_of(r, _DIGITS, 16, 22),
+    lambda r: f"10.{run_of(r, _DIGITS, 4)}/{word(r)}.{run_of(r, _DIGITS, 4)}",
+    lambda r: "".join(word(r) for _ in range(r.randrange(3, 9))).capitalize(),
+    lambda r: f"{word(r)}.{run_of(r, _DIGITS, 2)}.mail{run_of(r, _DIGITS, 1)}.example.com",
+    lambda r: f"{word(r)}{word(r)}{run_of(r, _DIGITS, 1, 4)}",
+    lambda r: f"{word(r).upper()}-{run_of(r, _DIGITS, 1, 5)}",
+    lambda r: run_of(r, r.choice("=-_."), 1) * r.randrange(16, 60),
+    lambda r: word(r) + "".join(word(r).capitalize() for _ in range(r.randrange(1, 5))) + run_of(r, _DIGITS, 1, 2),
+    lambda r: "".join(word(r).capitalize() for _ in range(r.randrange(2, 6))) + r.choice(["", run_of(r, _DIGITS, 1, 2), "." + word(r, 1)]),
+    lambda r: "-".join([word(r, 2).upper()[:4], run_of(r, _DIGITS, 3, 6), r.choice(["S", "M", "XL", "A4"]), word(r, 2).upper()]),
+    lambda r: run_of(r, _UPPER, 2) + run_of(r, _DIGITS, 14, 20),
+    lambda r: f"{word(r).upper()}-{run_of(r, _DIGITS, 2)}{word(r)}{run_of(r, _DIGITS, 2, 4)}",
+    lambda r: f"{word(r).capitalize()}.org/{word(r, 2)}/" + "_".join(word(r).capitalize() for _ in range(r.randrange(2, 7))) + r.choice(["", "_" + run_of(r, _DIGITS, 4)]),
+    lambda r: run_of(r, "0123456789abcdef", 7, 16),
+    lambda r: f"{r.choice('vtp')}={run_of(r, _ALNUM + '-_', 11)}",
+    lambda r: "-".join(run_of(r, "0123456789abcdef", n) for n in (8, 4, 4, 4, 12)),
+    lambda r: "".join(r.choice(_UPPER) + r.choice(_DIGITS) for _ in range(r.randrange(4, 7))),
+    lambda r: f"{word(r, 2)}{run_of(r, _DIGITS, 1, 2)}{word(r, 1)}" + "".join("_" + word(r, 2) for _ in range(r.randrange(1, 4))),
+    lambda r: word(r).upper() + "_" + word(r).upper() + run_of(r, _DIGITS, 1, 4) + r.choice(["", "." + word(r, 1)]),
+    lambda r: "+".join(word(r) for _ in range(r.randrange(2, 5))) + "=" + run_of(r, _DIGITS, 1, 4),
+    lambda r: f"{run_of(r, _DIGITS, 1, 3)}{word(r)}{word(r, 2)}.{word(r, 2)}",
+    lambda r: "1Z" + run_of(r, _UPPER + _DIGITS, 4) + run_of(r, _DIGITS, 10),
+]
+PARTS = 5
+
+
+def parts_but(*left: int) -> tuple[int, ...]:
+    return tuple(i for i in range(PARTS) if i not in left)
+
+
+def labelled(n: int, seed: int, parts: tuple[int, ...] = tuple(range(PARTS))) -> list[tuple[str, int, int, int]]:
+    """(text, start, end, label): a table of labelled findings, made by rule: n credentials in published formats and n ordinary runs.
+
+    Formats and ordinary kinds are dealt over PARTS parts; only those of the given parts occur, so that kinds can be held out.
+    """
     rng = random.Random(seed)
-    word = lambda: "".join(rng.choice(["ba", "ter", "lo", "min", "sur", "en", "tra", "vel", "co", "pen", "ing", "st"]) for _ in range(rng.randrange(1, 5)))
-    digits = lambda k: "".join(rng.choice(_DIGITS) for _ in range(k))
-    plain = [
-        lambda: "/".join(word() for _ in range(rng.randrange(3, 6))) + rng.choice([".html", ".py", ".jpg", ""]), lambda: f"www.{word()}{word()}.example.com/{word()}/{digits(4)}",
-        lambda: f"{rng.randrange(1, 9)}.{rng.randrange(30)}.{rng.randrange(30)}-{rng.choice(['rc', 'beta', 'alpha'])}.{rng.randrange(9)}", lambda: f"20{digits(2)}-0{rng.randrange(1, 10)}-1{rng.randrange(10)}T1{rng.randrange(10)}.{digits(2)}.{digits(2)}",
-        lambda: f"IMG_20{digits(6)}_{digits(6)}.jpg", lambda: "-".join(word() for _ in range(rng.randrange(3, 7))), lambda: "_".join(word() for _ in range(rng.randrange(3, 6))) + rng.choice(["", digits(1)]),
-        lambda: f"978-{digits(1)}-{digits(2)}-{digits(6)}-{digits(1)}", lambda: digits(rng.randrange(16, 22)), lambda: f"10.{digits(4)}/{word()}.{digits(4)}", lambda: word() + word() + word() + word() + word(),
-        lambda: f"{word()}.{digits(2)}.mail{digits(1)}.example.com", lambda: f"{word()}{word()}{digits(2)}", lambda: f"{word().upper()}-{digits(4)}", lambda: "=" * rng.randrange(16, 60), lambda: "-" * rng.randrange(16, 60),
-    ]
+    formats, plain = ([x for i, x in enumerate(kinds) if i % PARTS in parts] for kinds in (FORMATS, PLAIN))
     out = []
     for label in (1, 0):
         for _ in range(n):
-            head, symbols, size = rng.choice(FORMATS)
-            value = head + "".join(rng.choice(symbols) for _ in range(size)) if label else rng.choice(plain)()
-            before, after = rng.choice(SECRET_PLACES if label and rng.random() < 0.5 else PLAIN_PLACES).split("{}")
-            text = " ".join(word() for _ in range(rng.randrange(6))) + " " + before
-            out.append((text + value + after + " " + " ".join(word() for _ in range(rng.randrange(8))), len(text), len(text) + len(value), label))
+            head, symbols, size = rng.choice(formats)
+            value = head + run_of(rng, symbols, size) if label else rng.choice(plain)(rng)
+            told = label and (len(value) <= 20 or rng.random() < 0.5)
+            before, after = rng.choice(SECRET_PLACES if told else PLAIN_PLACES).split("{}")
+            text = " ".join(word(rng) for _ in range(rng.randrange(6))) + " " + before
+            out.append((text + value + after + " " + " ".join(word(rng) for _ in range(rng.randrange(8))), len(text), len(text) + len(value), label))
     return out
 
 
@@ -140,19 +186,23 @@ def _forward(net: dict, x: np.ndarray):
     return patches, h, best, pooled, pooled @ net["out"] + net["out_bias"]
 
 
+def logits(net: dict, x: np.ndarray) -> np.ndarray:
+    return np.concatenate([_forward(net, x[i : i + 256])[4] for i in range(0, len(x), 256)]) if len(x) else np.zeros(0)
+
+
 def probabilities(net: dict, x: np.ndarray) -> np.ndarray:
-    z = np.concatenate([_forward(net, x[i : i + 256])[4] for i in range(0, len(x), 256)]) if len(x) else np.zeros(0)
-    return 1 / (1 + np.exp(-np.clip(net["scale"] * z + net["shift"], -30, 30)))
+    return 1 / (1 + np.exp(-np.clip(net["scale"] * logits(net, x) + net["shift"], -30, 30)))
 
 
-def train(docs: DataFrame, sample_docs: int = 12_000, findings: int = 1500, recall: float = 0.95, epochs: int = 12, seed: int = 7, most: int = 3000, negatives: int = 12, id_col: str = "doc_id", text_col: str = "text") -> dict:
+def train(docs: DataFrame, sample_docs: int = 12_000, findings: int = 4000, recall: float = 0.95, epochs: int = 8, seed: int = 7, most: int = 2000, negatives: int = 6, calibration: int = 0, left_out: tuple[int, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> dict:
     """Fit the network to a table of labelled findings and to those of about sample_docs documents (taken by a hash of the id).
 
     The table (see labelled) has `findings` credentials of kinds that the base patterns miss, and as many ordinary runs. A window of a
     document is labelled 1 if what it shows of its candidate overlaps a base finding; at most `most` such windows and `negatives`
     times as many others are used. Half of them are repeated with the surroundings of a negative, so that shape counts and
-    not the keyword alone. A fifth of all is held back: it scales the outputs (Platt) and sets the threshold, the highest that
-    keeps the wanted recall there.
+    not the keyword alone. Part `calibration` of the table's formats and ordinary kinds, and a fifth of the documents' windows, are not
+    fitted: they scale the outputs (Platt), so that these are probabilities for kinds never seen, and set the threshold, the highest that
+    keeps the wanted recall of the table's findings there. Parts in left_out are used for neither (a test measures on them).
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null and id is not null")
     rate = min(1.0, sample_docs / max(1, rows.count()))
@@ -176,26 +226,24 @@ def train(docs: DataFrame, sample_docs: int = 12_000, findings: int = 1500, reca
     rng = np.random.default_rng(seed)
     read = lambda t: np.frombuffer(b"".join(t["code"].to_pylist()), np.uint8).reshape(-1, WIDTH)
     own, others = read(pos), read(neg)
-    x, y = labelled_windows(labelled(findings, seed))
+    x, y = labelled_windows(labelled(findings, seed, parts_but(calibration, *left_out)))
     if len(own) and len(others):
         bare = own[: (len(own) + 1) // 2].copy()
         bare[:, :LEFT] = others[rng.choice(len(others), len(bare))][:, :LEFT]
         own = np.concatenate((own, bare))
-    x, y = np.concatenate([x, own, others]), np.concatenate([y, np.ones(len(own)), np.zeros(len(others))])
-    order = rng.permutation(len(y))
-    x, y = x[order], y[order]
-    held = np.arange(len(y)) % 5 == 0
-    net = _fit(x[~held], y[~held], epochs, rng)
-    z = np.concatenate([_forward(net, x[held][i : i + 256])[4] for i in range(0, int(held.sum()), 256)])
-    net["scale"], net["shift"] = _platt(z, y[held])
-    p = 1 / (1 + np.exp(-np.clip(net["scale"] * z + net["shift"], -30, 30)))
-    hits = np.sort(p[y[held] == 1])
+    seen, marks = np.concatenate([own, others]), np.concatenate([np.ones(len(own)), np.zeros(len(others))])
+    held = rng.random(len(marks)) < 0.2
+    net = _fit(np.concatenate([x, seen[~held]]), np.concatenate([y, marks[~held]]), epochs, rng)
+    new, found = labelled_windows(labelled(max(200, findings // 4), seed + 1, (calibration,)))
+    x, y = np.concatenate([new, seen[held]]), np.concatenate([found, marks[held]])
+    net["scale"], net["shift"] = _platt(logits(net, x), y)
+    hits = np.sort(probabilities(net, new[found == 1]))
     net["threshold"] = float(hits[int((1 - recall) * len(hits))])
     return net
 
 
-def _fit(x: np.ndarray, y: np.ndarray, epochs: int, rng) -> dict:
-    """Adam on cross-entropy, classes weighted alike."""
+def _fit(x: np.ndarray, y: np.ndarray, epochs: int, rng, decay: float = 0.01) -> dict:
+    """Adam on cross-entropy with weight decay, classes weighted alike."""
     net = {
         "embed": rng.normal(0, 0.3, (2 * SYMBOLS, DIM)), "conv": rng.normal(0, 0.2, (TAPS * DIM, FILTERS)), "conv_bias": np.zeros(FILTERS),
         "out": rng.normal(0, 0.2, 2 * FILTERS), "out_bias": np.zeros(1),
@@ -228,7 +276,7 @@ def _fit(x: np.ndarray, y: np.ndarray, epochs: int, rng) -> dict:
                 m, v = moment[k]
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
-                net[k] = net[k] - 0.01 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+                net[k] = net[k] - 0.01 * ((m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8) + decay * net[k])
     return net | {"scale": 1.0, "shift": 0.0, "threshold": 0.5}
 
 
@@ -237,10 +285,21 @@ def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     up, down = y.sum(), len(y) - y.sum()
     t = np.where(y == 1, (up + 1) / (up + 2), 1 / (down + 2))
     a = np.stack([z, np.ones_like(z)], 1)
+
+    def loss(w):
+        v = a @ w
+        return np.sum(np.logaddexp(0, v) - t * v) + 5e-4 * np.sum((w - [1, 0]) ** 2)
+
     w = np.array([1.0, 0.0])
-    for _ in range(50):
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        w = w - np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + 1e-3 * np.eye(2), a.T @ (p - t) + 1e-3 * (w - [1, 0]))
+        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + 1e-3 * np.eye(2), a.T @ (p - t) + 1e-3 * (w - [1, 0]))
+        size = 1.0  # halved until the loss falls: full Newton steps run off where outputs are far apart
+        while size > 1e-6 and loss(w - size * step) > loss(w):
+            size /= 2
+        w = w - size * step
+        if np.abs(size * step).max() < 1e-9:
+            break
     return float(max(w[0], 1e-3)), float(w[1])
 
 
