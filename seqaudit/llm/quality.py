@@ -68,16 +68,28 @@ def measured(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", so
     )
 
 
-def _moments(rows: DataFrame) -> DataFrame:
-    """Means, and the precision matrix and log-determinant of the covariance with floored spreads, by group.
+def _pairs() -> list[tuple[int, int]]:
+    return [(i, j) for i in range(len(DIMS)) for j in range(i + 1)]
+
+
+def _covariances(rows: DataFrame) -> DataFrame:
+    """Rows (n), means (m) and covariances (c) by group and start; a variance under the floor of its statistic is raised to it.
 
     The floor (a regularised determinant) keeps the matrix regular where a statistic is constant in
-    most of a group. The inverse is written out by elimination on the small group table.
+    most of a group; groups with ample spread are left as they are.
     """
-    names, n = list(DIMS), len(DIMS)
-    pairs = [(i, j) for i in range(n) for j in range(i + 1)]
-    got = rows.groupBy("grp", "start").agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(names)], *[F.covar_pop(names[i], names[j]).alias(f"c{i}{j}") for i, j in pairs])
-    got = got.select("grp", "start", *[f"m{i}" for i in range(n)], *[(F.col(f"c{i}{j}") + (DIMS[names[i]] ** 2 if i == j else 0)).alias(f"c{i}{j}") for i, j in pairs])
+    names = list(DIMS)
+    got = rows.groupBy("grp", "start").agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(names)], *[F.covar_pop(names[i], names[j]).alias(f"c{i}{j}") for i, j in _pairs()])
+    return _floored(got)
+
+
+def _floored(got: DataFrame) -> DataFrame:
+    return got.withColumns({f"c{i}{i}": F.greatest(f"c{i}{i}", F.lit(floor**2)) for i, floor in enumerate(DIMS.values())})
+
+
+def _moments(got: DataFrame) -> DataFrame:
+    """The table of _covariances with its precision matrices (p) and log-determinants, by elimination on the small group table."""
+    n, pairs, own = len(DIMS), _pairs(), got.columns
     for i, j in sorted(pairs):  # Cholesky factor, row by row
         rest = F.col(f"c{i}{j}")
         for k in range(j):
@@ -92,7 +104,7 @@ def _moments(rows: DataFrame) -> DataFrame:
                 got = got.withColumn(f"v{i}{j}", -rest / F.col(f"l{i}{i}"))
     precision = [sum((F.col(f"v{k}{i}") * F.col(f"v{k}{j}") for k in range(i + 1, n)), F.col(f"v{i}{i}") * F.col(f"v{i}{j}")).alias(f"p{i}{j}") for i, j in pairs]
     det = sum((2 * F.log(f"l{i}{i}") for i in range(1, n)), 2 * F.log("l00")).alias("det")
-    return got.select("grp", "start", *[f"m{i}" for i in range(n)], *precision, det)
+    return got.select(*own, *precision, det)
 
 
 def _distance() -> Column:
@@ -106,28 +118,46 @@ def _distance() -> Column:
 def estimates(rows: DataFrame, share: float, steps: int, broadcast_rows: int) -> DataFrame:
     """Minimum-covariance-determinant estimate by group: two starts, concentration steps until no determinant falls by more, the smaller determinant.
 
-    Starts take the rows nearest the coordinatewise median, by the sum and by the largest of the
-    scaled deviations; a step keeps the `share` of a group's rows nearest the current estimate.
+    Starts take the rows nearest the coordinatewise median, by the sum and by the largest of the deviations
+    scaled by their own median (floored alike); a step keeps the `share` of a group's rows nearest the current estimate.
     Quantiles and moments are aggregates with map-side combine, so a hot group never meets in a task.
     """
     names = list(DIMS)
     mids = rows.groupBy("grp").agg(*[F.percentile_approx(c, 0.5, 1000).alias(f"med{i}") for i, c in enumerate(names)])
-    rows = rows.join(small_or_shuffled(mids, broadcast_rows), "grp")
-    far = [F.abs(F.col(c) - F.col(f"med{i}")) / DIMS[c] for i, c in enumerate(names)]
+    rows = rows.join(small_or_shuffled(written(mids, "medians"), broadcast_rows), "grp").select("grp", *names, *[F.abs(F.col(c) - F.col(f"med{i}")).alias(f"off{i}") for i, c in enumerate(names)])
+    spreads = rows.groupBy("grp").agg(*[F.greatest(1.4826 * F.percentile_approx(f"off{i}", 0.5, 1000), F.lit(DIMS[c])).alias(f"mad{i}") for i, c in enumerate(names)])
+    rows = rows.join(small_or_shuffled(written(spreads, "spreads"), broadcast_rows), "grp")
+    far = [F.col(f"off{i}") / F.col(f"mad{i}") for i in range(len(names))]
     both = rows.select("grp", *names, F.explode(F.array(F.struct(F.lit(0).alias("start"), sum(far[1:], far[0]).alias("d")), F.struct(F.lit(1).alias("start"), F.greatest(*far).alias("d")))).alias("s")).select("grp", *names, "s.start", "s.d")
 
     def nearest(scored: DataFrame) -> DataFrame:
         cut = scored.groupBy("grp", "start").agg(F.percentile_approx("d", share, 1000).alias("cut"))
         return scored.join(small_or_shuffled(cut, broadcast_rows), ["grp", "start"]).where("d <= cut")
 
-    now, last = written(_moments(nearest(both)), "mcd"), None
+    now, last = written(_moments(_covariances(nearest(both))), "mcd"), None
     for _ in range(steps):
         scored = both.drop("d").join(small_or_shuffled(now, broadcast_rows), ["grp", "start"]).select("grp", "start", *names, _distance().alias("d"))
-        last, now = now, written(_moments(nearest(scored)), "mcd")
+        last, now = now, written(_moments(_covariances(nearest(scored))), "mcd")
         moved = now.select("grp", "start", "det").join(last.select("grp", "start", F.col("det").alias("was")), ["grp", "start"]).where("was - det > 1e-3")
         if moved.isEmpty():
             break
-    return now.groupBy("grp").agg(F.min_by(F.struct(*[c for c in now.columns if c not in ("grp",)]), F.struct("det", "start")).alias("e")).select("grp", "e.*").drop("start", "det")
+    return now.groupBy("grp").agg(F.min_by(F.struct("n", *[c for c in now.columns if c[0] in "mc"]), F.struct("det", "start")).alias("e")).select("grp", "e.*")
+
+
+def shrunk(own: DataFrame, weight: float) -> DataFrame:
+    """Estimates drawn to the one of all groups together, as if each had `weight` more rows of it: (grp, n, m, c, p, det).
+
+    The estimate of all has the groups' mean, and their covariances within and between, by rows. Its share is weight / (n + weight) at
+    every size, so large groups stand for themselves and a group of one row is judged by all.
+    """
+    names, share = range(len(DIMS)), F.col("n") / (F.col("n") + weight)
+    mean = lambda x: F.sum(F.col("n") * x) / F.sum("n")
+    every = own.agg(*[mean(F.col(f"m{i}")).alias(f"am{i}") for i in names], *[mean(F.col(f"c{i}{j}") + F.col(f"m{i}") * F.col(f"m{j}")).alias(f"as{i}{j}") for i, j in _pairs()])
+    both = own.join(F.broadcast(every))  # one row
+    drawn = lambda x, y: share * x + (1 - share) * y
+    means = [drawn(F.col(f"m{i}"), F.col(f"am{i}")).alias(f"m{i}") for i in names]
+    covariances = [drawn(F.col(f"c{i}{j}"), F.col(f"as{i}{j}") - F.col(f"am{i}") * F.col(f"am{j}")).alias(f"c{i}{j}") for i, j in _pairs()]
+    return _moments(_floored(both.select("grp", "n", *means, *covariances)))
 
 
 def cutoff(share: float, tail: float) -> float:
@@ -150,39 +180,37 @@ def cutoff(share: float, tail: float) -> float:
     return quantile(tail, half) * share / (1 - above(quantile(1 - share, half), half + 1))
 
 
-def _judged(docs, text_col, lang_col, source_col, keep, share, steps, tail, min_rows, broadcast_rows):
+def _judged(docs, text_col, lang_col, source_col, keep, share, steps, tail, weight, broadcast_rows):
     rows = measured(docs, text_col, lang_col, source_col, keep)
-    good = rows.where(~F.col("base_failed"))
-    large = good.groupBy("grp").count().where(F.col("count") >= min_rows).select("grp", F.lit(True).alias("own_estimate"))
-    rows = rows.join(small_or_shuffled(large, broadcast_rows), "grp", "left").withColumn("grp", F.when(F.col("own_estimate"), F.col("grp")).otherwise("*")).drop("own_estimate")
     good = rows.where(~F.col("base_failed")).select("grp", *DIMS)
-    if not rows.where("grp = '*'").isEmpty():
-        good = good.where("grp <> '*'").unionByName(good.withColumn("grp", F.lit("*")))
-    made = small_or_shuffled(written(estimates(good, share, steps, broadcast_rows), "mcd"), broadcast_rows)
+    made = small_or_shuffled(written(shrunk(estimates(good, share, steps, broadcast_rows), weight), "mcd"), broadcast_rows)
     scored = rows.join(made, "grp", "left").select("own", *STATS, "base_failed", _distance().alias("distance"))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff(share, tail), F.lit(True))
     return scored.withColumn("kept", kept)
 
 
-def rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", keep=("doc_id",), share: float = 0.75, steps: int = 8, tail: float = 2e-5, min_rows: int = 40, broadcast_rows: int = 20_000) -> DataFrame:
+def rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", keep=("doc_id",), share: float = 0.75, steps: int = 8, tail: float = 2e-5, weight: float = 30, broadcast_rows: int = 20_000) -> DataFrame:
     """The columns in keep, STATS, base_failed, distance and kept for every row.
 
     kept is false if a base rule fails; else it is the method's verdict: the squared Mahalanobis
     distance of (log mean word length, log symbol rate, log duplicate-line rate, root of the repeated
     share) from the estimate of the row's language and source is at most what a clean row exceeds with probability `tail`
-    (see cutoff). Estimates come from all rows that pass the base rules. Groups of fewer than min_rows such rows are judged by the estimate
-    over all groups together. Without any such row nothing is left to judge. Null language and source are groups
+    (see cutoff). Estimates come from all rows that pass the base rules, and each counts `weight` rows of the estimate over
+    all groups besides its own (see shrunk). Without any such row nothing is left to judge. Null language and source are groups
     of their own; null and empty texts fail the base rule; repeated rows each count and give a row;
     an empty table gives an empty result; columns outside keep are not read, and kept ones travel in
     a struct, so their names cannot clash inside. Group tables are broadcast only up to broadcast_rows.
     """
-    got = _judged(docs, text_col, lang_col, source_col, keep, share, steps, tail, min_rows, broadcast_rows)
+    got = _judged(docs, text_col, lang_col, source_col, keep, share, steps, tail, weight, broadcast_rows)
     return got.select("own.*", *STATS, "base_failed", "distance", "kept")
 
 
-def passing(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", share: float = 0.75, steps: int = 8, tail: float = 2e-5, min_rows: int = 40, broadcast_rows: int = 20_000) -> DataFrame:
-    """The rows of docs, all columns, that rules() keeps. The verdict is one of text, language and source: only their keys are joined back."""
+def passing(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", share: float = 0.75, steps: int = 8, tail: float = 2e-5, weight: float = 30, broadcast_rows: int = 20_000) -> DataFrame:
+    """The rows of docs, all columns, that rules() keeps. The verdict is one of text, language and source: only their keys are joined back.
+
+    Nulls, empty and long texts, ties and repeated rows are judged as there (rows alike share a verdict); an empty table stays empty.
+    """
     of = (text_col, lang_col, source_col)
     keyed = docs.select(*of, *row_key(*of))
-    got = _judged(keyed, text_col, lang_col, source_col, ("key_1", "key_2"), share, steps, tail, min_rows, broadcast_rows)
+    got = _judged(keyed, text_col, lang_col, source_col, ("key_1", "key_2"), share, steps, tail, weight, broadcast_rows)
     return without(docs, written(got.where("not kept").select("own.*").distinct(), "rejected"), of)

@@ -451,19 +451,55 @@ def test_cutoff_is_a_quantile():
 
 
 def test_estimate_is_numpy_s(spark):
+    """Ample spreads are left alone, and a constant statistic gets its floor."""
     rng = np.random.default_rng(0)
     x = rng.multivariate_normal([1, 2, 3, 4], np.diag([0.04, 0.5, 0.1, 0.3]) + 0.02, 500)
+    x[:, 2] = 3
     rows = spark.createDataFrame([("g", 0, *map(float, v)) for v in x], "grp string, start int, x0 double, x1 double, x2 double, x3 double")
-    got = quality._moments(rows).first()
-    cov = np.cov(x.T, bias=True) + np.diag([f**2 for f in quality.DIMS.values()])
+    made = quality._moments(quality._covariances(rows))
+    got = made.first()
+    cov = np.cov(x.T, bias=True)
+    assert cov[0, 0] > quality.DIMS["x0"] ** 2 and cov[2, 2] == pytest.approx(0)
+    cov[2, 2] = quality.DIMS["x2"] ** 2
     inverse = np.linalg.inv(cov)
-    assert got["det"] == pytest.approx(np.linalg.slogdet(cov)[1])
+    assert got["n"] == 500 and got["det"] == pytest.approx(np.linalg.slogdet(cov)[1])
     assert all(got[f"p{i}{j}"] == pytest.approx(inverse[i, j], abs=1e-9) for i in range(4) for j in range(i + 1))
-    d = rows.crossJoin(quality._moments(rows).drop("grp", "start")).select(quality._distance().alias("d")).collect()
+    d = rows.crossJoin(made.drop("grp", "start")).select(quality._distance().alias("d")).collect()
     off = x - x.mean(axis=0)
     assert np.allclose([r["d"] for r in d], np.einsum("ni,ij,nj->n", off, inverse, off))
 
 
+def test_small_groups_draw_on_all(spark):
+    """Against numpy: the estimate over all groups counts as `weight` rows of each."""
+    rng = np.random.default_rng(5)
+    groups = {"a": rng.normal([1, 2, 3, 4], 1, (400, 4)), "b": rng.normal([2, 2, 2, 2], 1, (100, 4)), "c": rng.normal(0, 1, (1, 4))}
+    rows = spark.createDataFrame([(g, 0, *map(float, v)) for g, x in groups.items() for v in x], "grp string, start int, x0 double, x1 double, x2 double, x3 double")
+    got = {r["grp"]: r for r in quality.shrunk(quality._covariances(rows).drop("start"), 30).collect()}
+    floor = np.diag([f**2 for f in quality.DIMS.values()])
+    mean = {g: x.mean(axis=0) for g, x in groups.items()}
+    cov = {g: np.cov(x.T, bias=True) if len(x) > 1 else floor for g, x in groups.items()}
+    n = {g: len(x) for g, x in groups.items()}
+    centre = sum(n[g] * mean[g] for g in n) / sum(n.values())
+    every = sum(n[g] * (cov[g] + np.outer(mean[g] - centre, mean[g] - centre)) for g in n) / sum(n.values())
+    for g, r in got.items():
+        part = n[g] / (n[g] + 30)
+        inverse = np.linalg.inv(part * cov[g] + (1 - part) * every)
+        assert all(r[f"m{i}"] == pytest.approx((part * mean[g] + (1 - part) * centre)[i]) for i in range(4))
+        assert all(r[f"p{i}{j}"] == pytest.approx(inverse[i, j], abs=1e-9) for i in range(4) for j in range(i + 1))
+
+
+def test_clean_normal_rows_stay(spark):
+    """Rows of normal groups with correlated statistics pass the cutoff but for the tail it names."""
+    rng = np.random.default_rng(6)
+    cov = np.array([[0.3, 0.2, 0, 0], [0.2, 0.5, 0.1, 0], [0, 0.1, 0.4, 0.1], [0, 0, 0.1, 0.2]])
+    x = rng.multivariate_normal([2, 2, 2, 2], cov, 20_000)
+    rows = spark.createDataFrame([("g" + str(i % 2), *map(float, v)) for i, v in enumerate(x)], "grp string, x0 double, x1 double, x2 double, x3 double")
+    made = quality.shrunk(quality.estimates(rows, 0.75, 8, 1000), 30)
+    for tail in (0.05, 0.005):
+        gone = rows.join(made, "grp").where(quality._distance() > quality.cutoff(0.75, tail)).count() / 20_000
+        assert gone == pytest.approx(tail, rel=0.35)
+
+
 def brute_leaks(docs, items, k=5, threshold=0.8):
     split = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
     out = {}
