@@ -227,7 +227,7 @@ def test_network_tells_keys_from_words(spark):
     assert p[0] > 0.9 and p[1:].max(initial=0) < 0.5
 
 
-#: Ordinary runs as texts hold them; none is made by the rules of the labelled table.
+#: Ordinary runs as texts hold them. They are not in the labelled table, but its ordinary kinds were written with them in view.
 ORDINARY = ["COVID-19vaccine2021", "getElementById2", "DSC_20210304_101112.jpg", "c0ffee1234567890", "SKU-99812-XL-BLUE", "utf8mb4_general_ci", "B2C3D4E5", "watch?v=dQw4w9WgXcQ", "GB82WEST12345698765432", "supercalifragilisticexpialidocious", "Donaudampfschifffahrtsgesellschaft", "Wikipedia.org/wiki/List_of_countries_by_GDP_2019", "mail8.example.com", "4952935900253052", "node_modules/react-dom/index.js", "2021-03-04T10.11.12", "x86_64-linux-gnu", "Apollo11landing", "ISO-8859-1"]
 
 
