@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import itertools
 import operator
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -65,13 +66,16 @@ def agreement(both: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def resolve_locus(genomes: DataFrame, spans: DataFrame, last_third: DataFrame, frac: float = 0.7, key: str = "accession") -> DataFrame:
-    """(key, s0, s1, span_source): the annotated span, else one told from the last third, else the first part of the genome."""
+    """(key, s0, s1, span_source): the annotated span, else one told from the last third, else the first part of the genome.
+
+    The part is a decimal, as 90 * 0.7 is under 63 in doubles.
+    """
     own = spans.groupBy(key).agg(F.min("s0").alias("s0"), F.max("s1").alias("s1"))
     third = last_third.select(key, (F.col("s1") - 3 * (F.col("s1") - F.col("s0"))).alias("t0"), F.col("s1").alias("t1"))
     got = genomes.join(own, key, "left").join(third, key, "left")
     pick = lambda x, y, z: F.coalesce(x, y, z).cast("bigint")
     source = F.when(F.col("s0").isNotNull(), "annotated").when(F.col("t0").isNotNull(), "last_third").otherwise("default")
-    return got.select(key, pick(F.col("s0"), F.col("t0"), F.lit(0)).alias("s0"), pick(F.col("s1"), F.col("t1"), F.floor(F.col("n") * frac)).alias("s1"), source.alias("span_source"))
+    return got.select(key, pick(F.col("s0"), F.col("t0"), F.lit(0)).alias("s0"), pick(F.col("s1"), F.col("t1"), F.floor(F.col("n") * F.lit(Decimal(str(frac))))).alias("s1"), source.alias("span_source"))
 
 
 def pooled_enrichment(per: DataFrame, by: str, value: str, p: str | None = None, alpha: float = 0.05) -> DataFrame:
