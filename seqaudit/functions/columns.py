@@ -15,6 +15,11 @@ def let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def half_up(x: Column, digits: int = 6) -> Column:
+    """x rounded as DuckDB does: halves of x * 10 ** digits, as a double, go away from 0. Spark's round takes halves of the shortest decimal, so 0.0644375 differs."""
+    return F.round(x * 10.0**digits, 0) / 10.0**digits
+
+
 def correlation(a: str | Column, b: str | Column) -> Column:
     """Pearson correlation of complete pairs, an aggregate; null where a side is constant (F.corr raises there under ANSI rules)."""
     a, b = (F.col(c) if isinstance(c, str) else c for c in (a, b))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,3 +44,76 @@ def shuffled_place(df: DataFrame, place: str, n: str, keys: list[Column | int |
     walked = F.aggregate(F.sequence(F.lit(0), F.lit(64 * rounds)), start, step, lambda acc: acc["l"] * F.col("_a") + acc["r"])
     got = F.when(inside(F.col("_l"), F.col("_r")), F.col("_l") * F.col("_a") + F.col("_r")).otherwise(walked)
     return own.withColumn(out, got.cast("bigint")).drop("_a", "_l", "_r")
+
+
+_SHIFTS = ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21))
+_SINES = [int(abs(math.sin(i + 1)) * 2**32) & 0xFFFFFFFF for i in range(64)]
+
+
+def _md5_head(block: np.ndarray) -> np.ndarray:
+    """The first 32 bits of the md5 of texts that fill one padded block each, (m, 64) bytes, as whole numbers."""
+    words = np.ascontiguousarray(block.view("<u4").T)
+    fixed = [bool((w == w[0]).all()) for w in words]
+    a, b, c, d = (np.full(len(block), v, np.uint32) for v in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476))
+    f, t = np.empty_like(a), np.empty_like(a)
+    for i in range(61):  # the last three rounds leave the first word
+        turn = i // 16
+        if turn == 0:
+            np.bitwise_xor(c, d, out=f), np.bitwise_and(f, b, out=f), np.bitwise_xor(f, d, out=f)
+        elif turn == 1:
+            np.bitwise_xor(b, c, out=f), np.bitwise_and(f, d, out=f), np.bitwise_xor(f, c, out=f)
+        elif turn == 2:
+            np.bitwise_xor(b, c, out=f), np.bitwise_xor(f, d, out=f)
+        else:
+            np.invert(d, out=f), np.bitwise_or(f, b, out=f), np.bitwise_xor(f, c, out=f)
+        g = (i, 5 * i + 1, 3 * i + 5, 7 * i)[turn] % 16
+        np.add(a, f, out=f)
+        if fixed[g]:
+            np.add(f, np.uint32((_SINES[i] + int(words[g][0])) & 0xFFFFFFFF), out=f)
+        else:
+            np.add(f, words[g], out=f), np.add(f, np.uint32(_SINES[i]), out=f)
+        s = _SHIFTS[turn][i % 4]
+        np.right_shift(f, np.uint32(32 - s), out=t), np.left_shift(f, np.uint32(s), out=f)
+        np.bitwise_or(f, t, out=f), np.add(f, b, out=f)
+        a, b, c, d, f = d, f, b, c, a
+    return (b + np.uint32(0x67452301)).byteswap().astype(np.int64)
+
+
+def draw_grid(before: list[str], inner: list[str], after: list[str], at_once: int = 65536) -> np.ndarray:
+    """draw() in numpy inside a task, for texts known by row and column: [r, c] is the draw of the text before[r] + inner[c] + after[r].
+
+    Texts of equal lengths are hashed together; one that is over a block of md5 is hashed alone. Results are those of draw().
+    """
+    rows, columns = [(a.encode(), b.encode()) for a, b in zip(before, after, strict=True)], [x.encode() for x in inner]
+    out = np.empty((len(rows), len(columns)), np.int64)
+    by_row: dict = {}
+    for r, (a, b) in enumerate(rows):
+        by_row.setdefault((len(a), len(b)), []).append(r)
+    by_column: dict = {}
+    for c, x in enumerate(columns):
+        by_column.setdefault(len(x), []).append(c)
+    for (la, lb), own in by_row.items():
+        for lx, cs in by_column.items():
+            n = la + lx + lb
+            if n > 55:
+                for r in own:
+                    out[r, cs] = [int.from_bytes(hashlib.md5(rows[r][0] + columns[c] + rows[r][1]).digest()[:4]) for c in cs]
+                continue
+            heads, tails, middles = (np.frombuffer(b"".join(v), np.uint8).reshape(len(v), -1) for v in ([rows[r][0] for r in own], [rows[r][1] for r in own], [columns[c] for c in cs]))
+            wide = max(1, at_once // len(cs))
+            for low in range(0, len(own), wide):
+                part = own[low : low + wide]
+                for left in range(0, len(cs), at_once):
+                    some = cs[left : left + at_once]
+                    block = np.zeros((len(part), len(some), 64), np.uint8)
+                    block[:, :, :la] = heads[low : low + wide, None]
+                    block[:, :, la : la + lx] = middles[None, left : left + at_once]
+                    block[:, :, la + lx : n] = tails[low : low + wide, None]
+                    block[:, :, n], block[:, :, 56], block[:, :, 57] = 128, (8 * n) & 255, (8 * n) >> 8
+                    out[np.ix_(part, some)] = _md5_head(block.reshape(-1, 64)).reshape(len(part), len(some))
+    return out
+
+
+def keyed_text(*keys) -> str:
+    """The text that draw() hashes: keys joined by bars, nulls left out."""
+    return "|".join(str(k) for k in keys if k is not None)

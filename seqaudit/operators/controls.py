@@ -11,8 +11,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.keyed import draw
-from . import intervals, splits
+from ..functions.columns import half_up
+from . import draws, intervals, splits
 from .statistics import average_rank
 
 #: The standard genetic code, codons in the order TCAG of each base.
@@ -21,17 +21,22 @@ CODE = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
 
 
 def shift_top_null(track: DataFrame, spans: DataFrame, q: float, b: int, key: str = "accession", cls: str = "cls", seed: int = 42) -> DataFrame:
-    """Circular-shift null of the share of top positions that lie in a class: only the top positions are shifted."""
-    top = intervals.top_quantile(track, q, key).where("is_top").select(key, "pos")
-    size = track.groupBy(key).agg(F.count("*").alias("_n"))
-    perms = F.explode(F.sequence(F.lit(0), F.lit(b))).alias("perm")
-    move = F.when(F.col("perm") == 0, 0).otherwise(draw(seed, F.col("perm"), F.col(key)) % F.col("_n"))
-    shifted = top.join(size, key).select(key, "pos", "_n", perms).select(key, "perm", ((F.col("pos") + move) % F.col("_n")).alias("pos"))
-    hits = intervals.point_in_interval(shifted, spans, key, cls).groupBy(key, cls, "perm").agg(F.count("*").alias("h"))
-    grid = spans.select(key, cls).distinct().join(top.groupBy(key).agg(F.count("*").alias("k")), key).select(key, cls, "k", perms)
-    shares = grid.join(hits, [key, cls, "perm"], "left").select(key, cls, "perm", (F.coalesce("h", F.lit(0)) / F.col("k")).alias("x"))
-    null = shares.where("perm > 0").join(shares.where("perm = 0").select(key, cls, F.col("x").alias("observed")), [key, cls])
-    return null.groupBy(key, cls, "observed").agg(((1 + F.count_if(F.col("x") >= F.col("observed"))) / (1 + F.count("*"))).alias("p"), F.avg("x").alias("null_mean"))
+    """Circular-shift null of the share of top positions that lie in a class.
+
+    Top positions in a shifted class are a difference of their running counts, and a place of a genome is looked up once, however many shifts
+    fall on it; so the work is spans times the distinct shifts. The mean comes from whole counts, rounded as SQL's engine rounds.
+    """
+    top = intervals.top_quantile(track, q, key).where("is_top").select(key, "pos", F.lit(1.0).alias("attr"))
+    moves = draws.counted_moves(track.groupBy(key).agg(F.count("*").alias("n")), key, b, seed)
+    merged = intervals.merge_intervals(spans.where("s1 > s0"), [key, cls])
+    parts = merged.join(moves, key).select(key, cls, "move", "n", F.pmod(F.col("s0") - F.col("move"), F.col("n")).alias("a"), (F.col("s1") - F.col("s0")).cast("bigint").alias("len"))
+    spots = intervals.circular_mass(top, parts.select(key, "a", "len", "n").distinct(), key)
+    hits = parts.join(spots.select(key, "a", "len", "mass"), [key, "a", "len"]).groupBy(key, cls, "move").agg(F.round(F.sum("mass"), 0).cast("bigint").alias("h"))
+    grid = spans.select(key, cls).distinct().join(top.groupBy(key).agg(F.count("*").alias("k")), key).join(moves, key)
+    met = grid.join(hits, [key, cls, "move"], "left").select(key, cls, "k", "move", "times", F.coalesce("h", F.lit(0)).alias("h"))
+    seen = met.where("move = 0").select(key, cls, F.col("h").alias("own"))
+    sums = met.join(seen, [key, cls]).groupBy(key, cls, "k", "own").agg(F.sum(F.when(F.col("h") >= F.col("own"), F.col("times")).otherwise(0)).alias("as_high"), F.sum(F.col("times") * F.col("h")).alias("all"))
+    return sums.select(key, cls, (F.col("own") / F.col("k")).alias("observed"), ((1 + F.col("as_high")) / (1 + b)).alias("p"), half_up(F.col("all") / F.col("k") / b).alias("null_mean"))
 
 
 def label_perm_global(df: DataFrame, id_col: str, pred: str, y: str, b: int, seed: int = 42) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.keyed import draw
+from .draws import counted_moves
 from .statistics import run_up
 
 
@@ -193,10 +193,8 @@ def shift_null(track: DataFrame, spans: DataFrame, b: int, key: str = "accession
     hashing. A track may have gaps; genomes (key, n) gives lengths, else a genome ends with its last position.
     """
     size = (genomes or track_lengths(track, key)).select(key, F.col("n").cast("bigint").alias("n"))
-    drawn = size.select(key, "n", F.explode(F.sequence(F.lit(1), F.lit(b))).alias("perm")).select(key, (draw(seed, F.col("perm"), F.col(key)) % F.col("n")).alias("move"), F.lit(1).alias("times"))
-    moves = drawn.unionByName(size.select(key, F.lit(0).cast("bigint").alias("move"), F.lit(0).alias("times"))).groupBy(key, "move").agg(F.sum("times").alias("times"))
-    merged = merge_intervals(spans.where("s1 > s0"), [key, cls]).join(size, key)
-    parts = merged.join(moves, key).select(key, cls, "move", "times", ((F.col("s0") + F.col("move")) % F.col("n")).alias("a"), (F.col("s1") - F.col("s0")).cast("bigint").alias("len"), "n")
+    moves = counted_moves(size, key, b, seed)
+    parts = merge_intervals(spans.where("s1 > s0"), [key, cls]).join(moves, key).select(key, cls, "move", "times", ((F.col("s0") + F.col("move")) % F.col("n")).alias("a"), (F.col("s1") - F.col("s0")).cast("bigint").alias("len"), "n")
     spots = circular_mass(track, parts.select(key, "a", "len", "n").distinct(), key)
     mass = parts.join(spots.select(key, "a", "len", "mass"), [key, "a", "len"]).groupBy(key, cls, "move", "times").agg(F.round(F.sum("mass"), 6).alias("mass"))
     seen = mass.where("move = 0").select(key, cls, F.col("mass").alias("observed"))
