@@ -21,22 +21,19 @@ CODE = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
 
 
 def shift_top_null(track: DataFrame, spans: DataFrame, q: float, b: int, key: str = "accession", cls: str = "cls", seed: int = 42) -> DataFrame:
-    """Circular-shift null of the share of top positions that lie in a class.
+    """Circular-shift null of the share of top positions that lie in a class: the classes move against the top positions, a genome a row as in shift_null.
 
-    Top positions in a shifted class are a difference of their running counts, and a place of a genome is looked up once, however many shifts
-    fall on it; so the work is spans times the distinct shifts. The mean comes from whole counts, rounded as SQL's engine rounds.
+    The mean comes from whole counts, rounded as SQL's engine rounds.
     """
     top = intervals.top_quantile(track, q, key).where("is_top").select(key, "pos", F.lit(1.0).alias("attr"))
-    moves = draws.counted_moves(track.groupBy(key).agg(F.count("*").alias("n")), key, b, seed)
-    merged = intervals.merge_intervals(spans.where("s1 > s0"), [key, cls])
-    parts = merged.join(moves, key).select(key, cls, "move", "n", F.pmod(F.col("s0") - F.col("move"), F.col("n")).alias("a"), (F.col("s1") - F.col("s0")).cast("bigint").alias("len"))
-    spots = intervals.circular_mass(top, parts.select(key, "a", "len", "n").distinct(), key)
-    hits = parts.join(spots.select(key, "a", "len", "mass"), [key, "a", "len"]).groupBy(key, cls, "move").agg(F.round(F.sum("mass"), 0).cast("bigint").alias("h"))
-    grid = spans.select(key, cls).distinct().join(top.groupBy(key).agg(F.count("*").alias("k")), key).join(moves, key)
-    met = grid.join(hits, [key, cls, "move"], "left").select(key, cls, "k", "move", "times", F.coalesce("h", F.lit(0)).alias("h"))
-    seen = met.where("move = 0").select(key, cls, F.col("h").alias("own"))
-    sums = met.join(seen, [key, cls]).groupBy(key, cls, "k", "own").agg(F.sum(F.when(F.col("h") >= F.col("own"), F.col("times")).otherwise(0)).alias("as_high"), F.sum(F.col("times") * F.col("h")).alias("all"))
-    return sums.select(key, cls, (F.col("own") / F.col("k")).alias("observed"), ((1 + F.col("as_high")) / (1 + b)).alias("p"), half_up(F.col("all") / F.col("k") / b).alias("null_mean"))
+    rows = draws.genome_rows(top, intervals.merge_intervals(spans, [key, cls]), track.groupBy(key).agg(F.count("*").alias("n")), key, cls)
+
+    def null(scores, times, k):
+        hits = np.rint(scores)
+        return hits[0] / k, (1 + int(times[hits >= hits[0]].sum())) / (1 + b), float(times @ hits) / k / b
+
+    got = draws.shifted(rows, b, seed, key, cls, null, "observed double, p double, null_mean double", back=True)
+    return got.withColumn("null_mean", half_up(F.col("null_mean")))
 
 
 def label_perm_global(df: DataFrame, id_col: str, pred: str, y: str, b: int, seed: int = 42) -> DataFrame:

@@ -1,4 +1,7 @@
-"""Keyed draws of nulls, counted inside tasks: one row of a genome or window gives all its draws as arrays, so no draw is a row of Spark's."""
+"""Keyed draws of nulls inside tasks: the row of a genome or fragment brings its track and spans as arrays and makes all its draws in numpy, so no draw is a row of Spark's.
+
+A genome's track is held by one task at a time, with 16 bytes a position.
+"""
 
 from __future__ import annotations
 
@@ -15,23 +18,179 @@ def dealt(df: DataFrame, *cols) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
 
 
-def counted_moves(size: DataFrame, key: str, b: int, seed: int) -> DataFrame:
-    """(key, n, move, times): how often each place of 0..n-1 comes in b draws keyed by (seed, 1..b, key); 0 is there too, with 0 times if never drawn."""
+def genome_rows(track: DataFrame, spans: DataFrame, size: DataFrame, key: str, cls: str) -> DataFrame:
+    """(key, text, n, track, spans): of each genome with spans its length, its rows (pos, x) with the absolute score, and its spans (cls, s0, len)."""
+    rows = track.groupBy(key).agg(F.collect_list(F.struct(F.col("pos").cast("bigint").alias("pos"), F.abs(F.coalesce("attr", F.lit(0.0))).cast("double").alias("x"))).alias("track"))
+    own = spans.groupBy(key).agg(F.collect_list(F.struct(F.col(cls).alias("cls"), F.col("s0").cast("bigint").alias("s0"), F.greatest(F.col("s1") - F.col("s0"), F.lit(0)).cast("bigint").alias("len"))).alias("spans"))
+    return dealt(size.join(own, key).join(rows, key).select(key, F.col(key).cast("string").alias("text"), F.col("n").cast("bigint").alias("n"), "track", "spans"), key)
+
+
+def pieces(batch: pa.RecordBatch, name: str) -> list[dict[str, np.ndarray]]:
+    """The structs of each row's list as an array a field."""
+    column = batch.column(name)
+    flat, cuts = column.flatten(), np.cumsum(column.value_lengths().to_numpy())[:-1]
+    names = [flat.type.field(i).name for i in range(flat.type.num_fields)]
+    parts = [np.split(flat.field(i).to_numpy(zero_copy_only=False), cuts) for i in range(len(names))]
+    return [dict(zip(names, row, strict=True)) for row in zip(*parts, strict=True)]
+
+
+def keyed_rows(batch: pa.RecordBatch, name: str = "text") -> list[str]:
+    """What follows the last drawn number in a key's text: a bar and the key, nothing for a null."""
+    return ["" if t is None else f"|{t}" for t in batch.column(name).to_pylist()]
+
+
+class Circle:
+    """Sums of a genome's score over stretches of a circle of n positions; positions without a row count 0."""
+
+    def __init__(self, track: dict[str, np.ndarray], n: int):
+        order = np.argsort(track["pos"], kind="stable")
+        self.pos, self.cum, self.n = track["pos"][order], np.append(0.0, np.cumsum(track["x"][order])), n
+
+    def under(self, edge: np.ndarray) -> np.ndarray:
+        return self.cum[np.searchsorted(self.pos, edge)]
+
+    def mass(self, a: np.ndarray, length: int) -> np.ndarray:
+        """The score of [a, a + length), a < n and length <= n."""
+        end = a + length
+        return self.under(np.minimum(end, self.n)) - self.under(a) + self.under(np.maximum(end - self.n, 0))
 
-    def count(batches):
+    def classes(self, spans: dict[str, np.ndarray], moves: np.ndarray):
+        """Each class of the spans with its score at every move of them along the circle."""
+        for name in sorted(set(spans["cls"]), key=str):
+            own = [i for i, c in enumerate(spans["cls"]) if c == name]
+            yield name, sum((self.mass((spans["s0"][i] + moves) % self.n, int(spans["len"][i])) for i in own if spans["len"][i]), np.zeros(len(moves)))
+
+
+def sixth(x: np.ndarray) -> np.ndarray:
+    """Numbers of 0 or more to six digits, halves up."""
+    return np.floor(x * 1e6 + 0.5) / 1e6
+
+
+def shifted(rows: DataFrame, b: int, seed: int, key: str, cls: str, use, fields: str, back: bool = False) -> DataFrame:
+    """(key, cls, fields): use(scores at the moves, times, number of track rows) of each class of each genome, over 0 and the distinct ones of b
+    keyed moves; 0 is the first. The spans move, or with back=True the track does."""
+    names = [f.split()[0] for f in fields.split(", ")]
+
+    def run(batches):
         inner = [str(i) for i in range(1, b + 1)]
         for batch in batches:
-            n, texts = batch.column("n").to_numpy(), ["" if t is None else f"|{t}" for t in batch.column("_text").to_pylist()]
-            moves, times = [], []
+            if not batch.num_rows:
+                continue
+            n, texts, tracks, spans = batch.column("n").to_numpy(), keyed_rows(batch), pieces(batch, "track"), pieces(batch, "spans")
+            at, got = [], []
             for low in range(0, len(n), 64):
                 some = texts[low : low + 64]
-                for row in draw_grid([f"{seed}|"] * len(some), inner, some) % n[low : low + 64, None]:
-                    values, counts = np.unique(np.append(row, 0), return_counts=True)
-                    counts[0] -= 1
-                    moves.append(values)
-                    times.append(counts)
-            yield pa.record_batch([batch.column(0), batch.column("n"), pa.array(moves, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64()))], names=[key, "n", "move", "times"])
-
-    rows = dealt(size.select(key, "n", F.col(key).cast("string").alias("_text")), key)
-    got = rows.mapInArrow(count, f"`{key}` {size.schema[key].dataType.simpleString()}, n bigint, move array<bigint>, times array<bigint>")
-    return got.select(key, "n", F.inline(F.arrays_zip("move", "times")))
+                for i, drawn in enumerate(draw_grid([f"{seed}|"] * len(some), inner, some) % n[low : low + 64, None], low):
+                    moves, times = np.unique(np.append(drawn, 0), return_counts=True)
+                    times[0] -= 1
+                    for name, scores in Circle(tracks[i], int(n[i])).classes(spans[i], -moves if back else moves):
+                        at.append(i)
+                        got.append((name, *use(scores, times, len(tracks[i]["pos"]))))
+            columns = [pa.array(list(x), t) for x, t in zip(zip(*got), [rows_cls, *[pa.float64()] * len(names)])]
+            yield pa.record_batch([batch.column(key).take(pa.array(at)), *columns], names=[key, cls, *names])
+
+    kind = rows.schema["spans"].dataType.elementType["cls"].dataType.simpleString()
+    rows_cls = pa.string() if kind == "string" else pa.int64() if kind == "bigint" else pa.int32()
+    return rows.mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, `{cls}` {kind}, {fields}")
+
+
+def summed(parts: DataFrame, cls: str) -> DataFrame:
+    """(cls, perm, one column for each array): arrays by permutation that tasks have counted, added up."""
+    arrays = [c for c in parts.columns if c != cls]
+    long = parts.select(cls, F.posexplode(F.arrays_zip(*arrays)).alias("perm", "v")).select(cls, "perm", *[F.col(f"v.{c}").alias(c) for c in arrays])
+    return long.groupBy(cls, "perm").agg(*[F.sum(c).alias(c) for c in arrays])
+
+
+def placed_hits(fragments: DataFrame, b: int, length: int, share: float, seed: int) -> DataFrame:
+    """(cls, perm, h): how many fragments lie in a class with `share` of their length, perm 0 where they are and 1..b at keyed random starts.
+
+    fragments has (accession, frag_id, frag_start, n, spans), spans the merged ones (cls, s0, len) of its genome.
+    """
+
+    def run(batches):
+        inner, hits = [str(i) for i in range(1, b + 1)], {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n, own, after, spans = batch.column("n").to_numpy(), batch.column("frag_start").to_numpy(), keyed_rows(batch), pieces(batch, "spans")
+            for low in range(0, len(n), 64):
+                some = after[low : low + 64]
+                for i, drawn in enumerate(draw_grid([f"{seed}|"] * len(some), inner, some) % (n[low : low + 64, None] - length + 1), low):
+                    w0 = np.append(own[i], drawn)
+                    order = np.argsort(spans[i]["s0"], kind="stable")
+                    for name in set(spans[i]["cls"]):
+                        at = [j for j in order if spans[i]["cls"][j] == name]
+                        s0, run_len = spans[i]["s0"][at], spans[i]["len"][at]
+                        total, ends = np.append(0, np.cumsum(run_len)), np.append(0, s0 + run_len)
+
+                        def covered(x):
+                            k = np.searchsorted(s0, x)  # noqa: B023
+                            return total[k] - np.maximum(np.where(k > 0, ends[k] - x, 0), 0)  # noqa: B023
+
+                        inside = (covered(w0 + length) - covered(w0)) / length >= share
+                        hits[name] = hits.get(name, 0) + inside.astype(np.int64)
+        if hits:
+            yield pa.record_batch([pa.array(list(hits)), pa.array(list(hits.values()), pa.list_(pa.int64()))], names=["cls", "h"])
+
+    return summed(fragments.mapInArrow(run, "cls string, h array<bigint>"), "cls")
+
+
+def top_windows(genomes: DataFrame, b: int, seed: int) -> DataFrame:
+    """(cls, perm, a, high, inside, every): of the windows that are top, as given (perm 0) or drawn (1..b), the rows of a class inside it and all;
+    in perm 0 also these counts of all windows.
+
+    genomes has (text, windows), windows the rows (window_index, top, cls, inside) of a genome.
+    """
+
+    def run(batches):
+        inner, counts = [str(i) for i in range(1, b + 1)], {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            after, windows = keyed_rows(batch), pieces(batch, "windows")
+            for low in range(0, len(after), 64):
+                some = after[low : low + 64]
+                for w, drawn in zip(windows[low : low + 64], draw_grid([f"{seed}|"] * len(some), inner, some), strict=True):
+                    index = w["window_index"]
+                    k = len(np.unique(index))
+                    at, tops, wide = drawn % k, np.unique(index[w["top"].astype(bool)]), max(k, int(index.max()) + 1)
+                    for name in set(w["cls"]):
+                        own = w["cls"] == name
+                        both = [np.bincount(index[own], weights, wide).astype(np.int64) for weights in (w["inside"][own], None)]
+                        if name not in counts:
+                            counts[name] = np.zeros((4, b + 1), np.int64)
+                        for row, table in enumerate(both):
+                            counts[name][row] += np.append(table[tops].sum(), table[at])
+                            counts[name][2 + row, 0] += table.sum()
+        if counts:
+            yield pa.record_batch([pa.array(list(counts)), *[pa.array([list(v[i]) for v in counts.values()], pa.list_(pa.int64())) for i in range(4)]], names=["cls", "a", "high", "inside", "every"])
+
+    return summed(genomes.mapInArrow(run, "cls string, a array<bigint>, high array<bigint>, inside array<bigint>, every array<bigint>"), "cls")
+
+
+def locus_z(rows: DataFrame, b_outer: int, b_inner: int, seed: int) -> DataFrame:
+    """(outer, n, z): over genomes, the number and sum of z of a locus against b_inner shifts; outer 0 is the locus itself, the others start at random."""
+
+    def run(batches):
+        outers, inner, total, number = [str(o) for o in range(b_outer + 1)], [str(i) for i in range(1, b_inner + 1)], np.zeros(b_outer + 1), 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lengths, after, tracks, spans = batch.column("n").to_numpy(), keyed_rows(batch), pieces(batch, "track"), pieces(batch, "spans")
+            for n, text, track, span in zip(lengths, after, tracks, spans, strict=True):
+                circle, length = Circle(track, int(n)), int(span["len"][0])
+                start = np.append(span["s0"][0], draw_grid([f"{seed}|locus|"], outers[1:], [text])[0] % (n - length))
+                whole = sixth(circle.mass(np.arange(n), length)) if n <= b_outer * b_inner else None
+                score = lambda a: whole[a] if whole is not None else sixth(circle.mass(a, length))  # noqa: B023, E731
+                moved = draw_grid([f"{seed}|shift|{o}|" for o in outers], inner, [text] * len(outers))
+                moved += start[:, None]
+                moved %= n
+                null = score(moved)
+                mean = null.sum(axis=1) / b_inner
+                sd = np.sqrt(np.maximum((null * null).sum(axis=1) / b_inner - mean * mean, 0))
+                total += (score(start % n) - mean) / (sd + 1e-6)
+                number += 1
+        if number:
+            yield pa.record_batch([pa.array(range(b_outer + 1), pa.int32()), pa.array([number] * (b_outer + 1), pa.int64()), pa.array(total)], names=["outer", "n", "z"])
+
+    return rows.mapInArrow(run, "outer int, n bigint, z double").groupBy("outer").agg(F.sum("n").alias("n"), F.sum("z").alias("z"))

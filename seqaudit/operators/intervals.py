@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .draws import counted_moves
+from . import draws
 from .statistics import run_up
 
 
@@ -188,22 +188,15 @@ def circular_mass(track: DataFrame, spots: DataFrame, key: str = "accession") ->
 def shift_null(track: DataFrame, spans: DataFrame, b: int, key: str = "accession", cls: str = "cls", seed: int = 42, genomes: DataFrame | None = None) -> DataFrame:
     """Circular-shift null of the mass in a class: observed mass, p, null mean and sd of b shifts.
 
-    A shifted span's mass is a difference of prefix sums, a wrapped one two of them; shifts that fall on the same place of a genome
-    are summed once and counted. So the work is spans times the distinct shifts, not shifts times positions. Shifts are drawn by keyed
-    hashing. A track may have gaps; genomes (key, n) gives lengths, else a genome ends with its last position.
+    A genome is one row with its track and merged spans as arrays, which makes its draws and looks its masses up in prefix sums, a place once
+    however many shifts fall on it. Shifts are drawn by keyed hashing. A track may have gaps; genomes (key, n) gives lengths, else a genome
+    ends with its last position.
     """
-    size = (genomes or track_lengths(track, key)).select(key, F.col("n").cast("bigint").alias("n"))
-    moves = counted_moves(size, key, b, seed)
-    parts = merge_intervals(spans.where("s1 > s0"), [key, cls]).join(moves, key).select(key, cls, "move", "times", ((F.col("s0") + F.col("move")) % F.col("n")).alias("a"), (F.col("s1") - F.col("s0")).cast("bigint").alias("len"), "n")
-    spots = circular_mass(track, parts.select(key, "a", "len", "n").distinct(), key)
-    mass = parts.join(spots.select(key, "a", "len", "mass"), [key, "a", "len"]).groupBy(key, cls, "move", "times").agg(F.round(F.sum("mass"), 6).alias("mass"))
-    seen = mass.where("move = 0").select(key, cls, F.col("mass").alias("observed"))
-    return weighted_null(mass.join(seen, [key, cls]), [key, cls, "observed"], "mass", b)
-
-
-def weighted_null(rows: DataFrame, by: list[str], value: str, b: int, observed: str = "observed") -> DataFrame:
-    """p, null_mean and null_sd of b draws of which `times` had each value."""
-    x, t = F.col(value), F.col("times")
-    mean = F.sum(t * x) / b
-    sd = F.sqrt(F.greatest(F.sum(t * x * x) / b - mean * mean, F.lit(0.0)))
-    return rows.groupBy(*by).agg(((1 + F.sum(F.when(x >= F.col(observed), t).otherwise(0))) / (1 + b)).alias("p"), mean.alias("null_mean"), sd.alias("null_sd"))
+    rows = draws.genome_rows(track, merge_intervals(spans.where("s1 > s0"), [key, cls]), genomes or track_lengths(track, key), key, cls)
+
+    def null(scores, times, _):
+        mass = draws.sixth(scores)
+        mean = float(times @ mass) / b
+        return mass[0], (1 + int(times[mass >= mass[0]].sum())) / (1 + b), mean, float(times @ (mass - mean) ** 2 / b) ** 0.5
+
+    return draws.shifted(rows, b, seed, key, cls, null, "observed double, p double, null_mean double, null_sd double")
