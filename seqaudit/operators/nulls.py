@@ -11,9 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import null_safe_join, upper_tail
-from ..functions.keyed import draw
 from ..functions.tails import Hypergeometric, binomial_at_least
-from . import intervals
+from . import draws, intervals
 from .statistics import average_rank
 
 
@@ -107,15 +106,15 @@ def residualize_groups(df: DataFrame, y: str, by: list[str]) -> DataFrame:
 def placement_null(fragments: DataFrame, genomes: DataFrame, spans: DataFrame, b: int, length: int, share: float = 0.5, seed: int = 42) -> DataFrame:
     """Share of fragments lying in each class against random placements: observed, null mean, 95 % point and p.
 
-    fragments has (accession, frag_id, frag_start); one at a random start of its genome in each permutation. A place of a genome
-    is compared with the spans once, however many draws fall on it.
+    fragments has (accession, frag_id, frag_start); one at a random start of its genome in each permutation. A fragment is one row with its
+    genome's spans, which makes its draws in numpy; tasks send counts by class and permutation.
     """
     sized = fragments.join(genomes, "accession").where(F.col("n") >= length)
-    each = sized.select("accession", "frag_id", "frag_start", "n", F.explode(F.sequence(F.lit(0), F.lit(b))).alias("perm"))
-    start = F.when(F.col("perm") == 0, F.col("frag_start")).otherwise(draw(seed, F.col("perm"), F.col("accession"), F.col("frag_id")) % (F.col("n") - length + 1)).cast("int")
-    placed = each.select("accession", "perm", start.alias("w0")).groupBy("accession", "perm", "w0").agg(F.count("*").alias("times"))
-    inside = intervals.interval_overlap(placed.select("accession", "w0", (F.col("w0") + length).alias("w1")).distinct(), spans).where(F.col("frac") >= share).select("accession", "w0", "cls")
-    hits = placed.join(inside, ["accession", "w0"]).groupBy("cls", "perm").agg(F.sum("times").alias("h"))
+    merged = intervals.merge_intervals(spans.where("s1 > s0"), ["accession", "cls"])
+    own = merged.groupBy("accession").agg(F.collect_list(F.struct("cls", F.col("s0").cast("bigint").alias("s0"), (F.col("s1") - F.col("s0")).cast("bigint").alias("len"))).alias("spans"))
+    text = F.concat_ws("|", "accession", "frag_id").alias("text")
+    rows = draws.dealt(sized.join(own, "accession").select(text, F.col("frag_start").cast("bigint").alias("frag_start"), F.col("n").cast("bigint").alias("n"), "spans"), "text")
+    hits = draws.placed_hits(rows, b, length, share, seed)
     grid = spans.select("cls").distinct().select("cls", F.explode(F.sequence(F.lit(0), F.lit(b))).alias("perm"))
     n = F.broadcast(sized.agg(F.count("*").alias("_n")))
     shares = grid.join(hits, ["cls", "perm"], "left").join(n, F.lit(True)).select("cls", "perm", (F.coalesce("h", F.lit(0)) / F.col("_n")).alias("x"))
@@ -127,18 +126,16 @@ def placement_null(fragments: DataFrame, genomes: DataFrame, spans: DataFrame, b
 def position_perm(windows: DataFrame, b: int, seed: int = 42) -> DataFrame:
     """Top windows drawn anew, b times: observed log odds ratio (Haldane), null mean, two-sided p, the null odds ratio's mean and 95 % interval, and a gate.
 
-    windows has (accession, window_index, is_top, cls, inside). Only the drawn window of a genome moves from low to high, so a draw
-    brings one row a class and the rest of its table follows from totals. The gate is `keep_primary` where p is under 0.05 and the
+    windows has (accession, window_index, is_top, cls, inside). Only the drawn window of a genome moves from low to high, so the rest of a table
+    follows from totals. A genome is one row that makes its draws in numpy; tasks send counts by class and permutation. The gate is `keep_primary` where p is under 0.05 and the
     observed ratio over the null's upper end or mean, `directional_downgrade` where it is over 1 without that p, else `null_reproduces_or_nonspecific`.
     """
-    count = windows.groupBy("accession").agg(F.count_distinct("window_index").alias("_w"))
-    drawn = count.select("accession", F.explode(F.sequence(F.lit(1), F.lit(b))).alias("perm"), "_w").select("accession", "perm", (draw(seed, F.col("perm"), F.col("accession")) % F.col("_w")).alias("window_index"))
-    top = windows.where("is_top").select("accession", F.lit(0).alias("perm"), F.col("window_index").cast("bigint").alias("window_index")).distinct()
-    i = F.col("inside").cast("bigint")
-    high = drawn.unionByName(top).join(windows.select("accession", "window_index", "cls", "inside"), ["accession", "window_index"]).groupBy("cls", "perm").agg(F.sum(i).alias("a"), F.count("*").alias("_high"))
-    every = windows.groupBy("cls").agg(F.sum(i).alias("_in"), F.count("*").alias("_all"))
-    a, h = F.col("a"), F.col("_high")
-    tables = high.join(every, "cls").select("cls", "perm", *[(x + 0.5).alias(c) for c, x in zip("abcd", (a, h - a, F.col("_in") - a, F.col("_all") - h - F.col("_in") + a), strict=True)])
+    row = F.struct(F.col("window_index").cast("bigint").alias("window_index"), F.coalesce("is_top", F.lit(False)).alias("top"), "cls", F.coalesce(F.col("inside").cast("bigint"), F.lit(0)).alias("inside"))
+    genomes = windows.groupBy("accession").agg(F.collect_list(row).alias("windows")).select(F.col("accession").cast("string").alias("text"), "windows")
+    high = draws.top_windows(draws.dealt(genomes, "text"), b, seed)
+    every = high.where("perm = 0").select("cls", F.col("inside").alias("_in"), F.col("every").alias("_all"))
+    a, h = F.col("a"), F.col("high")
+    tables = high.where("high > 0").join(every, "cls").select("cls", "perm", *[(x + 0.5).alias(c) for c, x in zip("abcd", (a, h - a, F.col("_in") - a, F.col("_all") - h - F.col("_in") + a), strict=True)])
     odds = tables.select("cls", "perm", F.round(F.log(F.col("a") * F.col("d") / (F.col("b") * F.col("c"))), 6).alias("x"))
     null = odds.where("perm > 0").join(odds.where("perm = 0").select("cls", F.col("x").alias("observed")), "cls")
     ratio = F.round(F.exp("x"), 6)

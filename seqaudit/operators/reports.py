@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import let
 from ..functions.keyed import draw
-from . import controls, intervals, panels, statistics
+from . import controls, draws, intervals, panels, statistics
 from .probes import ALPHAS, _square, fitted, moment_table, moments, oof_ridge, pick_alpha, probe_gap, scored
 from .rows import finite_rows
 from .splits import hash_rank, kfold_random
@@ -186,24 +186,13 @@ def locus_set_null(track: DataFrame, loci: DataFrame, b_outer: int, b_inner: int
     """One row: Stouffer T of the loci's circular-shift z, and its p against random loci of the same lengths.
 
     loci has one [s0, s1) a key. For outer permutation 0 the locus itself, else one at a random start, is compared with b_inner shifts of
-    the track; T sums the z over the keys. Draws are counted by place before any lookup, and the mass of a place comes from prefix
-    sums once. A track may have gaps; genomes (key, n) gives lengths, else a genome ends with its last position.
+    the track; T sums the z over the keys. A genome is one row that makes its draws in numpy and looks masses up in prefix sums. A track may have
+    gaps; genomes (key, n) gives lengths, else a genome ends with its last position.
     """
-    size = (genomes or intervals.track_lengths(track, key)).select(key, F.col("n").cast("bigint").alias("n"))
-    own = loci.select(key, F.col("s0").cast("bigint").alias("s0"), (F.col("s1") - F.col("s0")).cast("bigint").alias("len")).join(size, key).where("n > len + 1 and len > 0")
-    parts = int(track.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    outer = own.select("*", F.explode(F.sequence(F.lit(0), F.lit(b_outer))).alias("outer")).repartition(parts, key, "outer")  # a few loci make many draws
-    start = F.when(F.col("outer") == 0, F.col("s0")).otherwise(draw(seed, F.lit("locus"), F.col("outer"), F.col(key)) % (F.col("n") - F.col("len")))
-    inner = outer.select(key, "len", "n", "outer", start.alias("start"), F.explode(F.sequence(F.lit(0), F.lit(b_inner))).alias("inner"))
-    move = F.when(F.col("inner") == 0, 0).otherwise(draw(seed, F.lit("shift"), F.col("outer"), F.col("inner"), F.col(key)) % F.col("n"))
-    placed = inner.select(key, "len", "n", "outer", "inner", ((F.col("start") + move) % F.col("n")).alias("a"))
-    counted = placed.groupBy(key, "len", "n", "outer", "a").agg(F.count_if(F.col("inner") > 0).alias("times"), F.count_if(F.col("inner") == 0).alias("own"))
-    mass = intervals.circular_mass(track, counted.select(key, "a", "len", "n").distinct(), key).select(key, "a", F.round("mass", 6).alias("mass"))
-    met = counted.join(mass, [key, "a"])
-    mean = F.sum(F.col("times") * F.col("mass")) / b_inner
-    square = F.sum(F.col("times") * F.col("mass") * F.col("mass")) / b_inner
-    z = met.groupBy(key, "outer").agg(F.max(F.when(F.col("own") > 0, F.col("mass"))).alias("seen"), mean.alias("mean"), F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))).alias("sd"))
-    t = z.groupBy("outer").agg(F.count("*").alias("n"), F.round(F.sum((F.col("seen") - F.col("mean")) / (F.col("sd") + 1e-6)) / F.sqrt(F.count("*")), 4).alias("t"))
+    rows = draws.genome_rows(track, loci.withColumn("cls", F.lit("")), genomes or intervals.track_lengths(track, key), key, "cls")
+    fit = rows.where((F.col("spans")[0]["len"] > 0) & (F.col("n") > F.col("spans")[0]["len"] + 1))
+    z = draws.locus_z(fit, b_outer, b_inner, seed)
+    t = z.select("outer", "n", F.round(F.col("z") / F.sqrt("n"), 4).alias("t"))
     seen = F.broadcast(t.where("outer = 0").select("n", F.col("t").alias("t_observed")))
     null = t.where("outer > 0").select("t").join(seen, F.lit(True))
     return null.groupBy("n", "t_observed").agg(((1 + F.count_if(F.col("t") >= F.col("t_observed"))) / (1 + F.count("*"))).alias("p"), F.avg("t").alias("null_mean"), F.percentile("t", F.lit(0.95)).alias("null_p95"))
