@@ -39,14 +39,13 @@ def shift_top_null(track: DataFrame, spans: DataFrame, q: float, b: int, key: st
 def label_perm_global(df: DataFrame, id_col: str, pred: str, y: str, b: int, seed: int = 42) -> DataFrame:
     """Spearman of stored predictions with y, and its mean, sd and p when y is shuffled over all rows, b times.
 
-    A shuffle moves ranks and leaves their mean and spread, so both sides are ranked once and a permutation is the sum of
-    products over one join. Rows without either value go. All null if a side is constant.
+    A shuffle moves ranks and leaves their mean and spread, so both sides are ranked once and a permutation is a sum of
+    products, taken in numpy over blocks of rows. Rows without either value go. All null if a side is constant.
     """
     known = df.where(F.col(pred).isNotNull() & F.col(y).isNotNull()).select(F.col(id_col).alias("id"), F.col(pred).alias("pred"), F.col(y).alias("y"))
     ranked = average_rank(average_rank(known, "pred", [], "a"), "y", [], "b").select("id", "a", "b")
     fixed = ranked.agg(F.count("*").alias("n"), F.avg("a").alias("ma"), F.avg("b").alias("mb"), F.sqrt(F.var_pop("a") * F.var_pop("b")).alias("s"), F.sum(F.col("a") * F.col("b")).alias("seen"))
-    rows, placed = splits._placed(ranked, "id", None, b, seed)
-    sums = placed.select("perm", "a", "_j").join(rows.select(F.col("_i").alias("_j"), "b"), "_j").groupBy("perm").agg(F.sum(F.col("a") * F.col("b")).alias("x"))
+    sums = draws.permuted_sums(splits.hash_rank(ranked, "id", seed, "_i"), "a", "b", b, seed)
     rho = lambda x: F.round(F.try_divide(F.col(x) / F.col("n") - F.col("ma") * F.col("mb"), F.col("s")), 6)
     null = sums.join(F.broadcast(fixed), F.lit(True)).select(rho("x").alias("rho"), rho("seen").alias("observed"))
     p = (1 + F.count_if(F.col("rho") >= F.col("observed"))) / (1 + F.count("*"))

@@ -194,3 +194,58 @@ def locus_z(rows: DataFrame, b_outer: int, b_inner: int, seed: int) -> DataFrame
             yield pa.record_batch([pa.array(range(b_outer + 1), pa.int32()), pa.array([number] * (b_outer + 1), pa.int64()), pa.array(total)], names=["outer", "n", "z"])
 
     return rows.mapInArrow(run, "outer int, n bigint, z double").groupBy("outer").agg(F.sum("n").alias("n"), F.sum("z").alias("z"))
+
+
+def shuffled_places(perms: list[int], n: int, seed: int, own: np.ndarray, rounds: int = 4):
+    """For each permutation the places to which it sends the places `own` of 0..n-1, as shuffled_place(own, n, [seed, perm]) does. A round's
+    shifts depend on one digit of base sqrt(n) only, so a permutation hashes 4 * sqrt(n) texts."""
+    base = max(1, int(np.ceil(np.sqrt(n))))
+    digits = [str(r) for r in range(base)]
+    for low in range(0, len(perms), 16):
+        some = perms[low : low + 16]
+        turns = (draw_grid([f"{seed}|{p}|{j}|" for p in some for j in range(rounds)], digits, [""] * (len(some) * rounds)) % base).astype(np.int32)
+
+        def sent(x, tables):
+            left, right = np.divmod(x, np.int32(base))
+            for table in tables:
+                left, right = right, left + table[right]
+                right -= np.where(right >= base, np.int32(base), np.int32(0))
+            return left * np.int32(base) + right
+
+        for i, p in enumerate(some):
+            tables = turns[i * rounds : (i + 1) * rounds]
+            x = sent(own, tables)
+            while len(over := np.flatnonzero(x >= n)):
+                x[over] = sent(x[over], tables)
+            yield p, x
+
+
+def permuted_sums(rows: DataFrame, a: str, b: str, perms: int, seed: int, block: int = 1 << 20) -> DataFrame:
+    """(perm, x): the sum of a * b over all rows, b being that of the place a shuffle gives each row; rows have their place in _i, under 2 ** 31.
+
+    Places come in blocks as arrays; a task has one block of a, one of b and some permutations, and adds up the pairs that meet in them. So a
+    task's memory is bounded, and up to `block` rows each place is computed once.
+    """
+    packed = rows.groupBy(F.floor(F.col("_i") / block).alias("at")).agg(F.array_sort(F.collect_list(F.struct("_i", F.col(a).alias("a"), F.col(b).alias("b")))).alias("v"))
+    n = rows.agg(F.count("*").alias("n"))
+    chunks = min(perms, 64)
+    pairs = packed.select("at", F.col("v.a").alias("a")).crossJoin(packed.select(F.col("at").alias("to"), F.col("v.b").alias("b"))).crossJoin(n)
+    tasks = dealt(pairs.select("*", F.explode(F.sequence(F.lit(1), F.lit(chunks))).alias("chunk")), "at", "to", "chunk")
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                at, to, n, chunk = (batch.column(c)[i].as_py() for c in ("at", "to", "n", "chunk"))
+                x, y = (batch.column(c)[i].values.to_numpy() for c in ("a", "b"))
+                own = np.arange(at * block, at * block + len(x), dtype=np.int32)
+                got = []
+                for perm, place in shuffled_places(list(range(chunk, perms + 1, chunks)), n, seed, own):
+                    place = place - np.int32(to * block)
+                    if n > block:
+                        met = (place >= 0) & (place < len(y))
+                        got.append((perm, float(x[met] @ y[place[met]])))
+                    else:
+                        got.append((perm, float(x @ y[place])))
+                yield pa.record_batch([pa.array([p for p, _ in got], pa.int32()), pa.array([s for _, s in got], pa.float64())], names=["perm", "x"])
+
+    return tasks.mapInArrow(run, "perm int, x double").groupBy("perm").agg(F.sum("x").alias("x"))
