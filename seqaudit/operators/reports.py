@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
+import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import let
 from ..functions.keyed import draw
 from . import controls, draws, intervals, panels, statistics
 from .probes import ALPHAS, _square, fitted, moment_table, moments, oof_ridge, pick_alpha, probe_gap, scored
@@ -225,14 +226,25 @@ def known_locus_summary(scores: DataFrame, families: DataFrame, key: str = "acce
 PRIME = 2_147_483_647
 
 
-def minhashes(text: Column, k: int = 7, stride: int = 31, hashes: int = 128) -> Column:
-    """The least hash of a text's k-mers, one every stride letters, under each of so many hash functions; null under k letters."""
-    starts = F.sequence(F.lit(1), F.length(text) - k + 1, F.lit(stride))
-    mers = F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(k))))
-    word = lambda digest, at: F.conv(F.substring(digest, at, 8), 16, 10).cast("bigint") % PRIME
-    pairs = F.transform(F.transform(mers, lambda m: F.md5(m)), lambda d: F.struct(word(d, 1).alias("u"), word(d, 9).alias("v")))
-    least = lambda own: F.transform(F.sequence(F.lit(1), F.lit(hashes)), lambda h: F.array_min(F.transform(own, lambda x: (x["u"] + h * x["v"]) % PRIME)))
-    return F.when(F.length(text) >= k, let(pairs, least))
+def minhashes(df: DataFrame, id_col: str, text: Column, names: tuple[str, str], k: int = 7, stride: int = 31, hashes: int = 128) -> DataFrame:
+    """(id, hashes): the least hash of a text's k-mers, one every stride letters, under each of so many hash functions; no row under k letters."""
+    prime, turn = np.int64(PRIME), np.arange(1, hashes + 1, dtype=np.int64)[:, None]
+
+    def least(batches):
+        for batch in batches:
+            out = []
+            for x in batch.column("x").to_pylist():
+                mers = {x[i : i + k] for i in range(0, len(x) - k + 1, stride)}
+                words = np.frombuffer(b"".join(hashlib.md5(m.encode()).digest()[:8] for m in mers), ">u4").astype(np.int64).reshape(-1, 2) % prime
+                own = np.full(hashes, prime)
+                for low in range(0, len(words), 4096):
+                    part = words[low : low + 4096]
+                    own = np.minimum(own, ((part[:, 0] + turn * part[:, 1]) % prime).min(axis=1))
+                out.append(own)
+            yield pa.record_batch([batch.column("id"), pa.array(out, pa.list_(pa.int64()))], names=list(names))
+
+    rows = df.select(F.col(id_col).alias("id"), text.alias("x")).where(F.length("x") >= k)
+    return rows.mapInArrow(least, f"{names[0]} {df.schema[id_col].dataType.simpleString()}, {names[1]} array<bigint>")
 
 
 def minhash_leakage(a: DataFrame, b: DataFrame, id_col: str, seq: str, k: int = 7, stride: int = 31, hashes: int = 128, rows: int = 8, least: float = 0.5, salts: int = 32, often: int = 1000) -> DataFrame:
@@ -242,9 +254,7 @@ def minhash_leakage(a: DataFrame, b: DataFrame, id_col: str, seq: str, k: int =
     id for all of a, and a signature is compared once for all its rows of b, so copies do not multiply pairs. A band value that over
     `often` signatures of a hold is dealt over `salts` tasks: each takes its part of a, and b's signatures go to all. Null texts and those under k letters meet nothing.
     """
-    def signed(df, side):
-        return df.select(F.col(id_col).alias(f"id_{side}"), minhashes(F.upper(seq), k, stride, hashes).alias(f"m_{side}")).where(f"m_{side} is not null")
-
+    signed = lambda df, side: minhashes(df, id_col, F.upper(seq), (f"id_{side}", f"m_{side}"), k, stride, hashes)
     bands = lambda m: F.transform(F.sequence(F.lit(0), F.lit(hashes // rows - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(F.slice(m, i * rows + 1, rows)).alias("value")))
     x = signed(a, "a").groupBy("m_a").agg(F.min("id_a").alias("id_a"))
     y = signed(b, "b")
