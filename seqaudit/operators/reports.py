@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 
@@ -158,28 +159,30 @@ def logit_adjust(windows: DataFrame, high: str, exposure: str, covariates: list[
     """(model, coefficient, odds_ratio, auroc): logistic coefficient of a 0/1 exposure for a 0/1 `high`, crude and with covariates.
 
     Covariates are standardised; the penalty is half the squared norm over the rows (C = 1). auroc is that of
-    rows scored by models fitted to other groups, dealt in folds of whole groups. Rows with a null go.
+    rows scored by models fitted to other groups, dealt in folds of whole groups. Rows with a null go. Rows are counted by label, values and fold
+    once, so the fits read these counts.
     """
     rows = windows.select(F.col(high).cast("double").alias("label"), F.col(exposure).cast("double").alias("_e"), *[F.col(c).cast("double").alias(c) for c in covariates], F.col(group).alias("grp")).dropna()
     first = rows.agg(F.count("*").alias("n"), *[f(c).alias(f"{p}{i}") for i, c in enumerate(covariates) for p, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     z = [((F.col(c) - first[f"m{i}"]) / (first[f"s{i}"] or 1.0)) for i, c in enumerate(covariates)] if first["n"] else []
     out = []
     for model, extra in (("crude", []), ("adjusted", z)):
-        table = rows.select("label", "grp", array_to_vector(F.array("_e", *extra)).alias("features"), group_fold("grp", folds).alias("fold"))
-        fit = lambda part, n: LogisticRegression(regParam=1 / n, elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-9).fit(part)
-        if not first["n"] or table.select("label").distinct().count() < 2:
-            continue
-        w = float(fit(table, first["n"]).coefficients[0])
-        parts = []
-        for fold in range(folds):
-            train, test = table.where(F.col("fold") != fold), table.where(F.col("fold") == fold)
-            if train.select("label").distinct().count() == 2:
-                parts.append(fit(train, train.count()).transform(test).select(F.lit(1).alias("_all"), "label", vector_to_array("probability")[1].alias("p")))
-        pooled = parts[0] if parts else None
-        for p in parts[1:]:
-            pooled = pooled.unionByName(p)
-        area = statistics.auroc(pooled, "label", "p", ["_all"]).first() if parts else None
-        out.append((model, w, math.exp(w), area["auroc"] if area else None))
+        # rows alike in all that a model reads are one weighted row
+        table = rows.groupBy("label", F.array("_e", *extra).alias("x"), group_fold("grp", folds).alias("fold")).agg(F.count("*").cast("double").alias("weight"))
+        table = table.select("label", array_to_vector("x").alias("features"), "fold", "weight").persist()
+        fit = lambda part, n: LogisticRegression(regParam=1 / n, elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-9, weightCol="weight").fit(part)
+        sizes = {(r["fold"], r["label"]): r["n"] for r in table.groupBy("fold", "label").agg(F.sum("weight").alias("n")).collect()}
+        if len({label for _, label in sizes}) == 2:
+            w = float(fit(table, sum(sizes.values())).coefficients[0])
+            parts = []
+            for fold in range(folds):
+                rest = {k: n for k, n in sizes.items() if k[0] != fold}
+                if len({label for _, label in rest}) == 2:
+                    scored_rows = fit(table.where(F.col("fold") != fold), sum(rest.values())).transform(table.where(F.col("fold") == fold))
+                    parts.append(scored_rows.select(F.lit(1).alias("_all"), "label", vector_to_array("probability")[1].alias("p"), "weight"))
+            area = statistics.auroc(functools.reduce(DataFrame.unionByName, parts), "label", "p", ["_all"], "weight").first() if parts else None
+            out.append((model, w, math.exp(w), area["auroc"] if area else None))
+        table.unpersist()
     return windows.sparkSession.createDataFrame(out, "model string, coefficient double, odds_ratio double, auroc double")
 
 
