@@ -155,7 +155,7 @@ def encode_words(dealt: DataFrame, rank_file: str) -> DataFrame:
     return dealt.sortWithinPartitions("dest").mapInArrow(encode, "dest bigint, bucket bigint, ids binary")
 
 
-def encode(docs: DataFrame, rank_file: str, id_col: str = "doc_id", text_col: str = "text", words_in_chunk: int = 2_000_000, buckets: int | None = None, digests: bool = False) -> DataFrame:
+def encode(docs: DataFrame, rank_file: str, id_col: str = "doc_id", text_col: str = "text", words_in_chunk: int = 1_000_000, buckets: int | None = None, digests: bool = False) -> DataFrame:
     """One row per document: id_col, n_tokens and ids (array<int>), or with digests=True the ids'
     and the decoded bytes' SHA-256 in place of the ids.
 
