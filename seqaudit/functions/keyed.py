@@ -50,13 +50,25 @@ _SHIFTS = ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21))
 _SINES = [int(abs(math.sin(i + 1)) * 2**32) & 0xFFFFFFFF for i in range(64)]
 
 
-def _md5_head(block: np.ndarray) -> np.ndarray:
-    """The first 32 bits of the md5 of texts that fill one padded block each, (m, 64) bytes, as whole numbers."""
-    words = np.ascontiguousarray(block.view("<u4").T)
-    fixed = [bool((w == w[0]).all()) for w in words]
-    a, b, c, d = (np.full(len(block), v, np.uint32) for v in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476))
+def _md5_head(rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """The first 32 bits of the md5 of texts that fill one padded block each, as whole numbers: block [r, c] is rows[r] + columns[c], 16 words each.
+
+    A word alike in all rows and columns goes into the constant of its round, and rounds before the first other word are done once.
+    """
+    words, lead = [], 0
+    for g in range(16):
+        x, y = rows[:, g], columns[:, g]
+        same = [bool((v == v[0]).all()) for v in (x, y)]
+        words.append((int(x[0]) * same[0] + int(y[0]) * same[1], None if same[0] else x[:, None].copy(), None if same[1] else y[None, :].copy()))
+        lead += lead == g and all(same)
+    a, b, c, d = 0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476
+    for i in range(lead):
+        f = (a + ((b & c) | (~b & d)) + _SINES[i] + words[i][0]) & 0xFFFFFFFF
+        s = _SHIFTS[0][i % 4]
+        a, b, c, d = d, (b + (f << s | f >> (32 - s))) & 0xFFFFFFFF, b, c
+    a, b, c, d = (np.full((len(rows), len(columns)), v, np.uint32) for v in (a, b, c, d))
     f, t = np.empty_like(a), np.empty_like(a)
-    for i in range(61):  # the last three rounds leave the first word
+    for i in range(lead, 61):  # the last three rounds leave the first word
         turn = i // 16
         if turn == 0:
             np.bitwise_xor(c, d, out=f), np.bitwise_and(f, b, out=f), np.bitwise_xor(f, d, out=f)
@@ -66,26 +78,26 @@ def _md5_head(block: np.ndarray) -> np.ndarray:
             np.bitwise_xor(b, c, out=f), np.bitwise_xor(f, d, out=f)
         else:
             np.invert(d, out=f), np.bitwise_or(f, b, out=f), np.bitwise_xor(f, c, out=f)
-        g = (i, 5 * i + 1, 3 * i + 5, 7 * i)[turn] % 16
-        np.add(a, f, out=f)
-        if fixed[g]:
-            np.add(f, np.uint32((_SINES[i] + int(words[g][0])) & 0xFFFFFFFF), out=f)
-        else:
-            np.add(f, words[g], out=f), np.add(f, np.uint32(_SINES[i]), out=f)
+        known, *others = words[(i, 5 * i + 1, 3 * i + 5, 7 * i)[turn] % 16]
+        np.add(a, f, out=f), np.add(f, np.uint32((_SINES[i] + known) & 0xFFFFFFFF), out=f)
+        for x in others:
+            if x is not None:
+                np.add(f, x, out=f)
         s = _SHIFTS[turn][i % 4]
         np.right_shift(f, np.uint32(32 - s), out=t), np.left_shift(f, np.uint32(s), out=f)
         np.bitwise_or(f, t, out=f), np.add(f, b, out=f)
         a, b, c, d, f = d, f, b, c, a
-    return (b + np.uint32(0x67452301)).byteswap().astype(np.int64)
+    return np.add(b, np.uint32(0x67452301), out=f).byteswap(inplace=True)
 
 
-def draw_grid(before: list[str], inner: list[str], after: list[str], at_once: int = 65536) -> np.ndarray:
+def draw_grid(before: list[str], inner: list[str], after: list[str], at_once: int = 32768, dtype=np.int64) -> np.ndarray:
     """draw() in numpy inside a task, for texts known by row and column: [r, c] is the draw of the text before[r] + inner[c] + after[r].
 
-    Texts of equal lengths are hashed together; one that is over a block of md5 is hashed alone. Results are those of draw().
+    Texts of equal lengths are hashed together, `at_once` at a time so that they stay in the cache; one that is over a block of md5 is hashed
+    alone. Results are those of draw(); dtype may be np.uint32, which holds them too.
     """
     rows, columns = [(a.encode(), b.encode()) for a, b in zip(before, after, strict=True)], [x.encode() for x in inner]
-    out = np.empty((len(rows), len(columns)), np.int64)
+    out = np.empty((len(rows), len(columns)), dtype)
     by_row: dict = {}
     for r, (a, b) in enumerate(rows):
         by_row.setdefault((len(a), len(b)), []).append(r)
@@ -100,17 +112,14 @@ def draw_grid(before: list[str], inner: list[str], after: list[str], at_once: in
                     out[r, cs] = [int.from_bytes(hashlib.md5(rows[r][0] + columns[c] + rows[r][1]).digest()[:4]) for c in cs]
                 continue
             heads, tails, middles = (np.frombuffer(b"".join(v), np.uint8).reshape(len(v), -1) for v in ([rows[r][0] for r in own], [rows[r][1] for r in own], [columns[c] for c in cs]))
+            outer, between = np.zeros((len(own), 64), np.uint8), np.zeros((len(cs), 64), np.uint8)
+            outer[:, :la], outer[:, la + lx : n], between[:, la : la + lx] = heads, tails, middles
+            outer[:, n], outer[:, 56], outer[:, 57] = 128, (8 * n) & 255, (8 * n) >> 8
+            outer, between = outer.view("<u4"), between.view("<u4")
             wide = max(1, at_once // len(cs))
             for low in range(0, len(own), wide):
-                part = own[low : low + wide]
                 for left in range(0, len(cs), at_once):
-                    some = cs[left : left + at_once]
-                    block = np.zeros((len(part), len(some), 64), np.uint8)
-                    block[:, :, :la] = heads[low : low + wide, None]
-                    block[:, :, la : la + lx] = middles[None, left : left + at_once]
-                    block[:, :, la + lx : n] = tails[low : low + wide, None]
-                    block[:, :, n], block[:, :, 56], block[:, :, 57] = 128, (8 * n) & 255, (8 * n) >> 8
-                    out[np.ix_(part, some)] = _md5_head(block.reshape(-1, 64)).reshape(len(part), len(some))
+                    out[np.ix_(own[low : low + wide], cs[left : left + at_once])] = _md5_head(outer[low : low + wide], between[left : left + at_once])
     return out
 
 

@@ -14,8 +14,11 @@ from ..functions.keyed import draw_grid
 
 
 def dealt(df: DataFrame, *cols) -> DataFrame:
-    """df over all shuffle partitions by the columns: few small rows make much work here, so Spark must not gather them in a few tasks."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
+    """df over all shuffle partitions by the columns: few small rows make much work here, so Spark must not gather them in a few tasks.
+
+    They go by a hash of the columns, as Spark leaves out a shuffle by columns that a join has dealt by, and merges the join's small partitions.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(*cols, F.lit("dealt")))
 
 
 def genome_rows(track: DataFrame, spans: DataFrame, size: DataFrame, key: str, cls: str) -> DataFrame:
@@ -177,19 +180,24 @@ def locus_z(rows: DataFrame, b_outer: int, b_inner: int, seed: int) -> DataFrame
             if not batch.num_rows:
                 continue
             lengths, after, tracks, spans = batch.column("n").to_numpy(), keyed_rows(batch), pieces(batch, "track"), pieces(batch, "spans")
-            for n, text, track, span in zip(lengths, after, tracks, spans, strict=True):
-                circle, length = Circle(track, int(n)), int(span["len"][0])
-                start = np.append(span["s0"][0], draw_grid([f"{seed}|locus|"], outers[1:], [text])[0] % (n - length))
-                whole = sixth(circle.mass(np.arange(n), length)) if n <= b_outer * b_inner else None
-                score = lambda a: whole[a] if whole is not None else sixth(circle.mass(a, length))  # noqa: B023, E731
-                moved = draw_grid([f"{seed}|shift|{o}|" for o in outers], inner, [text] * len(outers))
-                moved += start[:, None]
-                moved %= n
-                null = score(moved)
-                mean = null.sum(axis=1) / b_inner
-                sd = np.sqrt(np.maximum((null * null).sum(axis=1) / b_inner - mean * mean, 0))
-                total += (score(start % n) - mean) / (sd + 1e-6)
-                number += 1
+            for low in range(0, len(after), 4):  # a few genomes are drawn at once, as their texts are much alike
+                some = after[low : low + 4]
+                starts = draw_grid([f"{seed}|locus|"] * len(some), outers[1:], some)
+                moves = draw_grid([f"{seed}|shift|{o}|" for _ in some for o in outers], inner, [t for t in some for _ in outers], dtype=np.uint32).reshape(len(some), len(outers), -1)
+                for i, (drawn, moved) in enumerate(zip(starts, moves, strict=True), low):
+                    n, circle, length = int(lengths[i]), Circle(tracks[i], int(lengths[i])), int(spans[i]["len"][0])
+                    start = np.append(spans[i]["s0"][0], drawn % (n - length)) % n
+                    moved -= moved // np.uint32(n) * np.uint32(n)
+                    at = moved + start[:, None]
+                    if n <= b_outer * b_inner:
+                        whole = np.tile(sixth(circle.mass(np.arange(n), length)), 2)
+                        seen, null = whole[start], whole.take(at)
+                    else:
+                        seen, null = sixth(circle.mass(start, length)), sixth(circle.mass(at % n, length))
+                    mean = null.sum(axis=1) / b_inner
+                    sd = np.sqrt(np.maximum(np.einsum("oi,oi->o", null, null) / b_inner - mean * mean, 0))
+                    total += (seen - mean) / (sd + 1e-6)
+                    number += 1
         if number:
             yield pa.record_batch([pa.array(range(b_outer + 1), pa.int32()), pa.array([number] * (b_outer + 1), pa.int64()), pa.array(total)], names=["outer", "n", "z"])
 

@@ -197,9 +197,9 @@ def locus_set_null(track: DataFrame, loci: DataFrame, b_outer: int, b_inner: int
     fit = rows.where((F.col("spans")[0]["len"] > 0) & (F.col("n") > F.col("spans")[0]["len"] + 1))
     z = draws.locus_z(fit, b_outer, b_inner, seed)
     t = z.select("outer", "n", F.round(F.col("z") / F.sqrt("n"), 4).alias("t"))
-    seen = F.broadcast(t.where("outer = 0").select("n", F.col("t").alias("t_observed")))
-    null = t.where("outer > 0").select("t").join(seen, F.lit(True))
-    return null.groupBy("n", "t_observed").agg(((1 + F.count_if(F.col("t") >= F.col("t_observed"))) / (1 + F.count("*"))).alias("p"), F.avg("t").alias("null_mean"), F.percentile("t", F.lit(0.95)).alias("null_p95"))
+    # n is the same in all b_outer + 1 rows; a window reads them once, where a join would make all draws again
+    seen = t.withColumn("t_observed", F.max(F.when(F.col("outer") == 0, F.col("t"))).over(Window.partitionBy("n")))
+    return seen.where("outer > 0").groupBy("n", "t_observed").agg(((1 + F.count_if(F.col("t") >= F.col("t_observed"))) / (1 + F.count("*"))).alias("p"), F.avg("t").alias("null_mean"), F.percentile("t", F.lit(0.95)).alias("null_p95"))
 
 
 def known_locus_scores(track: DataFrame, loci: DataFrame, b: int, key: str = "accession", cls: str = "cls", seed: int = 42) -> DataFrame:
