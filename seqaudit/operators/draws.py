@@ -257,3 +257,49 @@ def permuted_sums(rows: DataFrame, a: str, b: str, perms: int, seed: int, block:
                 yield pa.record_batch([pa.array([p for p, _ in got], pa.int32()), pa.array([s for _, s in got], pa.float64())], names=["perm", "x"])
 
     return tasks.mapInArrow(run, "perm int, x double").groupBy("perm").agg(F.sum("x").alias("x"))
+
+
+def resampled_ranks(cells: DataFrame, groups: int, reps: int, seed: int, block: int = 1 << 14) -> DataFrame:
+    """(rep, n, xx, yy, xy): rows and centred sums of squares and products of the mid-ranks of two sides, in each replicate of drawn groups.
+
+    cells (g, x, y, w) counts rows by group, 0..groups - 1, and by the place, from 0, of each side's value among its distinct ones. A replicate
+    is how often each group is drawn, so it weighs counts and no row is repeated. Values come in blocks; a task has the counts of one block of each
+    side by group, what lies before them, the cells where both meet, and some replicates. So its memory is bounded by block values times groups.
+    """
+    cells = cells.withColumns({f"{c}_block": F.floor(F.col(c) / block) for c in "xy"})
+    packed = cells.groupBy("x_block", "y_block").agg(F.collect_list(F.struct("g", (F.col("x") % block).alias("x"), (F.col("y") % block).alias("y"), "w")).alias("cells"))
+    for c in "xy":
+        own = cells.groupBy(f"{c}_block", F.col(c).alias("v"), "g").agg(F.sum("w").alias("w"))
+        totals = own.groupBy(F.col(f"{c}_block").alias("of"), "g").agg(F.sum("w").alias("w"))
+        sums = totals.crossJoin(own.select(f"{c}_block").distinct()).groupBy(f"{c}_block", "g").agg(F.sum("w").alias("all"), F.sum(F.when(F.col("of") < F.col(f"{c}_block"), F.col("w")).otherwise(0)).alias("before"))
+        lists = own.groupBy(f"{c}_block").agg(F.array_sort(F.collect_list(F.struct((F.col("v") % block).alias("v"), "g", "w"))).alias(f"{c}_counts"))
+        packed = packed.join(lists, f"{c}_block").join(sums.groupBy(f"{c}_block").agg(F.collect_list(F.struct("g", "all", "before")).alias(f"{c}_sums")), f"{c}_block")
+    chunks = min(reps, 32)
+    tasks = dealt(packed.select("*", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk")), "x_block", "y_block", "chunk")
+
+    def ranks(counts, sums, times, n):
+        weights, starts = counts["w"] * times[counts["g"]], np.flatnonzero(np.diff(counts["v"], prepend=-1))
+        ties = np.add.reduceat(weights, starts)
+        out = np.zeros(int(counts["v"][-1]) + 1)
+        out[counts["v"][starts]] = sums["before"] @ times[sums["g"]] + np.cumsum(ties) - ties + (ties + 1) / 2 - (n + 1) / 2
+        return out
+
+    def run(batches):
+        inner = [str(j) for j in range(groups)]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = ("cells", "x_counts", "y_counts", "x_sums", "y_sums")
+            for chunk, *own in zip(batch.column("chunk").to_pylist(), *(pieces(batch, name) for name in names), strict=True):
+                met, x_counts, y_counts, x_sums, y_sums = own
+                got = []
+                for rep in range(chunk, reps, chunks):
+                    times = np.bincount(draw_grid([f"{seed}|{rep}|"], inner, [""])[0] % groups, minlength=groups).astype(float)
+                    n = x_sums["all"] @ times[x_sums["g"]]
+                    x, y = ranks(x_counts, x_sums, times, n)[met["x"]], ranks(y_counts, y_sums, times, n)[met["y"]]
+                    weights = met["w"] * times[met["g"]]
+                    got.append((rep, n, *(float(weights @ (p * q)) for p, q in ((x, x), (y, y), (x, y)))))
+                kinds = [pa.int32(), *[pa.float64()] * 4]
+                yield pa.record_batch([pa.array(v, t) for v, t in zip(zip(*got, strict=True), kinds, strict=True)], names=["rep", "n", "xx", "yy", "xy"])
+
+    return tasks.mapInArrow(run, "rep int, n double, xx double, yy double, xy double").groupBy("rep").agg(F.max("n").cast("bigint").alias("n"), *[F.sum(c).alias(c) for c in ("xx", "yy", "xy")]).where("n > 0")

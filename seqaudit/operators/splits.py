@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import null_safe_join
 from ..functions.keyed import draw, shuffled_place
-from .statistics import spearman
+from .draws import resampled_ranks
+from .statistics import run_up
 
 
 def group_split(df: DataFrame, group: str, test_size: float = 0.2, seed: int = 42) -> DataFrame:
@@ -87,12 +88,15 @@ def label_perm(df: DataFrame, id_col: str, y: str, stratum: str | None, b: int,
     return null_safe_join(placed.drop("permuted"), labels, [*by, "_j"]).select("perm", "id", "permuted")
 
 
-def group_bootstrap(df: DataFrame, group: str, a: str, b: str, reps: int, seed: int = 42) -> DataFrame:
-    """Spearman of each replicate in which groups are drawn with replacement; null where a side is constant. Groups are numbered by hash."""
-    groups = hash_rank(df.where(F.col(group).isNotNull()).select(group).distinct(), group, seed, "_n")
-    n = groups.count()
-    draws = df.sparkSession.range(reps * n).select((F.col("id") / n).cast("int").alias("rep"), (F.col("id") % n).cast("int").alias("k"))
-    draws = draws.withColumn("_n", draw(seed, F.col("rep"), F.col("k")) % n)
-    times = draws.groupBy("rep", "_n").agg(F.count("*").alias("_times"))
-    rows = times.join(groups, "_n").join(df, group)
-    return spearman(rows.select("rep", a, b, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_times"))).alias("_copy")), a, b, ["rep"])
+def group_bootstrap(df: DataFrame, group: str, a: str, b: str, reps: int, seed: int = 42, min_n: int = 10) -> DataFrame:
+    """Spearman of each replicate in which groups are drawn with replacement; null under min_n rows and where a side is constant. Groups are numbered by hash.
+
+    Rows are counted by group and pair of values once, and replicates weigh these counts inside tasks (`resampled_ranks`).
+    """
+    groups = hash_rank(df.where(F.col(group).isNotNull()).select(group).distinct(), group, seed, "g")
+    known = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).join(groups, group).groupBy("g", F.col(a).alias("x"), F.col(b).alias("y")).agg(F.count("*").alias("w"))
+    at = lambda c: run_up(known.select(c).distinct().withColumn("_one", F.lit(1)), [], c, ["_one"]).select(c, F.col("_one_under").cast("bigint").alias(f"{c}_at"))
+    cells = known.join(at("x"), "x").join(at("y"), "y").select("g", F.col("x_at").alias("x"), F.col("y_at").alias("y"), "w")
+    sums = resampled_ranks(cells, groups.count(), reps, seed)
+    spread = F.sqrt(F.col("xx") * F.col("yy"))
+    return sums.select("rep", "n", F.when((F.col("n") >= min_n) & (spread > 0), F.col("xy") / spread).alias("rho"))
