@@ -187,10 +187,11 @@ def cosine_pairs(vectors: DataFrame, id_col: str, cluster: str, features: str =
 def kmer_enrichment(counts: DataFrame, high: Column, stratum: list[str] | None = None) -> DataFrame:
     """Of each k-mer in each stratum: high and low counts, log2 of the ratio of its shares and its odds ratio (0.5 added), Fisher p and q.
 
-    q is Benjamini-Hochberg over all rows. counts has (kmer, n) and what high and stratum name.
+    q is Benjamini-Hochberg over all rows. counts has (kmer, n) and what high and stratum name. Its sums, a row for each k-mer and stratum, are kept,
+    as totals, tests and q each read them.
     """
     by = list(stratum or [])
-    got = counts.groupBy(*by, "kmer").agg(F.sum(F.when(high, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(high, 0).otherwise(F.col("n"))).alias("c"))
+    got = counts.groupBy(*by, "kmer").agg(F.sum(F.when(high, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(high, 0).otherwise(F.col("n"))).alias("c")).persist()
     total = got.groupBy(*by).agg(F.sum("a").alias("_a"), F.sum("c").alias("_c"))
     tables = (got.join(total, by) if by else got.join(F.broadcast(total), F.lit(True))).withColumn("b", F.col("_a") - F.col("a")).withColumn("d", F.col("_c") - F.col("c"))
     row = F.concat_ws("|", *[F.col(c).cast("string") for c in (*by, "kmer")])

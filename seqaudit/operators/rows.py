@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import let
-
 
 def finite(x: Column) -> Column:
     """Neither null nor NaN nor infinite."""
@@ -84,13 +85,25 @@ def dinuc_frac(df: DataFrame, seq: str, dinuc: str) -> DataFrame:
 def kmer_counts(df: DataFrame, key: str, seq: str, k: int = 3) -> DataFrame:
     """(key, kmer, n, freq); letters other than A, C, G, T are removed first, so k-mers bridge gaps.
 
-    The cleaned text is split once a row and k-mers are cut from the letters, so the work is the length of the text.
+    K-mers are counted in tasks, over a batch's rows of a key together, so texts give a row for each of their distinct k-mers and letters are no rows.
     Null texts and those under k letters give no row; rows that repeat a key count together.
     """
-    letters = F.split(F.regexp_replace(F.upper(seq), "[^ACGT]", ""), "")
-    cut = let(letters, lambda a: F.transform(F.sequence(F.lit(0), F.size(a) - k), lambda i: F.concat(*[a[i + j] for j in range(k)])))
-    long = df.where(F.length(F.regexp_replace(F.upper(seq), "[^ACGT]", "")) >= k)
-    counts = long.select(key, F.explode(cut).alias("kmer")).groupBy(key, "kmer").agg(F.count("*").alias("n"))
+    others = bytes(set(range(256)) - set(b"ACGT"))
+
+    def counted(batches):
+        for batch in batches:
+            first, sums = {}, {}
+            for i, (name, x) in enumerate(zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True)):
+                x = x.upper().encode().translate(None, others).decode()
+                at = first.setdefault(name if name.__hash__ else i, i)  # keys that are lists or structs are summed by Spark alone
+                sums.setdefault(at, Counter()).update([x[j : j + k] for j in range(len(x) - k + 1)])
+            own = pa.array([i for i, c in sums.items() for _ in c], pa.int64())
+            columns = [pa.array([m for c in sums.values() for m in c], pa.string()), pa.array([n for c in sums.values() for n in c.values()], pa.int64())]
+            yield pa.record_batch([batch.column("key").take(own), *columns], names=["key", "kmer", "n"])
+
+    long = df.select(F.col(key).alias("key"), F.col(seq).alias("text")).where("text is not null")
+    each = long.mapInArrow(counted, f"key {df.schema[key].dataType.simpleString()}, kmer string, n bigint")
+    counts = each.groupBy(F.col("key").alias(key), "kmer").agg(F.sum("n").alias("n"))
     return counts.withColumn("freq", F.col("n") / F.sum("n").over(Window.partitionBy(key)))
 
 
