@@ -144,15 +144,19 @@ def audit_report(df: DataFrame, id_col: str, label: str, group: str, block: str,
 
 
 def baseline_matrix(df: DataFrame, id_col: str, feature_sets: dict[str, str], targets: list[str], schemes: dict[str, str]) -> DataFrame:
-    """(features, target, scheme, n, rho): the same ridge probe over every combination; feature sets and schemes name columns."""
-    out = None
+    """(features, target, scheme, n, rho): the same ridge probe over every combination; feature sets and schemes name columns.
+
+    The columns are kept while the combinations read them, as each reads them several times; the driver gets a row of each.
+    """
+    kept = df.select(*dict.fromkeys([id_col, *feature_sets.values(), *targets, *schemes.values()])).persist()
+    out = []
     for name, features in feature_sets.items():
         for y in targets:
             for scheme, fold in schemes.items():
-                pred = oof_ridge(df, id_col, features, y, fold).select(F.lit(1).alias("_all"), "y", "pred")
-                got = statistics.spearman(pred, "y", "pred", ["_all"]).select(F.lit(name).alias("features"), F.lit(y).alias("target"), F.lit(scheme).alias("scheme"), "n", "rho")
-                out = got if out is None else out.unionByName(got)
-    return out
+                pred = oof_ridge(kept, id_col, features, y, fold).select(F.lit(1).alias("_all"), "y", "pred")
+                out += [(name, y, scheme, r["n"], r["rho"]) for r in statistics.spearman(pred, "y", "pred", ["_all"]).collect()]
+    kept.unpersist()
+    return df.sparkSession.createDataFrame(out, "features string, target string, scheme string, n bigint, rho double")
 
 
 def logit_adjust(windows: DataFrame, high: str, exposure: str, covariates: list[str], group: str, folds: int = 5) -> DataFrame:
