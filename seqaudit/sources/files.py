@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,11 +37,24 @@ def scan_tracks(spark: SparkSession, glob: str) -> DataFrame:
 
     attr is attr_abs_mean, else the absolute attr_score. What is no number is null; rows without a position go.
     """
-    raw = spark.read.option("header", True).csv(glob)
+    raw = _with_header(spark, glob)
     known = [F.col("attr_abs_mean").try_cast("double")] * ("attr_abs_mean" in raw.columns) + [F.abs(F.col("attr_score").try_cast("double"))] * ("attr_score" in raw.columns)
     return raw.select(F.regexp_extract("_metadata.file_name", r"^([^.]+)", 1).alias("accession"), F.col("genomic_pos").try_cast("int").alias("pos"), F.coalesce(*known).alias("attr")).where("pos is not null")
 
 
+def _with_header(spark: SparkSession, glob: str) -> DataFrame:
+    """Delimited files with a header; names that match a pattern in one folder come from a listing of it, as each path of an expanded pattern would be listed anew."""
+    folder, _, names = glob.rpartition("/")
+    own = spark.read.option("pathGlobFilter", names)
+    there = None
+    if folder and re.search(r"[*?\[{]", names) and not re.search(r"[*?\[{]", folder):
+        there = own.text(folder).where("trim(value) <> ''").first()
+    if not there:
+        return spark.read.option("header", True).csv(glob)
+    cols = spark.read.option("header", True).csv(spark.sparkContext.parallelize([there.value], 1)).schema
+    return own.schema(cols).option("header", True).csv(folder)
+
+
 def accession(header: Column) -> Column:
     """The first |-separated part whose first word has a digit, 20 letters at most and no nt at its end; else the first word."""
     words = F.transform(F.split(header, r"\|"), lambda t: F.split(F.trim(t), " ")[0])
@@ -85,23 +102,52 @@ def write_by_key(df: DataFrame, path: str, key: str, extension: str = "csv") ->
 
     Rows of a key are gathered in one file, so a key is what one such file may hold.
     """
-    df.repartition(key).write.partitionBy(key).option("header", True).csv(f"{path}/_parts")
-    _named(df.sparkSession, path, extension)
+    cols = [c for c in df.columns if c != key]
+    head = df.sparkSession.range(1).select(F.to_csv(F.struct(*[F.lit(c).alias(c) for c in cols]))).first()[0]
+    _one_file_a_key(df.select(key, F.to_csv(F.struct(*cols)).alias("line")).repartition(key).sortWithinPartitions(key), path, key, extension, f"{head}\n")
 
 
 def write_lines_by_key(df: DataFrame, path: str, key: str, extension: str = "txt") -> None:
     """One text file a key with the numbers of the column `line` in order, a line each."""
-    df.repartition(key).sortWithinPartitions(key, F.col("line").cast("bigint")).write.partitionBy(key).text(f"{path}/_parts")
-    _named(df.sparkSession, path, extension)
+    rows = df.select(key, F.coalesce("line", F.lit("")).alias("line"))
+    _one_file_a_key(rows.repartition(key).sortWithinPartitions(key, F.col("line").try_cast("bigint")), path, key, extension, "")
 
 
-def _named(spark: SparkSession, path: str, extension: str) -> None:
-    """Move the one file of each folder key=... to a file named by the key."""
-    place = spark._jvm.org.apache.hadoop.fs.Path
-    files = place(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    for there in files.globStatus(place(f"{path}/_parts/*/part-*")):
-        files.rename(there.getPath(), place(f"{path}/{there.getPath().getParent().getName().split('=', 1)[1]}.{extension}"))
-    files.delete(place(f"{path}/_parts"), True)
+def _one_file_a_key(rows: DataFrame, path: str, key: str, extension: str, head: str) -> None:
+    """Write (key, line), whose keys lie together in a task, to files named by the key, with characters escaped as in names of partition folders.
+
+    Tasks write the files under their last names, so nothing is left for the driver to do file by file. A file comes under another name and is
+    moved when it is whole, so a task may run twice.
+    """
+    folder = f"file:{path}" if path.startswith("/") else path
+    name = F.coalesce(F.nullif(F.col(key).cast("string"), F.lit("")), F.lit("__HIVE_DEFAULT_PARTITION__"))
+
+    def write(batches):
+        from pyspark import TaskContext
+
+        store, top = FileSystem.from_uri(folder)
+        attempt, last, out, n = TaskContext.get().taskAttemptId(), None, None, 0
+
+        def close():
+            if out:
+                out.close()
+                safe = re.sub(r"""[\x01-\x1f\x7f"#%'*/:=?\\{\[\]^]""", lambda m: f"%{ord(m[0]):02X}", last)
+                store.move(f"{top}/.{attempt}", f"{top}/{safe}.{extension}")
+
+        for batch in batches:
+            keys, lines = (batch.column(i).to_pylist() for i in range(2))
+            cuts = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1]] + [len(keys)]
+            for low, high in zip(cuts, cuts[1:]):
+                if keys[low] != last:
+                    close()
+                    last, out, n = keys[low], store.open_output_stream(f"{top}/.{attempt}"), n + 1
+                    out.write(head.encode())
+                out.write("".join([f"{line}\n" for line in lines[low:high]]).encode())
+        close()
+        yield pa.record_batch([pa.array([n], pa.int64())], names=["n"])
+
+    FileSystem.from_uri(folder)[0].create_dir(FileSystem.from_uri(folder)[1], recursive=True)
+    rows.select(name.alias("name"), "line").mapInArrow(write, "n bigint").agg(F.sum("n")).first()
 
 
 def write_nulls(nulls: DataFrame, path: str, by: str = "cls") -> None:
