@@ -112,7 +112,8 @@ def packed(docs: DataFrame, k: int, percent: int, buckets: int, flush: int = 800
     """(bucket, n, blob): one pass over docs (id, text).
 
     A chunk of documents gives a row for each bucket of its segments' digests, with n segments, and one with n = -1 for
-    the sizes and digests of all its sets. Copies within a chunk post their segments once.
+    the sizes and digests of all its sets. Copies within a chunk post their segments once. 32 bits of a digest go besides its
+    bucket: segments that are alike by chance only make candidates, which are compared in full.
     """
 
     def post(batches):
@@ -130,7 +131,7 @@ def packed(docs: DataFrame, k: int, percent: int, buckets: int, flush: int = 800
                 where = (s % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(where, kind="stable")
                 for own in np.split(order, np.flatnonzero(np.diff(where[order])) + 1):
-                    digest = (s[own] >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]
+                    digest = (s[own] >> np.uint64(32)).astype(np.uint32)
                     rows.append((int(where[own[0]]), len(own), _blob(np.diff(d[own], prepend=0), c[own].astype(np.int32), least[own].astype(np.int32), digest)))
             return pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))], names=["bucket", "n", "blob"])
 
@@ -190,9 +191,7 @@ def meetings(packed: DataFrame) -> DataFrame:
                     yield shared()
                     held = []
                 bucket = own
-                low = np.zeros((n, 8), np.uint8)
-                low[:, :6] = np.frombuffer(raw, np.uint8, 6 * n, 16 * n).reshape(n, 6)
-                held.append((np.cumsum(np.frombuffer(raw, np.int64, n)), np.frombuffer(raw, np.int32, n, 8 * n), np.frombuffer(raw, np.int32, n, 12 * n), low.view(np.uint64).ravel()))
+                held.append((np.cumsum(np.frombuffer(raw, np.int64, n)), np.frombuffer(raw, np.int32, n, 8 * n), np.frombuffer(raw, np.int32, n, 12 * n), np.frombuffer(raw, np.uint32, n, 16 * n)))
         if held:
             yield shared()
 
@@ -323,7 +322,7 @@ def classes(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_i
         one = full.groupBy("id").agg(F.min(F.struct("h1", "h2")).alias("x"), F.max(F.struct("h1", "h2")).alias("y")).where("x = y").select(F.col("id").alias("a"))
         met = scratch.written(postings(raw.where("kind >= 0"), copies.join(one, "a", "left_semi")), "postings")
         scratch.drop(raw)
-        own = met.select("id", F.explode("sigs").alias("sig"))
+        own = met.select("id", F.explode("sigs").alias("sig")).where("id is not null and sig is not null").repartition("sig")
         first = own.groupBy("sig").agg(F.min("id").alias("a"), F.max("id").alias("top")).where("a < top").drop("top")
         pairs = scratch.written(own.join(first, "sig").where("id <> a").groupBy("a", F.col("id").alias("b")).agg(F.count("*").alias("n")), "pairs")
         near = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -342,14 +341,16 @@ def classes(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_i
         left = scratch.written(_apart(open_.select("a", "b"), node).select("a", "b").join(best, ["a", "b"], "left_anti"), "pairs")
         node = _grown(node, scratch.written(verified(left, sets, percent, broadcast_rows=broadcast_rows), "links"), scratch)
         # the first documents of a segment stay apart where neither links: their other documents may link all the same
-        tried = best.unionByName(left)
+        tried, failed = best.unionByName(left), pairs
         for turn in range(turns):
-            few = scratch.written(_centres(_open(_apart(pairs.select("a", "b"), node), node, met, sets, scratch), turn, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
+            failed = scratch.written(_apart(failed.select("a", "b"), node), "failed")
+            few = scratch.written(_centres(_open(failed, node, met, sets, scratch), turn, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
             found = scratch.written(verified(few, sets, percent, broadcast_rows=broadcast_rows), "links")
             node, tried = _grown(node, found, scratch), tried.unionByName(few)
             if found.isEmpty():
                 break
-        more = scratch.written(_more(_open(_apart(pairs.select("a", "b"), node), node, met, sets, scratch), percent).join(tried, ["a", "b"], "left_anti"), "pairs")
+        failed = scratch.written(_apart(failed.select("a", "b"), node), "failed")
+        more = scratch.written(_more(_open(failed, node, met, sets, scratch), percent).join(tried, ["a", "b"], "left_anti"), "pairs")
         node = _grown(node, scratch.written(verified(more, sets, percent, broadcast_rows=broadcast_rows), "links"), scratch)
         found = sizes.join(node.withColumnRenamed("node", "id"), "id", "left")
         return written(found.select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").cast(kind).alias("component_id")), "classes")
@@ -369,14 +370,23 @@ def _apart(pairs: DataFrame, node: DataFrame) -> DataFrame:
 
 
 def _open(failed: DataFrame, node: DataFrame, met: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """(sig, id, component, size, bits, before): kept segments that documents of several of the components have that failed pairs keep apart."""
-    open_ = scratch.written(failed.select(F.explode(F.array("ca", "cb")).alias("component")).distinct(), "open")
+    """(sig, id, component, size, bits, before, n): kept segments that documents of several of the components have that failed pairs keep apart.
+
+    The first document of a segment has been compared with all others of it, so it is left out, and so is the segment unless the others are of two
+    components or more: a segment of two documents has nothing left to compare. The first is among the documents seen here, as it
+    or another is in a failed pair wherever the segment has two components.
+    """
+    open_ = failed.select(F.col("ca").alias("component")).distinct().unionByName(failed.select(F.col("cb").alias("component")).distinct())
+    open_ = scratch.written(open_.distinct(), "open")
     ids = node.join(open_, "component", "left_semi").select(F.col("node").alias("id"), "component")
     ids = ids.unionByName(open_.select(F.col("component").alias("id"), "component")).distinct()
     ordered = let(F.sort_array("sigs"), lambda own: F.transform(own, lambda x, i: F.struct(x.alias("sig"), F.get(own, i - 1).alias("before"))))
-    own = met.join(ids, "id").join(sets.select("id", "size", "bits"), "id").select("id", "component", "size", "bits", F.inline(ordered))
-    sigs = own.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("sig", "n")
-    return scratch.written(own.join(sigs, "sig"), "open")
+    own = scratch.written(met.join(ids, "id").select("id", "component", F.inline(ordered)), "open").repartition("sig")
+    parts = own.groupBy("sig", "component").agg(F.min("id").alias("low"), F.count("*").alias("n"))
+    sigs = parts.groupBy("sig").agg(F.count("*").alias("components"), F.min(F.struct("low", "n")).alias("first"), (F.sum("n") - 1).alias("n"))
+    sigs = sigs.where("components > 2 or components = 2 and first.n > 1").select("sig", F.col("first.low").alias("first"), "n")
+    rest = own.join(sigs, "sig").where("id <> first").select("sig", "id", "component", "before", "n")
+    return scratch.written(rest.join(sets.select("id", "size", "bits"), "id"), "open")
 
 
 def _centres(own: DataFrame, turn: int, percent: int, block: int = 64) -> DataFrame:

@@ -704,3 +704,22 @@ def test_parity_never_exceeds_the_difference():
         a, b = np.unique(np.concatenate((own, rng.integers(0, 1 << 64, extra, np.uint64)))), np.unique(own)
         bits = sum((x ^ y).bit_count() if x ^ y >= 0 else ((x ^ y) + (1 << 64)).bit_count() for x, y in zip(jaccard_join.parity(a), jaccard_join.parity(b)))
         assert bits <= len(np.setxor1d(a, b)) and (bits > 0) == (extra > 0)
+
+
+def test_only_what_first_documents_leave_to_compare_is_open(spark):
+    from seqaudit.llm import common
+
+    sigs = {1: [10, 20, 30], 2: [10, 20, 30, 40], 3: [20, 30, 40], 4: [30], 5: [30], 6: [50], 7: [50], 8: [50]}
+    component = {4: 1, 5: 5, 7: 6, 8: 8}
+    met = spark.createDataFrame([*sigs.items()], "id bigint, sigs array<bigint>")
+    node = spark.createDataFrame([(4, 1), (1, 1), (7, 6), (6, 6)], "node bigint, component bigint")
+    sets = spark.createDataFrame([(i, 9, [0] * 8) for i in sigs], "id bigint, size bigint, bits array<bigint>")
+    pairs = spark.createDataFrame([(a, b) for a in sigs for b in sigs if a < b and any(min(i for i in sigs if s in sigs[i]) == a for s in {*sigs[a]} & {*sigs[b]})], "a bigint, b bigint")
+    with common.Scratch(spark) as scratch:
+        failed = jaccard_join._apart(pairs, node)
+        got = {(r["sig"], r["id"], r["component"]) for r in jaccard_join._open(failed, node, met, sets, scratch).collect()}
+        more = {tuple(r) for r in jaccard_join._more(jaccard_join._open(failed, node, met, sets, scratch), 1).collect()}
+    own = {i: component.get(i, i) for i in sigs}
+    want = {s: [i for i in sigs if s in sigs[i]][1:] for s in (10, 20, 30, 40, 50)}
+    assert got == {(s, i, own[i]) for s, ids in want.items() for i in ids if len({own[j] for j in ids}) > 1}
+    assert more == {(2, 3), (2, 4), (2, 5), (3, 4), (3, 5), (4, 5), (7, 8)}
