@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,9 +92,10 @@ def uniform(col: Column) -> Column:
     return F.pmod(F.xxhash64(col, F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
 
 
-def small_or_shuffled(small: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast a side only when it is counted and within max_rows; otherwise Spark shuffles both sides."""
-    return F.broadcast(small) if small.count() <= max_rows else small
+def small_or_shuffled(small: DataFrame, max_rows: int, known: int | None = None) -> DataFrame:
+    """Broadcast a side only when it is counted and within max_rows; otherwise Spark shuffles both sides. `known` is a bound of its rows, if there is one."""
+    few = known is not None and known <= max_rows
+    return F.broadcast(small) if few or small.count() <= max_rows else small
 
 
 def spread_join(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
@@ -109,18 +111,38 @@ def spread_join(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame
     return met.where("_hot").drop("_hot").unionByName(rest)
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b", scratch: Scratch | None = None) -> DataFrame:
+def _forest(batches):
+    """(node, component) for all nodes of the links (u, v) of one task."""
+    up: dict[int, int] = {}
+
+    def root(x):
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            u, v = root(u), root(v)
+            up[max(u, v)] = min(u, v)
+    yield pa.record_batch([pa.array(list(up), pa.int64()), pa.array([root(x) for x in up], pa.int64())], names=["node", "component"])
+
+
+def components(links: DataFrame, a: str = "a", b: str = "b", scratch: Scratch | None = None, at_once: int = 100_000) -> DataFrame:
     """(node, component) for the nodes of undirected links; component is the smallest node reachable.
 
     Alternates large-star and small-star steps on tables written to the shared folder until the
     links no longer change; every step is a shuffle with map-side combine on the links alone. With a
-    scratch the tables of former steps go at once.
+    scratch the tables of former steps go at once. Links are counted first: up to at_once are a small partition, which a task joins into
+    trees, as shuffles over all partitions would take longer than the work. The links should be a written table.
     """
     def mark(df):
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
     keep = scratch or Scratch(links.sparkSession)
-    edges = keep.written(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "links")
+    links = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v")
+    if links.count() <= at_once:
+        return keep.written(links.coalesce(1).mapInArrow(_forest, "node bigint, component bigint"), "components")
+    edges = keep.written(links.distinct(), "links")
     seen, now = None, mark(edges)
     while seen != now and now[0]:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

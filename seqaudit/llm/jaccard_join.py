@@ -198,7 +198,7 @@ def meetings(packed: DataFrame) -> DataFrame:
     return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "id bigint, kind bigint, least bigint, times bigint, sig bigint")
 
 
-def postings(met: DataFrame, copies: DataFrame) -> DataFrame:
+def postings(met: DataFrame, copies: DataFrame, broadcast_rows: int = 200_000) -> DataFrame:
     """(id, sigs): the segments by which a document can meet all that link with it.
 
     A segment that one document has goes no further. Of its q shared segments in a class a document keeps the
@@ -209,7 +209,7 @@ def postings(met: DataFrame, copies: DataFrame) -> DataFrame:
     """
     by_doc = met.groupBy("id", "kind").agg(F.min("least").alias("least"), F.array_sort(F.collect_list(F.struct("times", "sig"))).alias("x"))
     by_doc = by_doc.where(F.size("x") >= F.col("least")).select("id", F.slice("x.sig", F.lit(1), (F.size("x") - F.col("least") + 1).cast("int")).alias("sigs"))
-    by_doc = by_doc.join(copies.select(F.col("a").alias("id"), "b"), "id", "left").select(F.coalesce("b", "id").alias("id"), "sigs")
+    by_doc = by_doc.join(small_or_shuffled(copies.select(F.col("a").alias("id"), "b"), broadcast_rows), "id", "left").select(F.coalesce("b", "id").alias("id"), "sigs")
     return by_doc.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_set("sigs"))).alias("sigs"))
 
 
@@ -258,11 +258,16 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, at_once: int = 256
     Partners of a pivot meet it in one task, in the order of the tree of their sets; a pivot of more than
     at_once partners is dealt to as many tasks as that takes, by hash of the partner.
     """
-    hot = pairs.groupBy(F.col("a").alias("pivot")).count().where(F.col("count") > at_once).select("pivot", F.ceil(F.col("count") / at_once).alias("slices"))
-    dealt = pairs.select(F.col("a").alias("pivot"), F.col("b").alias("id")).join(small_or_shuffled(hot, broadcast_rows), "pivot", "left")
+    n = pairs.count()
+    dealt = pairs.select(F.col("a").alias("pivot"), F.col("b").alias("id"))
+    if n > at_once:
+        hot = dealt.groupBy("pivot").count().where(F.col("count") > at_once).select("pivot", F.ceil(F.col("count") / at_once).alias("slices"))
+        dealt = dealt.join(small_or_shuffled(hot, broadcast_rows, n // at_once), "pivot", "left")
+    else:
+        dealt = dealt.withColumn("slices", F.lit(1))
     dealt = dealt.select("pivot", "id", F.pmod(F.xxhash64("id", F.lit("slice")), F.coalesce("slices", F.lit(1))).alias("slice"))
     asked = dealt.withColumn("role", F.lit(1)).unionByName(dealt.select("pivot", F.col("pivot").alias("id"), "slice", F.lit(0).alias("role")).distinct())
-    rows = sets.select("id", "members").join(small_or_shuffled(asked, broadcast_rows), "id").select("pivot", "slice", "role", "id", "members")
+    rows = sets.select("id", "members").join(small_or_shuffled(asked, broadcast_rows, 2 * n), "id").select("pivot", "slice", "role", "id", "members")
 
     def walk(batches):
         key, paths = None, []
@@ -278,17 +283,22 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, at_once: int = 256
                     out.append((pivot, own))
             yield pa.record_batch([pa.array([x[i] for x in out], pa.int64()) for i in range(2)], names=["a", "b"])
 
-    return rows.repartition("pivot", "slice").sortWithinPartitions("pivot", "slice", "role", "members").mapInArrow(walk, "a bigint, b bigint")
+    rows = rows.repartition("pivot", "slice")
+    if n < 10_000:  # few sets need no more tasks than this, each of which starts Python
+        rows = rows.coalesce(max(1, n // 32))
+    return rows.sortWithinPartitions("pivot", "slice", "role", "members").mapInArrow(walk, "a bigint, b bigint")
 
 
-def likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def likely(pairs: DataFrame, sets: DataFrame, percent: int, broadcast_rows: int = 50_000) -> DataFrame:
     """The pairs (a, b, ...) whose sizes and parities allow a link.
 
     Two sets differ in as many shingles as their parities differ in bits, or more; sets that link
     differ in (s + t)(100 - percent) // (100 + percent) at most.
     """
+    n = sets.count()
     for side in "ab":
-        pairs = pairs.join(sets.select(F.col("id").alias(side), F.col("size").alias(f"size_{side}"), F.col("bits").alias(f"bits_{side}")), side)
+        own = sets.select(F.col("id").alias(side), F.col("size").alias(f"size_{side}"), F.col("bits").alias(f"bits_{side}"))
+        pairs = pairs.join(small_or_shuffled(own, broadcast_rows, n), side)
     return pairs.where(_may(percent)).drop("size_a", "size_b", "bits_a", "bits_b").distinct()
 
 
@@ -304,8 +314,8 @@ def classes(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_i
     component_id is the least id reachable. id_col must be an integer. Copies of a set link without
     comparison, and one stands for all. Then each document is compared with the document it shares most segments with, then with
     the other least documents of its segments unless already connected. Where such pairs
-    stay in two components, up to `turns` times with one document by hash of each segment's blocks, and lastly, whatever these
-    turns have left apart, with every document of another component that shares a segment. So only comparisons whose
+    stay in two components, up to `turns` times with one document by hash of each segment's blocks (while many pairs are left that may link), and lastly, whatever
+    these turns have left apart, with every document of another component that shares a segment. So only comparisons whose
     outcome cannot change a component are left out. Texts that are null or without words have an empty set and link with
     nothing; rows that repeat an id count as one document with links of each; a null id links with
     nothing; an empty table gives an empty result; other columns are not read.
@@ -317,10 +327,15 @@ def classes(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_i
         raw = scratch.written(meetings(packed(rows, k, percent, buckets)), "segments")
         sizes = scratch.written(raw.where("kind = -1").select("id", F.col("least").alias("n"), F.col("times").alias("h1"), F.col("sig").alias("h2")), "sizes")
         full = sizes.where("n > 0 and id is not null")
-        least = full.groupBy("h1", "h2").agg(F.min("id").alias("b"), F.max("id").alias("top")).where("b < top").drop("top")
-        copies = scratch.written(spread_join(full.select("id", "h1", "h2"), scratch.written(least, "copies"), ["h1", "h2"]).select(F.col("id").alias("a"), "b").where("a <> b").distinct(), "copies")
-        one = full.groupBy("id").agg(F.min(F.struct("h1", "h2")).alias("x"), F.max(F.struct("h1", "h2")).alias("y")).where("x = y").select(F.col("id").alias("a"))
-        met = scratch.written(postings(raw.where("kind >= 0"), copies.join(one, "a", "left_semi")), "postings")
+        least = scratch.written(full.groupBy("h1", "h2").agg(F.min("id").alias("b"), F.max("id").alias("top")).where("b < top").drop("top"), "copies")
+        keyed, few = full.select("id", "h1", "h2"), least.count() <= broadcast_rows
+        shared = keyed.join(F.broadcast(least), ["h1", "h2"]) if few else spread_join(keyed, least, ["h1", "h2"])
+        by_id = keyed.withColumn("b", F.lit(None).cast("bigint")).unionByName(shared).groupBy(F.col("id").alias("a"))
+        by_id = by_id.agg((F.min(F.struct("h1", "h2")) == F.max(F.struct("h1", "h2"))).alias("one"), F.collect_set("b").alias("b"))
+        copies = scratch.written(by_id.select("a", "one", F.explode("b").alias("b")).where("a <> b"), "copies")
+        # a copy whose id has no other set is nowhere but here: it takes the component of the least such id in the end
+        plain, others = copies.where("one").drop("one"), copies.where("not one").drop("one")
+        met = scratch.written(postings(raw.where("kind >= 0"), plain, broadcast_rows), "postings")
         scratch.drop(raw)
         own = met.select("id", F.explode("sigs").alias("sig")).where("id is not null and sig is not null").repartition("sig")
         first = own.groupBy("sig").agg(F.min("id").alias("a"), F.max("id").alias("top")).where("a < top").drop("top")
@@ -334,25 +349,33 @@ def classes(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_i
                 yield pa.record_batch([batch.column(0), *columns], names=["id", "members", "size", "bits"])
 
         sets = scratch.written(rows.join(small_or_shuffled(near, broadcast_rows), "id").select("id", "text").mapInArrow(members, "id bigint, members binary, size bigint, bits array<bigint>"), "sets")
-        open_ = scratch.written(likely(pairs, sets, percent), "pairs")
-        best = open_.groupBy("b").agg(F.max_by("a", F.struct(F.col("n"), -F.col("a"))).alias("a")).select("a", "b")
-        links = copies.unionByName(scratch.written(verified(best, sets, percent, broadcast_rows=broadcast_rows), "links"))
-        node = components(links, scratch=scratch)
-        left = scratch.written(_apart(open_.select("a", "b"), node).select("a", "b").join(best, ["a", "b"], "left_anti"), "pairs")
-        node = _grown(node, scratch.written(verified(left, sets, percent, broadcast_rows=broadcast_rows), "links"), scratch)
+        open_ = scratch.written(likely(pairs, sets, percent, broadcast_rows // 4), "pairs")
+        best = scratch.written(open_.groupBy("b").agg(F.max_by("a", F.struct(F.col("n"), -F.col("a"))).alias("a")).select("a", "b"), "pairs")
+        node = components(others.unionByName(scratch.written(verified(best, sets, percent, broadcast_rows=broadcast_rows), "links")), scratch=scratch)
+
+        def compared(pairs, node, tried):
+            new = scratch.written(pairs.select("a", "b").join(small_or_shuffled(tried, broadcast_rows), ["a", "b"], "left_anti"), "pairs")
+            found = scratch.written(verified(new, sets, percent, broadcast_rows=broadcast_rows), "links")
+            return _grown(node, found, scratch), tried.unionByName(new), new.count(), found.isEmpty()
+
+        node, tried, _, _ = compared(_apart(open_, node, broadcast_rows), node, best)
         # the first documents of a segment stay apart where neither links: their other documents may link all the same
-        tried, failed = best.unionByName(left), pairs
-        for turn in range(turns):
-            failed = scratch.written(_apart(failed.select("a", "b"), node), "failed")
-            few = scratch.written(_centres(_open(failed, node, met, sets, scratch), turn, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
-            found = scratch.written(verified(few, sets, percent, broadcast_rows=broadcast_rows), "links")
-            node, tried = _grown(node, found, scratch), tried.unionByName(few)
-            if found.isEmpty():
+        failed, own, last = pairs, None, False
+        for turn in range(turns + 1):
+            if not last:
+                failed = scratch.written(_apart(failed, node, broadcast_rows), "failed")
+                own = _open(failed, node, met, sets, scratch, broadcast_rows)
+                rows, left = own.agg(F.count("*"), F.coalesce(F.sum("n") - F.count("*"), F.lit(0)) / 2).first()
+                last = turn == turns or left <= 10 * rows
+            if last:
+                node, *_ = compared(_more(own, percent), node, tried)
                 break
-        failed = scratch.written(_apart(failed.select("a", "b"), node), "failed")
-        more = scratch.written(_more(_open(failed, node, met, sets, scratch), percent).join(tried, ["a", "b"], "left_anti"), "pairs")
-        node = _grown(node, scratch.written(verified(more, sets, percent, broadcast_rows=broadcast_rows), "links"), scratch)
-        found = sizes.join(node.withColumnRenamed("node", "id"), "id", "left")
+            # a turn shows what share of the pairs may link: where they would be no more than the rows, or none has linked, all are compared next
+            node, tried, met_some, fruitless = compared(_centres(own, turn, percent), node, tried)
+            last = fruitless or met_some * left <= rows * rows
+        moved = plain.join(small_or_shuffled(node.withColumnRenamed("node", "b"), broadcast_rows), "b", "left").select("a", F.coalesce("component", "b").alias("component"))
+        node = node.unionByName(moved.withColumnRenamed("a", "node")).withColumnRenamed("node", "id")
+        found = sizes.join(small_or_shuffled(node, broadcast_rows), "id", "left")
         return written(found.select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").cast(kind).alias("component_id")), "classes")
 
 
@@ -363,30 +386,31 @@ def _grown(node: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     return components(node.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links), scratch=scratch)
 
 
-def _apart(pairs: DataFrame, node: DataFrame) -> DataFrame:
+def _apart(pairs: DataFrame, node: DataFrame, broadcast_rows: int = 200_000) -> DataFrame:
     """Pairs whose ends are in different components, with these."""
-    got = pairs.join(node.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(node.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+    got, n = pairs.select("a", "b"), node.count()
+    for side in "ab":
+        got = got.join(small_or_shuffled(node.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")), broadcast_rows, n), side, "left")
     return got.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb")
 
 
-def _open(failed: DataFrame, node: DataFrame, met: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+def _open(failed: DataFrame, node: DataFrame, met: DataFrame, sets: DataFrame, scratch: Scratch, broadcast_rows: int = 200_000) -> DataFrame:
     """(sig, id, component, size, bits, before, n): kept segments that documents of several of the components have that failed pairs keep apart.
 
     The first document of a segment has been compared with all others of it, so it is left out, and so is the segment unless the others are of two
     components or more: a segment of two documents has nothing left to compare. The first is among the documents seen here, as it
     or another is in a failed pair wherever the segment has two components.
     """
-    open_ = failed.select(F.col("ca").alias("component")).distinct().unionByName(failed.select(F.col("cb").alias("component")).distinct())
-    open_ = scratch.written(open_.distinct(), "open")
-    ids = node.join(open_, "component", "left_semi").select(F.col("node").alias("id"), "component")
-    ids = ids.unionByName(open_.select(F.col("component").alias("id"), "component")).distinct()
+    open_ = scratch.written(failed.select(F.explode(F.array("ca", "cb")).alias("component")).distinct(), "open")
+    ids = met.join(small_or_shuffled(node.withColumnRenamed("node", "id"), broadcast_rows), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    ids = ids.join(small_or_shuffled(open_, broadcast_rows), "component", "left_semi")
     ordered = let(F.sort_array("sigs"), lambda own: F.transform(own, lambda x, i: F.struct(x.alias("sig"), F.get(own, i - 1).alias("before"))))
-    own = scratch.written(met.join(ids, "id").select("id", "component", F.inline(ordered)), "open").repartition("sig")
+    own = scratch.written(ids.select("id", "component", F.inline(ordered)), "open").repartition("sig")
     parts = own.groupBy("sig", "component").agg(F.min("id").alias("low"), F.count("*").alias("n"))
     sigs = parts.groupBy("sig").agg(F.count("*").alias("components"), F.min(F.struct("low", "n")).alias("first"), (F.sum("n") - 1).alias("n"))
     sigs = sigs.where("components > 2 or components = 2 and first.n > 1").select("sig", F.col("first.low").alias("first"), "n")
     rest = own.join(sigs, "sig").where("id <> first").select("sig", "id", "component", "before", "n")
-    return scratch.written(rest.join(sets.select("id", "size", "bits"), "id"), "open")
+    return scratch.written(rest.join(small_or_shuffled(sets.select("id", "size", "bits"), broadcast_rows // 4), "id"), "open")
 
 
 def _centres(own: DataFrame, turn: int, percent: int, block: int = 64) -> DataFrame:

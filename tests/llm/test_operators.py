@@ -723,3 +723,36 @@ def test_only_what_first_documents_leave_to_compare_is_open(spark):
     want = {s: [i for i in sigs if s in sigs[i]][1:] for s in (10, 20, 30, 40, 50)}
     assert got == {(s, i, own[i]) for s, ids in want.items() for i in ids if len({own[j] for j in ids}) > 1}
     assert more == {(2, 3), (2, 4), (2, 5), (3, 4), (3, 5), (4, 5), (7, 8)}
+
+
+def test_components_by_steps_are_those_of_one_task(spark):
+    rng = random.Random(8)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(1000 + i, 1001 + i) for i in range(40)]
+    links = spark.createDataFrame(pairs, "a bigint, b bigint")
+    few, many = ({(r["node"], r["component"]) for r in common.components(links, at_once=n).collect()} for n in (1000, 0))
+    assert few == many
+
+
+def texts_one_word_apart():
+    rng = random.Random(11)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    base, other = words(120), words(60)
+    texts = [base[:i] + [f"new{i}"] + base[i + 1 :] for i in range(0, 120, 2)] + [other, other, other, other[:-1], other[1:], base]
+    return [" ".join(t) for t in texts] + [" ".join(words(40)) for _ in range(20)]
+
+
+def test_jaccard_join_is_the_same_by_shuffles(spark):
+    texts = texts_one_word_apart()
+    docs = spark.createDataFrame([*enumerate(texts), (3, texts[60]), (None, texts[0]), (900, None)], "doc_id bigint, text string").repartition(3)
+    few, many = (sorted(map(str, jaccard_join.classes(docs, 3, 90, broadcast_rows=n).collect())) for n in (200_000, 0))
+    assert few == many
+
+
+def test_jaccard_join_takes_few_stages(spark):
+    """On many partitions each stage takes its time however few its rows are."""
+    docs = spark.createDataFrame([*enumerate(texts_one_word_apart())], "doc_id bigint, text string")
+    at = lambda: spark._jsc.sc().dagScheduler().nextStageId()
+    before = at()
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.classes(docs, 3, 90).collect()}
+    assert at() - before < 160
+    assert got == brute_components([*range(len(got))], brute_sets(texts_one_word_apart(), 3), 90)
