@@ -33,7 +33,7 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
     words = text.encode().lower().split() if text else []
     if not words:
         return np.zeros(0, np.uint64)
-    if len(_WORDS) > 400_000:
+    if len(_WORDS) > 100_000:
         _WORDS.clear()
     get = _WORDS.get
     hashes = [get(w) for w in words]
@@ -108,7 +108,7 @@ def _blob(*arrays: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
 
 
-def packed(docs: DataFrame, k: int, percent: int, buckets: int, flush: int = 800_000) -> DataFrame:
+def packed(docs: DataFrame, k: int, percent: int, buckets: int, flush: int = 300_000) -> DataFrame:
     """(bucket, n, blob): one pass over docs (id, text).
 
     A chunk of documents gives a row for each bucket of its segments' digests, with n segments, and one with n = -1 for

@@ -756,3 +756,11 @@ def test_jaccard_join_takes_few_stages(spark):
     got = {r["doc_id"]: r["component_id"] for r in jaccard_join.classes(docs, 3, 90).collect()}
     assert at() - before < 160
     assert got == brute_components([*range(len(got))], brute_sets(texts_one_word_apart(), 3), 90)
+
+
+def test_packing_holds_a_bounded_chunk(spark):
+    texts = [" ".join(f"{i}w{j}" for j in range(9000)) for i in range(80)]
+    docs = spark.createDataFrame([*enumerate(texts)], "id bigint, text string").coalesce(1)
+    rows = jaccard_join.packed(docs, 5, 80, 4).select("bucket", "n").collect()
+    chunks, segments = sum(r["n"] < 0 for r in rows), sum(max(r["n"], 0) for r in rows)
+    assert 400_000 < segments < 800_000 and segments <= 350_000 * chunks
