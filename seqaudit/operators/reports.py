@@ -8,15 +8,13 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keyed import draw
-from . import controls, draws, intervals, panels, statistics
+from . import controls, draws, intervals, logits, panels, statistics
 from .probes import ALPHAS, _square, fitted, moment_table, moments, oof_ridge, pick_alpha, probe_gap, scored
-from .rows import finite_rows
+from .rows import finite, finite_rows
 from .splits import hash_rank, kfold_random
 
 
@@ -159,35 +157,37 @@ def baseline_matrix(df: DataFrame, id_col: str, feature_sets: dict[str, str], ta
     return df.sparkSession.createDataFrame(out, "features string, target string, scheme string, n bigint, rho double")
 
 
-def logit_adjust(windows: DataFrame, high: str, exposure: str, covariates: list[str], group: str, folds: int = 5) -> DataFrame:
-    """(model, coefficient, odds_ratio, auroc): logistic coefficient of a 0/1 exposure for a 0/1 `high`, crude and with covariates.
+def logit_adjust(windows: DataFrame, high: str, exposure: str, covariates: list[str], group: str, folds: int = 5, min_train: int = 5) -> DataFrame:
+    """(model, coefficient, odds_ratio, auroc, logo_auroc, covariates_logo_auroc): logistic coefficient of a 0/1 exposure for a 0/1 `high`, crude and with covariates.
 
-    Covariates are standardised; the penalty is half the squared norm over the rows (C = 1). auroc is that of
-    rows scored by models fitted to other groups, dealt in folds of whole groups. Rows with a null go. Rows are counted by label, values and fold
-    once, so the fits read these counts.
+    Covariates are standardised; the penalty is half the squared norm over the rows (C = 1). logo_auroc is that of rows scored by the model fitted to all other
+    groups, one fit a group, with covariates standardised over these (`leave_out_lines`); covariates_logo_auroc, the published figure, that of the covariates without the
+    exposure. Groups whose others are under min_train rows or of one label are not scored; null if under 6 rows are. auroc is a further figure, of models that leave
+    whole groups out by folds. Rows with a null or a number that is not finite go. Rows are counted by group and values once, so the fits read these counts.
     """
-    rows = windows.select(F.col(high).cast("double").alias("label"), F.col(exposure).cast("double").alias("_e"), *[F.col(c).cast("double").alias(c) for c in covariates], F.col(group).alias("grp")).dropna()
-    first = rows.agg(F.count("*").alias("n"), *[f(c).alias(f"{p}{i}") for i, c in enumerate(covariates) for p, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
-    z = [((F.col(c) - first[f"m{i}"]) / (first[f"s{i}"] or 1.0)) for i, c in enumerate(covariates)] if first["n"] else []
+    own = [f"c{i}" for i, _ in enumerate(covariates)]
+    numbers = ["label", "e", *own]
+    rows = windows.select(F.col(group).alias("grp"), *[F.col(c).cast("double").alias(n) for n, c in zip(numbers, [high, exposure, *covariates], strict=True)]).where("grp is not null")
+    counts = rows.where(functools.reduce(Column.__and__, [finite(F.col(n)) for n in numbers])).groupBy("grp", *numbers).agg(F.count("*").cast("double").alias("w")).persist()
+    n, high_n, *sums = counts.agg(F.sum("w"), F.sum(F.col("w") * F.col("label")), *[F.sum(F.col("w") * F.col(c)) for c in own]).first()
     out = []
-    for model, extra in (("crude", []), ("adjusted", z)):
-        # rows alike in all that a model reads are one weighted row
-        table = rows.groupBy("label", F.array("_e", *extra).alias("x"), group_fold("grp", folds).alias("fold")).agg(F.count("*").cast("double").alias("weight"))
-        table = table.select("label", array_to_vector("x").alias("features"), "fold", "weight").persist()
-        fit = lambda part, n: LogisticRegression(regParam=1 / n, elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-9, weightCol="weight").fit(part)
-        sizes = {(r["fold"], r["label"]): r["n"] for r in table.groupBy("fold", "label").agg(F.sum("weight").alias("n")).collect()}
-        if len({label for _, label in sizes}) == 2:
-            w = float(fit(table, sum(sizes.values())).coefficients[0])
-            parts = []
-            for fold in range(folds):
-                rest = {k: n for k, n in sizes.items() if k[0] != fold}
-                if len({label for _, label in rest}) == 2:
-                    scored_rows = fit(table.where(F.col("fold") != fold), sum(rest.values())).transform(table.where(F.col("fold") == fold))
-                    parts.append(scored_rows.select(F.lit(1).alias("_all"), "label", vector_to_array("probability")[1].alias("p"), "weight"))
-            area = statistics.auroc(functools.reduce(DataFrame.unionByName, parts), "label", "p", ["_all"], "weight").first() if parts else None
-            out.append((model, w, math.exp(w), area["auroc"] if area else None))
-        table.unpersist()
-    return windows.sparkSession.createDataFrame(out, "model string, coefficient double, odds_ratio double, auroc double")
+    if n and 0 < high_n < n:
+        mean = [x / n for x in sums]
+        square = counts.agg(F.sum("w"), *[F.sum(F.col("w") * (F.col(c) - m) ** 2) for c, m in zip(own, mean, strict=True)]).first()[1:]
+        sd = [math.sqrt(q / n) for q in square]
+        sd = [s if s > 1e-12 * abs(m) else 1.0 for s, m in zip(sd, mean, strict=True)]
+        z = [(F.col(c) - m) / s for c, m, s in zip(own, mean, sd, strict=True)]
+        names = ["crude", "adjusted", *(["covariates"] if own else [])]
+        free = [[True, name != "covariates", *[name != "crude"] * len(own)] for name in names]
+        cells = counts.select("grp", group_fold("grp", folds).alias("fold"), "label", F.array(F.lit(1.0), "e", *z).alias("x"), "w")
+        lines = logits.leave_out_lines(cells, [q / s**2 for q, s in zip(square, sd, strict=True)], free, min_train)
+        whole = {names[r["model"]]: r["b"][1] for r in lines.where("times = 0 and fold = -1").collect()}
+        scores = logits.left_out_scores(lines, cells, len(free[0]))
+        sizes = {(r["out"], r["model"]): r["n"] for r in scores.groupBy("out", "model").agg(F.sum("weight").alias("n")).collect()}
+        areas = {(r["out"], names[r["model"]]): r["auroc"] for r in statistics.auroc(scores, "label", "score", ["out", "model"], "weight").collect() if r["out"] == "fold" or sizes[r["out"], r["model"]] > 5}
+        out = [(name, whole[name], math.exp(whole[name]), areas.get(("fold", name)), areas.get(("group", name)), areas.get(("group", "covariates")) if name == "adjusted" else None) for name in ("crude", "adjusted")]
+    counts.unpersist()
+    return windows.sparkSession.createDataFrame(out, "model string, coefficient double, odds_ratio double, auroc double, logo_auroc double, covariates_logo_auroc double")
 
 
 def locus_set_null(track: DataFrame, loci: DataFrame, b_outer: int, b_inner: int, key: str = "accession", seed: int = 42, genomes: DataFrame | None = None) -> DataFrame:
