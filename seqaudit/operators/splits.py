@@ -93,8 +93,9 @@ def group_bootstrap(df: DataFrame, group: str, a: str, b: str, reps: int, seed:
 
     Rows are counted by group and pair of values once, and replicates weigh these counts inside tasks (`resampled_ranks`).
     """
-    groups = hash_rank(df.where(F.col(group).isNotNull()).select(group).distinct(), group, seed, "g")
-    known = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).join(groups, group).groupBy("g", F.col(a).alias("x"), F.col(b).alias("y")).agg(F.count("*").alias("w"))
+    rows = df.select(F.col(group).alias("grp"), F.col(a).alias("x"), F.col(b).alias("y"))
+    groups = hash_rank(rows.where("grp is not null").select("grp").distinct(), "grp", seed, "g")
+    known = rows.where("x is not null and y is not null").join(groups, "grp").groupBy("g", "x", "y").agg(F.count("*").alias("w"))
     at = lambda c: run_up(known.select(c).distinct().withColumn("_one", F.lit(1)), [], c, ["_one"]).select(c, F.col("_one_under").cast("bigint").alias(f"{c}_at"))
     cells = known.join(at("x"), "x").join(at("y"), "y").select("g", F.col("x_at").alias("x"), F.col("y_at").alias("y"), "w")
     sums = resampled_ranks(cells, groups.count(), reps, seed)
