@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,6 +40,17 @@ def _packed(df: DataFrame, name: str, size: int) -> DataFrame:
     return df.mapInArrow(pack, f"keys array<bigint>, {name} array<double>").repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df written to the folder of checkpoints that all executors share, so later plans are short; a local session without one gets a temporary one."""
+    spark, context = df.sparkSession, df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        top = spark.conf.get("spark.checkpoint.dir", None)
+        if not top and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(top or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()
+
+
 def _met(rows: DataFrame, lines: DataFrame, k: int) -> DataFrame:
     """(key, v): `line_sums` of each open line over all blocks of rows. A task adds up its blocks, so it sends one row a line."""
     def meet(batches):
@@ -107,13 +120,15 @@ def leave_out_lines(cells: DataFrame, spread: list[float], models: list[list[boo
 
     groups = cells.groupBy("grp").agg(F.flatten(F.array_sort(F.collect_list(flat(F.lit(-2.0))))).alias("own")).groupBy("own").agg(F.count("*").alias("times"))
     few = [line for f, (m, h) in ({-1.0: (0.0, 0.0)} | sizes).items() if 0 < high - h < n - m for line in fresh(0, f, [], [0.0, *[1.0] * (k - 1)])]
-    lines = groups.mapInArrow(begin, STATE).unionByName(spark.createDataFrame([tuple(line.values()) for line in few], STATE)).withColumn("key", F.monotonically_increasing_id()).localCheckpoint()
+    whole = spark.createDataFrame([tuple(line.values()) for line in few], STATE)
+    lines = settled(groups.mapInArrow(begin, STATE).unionByName(whole).withColumn("key", F.monotonically_increasing_id()))
     rows = _packed(cells.groupBy("label", "fold", "x").agg(F.sum("w").alias("w")).select(F.lit(0).cast("bigint"), flat(F.col("fold").cast("double"))), "rows", ROWS).drop("keys").persist()
+    rows.count()  # so that the join knows how small they are
     for _ in range(turns):
         if lines.where("open").isEmpty():
             rows.unpersist()
             return lines.select("model", "fold", "own", "times", "b")
-        lines = lines.join(_met(rows, lines, k), "key", "left").repartition(spark.sparkContext.defaultParallelism).mapInArrow(step, STATE).localCheckpoint()
+        lines = settled(lines.join(_met(rows, lines, k), "key", "left").repartition(spark.sparkContext.defaultParallelism).mapInArrow(step, STATE))
     raise RuntimeError(f"logistic lines are still moving after {turns} turns")
 
 

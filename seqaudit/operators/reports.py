@@ -168,7 +168,7 @@ def logit_adjust(windows: DataFrame, high: str, exposure: str, covariates: list[
     own = [f"c{i}" for i, _ in enumerate(covariates)]
     numbers = ["label", "e", *own]
     rows = windows.select(F.col(group).alias("grp"), *[F.col(c).cast("double").alias(n) for n, c in zip(numbers, [high, exposure, *covariates], strict=True)]).where("grp is not null")
-    counts = rows.where(functools.reduce(Column.__and__, [finite(F.col(n)) for n in numbers])).groupBy("grp", *numbers).agg(F.count("*").cast("double").alias("w")).persist()
+    counts = logits.settled(rows.where(functools.reduce(Column.__and__, [finite(F.col(n)) for n in numbers])).groupBy("grp", *numbers).agg(F.count("*").cast("double").alias("w")))
     n, high_n, *sums = counts.agg(F.sum("w"), F.sum(F.col("w") * F.col("label")), *[F.sum(F.col("w") * F.col(c)) for c in own]).first()
     out = []
     if n and 0 < high_n < n:
@@ -186,7 +186,6 @@ def logit_adjust(windows: DataFrame, high: str, exposure: str, covariates: list[
         sizes = {(r["out"], r["model"]): r["n"] for r in scores.groupBy("out", "model").agg(F.sum("weight").alias("n")).collect()}
         areas = {(r["out"], names[r["model"]]): r["auroc"] for r in statistics.auroc(scores, "label", "score", ["out", "model"], "weight").collect() if r["out"] == "fold" or sizes[r["out"], r["model"]] > 5}
         out = [(name, whole[name], math.exp(whole[name]), areas.get(("fold", name)), areas.get(("group", name)), areas.get(("group", "covariates")) if name == "adjusted" else None) for name in ("crude", "adjusted")]
-    counts.unpersist()
     return windows.sparkSession.createDataFrame(out, "model string, coefficient double, odds_ratio double, auroc double, logo_auroc double, covariates_logo_auroc double")
 
 
